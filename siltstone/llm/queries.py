@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, packing, quality, token_files
+from siltstone.llm import line_dedup, minhash, mixing, packing, quality, token_files
 from siltstone.session import scratch_dir
 
 
@@ -38,11 +38,21 @@ def op6_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
     "op5_token_files": op5_token_files,
     "op6_repetition_coverage": op6_repetition_coverage,
+    "op8_dart_minhash": op8_dart_minhash,
+    "op9_line_alignment": op9_line_alignment,
 }
 
 ORACLES: dict[str, str] = {
