@@ -29,7 +29,7 @@ BANDS, ROWS = 32, 4
 #: Share of equal coordinates from which a candidate is verified: three deviations below 0.8.
 PLAUSIBLE = 0.70
 #: Members of a bucket that are compared with as many others at a time.
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS = 256
 
 _U = np.uint64
 _Q = _U(0xA0761D6478BD642F)
@@ -136,9 +136,8 @@ def _plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
 
-def _verified(pairs: DataFrame, carriers: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs with a Jaccard similarity of their shingle sets of similarity or more. pairs is a written table."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(nodes: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and shingles, their sorted distinct hashes, for each of nodes, from the text of a document that has it."""
     wanted = materialize(carriers.join(nodes, "node", "left_semi").select("node", "doc_id", "text_hash"), "carriers")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     texts = join_checked(rows, wanted, ["doc_id", "text_hash"], "inner", 60).select("node", "text")
@@ -153,72 +152,115 @@ def _verified(pairs: DataFrame, carriers: DataFrame, docs: DataFrame, similarity
         values = pa.ListArray.from_arrays(pa.array(ends), pa.array(element[new].view(np.int64)))
         return pa.RecordBatch.from_arrays([b.column(0), values], ["node", "shingles"])
 
-    sets_of = materialize(map_texts(texts, "text", "node long, shingles array<long>", sets).dropDuplicates(["node"]), "shingles")
+    return materialize(map_texts(texts, "text", "node long, shingles array<long>", sets).dropDuplicates(["node"]), "shingles")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    small, large = min(len(x), len(y)), max(len(x), len(y))
+    if small < similarity * large:
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (small + large - common) - 1e-9
+
+
+def _star_links(star: DataFrame, carriers: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b with that similarity. star is a written table with a row for each node at most."""
+    nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
+    sets_of = _sets(nodes, carriers, docs)
 
     def work(batches):
         for t in batches:
             cuts = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (t.column(2), t.column(3))]
-            keep = np.zeros(t.num_rows, bool)
-            for i in range(t.num_rows):
-                x, y = (v[o[i] : o[i + 1]] for o, v in cuts)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if small >= similarity * large:
-                    both = np.sort(np.concatenate([x, y]))
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[i] = common >= similarity * (small + large - common) - 1e-9
-            mask = pa.array(keep)
+            mask = pa.array([_alike(*(v[o[i] : o[i + 1]] for o, v in cuts), similarity) for i in range(t.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(1).filter(mask)], ["a", "b"])
 
     left, right = (sets_of.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b")
+    joined = star.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b")
     return materialize(joined.mapInArrow(work, "a long, b long"), "links")
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Plausible pairs with different labels among the members (key, band, n, node, label, sig) of each bucket.
+def _groups(batches, width: int):
+    """Runs of rows, as tuples, that agree in their first width columns, from batches in that order."""
+    held: list[tuple] = []
+    for t in batches:
+        for row in zip(*(c.to_pylist() for c in t.columns), strict=True):
+            if held and row[:width] != held[0][:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    A bucket of n members is cut into blocks of up to BLOCK_MEMBERS, each two of which meet in a group of rows; so a
-    task holds two blocks at most. A pair that shares several buckets comes from the one of its first common band.
+
+def _plausible_in_tiles(members: DataFrame) -> DataFrame:
+    """Members with a plausible partner of another label: tile, node, label and partners, listed on one of both sides.
+
+    members has key, band, n, node, label and sig. A bucket of n members is cut into blocks of some BLOCK_MEMBERS, each
+    two of which meet in a tile; so a task holds two blocks at a time, and no rows are made for pairs. A pair that
+    shares several buckets is listed in that of its first common band.
     """
-    blocks_ = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
-    placed = placed.select("key", "band", "node", "label", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    # A bucket's group of rows is larger than its blocks only if the hash is uneven; it is read batch by batch.
+    cuts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64("node"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "sig", "own")
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def meet(rows: list[tuple]) -> list[tuple[int, int]]:
-        _, band, nodes, labels, sigs, own, i, j = (list(x) for x in zip(*rows, strict=True))
-        node, label, own = np.array(nodes), np.array(labels), np.array(own)
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        found = []
-        for at in range(0, len(left), 32):
-            some = left[at : at + 32]
-            equal = _same([sigs[x] for x in some], [sigs[x] for x in right])
-            ok = (equal.mean(axis=2) >= PLAUSIBLE) & (label[some][:, None] != label[right][None])
-            if i[0] == j[0]:
-                ok &= node[some][:, None] < node[right][None]
-            x, y = np.nonzero(ok)
-            if len(x):
+    def work(batches):
+        for rows in _groups(batches, 3):
+            i, j, band = rows[0][1:4]
+            node, label, own = (np.array([r[k] for r in rows]) for k in (4, 5, 7))
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            partners: dict[int, list[int]] = {}
+            for at in range(0, len(left), 32):
+                some = left[at : at + 32]
+                equal = _same([rows[x][6] for x in some], [rows[x][6] for x in right])
+                ok = (equal.mean(axis=2) >= PLAUSIBLE) & (label[some][:, None] != label[right][None])
+                if i == j:
+                    ok &= node[some][:, None] < node[right][None]
+                x, y = np.nonzero(ok)
                 common = equal[x, y].reshape(len(x), BANDS, ROWS).all(axis=2)
-                first = common.argmax(axis=1) == band[0]
-                found += [(min(p), max(p)) for p in zip(node[some[x[first]]].tolist(), node[right[y[first]]].tolist(), strict=True)]
-        return found
+                first = common.argmax(axis=1) == band
+                for u, v in zip(some[x[first]].tolist(), right[y[first]].tolist(), strict=True):
+                    partners.setdefault(u, []).append(int(node[v]))
+                    partners.setdefault(v, [])
+            if partners:
+                tile = int(mix(np.array([rows[0][0] ^ (i << 20) ^ j], np.int64).view(_U)).view(np.int64)[0])
+                where = {int(node[u]): u for u in partners}
+                columns = [[tile] * len(where), list(where), [int(label[u]) for u in where.values()], [partners[u] for u in where.values()]]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["tile", "node", "label", "partners"])
+
+    return materialize(placed.mapInArrow(work, "tile long, node long, label long, partners array<long>"), "tiles")
+
+
+def _tile_links(tiles: DataFrame, carriers: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that join all labels which similar partners in a tile join; others between the same two are left out."""
+    sets_of = _sets(tiles.select("node").distinct(), carriers, docs)
+    rows = tiles.join(sets_of, "node").select("tile", "node", "label", "partners", "shingles").repartition("tile").sortWithinPartitions("tile")
 
     def work(batches):
-        held: list[tuple] = []
-        for t in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in t.columns), strict=True):
-                if held and (row[0], row[6], row[7]) != (held[0][0], held[0][6], held[0][7]):
-                    out += meet(held)
-                    held = []
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        if held and (out := meet(held)):
-            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in out], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        for group in _groups(batches, 1):
+            sets = {r[1]: np.array(r[4], np.int64) for r in group}
+            root = {r[1]: r[2] for r in group}
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            links = []
+            for r in group:
+                for partner in r[3]:
+                    x, y = find(root[r[1]]), find(root[partner])
+                    if x != y and _alike(sets[r[1]], sets[partner], similarity):
+                        up[max(x, y)] = min(x, y)
+                        links.append((r[1], partner))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return placed.mapInArrow(work, "a long, b long")
+    return materialize(rows.mapInArrow(work, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,19 +274,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     usable = signed.where("has_words AND doc_id IS NOT NULL")
     least = F.min(F.struct("doc_id", "text_hash"))
     nodes = materialize(usable.groupBy("node").agg(least.alias("c"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("node", "c.*", "bands", "sig"), "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = materialize(banded.join(buckets, "key"), "members")
+    banded = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
+    leader = F.min(F.struct("doc_id", "node"))
+    buckets = materialize(banded.groupBy("key").agg(leader.alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = materialize(banded.drop("doc_id").join(buckets, "key"), "members")
     sigs, carriers = nodes.select("node", "sig"), nodes.select("node", "doc_id", "text_hash")
 
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(materialize(_plausible(star, sigs), "star"), carriers, docs, similarity)
+    star = members.groupBy("node").agg(F.min("leader").alias("first"))
+    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).where("a <> b")
+    links = _star_links(materialize(_plausible(star, sigs), "star"), carriers, docs, similarity)
     labels = connected_components(links)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = labelled.join(open_, "key", "left_semi").join(sigs, "node").select("key", "band", "n", "node", "label", "sig")
-    apart = materialize(_apart(rest).join(star.select("a", "b"), ["a", "b"], "left_anti"), "apart")
-    more = _verified(apart, carriers, docs, similarity)
+    more = _tile_links(_plausible_in_tiles(rest), carriers, docs, similarity)
     labels = connected_components(links.union(more))
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id")
