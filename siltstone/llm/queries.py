@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import line_dedup, minhash, mixing, packing, quality, token_files
+from siltstone.llm import line_dedup, lm, minhash, mixing, packing, quality, token_files
 from siltstone.session import scratch_dir
 
 
@@ -46,6 +46,10 @@ def op9_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repetition_coverage": op6_repetition_coverage,
     "op8_dart_minhash": op8_dart_minhash,
     "op9_line_alignment": op9_line_alignment,
+    "op10_log_bilinear": op10_log_bilinear,
 }
 
 ORACLES: dict[str, str] = {
