@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import line_dedup, lm, minhash, mixing, packing, quality, token_files
+from siltstone.llm import line_dedup, lm, minhash, mixing, packing, quality, shards, token_files, vectors
 from siltstone.session import scratch_dir
 
 
@@ -50,11 +51,26 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sharded = shards.ShardedTable(spark, fresh(spark, "sharded"))
+    sharded.append(docs)
+    sharded.compact()
+    rows = sharded.read(docs.schema)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
+    "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_token_files": op5_token_files,
     "op6_repetition_coverage": op6_repetition_coverage,
+    "op7_sharding": op7_sharding,
     "op8_dart_minhash": op8_dart_minhash,
     "op9_line_alignment": op9_line_alignment,
     "op10_log_bilinear": op10_log_bilinear,
@@ -63,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_repetition_coverage": quality.ORACLE,
+    "op7_sharding": shards.ORACLE,
 }
