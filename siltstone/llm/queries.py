@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import line_dedup, lm, minhash, mixing, packing, quality, shards, token_files, vectors
+from siltstone.llm import html, line_dedup, lm, minhash, mixing, packing, quality, shards, token_files, vectors
 from siltstone.session import scratch_dir
 
 
@@ -64,9 +64,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
+    "op3_html_blocks": op3_html_blocks,
     "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_token_files": op5_token_files,
     "op6_repetition_coverage": op6_repetition_coverage,
