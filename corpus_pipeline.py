@@ -1,12 +1,55 @@
-"""The corpus pipeline: STAGES in order over the documents table."""
+"""The corpus pipeline: STAGES in order over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next one. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import line_dedup, minhash, mixing, packing, quality
+from siltstone.session import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules keep."""
+    return quality.keep_good(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of earlier ones; those of which no word is left go. n_chars follows the text."""
+    rows = line_dedup.dedup_lines(docs).where(~((F.col("n_removed_words") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that of the smallest doc_id."""
+    return minhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in rows alike."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("near-dedup", near_dedup), ("mixing", mix_sources), ("packing", pack)]
 
-STAGES: list = []
+#: Near-dedup and packing can't be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; the result of the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{k}")
+    return docs
