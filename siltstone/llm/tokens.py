@@ -67,7 +67,7 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.key = np.zeros(0, np.uint64)
+        self.key, self.sorted, self.order = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
         self.slot = np.full(SLOTS, -1, np.int32)
@@ -114,8 +114,8 @@ class PieceEncoder:
         self.n_ids += total
         new = np.arange(len(self.key), len(self.key) + len(key))
         self.key = np.concatenate([self.key, key])
-        self.order = np.argsort(self.key)
-        self.sorted = self.key[self.order]
+        place = np.searchsorted(self.sorted, key)
+        self.sorted, self.order = np.insert(self.sorted, place, key), np.insert(self.order, place, new)
         slot = (key >> np.uint64(42)).astype(np.int64)
         free = self.slot[slot] < 0
         self.slot[slot[free]] = new[free]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken at a time; only a longer single word needs more.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
