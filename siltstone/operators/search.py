@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import tokens
 from siltstone.operators.joins import join_checked
 from siltstone.operators.records import top_per_key
+from siltstone.session import materialize
 
 K1, B = 1.2, 0.75
 
@@ -23,11 +24,11 @@ def bm25_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, per_term:
     Terms that more than a share of the documents, and more than a least number, have are left out. Only the postings
     of the terms are shuffled, after the terms were sent to all executors or, if they are many, joined.
     """
-    lengths = docs.select(key, F.size(tokens(F.col(text))).alias("length"))
-    total = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    own = docs.select(key, F.explode(tokens(F.col(text))).alias("term"), F.size(tokens(F.col(text))).alias("length"))
+    words = docs.select(key, tokens(F.col(text)).alias("_words")).withColumn("length", F.size("_words"))
+    total = words.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
+    own = words.select(key, "length", F.explode("_words").alias("term"))
     own = join_checked(own, terms.select("term").distinct(), ["term"], "left_semi", 80)
-    hits = own.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+    hits = materialize(own.groupBy(key, "term", "length").agg(F.count("*").alias("tf")), "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(total))  # one row
     scored = scored.where(F.col("df") <= F.greatest(F.floor(F.col("total") / common_share), F.lit(common_least)))
