@@ -317,9 +317,10 @@ _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _BM25 = rf"""
 q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, term, i, row_number() OVER (PARTITION BY item_id ORDER BY -length(term), i) AS r FROM (
   SELECT item_id, term, min(i) AS i FROM (SELECT item_id, unnest({_TOK}) AS term, generate_subscripts({_TOK}, 1) AS i FROM benchmark) WHERE length(term) >= CASE WHEN regexp_matches(term, '[a-z0-9]') THEN 3 ELSE 2 END GROUP BY ALL)) WHERE r <= 8),
-p AS (SELECT doc_id, len({_TOK}) AS n, unnest({_TOK}) AS term FROM documents),
+w AS MATERIALIZED (SELECT doc_id, {_TOK} AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM w),
 tf AS (SELECT doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-st AS (SELECT count(*) AS total, avg(len({_TOK})) AS mean FROM documents),
+st AS (SELECT count(*) AS total, avg(len(ws)) AS mean FROM w),
 sc AS (SELECT term, doc_id, round(greatest(1e-6, ln((total - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)), 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM tf), st WHERE df <= greatest(total // 20, 16)),
 hits AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 4)"""
 
