@@ -112,3 +112,43 @@ def heat_note(likes: Column, comments: Column, followers: Column) -> Column:
     """Counts that are known, in one line; says so if none is."""
     parts = F.concat_ws(" · ", *(F.concat(c.cast("string"), F.lit(f" {n}")) for c, n in ((likes, "likes"), (comments, "comments"), (followers, "followers"))))
     return F.when(parts == "", "unknown").otherwise(parts)
+
+
+#: The shapes of dates and prices, the words and signs of currencies, and what ends a product's name.
+MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+DATES = (
+    r"\d{4}\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2}\s*日?",
+    r"\d{1,2}\s*[/月]\s*\d{1,2}\s*日?",
+    MONTH + r"\.?\s+\d{1,2}(?:\s*,\s*\d{4})?",
+    r"\d{1,2}\s+" + MONTH + r"\.?(?:\s+\d{4})?",
+)
+PRICES = (
+    r"[¥￥$€£₩]\s*\d[\d,.\s]*\d",
+    r"[¥￥$€£₩]\s*\d",
+    r"\d[\d,.\s]*\d\s*(?:円|元|圆|usd|jpy|eur|gbp|rmb|cny|yen|dollars?)",
+    r"\d\s*(?:円|元|usd|jpy|yen)",
+)
+NAME_ENDS = "\n。.!！#"
+
+
+def _candidates(found: Column, most: int) -> Column:
+    """The first distinct ones, whatever their case; the first spelling stays."""
+    found = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
+    folded = F.transform(found, lambda x: F.lower(x))
+    first = F.filter(found, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+    return F.slice(first, 1, most)
+
+
+def date_candidates(text: Column, most: int = 8) -> Column:
+    return _candidates(F.regexp_extract_all(text, F.lit("(?i)" + "|".join(DATES)), F.lit(0)), most)
+
+
+def price_candidates(text: Column, most: int = 8) -> Column:
+    return _candidates(F.regexp_extract_all(text, F.lit("(?i)" + "|".join(PRICES)), F.lit(0)), most)
+
+
+def product_candidates(text: Column, alias: Column, most: int = 8) -> Column:
+    """What follows each place of the alias, up to 30 characters and the end of a line or sentence."""
+    tail = F.concat(F.lit(r"(?i)\Q"), alias, F.lit(rf"\E(?=([^{NAME_ENDS}]{{0,30}}))"))
+    cut = F.transform(F.regexp_extract_all(text, tail, F.lit(1)), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[的:：—-]+", "")))
+    return _candidates(F.transform(F.filter(cut, lambda x: F.length(x) >= 2), lambda x: F.concat_ws(" ", alias, x)), most)

@@ -29,6 +29,23 @@ def layers(edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise ValueError("the graph has a cycle or a path that is too long")
 
 
+def closure(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """node and reach: all that lies downstream of each node of a graph (up, down), cycles included.
+
+    Each round joins only the pairs that are new, one step further.
+    """
+    edges = materialize(edges.select("up", "down").distinct(), "edges")
+    new = edges.select(F.col("up").alias("node"), F.col("down").alias("reach"))
+    found = new
+    for _ in range(rounds):
+        step = new.withColumnRenamed("reach", "up").join(edges, "up").select("node", F.col("down").alias("reach")).distinct()
+        new = materialize(step.join(found, ["node", "reach"], "left_anti"), "reach")
+        if not new.limit(1).count():
+            return found
+        found = found.unionByName(new)
+    raise ValueError("the graph has a path that is too long")
+
+
 def stalled(runs: DataFrame, tasks: DataFrame, events: DataFrame, now, quiet_minutes: int, horizon_hours: int = 24) -> DataFrame:
     """Active runs without a live task but with one that waits, whose last event is quiet_minutes old, within the horizon."""
     live = tasks.where(F.col("status").isin("dispatched", "running", "submitted")).select("run")

@@ -31,7 +31,7 @@ def latest(df: DataFrame, key: list[str], by: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], policy: dict[str, str]) -> DataFrame:
-    """old with new rows put in. policy for each other column: overwrite, keep (old if new is empty) or fill (new if not null)."""
+    """old with new rows put in. policy for each other column: overwrite, keep (old if new is empty), fill (new if not null) or first (old if not null)."""
     a, b = old.withColumn("_old", F.lit(True)), new.withColumn("_new", F.lit(True))
     for c in policy:
         a, b = a.withColumnRenamed(c, f"_a_{c}"), b.withColumnRenamed(c, f"_b_{c}")
@@ -39,6 +39,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], policy: dict[str, str
         "overwrite": lambda c: F.when(F.col("_new"), F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")),
         "keep": lambda c: F.when(F.coalesce(F.col(f"_b_{c}").cast("string"), F.lit("")) == "", F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")),
         "fill": lambda c: F.coalesce(F.col(f"_b_{c}"), F.col(f"_a_{c}")),
+        "first": lambda c: F.coalesce(F.col(f"_a_{c}"), F.col(f"_b_{c}")),
     }
     return a.join(b, key, "full").select(*key, *(rules[p](c).alias(c) for c, p in policy.items()))
 
@@ -96,3 +97,34 @@ def budget(df: DataFrame, group: list, order: list, cost: str, limit: int) -> Da
     """Rows that start before the costs of those before them reach the limit; the last one may go beyond it."""
     w = Window.partitionBy(*_columns(group)).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_spent", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(F.col("_spent") < limit).drop("_spent")
+
+
+def request_hash(**fields: Column) -> Column:
+    """The hash of a request as JSON with sorted names; equal requests have equal hashes."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256)
+
+
+def replay(asked: DataFrame, recorded: DataFrame, key: str, answer: str) -> DataFrame:
+    """asked with the recorded answers; the job fails if one isn't there."""
+    hit = recorded.select(key, answer, F.lit(True).alias("_hit"))
+    miss = F.raise_error(F.concat(F.lit("no record of request "), F.coalesce(F.col(key), F.lit("null"))))
+    joined = asked.join(hit, key, "left")
+    return joined.withColumn(answer, F.when(F.col("_hit"), F.col(answer)).otherwise(miss.cast(recorded.schema[answer].dataType))).drop("_hit")
+
+
+def inherit(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df with null values filled from rows of equal key (the largest); rows whose key is null inherit nothing."""
+    known = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max(value).alias("_known"))
+    return df.join(known, key, "left").withColumn(value, F.coalesce(value, "_known")).drop("_known")
+
+
+def weight_batches(weights: Column, most: int) -> Column:
+    """For each weight of an array the number of its batch; batches are filled in turn, one that is too heavy is alone."""
+    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("held"), F.array().cast("array<long>").alias("out"))
+
+    def put(s, w):
+        fresh = (s["batch"] < 0) | (s["held"] + w > most)
+        batch = F.when(fresh, s["batch"] + 1).otherwise(s["batch"])
+        return F.struct(batch.alias("batch"), F.when(fresh, w).otherwise(s["held"] + w).alias("held"), F.array_append(s["out"], batch).alias("out"))
+
+    return F.aggregate(weights.cast("array<long>"), start, put, lambda s: s["out"])

@@ -78,7 +78,23 @@ def merge_routes(routes: list[DataFrame], group: list[str], key: str) -> DataFra
     return merged.select(*group, key, "routes", place.alias("place"))
 
 
+#: Aliases up to which every text is searched for each of them.
+SMALL_ALIASES = 20_000
+
+
 def contains_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """For each text and brand the longest alias in it; aliases (brand, alias) is a small table."""
-    hit = texts.select(key, text).join(F.broadcast(aliases), F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
+    """For each text and brand the longest alias in it; aliases (brand, alias) are counted first.
+
+    Few aliases are broadcast and looked for one by one. Many are joined on the first four letters or digits of their
+    first word, which some word of the text has to hold, and then looked for. Aliases without any are left out there.
+    """
+    if aliases.count() <= SMALL_ALIASES:
+        hit = texts.select(key, text).join(F.broadcast(aliases), F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
+    else:
+        start = F.substring(F.regexp_extract(F.lower(F.col("alias")), r"[\p{L}\p{N}]+", 0), 1, 4)
+        keyed = aliases.withColumn("_gram", start).where("_gram <> ''")
+        words = texts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("_word"))
+        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_word")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.col("_word").substr(i, n))))
+        found = words.select(key, F.explode(F.array_distinct(grams)).alias("_gram")).distinct().join(keyed, "_gram").select(key, "brand", "alias").distinct()
+        hit = texts.select(key, text).join(found, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
     return hit.groupBy(key, "brand").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("alias"))
