@@ -87,10 +87,17 @@ def neighbours(df: DataFrame, group: list, order: list, text: str, n: int) -> Da
 
 
 def near_in_time(df: DataFrame, seen: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Rows of df for which seen has no row of the same key within so many seconds."""
-    a, b = df.alias("a"), seen.select(key, ts).alias("b")
+    """Rows of df for which seen has no row of the same key within so many seconds.
+
+    Both sides are cut into spans of that length and joined on them too, so that a key with many rows meets only its
+    neighbours in time.
+    """
+    us = F.unix_micros(F.col(ts))
+    span = F.floor(us / (seconds * 1_000_000))
+    a = df.withColumn("_span", span).alias("a")
+    b = seen.select(key, ts, F.explode(F.array(span - 1, span, span + 1)).alias("_span")).alias("b")
     close = F.abs(F.unix_micros(F.col(f"a.{ts}")) - F.unix_micros(F.col(f"b.{ts}"))) <= seconds * 1_000_000
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & close, "left_anti")
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._span") == F.col("b._span")) & close, "left_anti").drop("_span")
 
 
 def budget(df: DataFrame, group: list, order: list, cost: str, limit: int) -> DataFrame:

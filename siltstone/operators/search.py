@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,32 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qu
     return top_per_key(scored, [query_key], [F.desc("similarity"), key], k)
 
 
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", block: int = 2000) -> DataFrame:
+    """Pairs (i, j, similarity) of vectors whose cosine reaches the threshold; exact, in tiles of two blocks.
+
+    A block holds about `block` vectors by the hash of their key, and only hits leave a tile, whatever the vectors are.
+    Null and zero vectors and those with null or non-finite parts have no pairs.
+    """
+    n = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64(key), F.lit(n))
+    rows = vectors.where(F.size("embedding") > 0).select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"), own.alias("own"))
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull())).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tiles = rows.select("k", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(tile["v"].tolist(), dtype=np.float64)
+        norm = np.sqrt((v * v).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        v, k, mine = v[good] / norm[good, None], tile["k"].to_numpy()[good], tile["own"].to_numpy()[good]
+        left, right = mine == tile["a"].iat[0], mine == tile["b"].iat[0]
+        x, y = np.nonzero((s := v[left] @ v[right].T) >= threshold)
+        i, j = k[left][x], k[right][y]
+        once = (i < j) if tile["a"].iat[0] == tile["b"].iat[0] else np.ones(len(i), dtype=bool)
+        return pd.DataFrame({"i": np.minimum(i, j)[once], "j": np.maximum(i, j)[once], "s": s[x, y][once]})
+
+    return tiles.groupBy("a", "b").applyInPandas(compare, "i long, j long, s double").select("i", "j", F.round("s", 4).alias("similarity"))
+
+
 def reciprocal_ranks(routes: list[DataFrame], group: list[str], key: str, limit: int, base: int = 60) -> DataFrame:
     """Fuse ranked lists: the sum of 1 / (base + rank) over the routes, ties by key."""
     every = routes[0].select(*group, key, "rank")

@@ -13,27 +13,23 @@ from siltstone.session import materialize
 c = F.col
 
 
-@query("o016_policy_upsert", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.status ELSE a.status END AS status, CASE WHEN coalesce(b.note, '') = '' THEN a.note ELSE b.note END AS note, coalesce(b.price, a.price) AS price
-FROM (SELECT o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS note, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0) a
-FULL JOIN (SELECT o_orderkey AS k, 'N' AS status, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'new' END AS note, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 1.5::DOUBLE END AS price FROM orders WHERE o_orderkey % 4 = 0) b ON a.k = b.k""")
+@query("o016_policy_upsert", """SELECT coalesce(a.o_orderkey, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.status ELSE o_orderstatus END AS status, CASE WHEN coalesce(b.note, '') = '' THEN o_orderpriority ELSE b.note END AS note, coalesce(b.price, o_totalprice) AS price
+FROM orders a FULL JOIN (SELECT l_orderkey AS k, 'N' AS status, CASE WHEN max(l_returnflag) = 'R' THEN '' ELSE 'new' END AS note, CASE WHEN min(l_discount) > 0 THEN max(l_extendedprice) END AS price FROM lineitem GROUP BY 1) b ON a.o_orderkey = b.k""")
 def _(t):
-    old = t.orders.where("o_orderkey % 3 <> 0").select(c("o_orderkey").alias("k"), c("o_orderstatus").alias("status"), c("o_orderpriority").alias("note"), c("o_totalprice").alias("price"))
-    new = t.orders.where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS k", "'N' AS status", "IF(o_orderkey % 2 = 0, '', 'new') AS note", "IF(o_orderkey % 5 = 0, NULL, 1.5D) AS price")
+    old = t.orders.select(c("o_orderkey").alias("k"), c("o_orderstatus").alias("status"), c("o_orderpriority").alias("note"), c("o_totalprice").alias("price"))
+    new = t.lineitem.groupBy(c("l_orderkey").alias("k")).agg(F.lit("N").alias("status"), F.when(F.max("l_returnflag") == "R", "").otherwise("new").alias("note"), F.when(F.min("l_discount") > 0, F.max("l_extendedprice")).alias("price"))
     return records.upsert(old, new, ["k"], {"status": "overwrite", "note": "keep", "price": "fill"})
 
 
-@query("o017_hash_diff", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'inserted' WHEN b.k IS NULL THEN 'missing' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS change
-FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) b ON a.k = b.k""")
+@query("o017_hash_diff", """SELECT coalesce(vec_id, doc_id) AS k, CASE WHEN vec_id IS NULL THEN 'inserted' WHEN doc_id IS NULL THEN 'missing' WHEN label = quality THEN 'same' ELSE 'changed' END AS change FROM embeddings FULL JOIN labels ON vec_id = doc_id""")
 def _(t):
-    old = t.orders.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS k", "o_orderstatus AS v")
-    new = t.orders.where("o_orderkey % 4 <> 0").selectExpr("o_orderkey AS k", "IF(o_orderkey % 2 = 0, 'X', o_orderstatus) AS v")
-    return records.changes(old, new, ["k"], ["v"])
+    old = t.embeddings.select(c("vec_id").alias("k"), c("label").alias("v"))
+    return records.changes(old, t.labels.select(c("doc_id").alias("k"), c("quality").alias("v")), ["k"], ["v"])
 
 
-@query("o019_insert_or_ignore", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("o019_insert_or_ignore", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
-    old = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")
-    return records.insert_new(old, t.orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey", "'new' AS o_orderstatus"), ["o_orderkey"])
+    return records.insert_new(t.labels.select("doc_id", "quality"), t.documents.select("doc_id", F.lit(-1).alias("quality")), ["doc_id"])
 
 
 @query("o020_guarded_status", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F') THEN o_orderstatus ELSE 'registered' END AS status FROM orders")
@@ -41,11 +37,12 @@ def _(t):
     return t.orders.select("o_orderkey", records.guarded_status(c("o_orderstatus"), F.lit("registered"), ["F"]).alias("status"))
 
 
-@query("o024_manifest_reconcile", "SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 3 = 0) AND p_partkey % 3 <> 0")
+@query("o024_manifest_reconcile", "SELECT doc_id FROM documents WHERE source IN (SELECT source FROM documents JOIN labels USING (doc_id)) AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
-    manifest = t.part.where("p_partkey % 3 = 0")
-    stale = t.part.join(manifest.select("p_brand"), "p_brand", "left_semi").join(manifest.select("p_partkey"), "p_partkey", "left_anti")
-    return stale.select("p_partkey")
+    """Documents of the sources that a manifest (here labels) covers but doesn't list."""
+    docs, listed = t.documents.select("doc_id", "source"), t.labels.select("doc_id")
+    covered = docs.join(listed, "doc_id", "left_semi").select("source").distinct()
+    return docs.join(covered, "source", "left_semi").join(listed, "doc_id", "left_anti").select("doc_id")
 
 
 @query("o045_inner_joins", "SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -93,13 +90,13 @@ def _(t):
     return rows.join(lines, "o_orderkey", "left").select("o_orderkey", "c_name", "n_name", "r_name", F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
-@query("o052_coverage_fallback", """WITH l AS (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT c_nationkey AS nation, c_mktsegment AS seg, count(*) AS found FROM customer WHERE c_custkey % 7 = 0 GROUP BY ALL)
+@query("o052_coverage_fallback", """WITH l AS (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS seg FROM customer WHERE c_acctbal > 5000), r AS (SELECT c_nationkey AS nation, c_mktsegment AS seg, count(*) AS found FROM customer WHERE c_acctbal < 0 GROUP BY ALL)
 SELECT l.nation, l.seg, coalesce(x.found, y.found, -1) AS found, CASE WHEN x.nation IS NOT NULL THEN 'exact' WHEN y.nation IS NOT NULL THEN 'channel' ELSE 'none' END AS match FROM l LEFT JOIN r x ON l.nation = x.nation AND l.seg = x.seg LEFT JOIN r y ON l.nation = y.nation AND y.seg = 'MACHINERY'
 UNION ALL SELECT r.nation, r.seg, r.found, 'unlisted' FROM r ANTI JOIN l USING (nation, seg) WHERE r.seg <> 'MACHINERY'""")
 def _(t):
-    rows = t.customer.select(c("c_nationkey").alias("nation"), c("c_mktsegment").alias("seg"), "c_custkey")
-    left = rows.where("c_custkey % 3 = 0").select("nation", "seg").distinct()
-    right = rows.where("c_custkey % 7 = 0").groupBy("nation", "seg").agg(F.count("*").alias("found"))
+    rows = t.customer.select(c("c_nationkey").alias("nation"), c("c_mktsegment").alias("seg"), "c_acctbal")
+    left = rows.where("c_acctbal > 5000").select("nation", "seg").distinct()
+    right = rows.where("c_acctbal < 0").groupBy("nation", "seg").agg(F.count("*").alias("found"))
     return records.fallback_join(left, right, ["nation", "seg"], ["nation"], {"seg": "MACHINERY"}, ["found"]).fillna(-1, ["found"])
 
 
@@ -108,12 +105,9 @@ def _(t):
     return search.contains_alias(t.documents, "doc_id", "text", t.nation.select(c("n_name").alias("brand"), F.lower(F.substring("n_name", 1, 5)).alias("alias")))
 
 
-@query("o054_similar_pairs", """SELECT i, j, round(s, 4) AS similarity FROM (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE s >= 0.3""")
+@query("o054_similar_pairs", """SELECT i, j, round(s, 4) AS similarity FROM (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= 0.3""")
 def _(t):
-    """Pairs within a round, which is bounded; here label stands for it."""
-    a = t.embeddings.select("label", c("vec_id").alias("i"), c("embedding").alias("a"))
-    pairs = a.join(a.select("label", c("i").alias("j"), c("a").alias("b")), "label").where("i < j")
-    return pairs.withColumn("s", search.cosine(c("a"), c("b"))).where("s >= 0.3").select("i", "j", F.round("s", 4).alias("similarity"))
+    return search.similar_pairs(t.embeddings, 0.3)
 
 
 @query("o055_same_key_pairs", "SELECT DISTINCT a.l_orderkey AS i, b.l_orderkey AS j FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey")
@@ -365,13 +359,16 @@ def _(t):
     return hybrid(t)
 
 
-@query("o106_merge_routes", """WITH r AS (SELECT label AS g, vec_id AS k, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank, 0 AS route FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC), 1 FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id * 7 % 101, vec_id), 2 FROM embeddings WHERE vec_id % 5 = 0),
+@query("o106_merge_routes", """WITH r AS (SELECT label AS g, vec_id AS k, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank, 0 AS route FROM embeddings JOIN labels ON doc_id = vec_id WHERE quality = 1
+UNION ALL SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC), 1 FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'en'
+UNION ALL SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY n_chars DESC, vec_id), 2 FROM embeddings JOIN documents ON doc_id = vec_id WHERE n_chars > 1000),
 m AS (SELECT g, k, count(*) AS routes, min(rank) AS best, min(route) AS route FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY g, CASE WHEN routes = 1 THEN route ELSE -1 END ORDER BY best, k) AS turn FROM m)
 SELECT g, k, routes, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN routes = 1 THEN 1 ELSE 0 END, CASE WHEN routes > 1 THEN -routes END, CASE WHEN routes > 1 THEN best END, CASE WHEN routes = 1 THEN turn END, CASE WHEN routes = 1 THEN route END, k) AS place FROM n""")
 def _(t):
     e = t.embeddings.select(c("label").alias("g"), c("vec_id").alias("k"))
-    orders = [(2, ["k"]), (3, [F.desc("k")]), (5, [c("k") * 7 % 101, "k"])]
-    routes = [e.where(c("k") % n == 0).withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*o))) for n, o in orders]
+    docs = t.documents.select(c("doc_id").alias("k"), "lang", "n_chars")
+    lists = [(t.labels.where("quality = 1").select(c("doc_id").alias("k")), ["k"]), (docs.where("lang = 'en'"), [F.desc("k")]), (docs.where("n_chars > 1000"), [F.desc("n_chars"), "k"])]
+    routes = [e.join(d, "k").withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*o))) for d, o in lists]
     return search.merge_routes(routes, ["g"], "k")
 
 
@@ -387,18 +384,24 @@ def _(t):
     return has.select("source", F.array_join(F.array_sort(F.array_except(need, "has")), ",").alias("missing")).where("missing <> ''")
 
 
-@query("o120_components", """WITH RECURSIVE e AS (SELECT p_partkey AS u, (p_partkey * 7 + 3) % 2000 AS v FROM part WHERE p_partkey % 4 = 0 AND p_partkey <> (p_partkey * 7 + 3) % 2000), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@query("o120_components", """WITH RECURSIVE e AS (SELECT p_partkey AS u, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS v FROM part UNION SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_type, p_size) FROM part), b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
 r(node, reach) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.reach = b.u) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def _(t):
-    edges = t.part.where("p_partkey % 4 = 0").selectExpr("p_partkey AS a", "(p_partkey * 7 + 3) % 2000 AS b")
+    """Parts of one brand and size, or of one name, type and size, belong together; each is linked to the first of its group."""
+    edges = None
+    for key in (["p_brand", "p_size"], ["p_name", "p_type", "p_size"]):
+        first = t.part.groupBy(*key).agg(F.min("p_partkey").alias("b"))
+        own = t.part.join(first, key).select(c("p_partkey").alias("a"), "b")
+        edges = own if edges is None else edges.union(own)
     return graph.connected_components(edges)
 
 
 @query("o118_capped_edges")
 def _(t):
-    rank = F.row_number().over(Window.orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    edges = t.lineitem.where("l_quantity > 45").withColumn("rank", rank).selectExpr("l_partkey AS a", "l_suppkey + 10000000 AS b", "CAST(rank AS LONG) AS rank")
-    return flow.capped_edges(edges, 5)
+    """The order is a struct, so that nothing ranks all edges in one task."""
+    order = F.struct((-c("l_quantity")).alias("q"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    edges = t.lineitem.where("l_quantity > 45").select(c("l_partkey").alias("a"), (-c("l_suppkey") - 1).alias("b"), order.alias("rank"))
+    return flow.capped_edges(edges, 5).select("a", "b", "rank.l_orderkey", "rank.l_linenumber")
 
 
 @query("o121_representative", "SELECT source, lang, max(struct_pack(n := n_chars, k := -doc_id)).k * -1 AS doc_id FROM documents GROUP BY ALL")
@@ -406,11 +409,12 @@ def _(t):
     return t.documents.groupBy("source", "lang").agg(F.max_by("doc_id", F.struct("n_chars", -c("doc_id"))).alias("doc_id"))
 
 
-@query("o124_hamming", "SELECT a.vec_id AS i, b.vec_id AS j, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM (SELECT vec_id, label, vec_id * 2654435761 % 4294967296 AS h FROM embeddings) a JOIN (SELECT vec_id, label, vec_id * 2654435761 % 4294967296 AS h FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 10")
+@query("o124_hamming", "SELECT a.l_orderkey AS item, a.l_linenumber AS i, b.l_linenumber AS j, bit_count(xor(a.l_partkey, b.l_partkey))::BIGINT AS distance FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE bit_count(xor(a.l_partkey, b.l_partkey)) <= 3")
 def _(t):
-    a = t.embeddings.selectExpr("label", "vec_id AS i", "vec_id * 2654435761 % 4294967296 AS x")
-    pairs = a.join(a.selectExpr("label", "i AS j", "x AS y"), "label").where("i < j").withColumn("distance", F.bit_count(c("x").bitwiseXOR(c("y"))).cast("long"))
-    return pairs.where("distance <= 10").select("i", "j", "distance")
+    """Pictures of one item, here an order, are compared; an item has few."""
+    a = t.lineitem.selectExpr("l_orderkey AS item", "l_linenumber AS i", "l_partkey AS x")
+    pairs = a.join(a.selectExpr("item", "i AS j", "x AS y"), "item").where("i < j").withColumn("distance", F.bit_count(c("x").bitwiseXOR(c("y"))).cast("long"))
+    return pairs.where("distance <= 3").select("item", "i", "j", "distance")
 
 
 @query("o151_readiness", "SELECT l_orderkey AS run, l_linenumber AS task FROM lineitem a WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND b.l_returnflag <> 'A') GROUP BY ALL")

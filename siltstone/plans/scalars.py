@@ -86,10 +86,11 @@ def _(t):
 _NORM = """lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', ''))"""
 
 
-@query("o042_url_exclusion", f"SELECT page_id, {_NORM} AS norm FROM pages WHERE {_NORM} NOT IN (SELECT {_NORM} FROM pages WHERE page_id % 7 = 0)")
+@query("o042_url_exclusion", f"SELECT page_id, {_NORM} AS norm FROM pages WHERE {_NORM} NOT IN (SELECT {_NORM} FROM pages JOIN labels ON doc_id = page_id WHERE toxic = 1)")
 def _(t):
     pages = t.pages.select("page_id", X.norm_url(F.col("url")).alias("norm"))
-    return pages.join(pages.where("page_id % 7 = 0").select("norm"), "norm", "left_anti").select("page_id", "norm")
+    hidden = pages.join(t.labels.where("toxic = 1").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+    return pages.join(hidden.select("norm"), "norm", "left_anti").select("page_id", "norm")
 
 
 @query("o043_violations", "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 45 THEN 'quantity' END, CASE WHEN l_discount >= 0.1 THEN 'discount' END, CASE WHEN l_tax = 0 AND l_returnflag = 'R' THEN 'tax' END) AS violations FROM lineitem")

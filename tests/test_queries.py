@@ -7,8 +7,6 @@ from tests.conftest import SF
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(name, spark, duck, same):
-    if name == "o120_components":
-        pytest.skip("its edges need 2,000 parts; compared at sf0.01 below")
     same(QUERIES[name](spark, SF), duck, ORACLES[name])
 
 
