@@ -1,12 +1,16 @@
 """Line dedup by pairwise alignment: blocks of lines that an earlier document has are deleted from the later one.
 
-Each document is paired with the first document that has a line like one of its own. A line so leads to one pair for
-each later document, rare or common, and no cap is needed. Each pair is aligned by patience diff. What the alignments
-of a document with all its partners mark, if it makes up a run of enough words, is deleted.
+Each document is cut into spans: from each line on, and up to each line, as few lines as have enough words to lead to a
+pair, and as few as have enough to be deleted. The first document that has a span is its holder. A span leads to one
+pair for each later document, rare or common, and no cap is needed. Each pair is aligned by patience diff. Spans long
+enough to be deleted are marked in all later documents, wherever they stand in their holder; each line of a block that
+any earlier document has is in one of them. What the spans and the alignments of a document with all its partners mark,
+if it makes up a run of enough words, is deleted.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 
@@ -19,16 +23,47 @@ from siltstone.llm.batches import map_texts, slices, text_of
 from siltstone.operators.joins import join_checked
 from siltstone.session import materialize
 
-#: Words of a line that may lead to a pair, and of a run of aligned lines that is deleted.
+#: Words of a span of lines that may lead to a pair, and of a run of aligned lines that is deleted.
 LEAST_LINE, LEAST_BLOCK = 5, 20
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
-    """Hashes and numbers of words of the lines that have words; white space counts as one space."""
+    """Hashes and sizes of the lines that have words; white space counts as one space."""
     words = [x.split() for x in text.encode().split(b"\n")]
     return [xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in words if x], [len(x) for x in words if x]
 
 
+def _upto(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last place of the shortest spans of size least that end at each place."""
+    out, start, total = [], 0, 0
+    for end, n in enumerate(sizes):
+        total += n
+        while total - sizes[start] >= least and start < end:
+            total -= sizes[start]
+            start += 1
+        if total >= least:
+            out.append((start, end))
+    return out
+
+
+def spans(sizes: list[int], least: int) -> set[tuple[int, int]]:
+    """First and last place of the shortest spans of size least from each place on and up to each place.
+
+    Those inside of any run of that size cover it.
+    """
+    last = len(sizes) - 1
+    return {*_upto(sizes, least), *((last - b, last - a) for a, b in _upto(sizes[::-1], least))}
+
+
+def span_hashes(lines: list[int], sizes: list[int], least: int) -> tuple[list[int], list[int], list[int], list[bool]]:
+    """Hashes, first and last places of a document's spans, and whether they are long enough to be deleted."""
+    blocks = spans(sizes, least)
+    places = sorted({(k, k) for k, n in enumerate(sizes) if n >= LEAST_LINE} | blocks)
+    raw = array("q", lines).tobytes()
+    keys = [lines[a] if a == b else xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8]) - (1 << 63) for a, b in places]
+    return keys, [a for a, _ in places], [b for _, b in places], [x in blocks for x in places]
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, in the order of the first numbers, in which the second ones rise."""
     tails, at, back = [], [], []
@@ -92,6 +127,7 @@ def delete_blocks(text: str, marked: set[int], least: int = LEAST_BLOCK) -> tupl
     """
     lines = text.split("\n")
     inked = [(i, n) for i, x in enumerate(lines) if (n := len(x.encode().split()))]
+    sizes = [n for _, n in inked]
     gone, words, count = set(), 0, 0
     k = 0
     while k < len(inked):
@@ -101,34 +137,39 @@ def delete_blocks(text: str, marked: set[int], least: int = LEAST_BLOCK) -> tupl
         end = k
         while end + 1 < len(inked) and end + 1 in marked:
             end += 1
-        size = sum(n for _, n in inked[k : end + 1])
-        if size >= least:
+        if sum(sizes[k : end + 1]) >= least:
             gone.update(range(inked[k][0], inked[end][0] + 1))
-            words += size
+            words += sum(n for _, n in inked[k : end + 1])
             count += end - k + 1
         k = end + 1
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), count, words
 
 
-def marked_lines(docs: DataFrame) -> DataFrame:
+def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     """doc_id, text_hash and marked: places, among lines with words, that align with an earlier document.
 
+    So are the lines of all spans of size least that an earlier document has.
+
     Documents are in the order of doc_id and, where it is repeated, of a hash of their text; rows alike are one
     document. Rows without doc_id have no part in it. The table is written.
     """
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [line_hashes(x) for x in b.column(2).to_pylist()]
-        columns = [b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "lines", "words"])
+        found = [span_hashes(*x, least) for x in rows]
+        kinds = {"keys": pa.int64(), "starts": pa.int32(), "ends": pa.int32(), "blocks": pa.bool_()}
+        columns = [b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.int64()))]
+        columns += [pa.array([x[i] for x in found], pa.list_(kind)) for i, kind in enumerate(kinds.values())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "lines", *kinds])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    lines = map_texts(rows, "text", "doc_id long, text_hash long, lines array<long>, words array<int>", work)
+    lines = map_texts(rows, "text", "doc_id long, text_hash long, lines array<long>, keys array<long>, starts array<int>, ends array<int>, blocks array<boolean>", work)
     lines = materialize(lines, "lines")
     doc = F.struct("doc_id", "text_hash")
-    spots = lines.select(doc.alias("doc"), F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= LEAST_LINE).select("doc", F.col("x.lines").alias("line"))
-    first = spots.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    pairs = spots.join(first.select("line", "first"), "line").where("doc > first").select("doc", "first").distinct()
+    first = lines.select(doc.alias("doc"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    spots = lines.select(doc.alias("doc"), F.explode(F.arrays_zip("keys", "starts", "ends", "blocks")).alias("x")).select("doc", F.col("x.keys").alias("key"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.blocks").alias("block"))
+    hits = materialize(spots.join(first.select("key", "first"), "key").where("doc > first").select("doc", "first", "start", "end", "block"), "hits")
+    pairs = hits.select("doc", "first").distinct()
     arrays = lines.select(doc.alias("doc"), "lines").dropDuplicates(["doc"])
     both = pairs.join(arrays, "doc").join(arrays.select(F.col("doc").alias("first"), F.col("lines").alias("first_lines")), "first")
 
@@ -138,17 +179,18 @@ def marked_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "text_hash", "marked"])
 
     found = both.select("doc.doc_id", "doc.text_hash", "lines", "first_lines").mapInArrow(align, "doc_id long, text_hash long, marked array<int>")
-    spots = found.select("doc_id", "text_hash", F.explode("marked").alias("i")).distinct()
-    return materialize(spots.groupBy("doc_id", "text_hash").agg(F.collect_list("i").alias("marked")), "marked")
+    whole = hits.where("block").select("doc.doc_id", "doc.text_hash", F.sequence("start", "end").alias("marked"))
+    places = found.union(whole).select("doc_id", "text_hash", F.explode("marked").alias("i")).distinct()
+    return materialize(places.groupBy("doc_id", "text_hash").agg(F.collect_list("i").alias("marked")), "marked")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     """docs with its columns, text without the blocks of lines that earlier documents have, n_removed_lines, n_removed_words.
 
     A null text is empty. Rows without doc_id, and texts without a shared block, stay as they are. Columns of docs with
-    the names of the new ones are replaced. No row goes; a copy of an earlier text is left empty.
+    the names of the new ones are replaced. No row goes; a copy of an earlier text of that size is left empty.
     """
-    marked = marked_lines(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "marked": "_marked"})
+    marked = marked_lines(docs, least).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "marked": "_marked"})
     names = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_words")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names if c != "text"), text_of().alias("text"))
     keyed = keyed.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))

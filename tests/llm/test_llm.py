@@ -171,6 +171,26 @@ def test_lines_of_earlier_documents_go(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_moved_blocks_and_blocks_of_later_holders_go(spark):
+    x, y, z, p, q = (" ".join(words_of(n, 80 + n)) for n in (15, 16, 17, 60, 70))
+    texts = [f"{y}\n{x}", f"{x}\n{y}", f"{x}\n{y}", f"{p}\n{q}", f"{q}\n{p}", f"{p}\n{z}\n{p}"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(6)] == [texts[0], texts[1], "", texts[3], "", z]
+
+
+def test_spans_cover_every_run():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.choice([1, 2, 3, 7, 25]) for _ in range(rng.randrange(12))]
+        for a in range(len(sizes)):
+            for b in range(a, len(sizes)):
+                inside = [(s, e) for s, e in line_dedup.spans(sizes, 20) if a <= s and e <= b]
+                if sum(sizes[a : b + 1]) >= 20:
+                    assert {k for s, e in inside for k in range(s, e + 1)} == set(range(a, b + 1))
+                else:
+                    assert not inside
+
+
 def test_language_model_is_normalised_and_counts_are_exact(spark):
     texts = [" ".join(words_of(30, k % 40)) for k in range(120)] + ["", None, "never seen-before wordz"]
     rows = lm.score(docs(spark, texts), head=50).collect()
