@@ -10,6 +10,7 @@ if it makes up a run of enough words, is deleted.
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_left
 from collections import Counter
@@ -25,12 +26,22 @@ from siltstone.session import materialize
 
 #: Words of a span of lines that may lead to a pair, and of a run of aligned lines that is deleted.
 LEAST_LINE, LEAST_BLOCK = 5, 20
+#: Characters of scripts without spaces, two of which count as a further word where sizes are compared: South-East Asian, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def line_sizes(lines: list[str], words: list[int]) -> list[int]:
+    """Numbers of words of lines, with those that no spaces part."""
+    return [n + len(_UNSPACED.findall(x)) // 2 for x, n in zip(lines, words, strict=True)]
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
     """Hashes and sizes of the lines that have words; white space counts as one space."""
     words = [x.split() for x in text.encode().split(b"\n")]
-    return [xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in words if x], [len(x) for x in words if x]
+    sizes = [len(x) for x in words]
+    if _UNSPACED.search(text):
+        sizes = line_sizes(text.split("\n"), sizes)
+    return [xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in words if x], [n for x, n in zip(words, sizes, strict=True) if x]
 
 
 def _upto(sizes: list[int], least: int) -> list[tuple[int, int]]:
@@ -58,7 +69,7 @@ def spans(sizes: list[int], least: int) -> set[tuple[int, int]]:
 def span_hashes(lines: list[int], sizes: list[int], least: int) -> tuple[list[int], list[int], list[int], list[bool]]:
     """Hashes, first and last places of a document's spans, and whether they are long enough to be deleted."""
     blocks = spans(sizes, least)
-    places = sorted({(k, k) for k, n in enumerate(sizes) if n >= LEAST_LINE} | blocks)
+    places = sorted(spans(sizes, LEAST_LINE) | blocks)
     raw = array("q", lines).tobytes()
     keys = [lines[a] if a == b else xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8]) - (1 << 63) for a, b in places]
     return keys, [a for a, _ in places], [b for _, b in places], [x in blocks for x in places]
@@ -127,7 +138,7 @@ def delete_blocks(text: str, marked: set[int], least: int = LEAST_BLOCK) -> tupl
     """
     lines = text.split("\n")
     inked = [(i, n) for i, x in enumerate(lines) if (n := len(x.encode().split()))]
-    sizes = [n for _, n in inked]
+    sizes = line_sizes([lines[i] for i, _ in inked], [n for _, n in inked]) if _UNSPACED.search(text) else [n for _, n in inked]
     gone, words, count = set(), 0, 0
     k = 0
     while k < len(inked):
@@ -188,7 +199,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     """docs with its columns, text without the blocks of lines that earlier documents have, n_removed_lines, n_removed_words.
 
     A null text is empty. Rows without doc_id, and texts without a shared block, stay as they are. Columns of docs with
-    the names of the new ones are replaced. No row goes; a copy of an earlier text of that size is left empty.
+    the names of the new ones are replaced. No row goes; a copy of an earlier text of that size is left empty. Sizes are
+    words between spaces, and one more for two characters of scripts without spaces; the numbers returned are without these.
     """
     marked = marked_lines(docs, least).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "marked": "_marked"})
     names = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_words")]

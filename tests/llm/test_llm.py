@@ -178,6 +178,17 @@ def test_moved_blocks_and_blocks_of_later_holders_go(spark):
     assert [got[k] for k in range(6)] == [texts[0], texts[1], "", texts[3], "", z]
 
 
+def test_blocks_of_short_lines_go(spark):
+    verse, song = ([" ".join(words_of(3, n + k)) for k in range(9)] for n in (900, 930))
+    other = [" ".join(words_of(4, 950 + k)) for k in range(4)]
+    poem, han = "\n".join(verse), "日本語の文章には空白がない。\n行ごとに一つの語と数えられる。\n写しは後の文書から消える。"
+    gaps = "\n".join(y for k, x in enumerate(song) for y in ([x, other[k // 2]] if k % 2 and k < 8 else [x]))
+    texts = [poem, f"{other[0]}\n\n{poem}\n{other[1]}", poem, han, han, gaps, "\n".join(song), "\n".join(verse[:6])]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[k].text for k in range(8)] == [poem, f"{other[0]}\n\n{other[1]}", "", han, "", gaps, "", texts[7]]
+    assert (got[1].n_removed_lines, got[1].n_removed_words, got[4].n_removed_words) == (9, 27, 3)
+
+
 def test_spans_cover_every_run():
     rng = random.Random(3)
     for _ in range(200):
