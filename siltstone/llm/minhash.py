@@ -26,8 +26,8 @@ from siltstone.session import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a pair has no band in common with a probability of (1 - 0.8**4)**32, 5 in 10**8.
 BANDS, ROWS = 32, 4
-#: Share of equal coordinates from which a candidate is verified: three deviations below 0.8.
-PLAUSIBLE = 0.70
+#: Share of equal coordinates from which a candidate is verified; one at 0.8 has less with a probability of 9 in 10**9.
+PLAUSIBLE = 0.58
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK_MEMBERS = 256
 

@@ -152,6 +152,26 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def changed_in_the_middle(seed):
+    """Two texts of 49 words whose shingles have a Jaccard similarity of exactly 0.8."""
+    a = words_of(49, seed)
+    return " ".join(a), " ".join([*a[:24], f"new{seed}", *a[25:]])
+
+
+def test_few_equal_coordinates_lose_no_link(spark):
+    lost = sum(math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(math.ceil(minhash.PLAUSIBLE * 128)))
+    assert lost < (1 - 0.8**minhash.ROWS) ** minhash.BANDS
+    pairs = [changed_in_the_middle(k) for k in range(20000, 22000)]
+    element, doc, _, _ = minhash.shingles(pa.array([x for p in pairs for x in p]))
+    ranks = minhash.signatures(element, doc, 2 * len(pairs))
+    equal = ranks[::2] == ranks[1::2]
+    banded = np.array([[x[j * minhash.ROWS : (j + 1) * minhash.ROWS].all() for j in range(minhash.BANDS)] for x in equal]).any(axis=1)
+    hard = [p for p, x, y in zip(pairs, equal.mean(axis=1), banded) if x < 0.70 and y]
+    assert hard
+    rows = minhash.near_duplicates(docs(spark, [x for p in hard for x in p])).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {k: k - k % 2 for k in range(2 * len(hard))}
+
+
 def test_patience_aligns_in_order():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [0, 2, 3]
     assert len(line_dedup.patience([1, 2], [2, 1])) == 1
