@@ -81,7 +81,8 @@ LABELLED = """
 """
 
 #: Fixed lists of tags and of words in class and id.
-RAW = "script style noscript template iframe svg math object canvas audio video select textarea button head"
+RAW = "script style noscript template iframe svg math object canvas audio video select textarea button"
+HEAD = "base basefont bgsound head link meta noframes noscript script style template title"
 INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
 CONTAINERS = "div section nav header footer aside form article main ul ol dl table figure dialog menu fieldset details body"
 BOILERPLATE = "nav footer aside form dialog menu fieldset"
@@ -89,11 +90,11 @@ BAD_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb b
 COMMENT_WORDS = "comment comments commentlist disqus discussion replies reply respond responses"
 GOOD_WORDS = "article content entry post story maincontent"
 
-_RAW = "|".join(RAW.split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in [*RAW.split(), "title"]}
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
-_INLINE, _CONTAINERS, _BOILERPLATE, _BAD, _COMMENT, _GOOD = (frozenset(x.split()) for x in (INLINE, CONTAINERS, BOILERPLATE, BAD_WORDS, COMMENT_WORDS, GOOD_WORDS))
+_RAW, _HEAD, _INLINE, _CONTAINERS, _BOILERPLATE, _BAD, _COMMENT, _GOOD = (frozenset(x.split()) for x in (RAW, HEAD, INLINE, CONTAINERS, BOILERPLATE, BAD_WORDS, COMMENT_WORDS, GOOD_WORDS))
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
@@ -172,17 +173,45 @@ class _Page:
         self.open.append((name, good and not comments and not names & _BAD, bad and name not in ("body", "main"), comments))
 
 
+def _after(html: str, name: str, attributes: str, at: int, unclosed: set[str]) -> int:
+    """Where a page goes on after an opening tag, which ends at `at`, whose content is dropped.
+
+    Without a closing tag only script and style take the rest of the page; unclosed has the names known to have none.
+    """
+    if name in ("svg", "math") and attributes.endswith("/"):
+        return at
+    found = None if name in unclosed else _CLOSE[name].search(html, at)
+    if found:
+        return found.end()
+    unclosed.add(name)
+    return len(html) if name in ("script", "style") else at
+
+
 def text_blocks(html: str) -> list[TextBlock]:
-    """The blocks of a page in order, with character references decoded and white space as single spaces."""
-    page, at = _Page(), 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            page.add(html[at : m.start()])
+    """The blocks of a page in order, with character references decoded and white space as single spaces.
+
+    A head ends at its closing tag, or before text or a tag that can't stand in it.
+    """
+    page, at, unclosed = _Page(), 0, set()
+    #: Whether the page is in its head; whether titles are still the head's.
+    head = titles = False
+    while m := _TOKEN.search(html, at):
+        raw = html[at : m.start()]
+        if raw and not (head and not raw.strip()):
+            head = False
+            page.add(raw)
         at = m.end()
-        if m[3]:
-            page.tag(m[2] == "/", m[3].lower(), m[4])
-        elif m[1]:
-            page.flush() if m[1].lower() == "head" else None
+        if not m[2]:
+            continue
+        close, name, attributes = m[1] == "/", m[2].lower(), m[3]
+        if name in ("head", "body"):
+            head = titles = name == "head" and not close
+        elif head and (name not in _HEAD if not close else name in ("html", "br")):
+            head = False
+        if not close and (name in _RAW or (titles and name == "title")) and (not attributes or attributes[0] in " \t\n\r\f/"):
+            at = _after(html, name, attributes, at, unclosed)
+        elif name == "head" or not head:
+            page.tag(close, name, attributes)
     if at < len(html):
         rest = html[at:]
         cut = rest.rfind("<")

@@ -288,6 +288,22 @@ def test_article_of_a_page(spark):
     assert got[2].text == got[4].text == "" and got[3].text == "A\nb" and got[1].n_chars == len(got[1].text)
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><head><title>T</title><meta charset=x><body>{}", 1),
+    ("<html><head><title>T</title><script>'<body>'</script><style>p</style>{}", 1),
+    ("<head><title>T<b>x</title></head><svg-icon name='a'></svg-icon>{}", 1),
+    ("<video-player src=a></video-player><button-group>{}", 1),
+    ("<svg width=1 /><math/>{}", 1),
+    ("<select><button class='x'>{}", 1),
+    ("<svg><title>no</title></svg><button>no</button><noscript>no</noscript>{}", 1),
+    ("<script>{}", 0),
+    ("<!-- {}", 0),
+])
+def test_tags_without_an_end_lose_no_text(page, want):
+    article = "<article><p>One paragraph of a story.<p>And <b>another</b> one.</article>"
+    assert html.main_text(page.format(article)) == "One paragraph of a story.\nAnd another one." * want
+
+
 def test_the_tree_fits_its_table_and_most_of_what_it_has_not_seen():
     rows = np.array([x.split() for x in html.LABELLED.strip().splitlines()], float)
     assert (html.trained().predict(rows[:, :-1]) == (rows[:, -1] == 1)).all()
