@@ -168,6 +168,16 @@ def triple_counts(docs: DataFrame, shared) -> DataFrame:
     return rows.select(F.floor(F.col("triple") / ENTRIES).alias("context"), "entry", "n")
 
 
+def split_counts(n: np.ndarray, most: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places in n, some more than once, and a weight for each, which has up to most times the mean of n.
+
+    The weights of a place add up to its count over the mean.
+    """
+    weight = n / n.mean()
+    parts = np.maximum(np.ceil(weight / most), 1).astype(np.int64)
+    return np.repeat(np.arange(len(n)), parts), np.repeat(weight / parts, parts)
+
+
 class LogBilinear:
     """Parameters in one array, so that they can be added up: context and word vectors, two matrices, biases."""
 
@@ -192,11 +202,11 @@ class LogBilinear:
         """One pass of noise-contrastive estimation with Adagrad; noise is drawn from share, for a batch at a time."""
         rng = np.random.default_rng(seed)
         past = LogBilinear(np.full(len(self.flat), 1e-4))
-        order = rng.permutation(len(entry))
-        mean = n.mean()
+        row, row_weight = split_counts(n)
+        order = rng.permutation(len(row))
         for a in range(0, len(order), batch):
-            k = order[a : a + batch]
-            i, j, w, weight = one[k], two[k], entry[k], np.minimum(n[k] / mean, 1000.0) / len(k)
+            k = row[order[a : a + batch]]
+            i, j, w, weight = one[k], two[k], entry[k], row_weight[order[a : a + batch]] / len(k)
             noise = rng.choice(ENTRIES, NOISE, p=share)
             u, v = self.context[i], self.context[j]
             q = u @ self.first + v @ self.second

@@ -238,6 +238,12 @@ def test_language_model_is_normalised_and_counts_are_exact(spark):
     assert np.allclose(np.exp(near[3] + far[7] - total[3, 7]).sum(), 1)
 
 
+def test_heavy_triples_keep_their_weight():
+    n = np.append(np.ones(50000), [3.0, 10.0**6, 10.0**7])
+    row, weight = lm.split_counts(n)
+    assert np.allclose(np.bincount(row, weights=weight) * n.mean(), n) and weight.max() <= 1000 and len(row) < 1.01 * len(n)
+
+
 def test_context_helps_on_held_out_texts(spark):
     """On prose; words drawn alike, as above, have no context to learn from."""
     held = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").collect()
