@@ -385,7 +385,7 @@ def _(t):
 
 
 @query("o120_components", """WITH RECURSIVE e AS (SELECT p_partkey AS u, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS v FROM part UNION SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_type, p_size) FROM part), b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
-r(node, reach) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.reach = b.u) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+r(node, reach) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.node, b.v FROM r JOIN b ON r.reach = b.u) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def _(t):
     """Parts of one brand and size, or of one name, type and size, belong together; each is linked to the first of its group."""
     edges = None
@@ -393,7 +393,7 @@ def _(t):
         first = t.part.groupBy(*key).agg(F.min("p_partkey").alias("b"))
         own = t.part.join(first, key).select(c("p_partkey").alias("a"), "b")
         edges = own if edges is None else edges.union(own)
-    return graph.connected_components(edges)
+    return graph.connected_components(edges, nodes=t.part.select(c("p_partkey").alias("node")))
 
 
 @query("o118_capped_edges")

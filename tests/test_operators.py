@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -27,7 +28,53 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 
 def test_components_of_no_edges(spark):
-    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    none = spark.createDataFrame([], "a long, b long")
+    assert graph.connected_components(none).count() == 0
+    alone = graph.connected_components(none, nodes=spark.createDataFrame([(3,), (3,), (None,)], "node long"))
+    assert [tuple(r) for r in alone.collect()] == [(3, 3)]
+
+
+def union_find(edges):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    return {x: find(x) for x in up}
+
+
+def shuffled(edges, seed):
+    names = list(range(max(map(max, edges)) + 1))
+    random.Random(seed).shuffle(names)
+    return [(names[a], names[b]) for a, b in edges]
+
+
+GRAPHS = {
+    "path": shuffled([(k, k + 1) for k in range(399)], 1),
+    "ordered path": [(k, k + 1) for k in range(300)],
+    "grid": shuffled([(r * 20 + k, r * 20 + k + d) for r in range(20) for k in range(19) for d in (1, 20) if r < 19 or d == 1], 2),
+    "star and rings": shuffled([(0, k) for k in range(1, 200)] + [(200 + k, 200 + k // 7 * 7 + (k + 1) % 7) for k in range(70)], 3),
+}
+
+
+@pytest.mark.parametrize("name", sorted(GRAPHS))
+def test_components_by_contraction_alone(name, spark):
+    edges = GRAPHS[name]
+    rows = graph.connected_components(spark.createDataFrame(edges, "a long, b long"), last_edges=0).collect()
+    assert {r.node: r.component for r in rows} == union_find(edges)
+
+
+def test_rounds_grow_with_the_logarithm_of_a_shuffled_path(spark, monkeypatch):
+    edges = shuffled([(k, k + 1) for k in range(60_000)], 4)
+    rounds = []
+    monkeypatch.setattr(graph, "_contracted", lambda *a, real=graph._contracted: rounds.append(1) or real(*a))
+    rows = graph.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), last_edges=2_000)
+    assert rows.where("component <> 0").count() == 0 and rows.count() == 60_001 and len(rounds) < 12
 
 
 def test_ranks_of_a_group_that_holds_all_rows(spark):
