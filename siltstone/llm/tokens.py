@@ -3,8 +3,9 @@
 A text is cut where no token can span: at ASCII white space, and before the stops that end a word of plain letters.
 Each distinct piece goes once through the library's normalizer, pre-tokenizer and merge model; its ids are kept in
 numpy tables by the piece's hash, and the ids of a batch of texts are put together from them. The ids equal those of
-Tokenizer.encode(text, add_special_tokens=False), with strings of special tokens taken as ordinary text. Texts with
-white space outside ASCII go through the library whole.
+Tokenizer.encode(text, add_special_tokens=False). Texts with white space outside ASCII, or with the string of an added
+token, go through the library whole; as_text takes such strings as ordinary text instead, as the library does where
+encode_special_tokens is set.
 """
 
 from __future__ import annotations
@@ -57,11 +58,14 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """kind: "byte" for a byte-level vocabulary that keeps spaces, "word" for one that drops white space."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
+        added = [] if as_text else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)).encode(), re.IGNORECASE) if added else None
+        self.angled = all(x.startswith("<|") for x in added)
         self.normalizer, self.splitter, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.keeps_space = kind == "byte"
         self.forget()
@@ -186,6 +190,11 @@ class PieceEncoder:
         ids = self.ids[np.repeat(self.first[at] - begins, n) + np.arange(total)]
         return ids, np.bincount(seg, weights=n, minlength=len(b.doc)).astype(np.int64)
 
+    def _may_have_added(self, b: Block) -> bool:
+        """Whether the block has "<|", with which the added tokens of public vocabularies start."""
+        at = np.flatnonzero(b.data[:-1] == 60)
+        return not self.angled or bool((b.data[at + 1] == 124).any())
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         odd = set()
@@ -196,6 +205,9 @@ class PieceEncoder:
                 hit = np.unique(b.segment(np.flatnonzero(_MAY_BE_ODD[b.data])))
                 raw = b.data.tobytes()
                 odd |= {int(b.doc[i]) for i in hit if _ODD.search(raw[b.at[i] : b.at[i + 1]].decode())}
+            if self.added is not None and self._may_have_added(b):
+                hit = np.array([m.start() for m in self.added.finditer(b.data.tobytes())], np.int64)
+                odd |= set(b.doc[b.segment(hit)].tolist())
             ids, n = self._block(b)
             flat.append(ids)
             np.add.at(counts, b.doc, n)
@@ -206,18 +218,19 @@ class PieceEncoder:
             for i in range(len(texts)):
                 own = ids[ends[i] - counts[i] : ends[i]]
                 if i in odd:
-                    own = np.array(self._library(texts[i].as_py()), np.int32)
+                    own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
                 parts.append(own)
             counts = np.array([len(x) for x in parts], np.int64)
             ids = np.concatenate(parts)
         return ids.astype(np.int32, copy=False), counts
 
 
-_open: dict[tuple[str, str], PieceEncoder] = {}
+_open: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
+def encoder(path: str, kind: str, as_text: bool = False) -> PieceEncoder:
     """One per worker process, kept between its tasks."""
-    if (path, kind) not in _open:
-        _open[path, kind] = PieceEncoder(path, kind)
-    return _open[path, kind]
+    key = (path, kind, as_text)
+    if key not in _open:
+        _open[key] = PieceEncoder(*key)
+    return _open[key]

@@ -27,20 +27,27 @@ def docs(spark, texts, **extra):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rank string")
 
 
-def library(name):
+def library(name, as_text=False):
+    """The library as it is; as_text: strings of special tokens are ordinary text."""
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
+    if as_text:
+        t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_ids_equal_those_of_the_library(name, kind, monkeypatch):
+def test_ids_equal_those_of_the_library(name, kind, as_text, monkeypatch):
     monkeypatch.setattr(words, "BLOCK", 64)
     monkeypatch.setattr(words.blocks, "__defaults__", (64,))
-    texts = [*TEXTS, " ".join(words_of(300, 1)), "\n \n ".join(words_of(40, 2))]
-    ids, n = tokens.PieceEncoder(tokens.tokenizer_path(name), kind).encode(pa.array(texts))
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>y <|ENDOFTEXT|>", "<| endoftext|>", "plain <|"]
+    texts = [*TEXTS, *special, " ".join(words_of(300, 1)), "\n \n ".join(words_of(40, 2)), "<|endoftext|> ".join(words_of(90, 3))]
+    ids, n = tokens.PieceEncoder(tokens.tokenizer_path(name), kind, as_text).encode(pa.array(texts))
     at = np.cumsum(n) - n
-    assert [ids[a : a + k].tolist() for a, k in zip(at, n)] == [library(name)(x) for x in texts]
+    want = library(name, as_text)
+    assert [ids[a : a + k].tolist() for a, k in zip(at, n)] == [want(x) for x in texts]
+    if not as_text:
+        assert want("<|endoftext|>") == [{"byte": 50256, "word": 49407}[kind]]
 
 
 def test_fullest_combination_is_the_best_of_all():
