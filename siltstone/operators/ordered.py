@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 FAN = 1000
 
 
-def rank_in_group(df: DataFrame, group: list[str], key: list[str], rows: int, per_bucket: int = 20_000) -> DataFrame:
+def rank_in_group(df: DataFrame, group: list[str], key: list[str], rows: int, per_bucket: int = 20_000, place: Column | None = None) -> DataFrame:
     """Add rank: 0, 1, 2, ... within each group, in an order that is fixed by key but otherwise free.
 
-    A group is cut into buckets by the hash of key, so that one that holds a third of all rows is shared by many tasks;
+    place, from 0 up to 1, evenly spread and rising with key, makes it the order of key. A group is cut into buckets by
+    place, or else by the hash of key, so that one that holds a third of all rows is shared by many tasks;
     counts of the buckets, not rows, are added up. df has to give the same rows again if it is computed again.
     """
     buckets = max(1, -(-rows // per_bucket))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)) if place is None else F.floor(place * buckets))
     counts = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
