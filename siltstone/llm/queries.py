@@ -60,7 +60,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shards.ShardedTable(spark, fresh(spark, "sharded"))
     sharded.append(docs)
     sharded.compact()
-    rows = sharded.read(docs.schema)
+    rows = sharded.read()
     return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 

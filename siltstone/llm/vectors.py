@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph import connected_components
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
 COSINE = 0.9
 #: Vectors of a tile, and pivots at most; the pivots are broadcast.
 TILE, PIVOTS = 4096, 1024
+#: Bytes of vectors that a task copies at a time for the tiles that their tile meets.
+COPIED = 16 << 20
 #: Share of possible pairs from which a block of rows is computed again as a whole.
 DENSE = 0.02
 
@@ -54,20 +56,22 @@ def linked(a: np.ndarray, b: np.ndarray, cosine: float = COSINE, rows: int = 256
             yield at, maybe
 
 
-def _unit(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, padded with zeros to the longest, and their numbers of components."""
-    size = np.array([len(x) // 4 for x in raw])
+def _unit(raw: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision, padded with zeros to the longest, and their numbers of components.
+
+    kind: of the components in raw, "<f4" or "<f8".
+    """
+    size = np.array([len(x) // int(kind[-1]) for x in raw])
     out = np.zeros((len(raw), int(size.max())))
     for n in np.unique(size):
         k = np.flatnonzero(size == n)
-        out[k, :n] = np.frombuffer(b"".join(raw[i] for i in k), "<f4").reshape(len(k), n)
+        out[k, :n] = np.frombuffer(b"".join(raw[i] for i in k), kind).reshape(len(k), n)
     out /= np.abs(out).max(axis=1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True), size
 
 
-def _tile_pair(node: np.ndarray, copies: np.ndarray, raw: list[bytes], left: np.ndarray, right: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _tile_pair(node: np.ndarray, copies: np.ndarray, unit: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row to rows of the other tile, copies counted, and edges between rows that join their classes."""
-    unit, size = _unit(raw)
     own = left is right
     links = np.zeros(len(node), np.int64)
     label = np.arange(len(node))
@@ -93,29 +97,32 @@ def _tile_pair(node: np.ndarray, copies: np.ndarray, raw: list[bytes], left: np.
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors, which has vec_id and embedding.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
+    Components of other types than float are compared as doubles; floats stay floats where they are moved, which is
+    exact. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. A row without vec_id links with nothing, has no component and isn't kept. Rows with equal
     vectors link with each other.
     """
     x = F.col("embedding")
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, x = ("<f4", x) if single else ("<f8", x.cast("array<double>"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
     rows = rows.withColumn("node", F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.xxhash64("embedding")))
     nodes = rows.where("node IS NOT NULL").groupBy("node", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "nodes")
     n = nodes.count()
     chosen = nodes.orderBy("node").limit(max(1, min(PIVOTS, -(-n // TILE)))).toArrow().column("embedding").to_pylist()
-    pivots = _unit([np.array(v, "<f4").tobytes() for v in chosen])[0] if chosen else np.zeros((0, 1))
+    pivots = _unit([np.array(v, kind).tobytes() for v in chosen], kind)[0] if chosen else np.zeros((0, 1))
 
     def place(batches):
         for b in batches:
             values = b.column(1)
             cuts = values.offsets.to_numpy()
-            flat = values.values.to_numpy(zero_copy_only=False).astype("<f4")
+            flat = values.values.to_numpy(zero_copy_only=False).astype(kind)
             raw = [flat[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             if not raw:
                 continue
-            unit, _ = _unit(raw)
+            unit, _ = _unit(raw, kind)
             width = max(unit.shape[1], pivots.shape[1])
             cos = np.pad(unit, ((0, 0), (0, width - unit.shape[1]))) @ np.pad(pivots, ((0, 0), (0, width - pivots.shape[1]))).T
             cell = cos.argmax(axis=1)
@@ -133,15 +140,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     def deal(batches):
         for b in batches:
             cell = b.column(3).to_numpy()
-            node = b.column(0).to_numpy()
+            node, raw = b.column(0).to_numpy(), b.column(2).to_pylist()
             for c in np.unique(cell):
                 others = np.concatenate([first[o] + np.arange(tiles[o]) for o in np.flatnonzero(meets[c])])
                 k = np.flatnonzero(cell == c)
                 mine = first[c] + (node[k].view(np.uint64) % np.uint64(tiles[c])).astype(np.int64)
-                row = np.repeat(k, len(others))
-                own, other = np.repeat(mine, len(others)), np.tile(others, len(k))
-                got = b.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), *(got.column(i) for i in range(3))], ["i", "j", "own", "node", "copies", "raw"])
+                some = max(1, COPIED // sum(len(raw[i]) for i in k))
+                for at in range(0, len(others), some):  # a batch is never copied for all tiles at once
+                    near = others[at : at + some]
+                    own, other = np.repeat(mine, len(near)), np.tile(near, len(k))
+                    got = b.take(pa.array(np.repeat(k, len(near))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own), *(got.column(i) for i in range(3))], ["i", "j", "own", "node", "copies", "raw"])
 
     dealt = placed.mapInArrow(deal, "i long, j long, own long, node long, copies long, raw binary").repartition("i", "j").sortWithinPartitions("i", "j")
 
@@ -156,7 +165,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             right = left if at[0] == at[1] else np.flatnonzero(own == at[1])
             if not len(left) or not len(right):
                 return
-            links, edges = _tile_pair(node, copies, t.column(5).to_pylist(), left, right, cosine)
+            links, edges = _tile_pair(node, copies, *_unit(t.column(5).to_pylist(), kind), left, right, cosine)
             some = np.flatnonzero(links)
             a = np.concatenate([node[some], node[[x for x, _ in edges]] if edges else node[:0]])
             b = [None] * len(some) + [int(node[y]) for _, y in edges]
@@ -178,6 +187,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             yield from out()
 
     found = materialize(dealt.mapInArrow(meet, "a long, b long, links long"), "found")
+    discard(placed)
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     known = nodes.select("node", "least", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))

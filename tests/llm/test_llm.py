@@ -96,9 +96,30 @@ def test_same_rows_as_sql(name, spark, duck, same):
     same(queries.QUERIES[name](spark, SF), duck, queries.ORACLES[name])
 
 
+def test_every_source_is_within_a_document_of_its_target(spark, monkeypatch):
+    """Also with a hot source, a null one, sizes that repeat or don't, and where ranks and rates aren't in one task or broadcast."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(["w"] * (7 if k % 3 else rng.randrange(1, 400))), rng.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("own")).withColumn("_row", F.lit(1)).withColumn("_key", F.lit(2))
+    got = mixing.taken(df).collect()
+    by = {}
+    for r, source in zip(sorted(got, key=lambda r: r.doc_id), [r[2] for r in rows], strict=True):
+        total, target, most = by.get(source, (0, 0, 0))
+        by[source] = (total + r.taken, r.target, max(most, r.size))
+    assert len(by) == 5 and all(abs(total - target) <= most + 1e-6 for total, target, most in by.values()), by
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and {r.target for r in mixed.select("target").distinct().collect()} == {"own"}
+    assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in got)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "PER_BUCKET", 50)
+    assert sorted(map(tuple, mixing.taken(df).collect())) == sorted(map(tuple, got))
+
+
 def test_mix_emits_what_it_counts(spark):
     df = docs(spark, [" ".join(words_of(5 + k % 50, k)) for k in range(400)] + [None])
+    df = df.union(df.where("doc_id < 3"))
     rows = mixing.taken(df).collect()
+    assert len(rows) == 404 and all(len({r.taken for r in rows if r.doc_id == k}) == 1 for k in range(3))
     assert all(r.taken <= 3 * r.size for r in rows) and math.isclose(sum({r.target for r in rows}), sum(r.size for r in rows))
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
@@ -290,6 +311,17 @@ def test_vectors_with_bad_rows_and_copies(spark, monkeypatch):
     assert all(by[k].n_links == 0 and by[k].component_id == k for k in (122, 123, 124, 125)) and not by[None].kept
 
 
+def test_double_vectors_are_compared_as_they_are(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1.1e300]), (3, [1e-60, 1e-60]), (4, [1.0, 1.0]), (5, [1.0, -1.0]), (6, [1.0, 1.0 + 1e-12])]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect()}
+    assert [got[k].n_links for k in range(1, 7)] == [4, 4, 4, 4, 0, 4] and [got[k].component_id for k in range(1, 7)] == [1, 1, 1, 1, 5, 1]
+    rows = [(k, [x, 0.0]) for k, x in enumerate([1, 2, None])] + [(3, None)]
+    rows = [(k, None if v is None else [None if x is None else int(x) for x in v]) for k, v in rows]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<int>")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0}
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
 def test_article_of_a_page(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href="#">Home</a></nav>
     <div class="cookie-notice">We use cookies on this site.</div><div id="main-content"><h2>Title of a story here</h2>
@@ -335,8 +367,47 @@ def test_shards_are_merged_and_old_versions_stay(spark, tmp_path):
     for version in (3, 4):
         assert sorted(map(tuple, t.read(df.schema, version).collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(shards.Conflict):
-        t.commit(t.manifest(), 4)
+        t.commit(t.manifest(), 4, t.schema())
     assert t.compact() == 4
+    assert t.sweep(keep=1, older_than_s=3600) == 0 and t.sweep(keep=1, older_than_s=-60) > 0
+    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_shards_with_other_columns_keep_them(spark, tmp_path):
+    t = shards.ShardedTable(spark, f"file://{tmp_path}/s")
+    t.append(spark.range(10).coalesce(2), most_rows=3)
+    t.append(spark.range(10, 20).withColumn("extra", F.concat(F.lit("x"), "id")).coalesce(2), most_rows=3)
+    t.append(spark.range(0).withColumn("late", F.lit(1.5)))
+    want = {k: (f"x{k}" if k > 9 else None) for k in range(20)}
+    for _ in range(2):
+        got = t.read()
+        assert got.columns == ["id", "extra", "late"] and {r.id: r.extra for r in got.collect()} == want
+        before = t.manifest().count()
+        t.compact()
+    assert before == 1
+    with pytest.raises(ValueError, match="EXTRA"):
+        t.append(spark.range(1).withColumn("EXTRA", F.lit(1)))
+
+
+def test_two_writers_keep_both_arrivals(spark, tmp_path, monkeypatch):
+    """Between the look at the version and the commit of one writer, another one commits; then a merge meets a merge."""
+    one, two = (shards.ShardedTable(spark, f"file://{tmp_path}/s") for _ in range(2))
+    commit = shards.ShardedTable.commit
+    other = []
+
+    def first_the_other(self, manifest, version, schema):
+        if self is one and other:
+            other.pop()()
+        return commit(self, manifest, version, schema)
+
+    monkeypatch.setattr(shards.ShardedTable, "commit", first_the_other)
+    other.append(lambda: two.append(spark.range(5, 10), most_rows=1))
+    assert one.append(spark.range(5), most_rows=1) == 2
+    assert sorted(r.id for r in one.read().collect()) == list(range(10))
+    other.append(lambda: two.compact())
+    one.compact()
+    assert sorted(r.id for r in one.read().collect()) == list(range(10)) and one.manifest().count() == 1
+    assert shards.ShardedTable(spark, f"file://{tmp_path}/none").manifest().count() == 0
 
 
 def test_slices_keep_all_rows():
