@@ -47,6 +47,15 @@ def arrays(flat: np.ndarray, count: np.ndarray, kind: pa.DataType | None = None)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
+def spare(name: str, *tables: DataFrame) -> str:
+    """A column name that starts like name and that no table has, without regard to case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    out = f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
 def text_of(name: str = "text"):
     """A text column in which null is empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

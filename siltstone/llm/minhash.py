@@ -1,13 +1,15 @@
-"""Near-duplicate documents by DartMinHash over word shingles.
+"""Near-duplicate documents by DartMinHash over weighted word shingles.
 
-Each element's region, a strip as wide as its weight, is hit by darts whose ranks and coordinates are hashed from the
-element, so that documents which share an element share its darts. A signature keeps the earliest dart of each
-coordinate; two signatures agree in a coordinate with the probability of the weighted Jaccard similarity of the
-documents. Only darts up to a rank that some K log K + 2 K darts reach are thrown, whatever the number of elements.
+A document's elements are its shingles, and an element's weight is how often the document has it. Each element's region,
+a strip as wide as its weight, is hit by darts whose ranks and coordinates are hashed from the element, so that documents
+which share an element share its darts. A signature keeps the earliest dart of each coordinate; two signatures agree in
+a coordinate with the probability of the weighted Jaccard similarity of the documents, the sum of the smaller weights by
+that of the larger ones. Only darts up to a rank that some K log K + 2 K darts reach are thrown, whatever the number of
+elements, and strips are thrown at in pieces that double in width, whatever the weights.
 
 Signatures are cut into bands. Documents that agree in a band are candidates, first with the smallest one in their
 bucket; what these links leave apart is compared block by block within the buckets that still hold several classes.
-Candidates are verified by the exact Jaccard similarity of their shingle sets.
+Candidates are verified by the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import map_texts, text_of
+from siltstone.llm.batches import map_texts, spare, text_of
 from siltstone.llm.words import blocks, mix
 from siltstone.operators.graph import connected_components
 from siltstone.operators.joins import join_checked
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At 0.8 a pair has no band in common with a probability of (1 - 0.8**4)**32, 5 in 10**8.
 BANDS, ROWS = 32, 4
 #: Share of equal coordinates from which a candidate is verified; one at 0.8 has less with a probability of 9 in 10**9.
 PLAUSIBLE = 0.58
+#: Documents that one copy of the set of their bucket's first document is compared with.
+STAR_MEMBERS = 512
 #: Members of a bucket that are compared with as many others at a time.
 BLOCK_MEMBERS = 256
 
@@ -62,32 +66,46 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return mix(out), doc[start], words, content
 
 
+def weighed(element: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each document, in the order of documents and elements, their documents and their counts."""
+    order = np.lexsort((element, doc))
+    element, doc = element[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])
+    first = np.flatnonzero(new)
+    return element[first], doc[first], np.diff(np.append(first, len(doc)))
+
+
 def signatures(element: np.ndarray, doc: np.ndarray, n: int, weight: np.ndarray | None = None, k: int = BANDS * ROWS) -> np.ndarray:
     """The rank of the earliest dart of each of k coordinates for documents 0 to n - 1; infinite without elements.
 
-    weight: of each element in its document, 1 if there is none. An element that stands there twice counts once.
+    weight: of each element in its document, where it stands once; 1 if there is none. The strip from 0 to the weight is
+    cut at 1, 2, 4, 8 and so on. Darts hit the piece from a to b at a rate of b - a for each unit of rank, the same
+    ones in all documents; those beyond the weight are dropped.
     """
-    weight = np.ones(len(element)) if weight is None else weight
+    weight = np.ones(len(element)) if weight is None else weight.astype(np.float64)
     total = np.bincount(doc, weights=weight, minlength=n)
     out = np.full((n, k), np.inf)
     reach = np.where(total > 0, (k * np.log(k) + 2 * k) / np.maximum(total, 1e-300), 0)
     todo = total > 0
     while todo.any():
         own = np.flatnonzero(todo[doc])
-        for layer in range(int(np.ceil(weight[own].max()))):
-            at = own[weight[own] > layer]
-            key = mix(element[at] ^ mix(np.full(1, 2 * layer + 1, _U)))
+        low, high, piece = 0.0, 1.0, 0
+        while len(own := own[weight[own] > low]):
+            at = own
+            key = mix(element[at] ^ mix(np.full(1, 2 * piece + 1, _U)))
             rank, throw = np.zeros(len(at)), 0
             while len(at):
                 throw += 1
                 dart = mix(key + _U(throw * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-                rank = rank - np.log(((dart >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53))
+                rank = rank - np.log(((dart >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)) / (high - low)
                 near = rank <= reach[doc[at]]
                 at, key, rank, dart = at[near], key[near], rank[near], dart[near]
                 spot = mix(dart ^ _U(0x5851F42D4C957F2D))
-                hit = layer + (spot >> _U(40)).astype(np.float64) / (1 << 24) < weight[at]
+                hit = low + (high - low) * ((spot >> _U(40)).astype(np.float64) / (1 << 24)) < weight[at]
                 cell = doc[at[hit]] * k + ((spot[hit] & _U(0xFFFFFF)) * _U(k) >> _U(24)).astype(np.int64)
                 np.minimum.at(out.reshape(-1), cell, rank[hit])
+            low, high, piece = high, 2 * high, piece + 1
         todo = todo & np.isinf(out).any(axis=1)
         reach[todo] *= 2
     return out
@@ -99,7 +117,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         n = b.num_rows
         element, doc, words, content = shingles(b.column(2))
-        ranks = signatures(element, doc, n)
+        element, doc, count = weighed(element, doc)
+        ranks = signatures(element, doc, n, count)
         coordinate = mix(ranks.view(_U).reshape(-1)).reshape(n, -1)
         band = np.repeat(mix(np.arange(1, BANDS + 1, dtype=_U))[None], n, axis=0)
         for j in range(ROWS):
@@ -123,13 +142,13 @@ def _same(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return x[:, None, :] == y[None, :, :]
 
 
-def _plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, sigs: DataFrame, plausible: float) -> DataFrame:
     """The pairs a, b of nodes whose coordinates agree often enough."""
 
     def work(batches):
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), "<u2").reshape(t.num_rows, -1) for i in (2, 3))
-            keep = pa.array((x == y).mean(axis=1) >= PLAUSIBLE)
+            keep = pa.array((x == y).mean(axis=1) >= plausible)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
 
     left, right = (sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
@@ -137,19 +156,28 @@ def _plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, carriers: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and shingles, their sorted distinct hashes, for each of nodes, from the text of a document that has it."""
+    """node and shingles, sorted hashes, for each of nodes, from the text of a document that has it.
+
+    The second and further ones of equal shingles get hashes of their own, so that what two of these sets have in common
+    is the sum of the smaller weights, and what they have together that of the larger ones.
+    """
     wanted = materialize(carriers.join(nodes, "node", "left_semi").select("node", "doc_id", "text_hash"), "carriers")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     texts = join_checked(rows, wanted, ["doc_id", "text_hash"], "inner", 60).select("node", "text")
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         element, doc, _, _ = shingles(b.column(1))
-        order = np.lexsort((element, doc))
-        element, doc = element[order], doc[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])
-        ends = np.searchsorted(doc[new], np.arange(b.num_rows + 1)).astype(np.int32)
-        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(element[new].view(np.int64)))
+        element, doc, count = weighed(element, doc)
+        again = np.flatnonzero(count > 1)
+        if len(again):
+            more = count[again] - 1
+            nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+            element = np.concatenate([element, mix(np.repeat(element[again], more) ^ mix(nth.astype(_U)))])
+            doc = np.concatenate([doc, np.repeat(doc[again], more)])
+            order = np.lexsort((element, doc))
+            element, doc = element[order], doc[order]
+        ends = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))
         return pa.RecordBatch.from_arrays([b.column(0), values], ["node", "shingles"])
 
     return materialize(map_texts(texts, "text", "node long, shingles array<long>", sets).dropDuplicates(["node"]), "shingles")
@@ -165,27 +193,53 @@ def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (small + large - common) - 1e-9
 
 
+def _rows(t: pa.RecordBatch):
+    """Rows as tuples; a list of numbers stays a numpy array."""
+
+    def cells(c: pa.Array):
+        if not pa.types.is_list(c.type):
+            return c.to_pylist()
+        cuts, values = c.offsets.to_numpy(), c.values.to_numpy()
+        return [values[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    return zip(*map(cells, t.columns), strict=True)
+
+
 def _star_links(star: DataFrame, carriers: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b with that similarity. star is a written table with a row for each node at most."""
+    """The pairs a, b with that similarity. star is a written table with a row for each node b at most.
+
+    The pairs of one a are dealt to parts of some STAR_MEMBERS, to each of which its set goes once; a task holds that
+    set while the others pass by.
+    """
     nodes = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
     sets_of = _sets(nodes, carriers, docs)
+    parts = star.groupBy("a").agg(F.ceil(F.count("*") / STAR_MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    members = star.join(parts, "a").select("a", part, "b").join(sets_of.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "shingles")
+    heads = parts.join(sets_of.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
+    dealt = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "kind")
 
     def work(batches):
+        head = None
         for t in batches:
-            cuts = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (t.column(2), t.column(3))]
-            mask = pa.array([_alike(*(v[o[i] : o[i + 1]] for o, v in cuts), similarity) for i in range(t.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(1).filter(mask)], ["a", "b"])
+            links = []
+            for a, _, kind, b, own in _rows(t):
+                if kind == 0:
+                    head = own.copy()
+                elif _alike(head, own, similarity):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    left, right = (sets_of.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
-    joined = star.join(left, "a").join(right, "b").select("a", "b", "shingles_a", "shingles_b")
-    return materialize(joined.mapInArrow(work, "a long, b long"), "links")
+    links = materialize(dealt.mapInArrow(work, "a long, b long"), "links")
+    discard(sets_of)
+    return links
 
 
 def _groups(batches, width: int):
     """Runs of rows, as tuples, that agree in their first width columns, from batches in that order."""
     held: list[tuple] = []
     for t in batches:
-        for row in zip(*(c.to_pylist() for c in t.columns), strict=True):
+        for row in _rows(t):
             if held and row[:width] != held[0][:width]:
                 yield held
                 held = []
@@ -194,7 +248,7 @@ def _groups(batches, width: int):
         yield held
 
 
-def _plausible_in_tiles(members: DataFrame) -> DataFrame:
+def _plausible_in_tiles(members: DataFrame, plausible: float) -> DataFrame:
     """Members with a plausible partner of another label: tile, node, label and partners, listed on one of both sides.
 
     members has key, band, n, node, label and sig. A bucket of n members is cut into blocks of some BLOCK_MEMBERS, each
@@ -215,7 +269,7 @@ def _plausible_in_tiles(members: DataFrame) -> DataFrame:
             for at in range(0, len(left), 32):
                 some = left[at : at + 32]
                 equal = _same([rows[x][6] for x in some], [rows[x][6] for x in right])
-                ok = (equal.mean(axis=2) >= PLAUSIBLE) & (label[some][:, None] != label[right][None])
+                ok = (equal.mean(axis=2) >= plausible) & (label[some][:, None] != label[right][None])
                 if i == j:
                     ok &= node[some][:, None] < node[right][None]
                 x, y = np.nonzero(ok)
@@ -241,7 +295,7 @@ def _tile_links(tiles: DataFrame, carriers: DataFrame, docs: DataFrame, similari
 
     def work(batches):
         for group in _groups(batches, 1):
-            sets = {r[1]: np.array(r[4], np.int64) for r in group}
+            sets = {r[1]: r[4] for r in group}
             root = {r[1]: r[2] for r in group}
             up: dict[int, int] = {}
 
@@ -252,7 +306,7 @@ def _tile_links(tiles: DataFrame, carriers: DataFrame, docs: DataFrame, similari
 
             links = []
             for r in group:
-                for partner in r[3]:
+                for partner in r[3].tolist():
                     x, y = find(root[r[1]]), find(root[partner])
                     if x != y and _alike(sets[r[1]], sets[partner], similarity):
                         up[max(x, y)] = min(x, y)
@@ -260,15 +314,18 @@ def _tile_links(tiles: DataFrame, carriers: DataFrame, docs: DataFrame, similari
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return materialize(rows.mapInArrow(work, "a long, b long"), "links")
+    links = materialize(rows.mapInArrow(work, "a long, b long"), "links")
+    discard(sets_of)
+    return links
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, plausible: float = PLAUSIBLE) -> DataFrame:
     """doc_id, class_id and kept for each row of docs; class_id is the smallest doc_id that links reach.
 
-    Links join documents with equal words, or whose sets of shingles have a Jaccard similarity of similarity or more.
-    A document without words, or a null text, is a class of its own; a row without doc_id has no class and is kept.
-    Repeated rows are in one class; kept is true for all of them if they have its smallest doc_id.
+    Links join documents with equal words, or whose shingles, weighed by their counts, have a Jaccard similarity of
+    similarity or more. A document without words, or a null text, is a class of its own; a row without doc_id has no
+    class and is kept. Repeated rows are in one class; kept is true for all of them if they have its smallest doc_id.
+    Other columns of docs have no part in it. plausible 0 verifies all candidates, whatever their signatures say.
     """
     signed = materialize(_signed(docs), "signed")
     usable = signed.where("has_words AND doc_id IS NOT NULL")
@@ -282,13 +339,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     star = members.groupBy("node").agg(F.min("leader").alias("first"))
     star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).where("a <> b")
-    links = _star_links(materialize(_plausible(star, sigs), "star"), carriers, docs, similarity)
+    links = _star_links(materialize(_plausible(star, sigs, plausible), "star"), carriers, docs, similarity)
     labels = connected_components(links)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = labelled.join(open_, "key", "left_semi").join(sigs, "node").select("key", "band", "n", "node", "label", "sig")
-    more = _tile_links(_plausible_in_tiles(rest), carriers, docs, similarity)
+    more = _tile_links(_plausible_in_tiles(rest, plausible), carriers, docs, similarity)
+    discard(members, buckets)
     labels = connected_components(links.union(more))
+    discard(links, more)
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id")
     smallest = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
@@ -300,6 +359,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with its columns, without those that have a smaller doc_id in their class."""
-    gone = materialize(near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    keyed = docs.withColumn("_gone", F.col("doc_id").cast("long"))
-    return join_checked(keyed, gone, ["_gone"], "left_anti", 24).drop("_gone")
+    key = spare("doc", docs)
+    gone = materialize(near_duplicates(docs, similarity).where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    return join_checked(keyed, gone, [key], "left_anti", 64).drop(key)

@@ -146,7 +146,7 @@ def test_quality_in_small_blocks_and_edge_cases(spark, monkeypatch):
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     element = rng.integers(1, 2**63, 300).astype(np.uint64)
-    weight = rng.uniform(0.2, 3, 300)
+    weight = rng.uniform(0.2, 3, 300) * rng.choice([1, 1, 1, 20], 300)
     other = np.where(np.arange(300) < 240, weight, 0.0)
     keep = other > 0
     a = minhash.signatures(element, np.zeros(300, np.int64), 1, weight, 2048)
@@ -154,7 +154,22 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((a == b).mean() - other.sum() / weight.sum()) < 0.04
 
 
-def test_near_duplicates_are_those_of_brute_force(spark):
+def weighted_classes(texts):
+    """The smallest place that links reach, by the weighted Jaccard similarity of all pairs."""
+    split = [WORD.findall(t or "") for t in texts]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in split]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if bags[i] and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("plausible", [minhash.PLAUSIBLE, 0.0])
+def test_near_duplicates_are_those_of_brute_force(spark, plausible, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR_MEMBERS", 4)
     rng = random.Random(2)
     base = [words_of(120, 900 + k) for k in range(6)]
     texts = []
@@ -163,20 +178,19 @@ def test_near_duplicates_are_those_of_brute_force(spark):
         for _ in range(rng.choice([0, 1, 2, 4, 8])):
             w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
         texts.append(" ".join(w))
-    texts += [texts[0], texts[0], "", None, "one two", "one two"]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := WORD.findall(t or "")) else set() for t in texts]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
+    line = " ".join(words_of(40, 7))
+    many = [" ".join([line] * n + words_of(20, 8)) for n in (1, 2, 9, 10, 11, 400, 405, 300)]
+    texts += [texts[0], texts[0], "", None, "one two", "one two", *many, "a " * 30000, "a " * 29000, "a " * 20000]
+    root = weighted_classes(texts)
+    assert len({root[k] for k in range(96, 104)}) > 3  # as sets, most of these are alike
     df = docs(spark, texts)
     df = df.union(df.where("doc_id = 3")).union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    rows = minhash.near_duplicates(df).collect()
+    rows = minhash.near_duplicates(df, plausible=plausible).collect()
     assert len(rows) == len(texts) + 2
     assert {r.doc_id: r.class_id for r in rows} == {**dict(enumerate(root)), None: None}
-    assert minhash.keep_one(df).columns == df.columns
+    more = df.withColumn("_doc", F.lit("mine")).withColumn("_gone", F.lit("too"))
+    kept = minhash.keep_one(more)
+    assert kept.columns == more.columns and {(r._doc, r._gone) for r in kept.collect()} == {("mine", "too")}
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
