@@ -1,11 +1,14 @@
-"""Line dedup by pairwise alignment: blocks of lines that an earlier document has are deleted from the later one.
+"""Line dedup by pairwise alignment: common blocks of lines are deleted from the later of two documents.
 
 Each document is cut into spans: from each line on, and up to each line, as few lines as have enough words to lead to a
-pair, and as few as have enough to be deleted. The first document that has a span is its holder. A span leads to one
-pair for each later document, rare or common, and no cap is needed. Each pair is aligned by patience diff. Spans long
-enough to be deleted are marked in all later documents, wherever they stand in their holder; each line of a block that
-any earlier document has is in one of them. What the spans and the alignments of a document with all its partners mark,
-if it makes up a run of enough words, is deleted.
+pair, and as few as have enough to be deleted. Documents that share a rare span, one that stands in RARE places at most,
+are all paired with each other; a span that more places have leads from each later document to the first holder only, so
+that no line, however frequent, makes more pairs than it has places. Each pair is aligned by patience diff. A block is a
+run of aligned lines without a gap on either side; those of enough words are marked in the later document.
+
+An exact check follows. What an alignment can't hold, since it keeps the order of both sides, are blocks that moved. A
+span long enough to be deleted is a block of a document and the first holder of that span, wherever it stands there; so
+these are marked as well, and no block that any earlier document has is left. The marks of all pairs are deleted.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.batches import map_texts, slices, text_of
+from siltstone.llm.batches import map_texts, slices, spare, text_of
 from siltstone.operators.joins import join_checked
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
 #: Words of a span of lines that may lead to a pair, and of a run of aligned lines that is deleted.
 LEAST_LINE, LEAST_BLOCK = 5, 20
+#: Places up to which a span is rare, so that all documents that have it are paired with each other.
+RARE = 8
 #: Characters of scripts without spaces, two of which count as a further word where sizes are compared: South-East Asian, kana and Han.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -93,8 +98,8 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of the lines that patience diff aligns with lines of b.
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in a and b of the lines that patience diff aligns.
 
     Lines that are unique on both sides are anchors; between two of them the search goes on. Where no line is unique,
     the nth copy of a line stands for itself.
@@ -103,10 +108,10 @@ def patience(a: list[int], b: list[int]) -> list[int]:
     while todo:
         a0, a1, b0, b1 = todo.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            found.append(a0)
+            found.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            found.append(a1 - 1)
+            found.append((a1 - 1, b1 - 1))
             a1, b1 = a1 - 1, b1 - 1
         if a0 >= a1 or b0 >= b1:
             continue
@@ -115,7 +120,7 @@ def patience(a: list[int], b: list[int]) -> list[int]:
         anchors = _rising([(i, where[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in where])
         if anchors:
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
-            found += [i for i, _ in anchors]
+            found += anchors
             todo += [(x + 1, z, y + 1, w) for (x, y), (z, w) in zip(edges, edges[1:], strict=False)]
         elif in_a.keys() & in_b.keys():
             seen, nth = Counter(), {}
@@ -127,39 +132,44 @@ def patience(a: list[int], b: list[int]) -> list[int]:
                 if (j := nth.get((a[i], seen[a[i]]))) is not None:
                     both.append((i, j))
                 seen[a[i]] += 1
-            found += [i for i, _ in _rising(both)]
+            found += _rising(both)
     return sorted(found)
 
 
-def delete_blocks(text: str, marked: set[int], least: int = LEAST_BLOCK) -> tuple[str, int, int]:
-    """The text without runs of marked lines of `least` words or more, and how many lines and words went.
+def common_blocks(a: list[int], sizes: list[int], b: list[int], least: int) -> list[int]:
+    """Places in a of the aligned blocks of size least: runs of aligned lines without a gap in a or b."""
+    out, run = [], []
+    for x, y in [*patience(a, b), (-1, -1)]:
+        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
+            if sum(sizes[i] for i, _ in run) >= least:
+                out += [i for i, _ in run]
+            run = []
+        run.append((x, y))
+    return out
+
 
-    marked has places among the lines with words; lines without words in a run go with it.
+def delete_lines(text: str, marked: set[int]) -> tuple[str, int, int]:
+    """The text without marked lines, and how many lines and words went.
+
+    marked has places among the lines with words; lines without words between two of them that follow each other go too.
     """
     lines = text.split("\n")
     inked = [(i, n) for i, x in enumerate(lines) if (n := len(x.encode().split()))]
-    sizes = line_sizes([lines[i] for i, _ in inked], [n for _, n in inked]) if _UNSPACED.search(text) else [n for _, n in inked]
-    gone, words, count = set(), 0, 0
-    k = 0
-    while k < len(inked):
-        if k not in marked:
-            k += 1
-            continue
-        end = k
-        while end + 1 < len(inked) and end + 1 in marked:
-            end += 1
-        if sum(sizes[k : end + 1]) >= least:
-            gone.update(range(inked[k][0], inked[end][0] + 1))
-            words += sum(n for _, n in inked[k : end + 1])
-            count += end - k + 1
-        k = end + 1
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), count, words
+    gone = {inked[k][0] for k in marked}
+    for k in marked:
+        if k + 1 in marked:
+            gone.update(range(inked[k][0], inked[k + 1][0]))
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(marked), sum(inked[k][1] for k in marked)
 
 
-def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
-    """doc_id, text_hash and marked: places, among lines with words, that align with an earlier document.
+def _numbers(column: pa.Array) -> list:
+    """A list column as numpy arrays, one for each row."""
+    cuts, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
 
-    So are the lines of all spans of size least that an earlier document has.
+def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+    """doc_id, text_hash and marked: places, among lines with words, in blocks of size least with an earlier document.
 
     Documents are in the order of doc_id and, where it is repeated, of a hash of their text; rows alike are one
     document. Rows without doc_id have no part in it. The table is written.
@@ -169,53 +179,61 @@ def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
         rows = [line_hashes(x) for x in b.column(2).to_pylist()]
         found = [span_hashes(*x, least) for x in rows]
         kinds = {"keys": pa.int64(), "starts": pa.int32(), "ends": pa.int32(), "blocks": pa.bool_()}
-        columns = [b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.int64()))]
+        columns = [b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.list_(pa.int64())), pa.array([x for _, x in rows], pa.list_(pa.int32()))]
         columns += [pa.array([x[i] for x in found], pa.list_(kind)) for i, kind in enumerate(kinds.values())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "lines", *kinds])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "lines", "sizes", *kinds])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    lines = map_texts(rows, "text", "doc_id long, text_hash long, lines array<long>, keys array<long>, starts array<int>, ends array<int>, blocks array<boolean>", work)
+    lines = map_texts(rows, "text", "doc_id long, text_hash long, lines array<long>, sizes array<int>, keys array<long>, starts array<int>, ends array<int>, blocks array<boolean>", work)
     lines = materialize(lines, "lines")
     doc = F.struct("doc_id", "text_hash")
-    first = lines.select(doc.alias("doc"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    first = lines.select(doc.alias("doc"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last")
     spots = lines.select(doc.alias("doc"), F.explode(F.arrays_zip("keys", "starts", "ends", "blocks")).alias("x")).select("doc", F.col("x.keys").alias("key"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.blocks").alias("block"))
-    hits = materialize(spots.join(first.select("key", "first"), "key").where("doc > first").select("doc", "first", "start", "end", "block"), "hits")
-    pairs = hits.select("doc", "first").distinct()
-    arrays = lines.select(doc.alias("doc"), "lines").dropDuplicates(["doc"])
-    both = pairs.join(arrays, "doc").join(arrays.select(F.col("doc").alias("first"), F.col("lines").alias("first_lines")), "first")
+    hits = materialize(spots.join(first.select("key", "first", "n"), "key").where(f"doc > first OR n <= {RARE}"), "hits")
+    rare = hits.where(F.col("n") <= RARE).groupBy("key").agg(F.collect_set("doc").alias("docs"))  # RARE at most
+    rare = rare.select(F.explode("docs").alias("doc"), "docs").select("doc", F.explode(F.filter("docs", lambda x: x < F.col("doc"))).alias("other"))
+    pairs = rare.union(hits.where(F.col("n") > RARE).select("doc", F.col("first").alias("other"))).distinct()
+    # rows alike are one document
+    own = lines.select(doc.alias("doc"), "lines", "sizes").dropDuplicates(["doc"])
+    both = pairs.join(own, "doc").join(own.select(F.col("doc").alias("other"), F.col("lines").alias("other_lines")), "other")
 
     def align(batches):
         for t in batches:
-            found = [patience(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+            a, sizes, b = (_numbers(t.column(i)) for i in (2, 3, 4))
+            found = [common_blocks(x.tolist(), n.tolist(), y.tolist(), least) for x, n, y in zip(a, sizes, b, strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "text_hash", "marked"])
 
-    found = both.select("doc.doc_id", "doc.text_hash", "lines", "first_lines").mapInArrow(align, "doc_id long, text_hash long, marked array<int>")
-    whole = hits.where("block").select("doc.doc_id", "doc.text_hash", F.sequence("start", "end").alias("marked"))
-    places = found.union(whole).select("doc_id", "text_hash", F.explode("marked").alias("i")).distinct()
-    return materialize(places.groupBy("doc_id", "text_hash").agg(F.collect_list("i").alias("marked")), "marked")
+    aligned = both.select("doc.doc_id", "doc.text_hash", "lines", "sizes", "other_lines").mapInArrow(align, "doc_id long, text_hash long, marked array<int>")
+    moved = hits.where("block AND doc > first").select("doc.doc_id", "doc.text_hash", F.sequence("start", "end").alias("marked"))
+    places = aligned.union(moved).select("doc_id", "text_hash", F.explode("marked").alias("i")).distinct()
+    marked = materialize(places.groupBy("doc_id", "text_hash").agg(F.collect_list("i").alias("marked")), "marked")
+    discard(lines, hits)
+    return marked
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
     """docs with its columns, text without the blocks of lines that earlier documents have, n_removed_lines, n_removed_words.
 
     A null text is empty. Rows without doc_id, and texts without a shared block, stay as they are. Columns of docs with
-    the names of the new ones are replaced. No row goes; a copy of an earlier text of that size is left empty. Sizes are
-    words between spaces, and one more for two characters of scripts without spaces; the numbers returned are without these.
+    the names of the two new ones are replaced; any others stay. No row goes; a copy of an earlier text of that size is
+    left empty. Sizes are words between spaces, and one more for two characters of scripts without spaces; the numbers
+    returned are without these.
     """
-    marked = marked_lines(docs, least).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "marked": "_marked"})
+    key, text_hash, places = (spare(x, docs) for x in ("id", "hash", "marked"))
+    marked = marked_lines(docs, least).withColumnsRenamed({"doc_id": key, "text_hash": text_hash, "marked": places})
     names = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_words")]
     keyed = docs.select(*(F.col(f"`{c}`") for c in names if c != "text"), text_of().alias("text"))
-    keyed = keyed.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    size = marked.agg(F.count("*"), F.coalesce(F.sum(F.size("_marked")), F.lit(0))).first()
-    joined = join_checked(keyed, marked, ["_id", "_hash"], "left", 64 + 4 * -(-size[1] // max(size[0], 1))).drop("_id", "_hash")
-    order = [c for c in docs.columns if c in names]
+    keyed = keyed.withColumn(key, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64("text"))
+    size = marked.agg(F.count("*"), F.coalesce(F.sum(F.size(places)), F.lit(0))).first()
+    joined = join_checked(keyed, marked, [key, text_hash], "left", 128 + 4 * -(-size[1] // max(size[0], 1)))
 
     def edit(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                rows = [delete_blocks(x, set(m), least) if m else (x, 0, 0) for x, m in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_marked")).to_pylist(), strict=True)]
-                columns = [pa.array([x for x, _, _ in rows], pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in order]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in rows], pa.int64()) for k in (1, 2))], [*order, "n_removed_lines", "n_removed_words"])
+                at = {c: b.schema.get_field_index(c) for c in [*names, places]}
+                rows = [delete_lines(x, set(m)) if m else (x, 0, 0) for x, m in zip(b.column(at["text"]).to_pylist(), b.column(at[places]).to_pylist(), strict=True)]
+                columns = [pa.array([x for x, _, _ in rows], pa.string()) if c == "text" else b.column(at[c]) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in rows], pa.int64()) for k in (1, 2))], [*names, "n_removed_lines", "n_removed_words"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*order).schema)
-    return joined.mapInArrow(edit, f"{schema}, n_removed_lines long, n_removed_words long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("text", text_of()).select(*(F.col(f"`{c}`") for c in names)).schema)
+    return joined.drop(key, text_hash).mapInArrow(edit, f"{schema}, n_removed_lines long, n_removed_words long")

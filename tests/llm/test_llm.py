@@ -215,10 +215,59 @@ def test_few_equal_coordinates_lose_no_link(spark):
 
 
 def test_patience_aligns_in_order():
-    assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [0, 2, 3]
+    assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert len(line_dedup.patience([1, 2], [2, 1])) == 1
-    assert line_dedup.patience([5, 5, 7], [8, 5, 5, 9]) == [0, 1]
+    assert line_dedup.patience([5, 5, 7], [8, 5, 5, 9]) == [(0, 1), (1, 2)]
     assert line_dedup.patience([], [1]) == []
+    assert line_dedup.common_blocks([1, 2, 3, 4, 5], [9, 9, 9, 9, 30], [1, 2, 7, 3, 4, 8, 5], 18) == [0, 1, 2, 3, 4]
+    assert line_dedup.common_blocks([1, 2, 3, 4, 5], [9, 9, 9, 9, 30], [1, 2, 7, 3, 4, 8, 5], 19) == [4]
+
+
+def without_common_blocks(texts, least):
+    """By all pairs: the lines with words that no run of least words, common to the document and an earlier one, holds."""
+    split = [[x for x in (t or "").split("\n") if x.split()] for t in texts]
+    out = []
+    for k, a in enumerate(split):
+        gone = set()
+        for b in split[:k]:
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n].split() == b[j + n].split():
+                        n += 1
+                    if sum(len(x.split()) for x in a[i : i + n]) >= least:
+                        gone.update(range(i, i + n))
+        out.append([x for i, x in enumerate(a) if i not in gone])
+    return out
+
+
+def test_blocks_are_those_of_all_pairs(spark):
+    rng = random.Random(12)
+    pool = [" ".join(words_of(rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 20]), 5000 + k)) for k in range(60)]
+    passages = [[rng.choice(pool) for _ in range(rng.randrange(2, 7))] for _ in range(14)]
+    texts = []
+    for k in range(200):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            lines += rng.choice(passages) if rng.random() < 0.35 else [rng.choice(pool) if rng.random() < 0.4 else " ".join(words_of(rng.randrange(1, 15), 9000 + 7 * k + len(lines)))]
+            lines += [""] * rng.randrange(2)
+        texts.append("\n".join(lines))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    want = without_common_blocks(texts, 20)
+    assert [[x for x in got[k].text.split("\n") if x.split()] for k in range(200)] == want
+    assert sum(r.n_removed_words for r in got.values()) == sum(len(t.split()) for t in texts) - sum(len(x.split()) for w in want for x in w)
+
+
+def test_lines_from_different_documents_are_not_one_block(spark):
+    seven = [" ".join(words_of(7, 700 + k)) for k in range(3)]
+    a, b, c = (" ".join(words_of(n, 720 + n)) for n in (9, 10, 2))
+    texts = [*seven, "\n".join(seven), a, b, f"x\n{a}\n{b}\n{c}", f"y\n{a}\n{b}\n{c}"]
+    df = docs(spark, texts).withColumn("_id", F.lit("own")).withColumn("_hash", F.lit(1)).withColumn("_marked", F.lit("m"))
+    df = df.union(df.where("doc_id = 7")).union(df.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = line_dedup.dedup_lines(df, least=15).collect()
+    got = {r.doc_id: r.text for r in rows}
+    assert [got[k] for k in range(4)] == [*seven, "\n".join(seven)] and (got[6], got[7]) == (texts[6], "y") and got[None] == texts[7]
+    assert len(rows) == 10 and {(r._id, r._hash, r._marked) for r in rows} == {("own", 1, "m")} and sum(r.text == "y" for r in rows) == 2
 
 
 def test_lines_of_earlier_documents_go(spark):
@@ -228,7 +277,8 @@ def test_lines_of_earlier_documents_go(spark):
     df = docs(spark, texts)
     got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert got[0].text == texts[0] and got[1].text == "\n".join([own[2], short[0]]) and got[2].text == texts[2]
-    assert got[3].text == "" and got[4].text == "" and got[5].text == own[4] and got[5].n_removed_words == 30
+    assert got[3].text == "" and got[4].text == "" and got[5].text == texts[5]  # two lines with a gap in the earlier document
+    assert got[5].n_removed_words == 0 and got[3].n_removed_words == 90
     assert got[1].n_removed_words == 60 and got[1].rank == "x"
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
@@ -247,7 +297,8 @@ def test_blocks_of_short_lines_go(spark):
     gaps = "\n".join(y for k, x in enumerate(song) for y in ([x, other[k // 2]] if k % 2 and k < 8 else [x]))
     texts = [poem, f"{other[0]}\n\n{poem}\n{other[1]}", poem, han, han, gaps, "\n".join(song), "\n".join(verse[:6])]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
-    assert [got[k].text for k in range(8)] == [poem, f"{other[0]}\n\n{other[1]}", "", han, "", gaps, "", texts[7]]
+    # lines of the song don't follow each other in the text with gaps, so there is no common block
+    assert [got[k].text for k in range(8)] == [poem, f"{other[0]}\n\n{other[1]}", "", han, "", gaps, "\n".join(song), texts[7]]
     assert (got[1].n_removed_lines, got[1].n_removed_words, got[4].n_removed_words) == (9, 27, 3)
 
 
