@@ -2,7 +2,7 @@
 
 A page is cut into blocks of text at its block-level tags. A block's features are its words and link density, those of
 the blocks before and after it, whether it is a heading or a list item, and what it stands in. A decision tree, trained
-here on the small labelled table below, tells blocks of the article from all else.
+on the small table of labelled pages below, tells blocks of the article from all else.
 """
 
 from __future__ import annotations
@@ -19,95 +19,103 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import map_texts
 
-#: Labelled blocks. words, percent of words in links; the same of the block before and after; heading, list item; stands
-#: in an article, in boilerplate, in a section of comments (0 or 1); part of the main text (0 or 1).
+#: The labelled table: a page on each line, its blocks in order as words[/words in links][flags][+]. Flags: h heading, l list
+#: item, a in an article, b in boilerplate, c in comments; + marks the main text.
 LABELLED = """
-120 0  9 0    80 0   0 0  0 0 0  1
-80 4   120 0  60 2   0 0  0 0 0  1
-45 0   80 5   50 0   0 0  0 0 0  1
-30 10  60 0   40 0   0 0  0 0 0  1
-22 0   40 0   33 0   0 0  0 0 0  1
-12 0   90 0   70 0   0 0  0 0 0  1
-6 0    40 0   55 0   0 0  0 0 0  1
-9 0    2 100  120 0  1 0  0 0 0  1
-7 0    60 0   80 0   1 0  0 0 0  1
-5 0    1 100  45 0   1 0  0 0 0  1
-18 0   20 0   25 0   0 1  0 0 0  1
-25 8   18 0   30 0   0 1  0 0 0  1
-1 100  1 100  1 100  0 1  0 0 0  0
-1 100  0 0    2 100  0 1  0 0 0  0
-3 100  2 100  2 100  0 1  0 0 0  0
-4 75   3 100  5 100  0 0  0 0 0  0
-12 90  9 100  8 100  0 1  0 0 0  0
-2 0    1 100  1 100  0 0  0 0 0  0
-4 0    1 100  2 100  1 0  0 0 0  0
-5 0    3 60   4 50   0 0  0 0 0  0
-8 0    3 0    0 0    0 0  0 0 0  0
-6 30   80 0   3 100  0 0  0 0 0  0
-20 60  15 70  12 80  0 0  0 0 0  0
-40 55  4 0    30 60  0 0  0 0 0  0
-150 0  8 0    90 0   0 0  1 0 0  1
-60 0   150 0  3 0    0 0  1 0 0  1
-14 0   60 0   70 0   0 0  1 0 0  1
-3 0    90 0   80 0   0 0  1 0 0  1
-1 0    2 0    1 0    0 0  1 0 0  1
-1 0    0 0    40 0   0 0  1 0 0  1
-2 0    50 0   4 100  0 0  1 0 0  1
-8 0    1 100  90 0   1 0  1 0 0  1
-2 0    5 0    0 0    1 0  1 0 0  1
-9 20   50 0   40 0   0 1  1 0 0  1
-3 0    3 0    4 0    0 1  1 0 0  1
-30 40  50 0   60 0   0 0  1 0 0  1
-2 100  90 0   1 100  0 1  1 0 0  0
-1 100  2 100  1 100  0 1  1 0 0  0
-5 100  60 0   4 100  0 0  1 0 0  0
-1 100  0 0    1 100  0 1  0 1 0  0
-6 0    1 100  2 0    0 0  0 1 0  0
-30 0   10 0   90 0   0 0  0 1 0  0
-90 0   60 0   50 0   0 0  0 1 0  0
-25 20  3 0    40 0   0 0  0 1 0  0
-4 0    30 0   20 0   1 0  0 1 0  0
-12 0   80 0   60 0   0 0  1 1 0  0
-70 0   90 0   80 0   0 0  1 1 0  0
-2 0    80 0   70 0   0 0  1 1 0  0
-9 0    40 0   50 0   1 0  1 1 0  0
-15 0   20 0   10 0   0 1  1 1 0  0
-50 0   4 0    3 0    0 0  0 0 1  0
-120 0  50 0   30 0   0 0  0 0 1  0
-8 0    6 0    40 0   0 0  0 0 1  0
-40 0   5 0    60 0   0 0  1 0 1  0
-3 0    40 0   9 0    1 0  1 0 1  0
-10 0   9 0    12 0   0 1  1 0 1  0
+1/1lb 1/1lb 2/2lb 1/1lb 8b 9ha+ 45a+ 80/4a+ 60a+ 12a+ 5b
+2/2lb 2/2lb 1/1lb 3b 5ha+ 4a+ 25a+ 1a+ 120/10a+ 6b 7/4b
+1/1b 3/3b 12b 6ha+ 30a+ 20la+ 25/8la+ 18la+ 3ha+ 50a+ 3/3b 2/2b
+20b 7ha+ 70a+ 90a+ 4hac 30ac 12ac 2/2ac 65ac 9b
+1/1lb 6ha+ 90a+ 40a+ 12c 3/1c 60c 25c 9hc 8c 5b
+4ha+ 2a+ 1a+ 1a+ 3a+ 1a+ 2a+ 1a+ 6a+
+11ha+ 13a+
+2ha+ 55a+ 5/5a+ 48a+ 70/25a+ 31a+
+7ha+ 60/20a+ 45/15a+ 3ha+ 4/4la 3/3la 5/5la 2/2la 6b
+1/1la 2/2la 1/1la 9ha+ 80a+ 75a+ 4/4a 3/3a 4/4a
+1a+
+1+
+16+
+1+ 16+
+6h+ 14+
+12+ 90+ 70+ 9+
+40+ 1+ 55+ 3+ 6+ 80+ 2+
+80+ 60/3+ 100+ 33/8+ 45+ 61+
+5h+ 60+ 80+ 3h+ 45+ 30+ 7h+ 22+
+3+ 1+ 1+ 4+ 2+ 2+ 3+ 1+ 1+ 5+ 1+ 2+
+2+ 2+ 2+ 9+ 1+ 12+ 8+ 1+ 15+ 10+ 1+ 11+
+1h+ 4+ 1+ 2+ 1+ 3+ 25+
+8l+ 12l+ 6l+ 20l+ 9l+ 4l+
+4h+ 30+ 7l+ 3l+ 11l+ 2l+ 28+
+1/1l 1/1l 2/2l 1/1l 1/1l 8h+ 60+ 75+ 90/6+ 40+
+1/1l 2/2l 1/1l 3/3l 45+ 120+ 15+ 33+
+2/2 1/1 1/1 2/2 6h+ 50+ 22+ 65+ 4/4 3/3 6/6 5/5
+3/3 2/2 2/2 80+ 70+ 30/2+ 3/3l 4/4l 2/2l 8/8l
+1/1 1/1 1/1 9h+ 18+ 140+ 12/9l 9/9l 8/8l 11/10l
+1/1 4/4 1/1 3 2/2 1/1 60+ 85+ 1/1 3/3 2/2
+60+ 4/4 3/3 2/2
+1/1 2/2 1/1 80+ 3/3 4/4
+7h+ 30+ 2/2 1/1
+25+ 6/6
+1/1 1/1 3/3l 4h+ 35+ 1+ 60+ 1/1 2/2
+1 1/1 1/1 2/2
+2 1/1 1/1 50+ 12+ 1 2/2 2/2
+90+ 12/12 55+ 9/9 100+
+20/12 15/10 12/10 30/17 22/14
+3/3 1/1 5/4 6/5 2/2 1/1
+2/2lb 2/2lb 3hb 6b 12b 9b 60+ 40+ 90+ 30b 5b
+3b 8b 40b 100b 2b 50+ 45+ 20b
+70b 50b 90b 6ha+ 30a+ 60a+ 90b
+15b 3b 25/20b 40/3b 80+ 8+ 75+ 40b 100/5b
+5c 40c 3c 9c 120c 6c
+30+ 70+ 3h+ 4hc 50c 40c 6c 90c 15c
+9b 30b 2hb 4lb 7lb 16lb
+5hab 30ab 80ab 4ha+ 25a+ 60a+ 12ab 3lab 9lab
 """
 
-#: Fixed lists of tags and of words in class and id.
+#: Fixed lists of tags and of words in class, id and role.
 RAW = "script style noscript template iframe svg math object canvas audio video select textarea button"
 HEAD = "base basefont bgsound head link meta noframes noscript script style template title"
 INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
 CONTAINERS = "div section nav header footer aside form article main ul ol dl table figure dialog menu fieldset details body"
 BOILERPLATE = "nav footer aside form dialog menu fieldset"
-BAD_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget"
-COMMENT_WORDS = "comment comments commentlist disqus discussion replies reply respond responses"
-GOOD_WORDS = "article content entry post story maincontent"
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+#: What a name says if all its other words are plain ones: boilerplate, also beside those of articles; boilerplate; comments; an article.
+STRONG_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies disclaimer login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar"
+WEAK_WORDS = "footer header overlay widget"
+COMMENT_WORDS = "comment comments commentlist discussion replies reply respond responses"
+GOOD_WORDS = "article articles content entry post posts story maincontent"
+PLAIN_WORDS = "area bar block blocks bottom box boxes button buttons col column container desktop fixed form global group holder icon icons id inner item items left links list local main mobile outer page panel primary region right row secondary section site slot small sticky sub text thread title top unit wrap wrapper zone"
+
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+_ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+""")
 _CLOSE = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in [*RAW.split(), "title"]}
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
-_PART = re.compile(r"[a-z]+")
-_RAW, _HEAD, _INLINE, _CONTAINERS, _BOILERPLATE, _BAD, _COMMENT, _GOOD = (frozenset(x.split()) for x in (RAW, HEAD, INLINE, CONTAINERS, BOILERPLATE, BAD_WORDS, COMMENT_WORDS, GOOD_WORDS))
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_RAW, _HEAD, _INLINE, _CONTAINERS, _BOILERPLATE = (frozenset(x.split()) for x in (RAW, HEAD, INLINE, CONTAINERS, BOILERPLATE))
+_STRONG, _WEAK, _COMMENT, _GOOD, _PLAIN = (frozenset(x.split()) for x in (STRONG_WORDS, WEAK_WORDS, COMMENT_WORDS, GOOD_WORDS, PLAIN_WORDS))
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
+@lru_cache(1 << 14)
+def said_by(name: str) -> str:
+    """What a class, id or role says: "boilerplate", "comments", "article" or nothing; a share-price isn't for sharing."""
+    parts = {x.lower() for x in _PART.findall(name)}
+    if parts & _COMMENT and parts <= _COMMENT | _PLAIN | _GOOD | _STRONG | _WEAK:
+        return "comments"
+    if (parts & _STRONG and parts <= _STRONG | _WEAK | _PLAIN | _GOOD) or (parts & _WEAK and parts <= _WEAK | _PLAIN):
+        return "boilerplate"
+    return "article" if parts & _GOOD else ""
+
+
 @dataclass
 class TextBlock:
     text: str
     words: int
     linked: int
-    heading: bool
-    item: bool
-    article: bool
-    boilerplate: bool
-    comments: bool
+    heading: bool = False
+    item: bool = False
+    article: bool = False
+    boilerplate: bool = False
+    comments: bool = False
 
 
 @dataclass
@@ -115,8 +123,9 @@ class _Page:
     blocks: list[TextBlock] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    #: Open containers: tag, and whether it makes an article, boilerplate, comments of what it holds.
+    #: Open containers: tag, and whether what is in them is in an article, in boilerplate, in comments. How often each is open.
     open: list[tuple[str, bool, bool, bool]] = field(default_factory=list)
+    times: dict[str, int] = field(default_factory=dict)
     heading: bool = False
     item: bool = False
     link: bool = False
@@ -127,16 +136,13 @@ class _Page:
         if self.link:
             self.linked += len(text.split())
 
+    def state(self) -> tuple[bool, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False, False)
+
     def flush(self) -> None:
         words = "".join(self.parts).split()
         if words:
-            article = boilerplate = comments = False
-            for _, a, b, c in self.open:
-                if a and not comments:  # an article inside of boilerplate starts anew
-                    article, boilerplate = True, False
-                boilerplate |= b
-                comments |= c
-            self.blocks.append(TextBlock(" ".join(words), len(words), min(self.linked, len(words)), self.heading, self.item, article, boilerplate, comments))
+            self.blocks.append(TextBlock(" ".join(words), len(words), min(self.linked, len(words)), self.heading, self.item, *self.state()))
         self.parts, self.linked = [], 0
 
     def tag(self, close: bool, name: str, attributes: str) -> None:
@@ -157,20 +163,23 @@ class _Page:
         if name not in _CONTAINERS:
             return
         if close:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == name:
-                    del self.open[k:]
+            while self.times.get(name):  # a tag that isn't open closes nothing
+                last = self.open.pop()[0]
+                self.times[last] -= 1
+                if last == name:
                     break
             return
         if attributes.rstrip().endswith("/"):
             return
-        names = set()
-        for found in _NAME.finditer(attributes):
-            names.update(_PART.findall((found[1] or found[2] or found[3] or "").lower()))
-        comments = bool(names & _COMMENT)
-        bad = name in _BOILERPLATE or bool(names & _BAD) or (name == "header" and not any(x[1] for x in self.open))
-        good = name in ("article", "main") or (bool(names & _GOOD) and not bad)
-        self.open.append((name, good and not comments and not names & _BAD, bad and name not in ("body", "main"), comments))
+        says = {said_by(x) for found in _NAME.finditer(attributes) for x in (found[1] or found[2] or found[3] or "").split()}
+        article, boilerplate, comments = self.state()
+        bad = name in _BOILERPLATE or "boilerplate" in says or (name == "header" and not article)
+        good = name in ("article", "main") or ("article" in says and not bad)
+        if good and not comments and not {"comments", "boilerplate"} & says:  # an article inside of boilerplate starts anew
+            article, boilerplate = True, False
+        boilerplate |= bad and name not in ("body", "main")
+        self.open.append((name, article, boilerplate, comments or ("comments" in says and name != "body")))
+        self.times[name] = self.times.get(name, 0) + 1
 
 
 def _after(html: str, name: str, attributes: str, at: int, unclosed: set[str]) -> int:
@@ -190,26 +199,43 @@ def _after(html: str, name: str, attributes: str, at: int, unclosed: set[str]) -
 def text_blocks(html: str) -> list[TextBlock]:
     """The blocks of a page in order, with character references decoded and white space as single spaces.
 
-    A head ends at its closing tag, or before text or a tag that can't stand in it.
+    A head ends at its closing tag, or before text or a tag that can't stand in it. A quote that isn't closed is no
+    quote; where that has been looked for over four times the length of the page, quotes are ignored, so that the time
+    for a page is in proportion to its length, whatever is in it.
     """
-    page, at, unclosed = _Page(), 0, set()
+    page, at, start, unclosed, wasted = _Page(), 0, 0, set(), 0
     #: Whether the page is in its head; whether titles are still the head's.
     head = titles = False
-    while m := _TOKEN.search(html, at):
+    while m := _START.search(html, start):
+        name, attributes = m[2], ""
+        if m[0] == "<!--":
+            end = html.find("-->", m.start() + 2)
+            end = len(html) if end < 0 else end + 3
+        elif (end := html.find(">", m.end())) < 0:
+            break
+        elif name and wasted <= 4 * len(html):
+            found = _ATTRIBUTES.match(html, m.end()).end()
+            if found < len(html) and html[found] == ">":
+                end = found
+            else:
+                wasted += found - m.end()
+            attributes, end = html[m.end() : end], end + 1
+        else:
+            attributes, end = html[m.end() : end], end + 1
         raw = html[at : m.start()]
         if raw and not (head and not raw.strip()):
             head = False
             page.add(raw)
-        at = m.end()
-        if not m[2]:
+        at = start = end
+        if not name:
             continue
-        close, name, attributes = m[1] == "/", m[2].lower(), m[3]
+        close, name = m[1] == "/", name.lower()
         if name in ("head", "body"):
             head = titles = name == "head" and not close
         elif head and (name not in _HEAD if not close else name in ("html", "br")):
             head = False
         if not close and (name in _RAW or (titles and name == "title")) and (not attributes or attributes[0] in " \t\n\r\f/"):
-            at = _after(html, name, attributes, at, unclosed)
+            at = start = _after(html, name, attributes, at, unclosed)
         elif name == "head" or not head:
             page.tag(close, name, attributes)
     if at < len(html):
@@ -220,6 +246,18 @@ def text_blocks(html: str) -> list[TextBlock]:
     return page.blocks
 
 
+_BLOCK = re.compile(r"(\d+)(?:/(\d+))?([hlabc]*)(\+?)")
+
+
+def labelled() -> list[tuple[list[TextBlock], list[bool]]]:
+    """The blocks of each page of the labelled table, and which are main text."""
+    out = []
+    for line in LABELLED.strip().splitlines():
+        found = [_BLOCK.fullmatch(x) for x in line.split()]
+        out.append(([TextBlock("", int(m[1]), int(m[2] or 0), *(x in m[3] for x in "hlabc")) for m in found], [m[4] == "+" for m in found]))
+    return out
+
+
 def features(blocks: list[TextBlock]) -> np.ndarray:
     own = [(b.words, 100 * b.linked / b.words) for b in blocks]
     around = [(0, 0), *own, (0, 0)]
@@ -261,10 +299,13 @@ class Tree:
         return out
 
 
+def train(pages: list[tuple[list[TextBlock], list[bool]]]) -> Tree:
+    return Tree(np.concatenate([features(b) for b, _ in pages]), np.concatenate([np.array(y, float) for _, y in pages]))
+
+
 @lru_cache(1)
 def trained() -> Tree:
-    rows = np.array([line.split() for line in LABELLED.strip().splitlines()], float)
-    return Tree(rows[:, :-1], rows[:, -1])
+    return train(labelled())
 
 
 def main_text(html: str) -> str:
@@ -277,7 +318,11 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of pages, which has these keys and html; a null html is empty."""
+    """page_id, url, text and n_chars of each row of pages, which has these keys and html.
+
+    A null or empty html, and one without main text, gives an empty text; null keys stay, repeated rows are rows like
+    others, other columns are left out. A page is taken whole, in time and memory in proportion to its length.
+    """
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(x) for x in b.column(2).to_pylist()]
