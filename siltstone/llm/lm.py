@@ -1,15 +1,21 @@
 """Scores of whole texts by a log-bilinear language model, beside smoothed word frequencies.
 
-The model predicts a word from the two before it: matrices for either place turn their vectors into a prediction, whose
-product with a word's vector, plus the word's bias, is its score. It knows the most frequent words and the end of a
-text; all others are in classes by their last byte, inside of which a word has its smoothed frequency, so that
-probabilities of all texts add up to one. It is trained in numpy with noise-contrastive estimation on the counts of all
-word triples in all training texts: each partition of the counts goes on from the last parameters, and their means,
-weighted by tokens, are the next ones. For scoring it is normalised exactly: with two context words, batched matrix
-products give the sum over all words for each pair of them once.
-
-What goes to all tasks is bounded: the HEAD most frequent words with their counts, and the parameters. Words beyond the
-head meet their counts in a join.
+The model predicts a word from the two before it, in two levels that are both log-bilinear. First it predicts an entry:
+one of the most frequent words, the end of a text, or a class of words by their last letters. Matrices for either place
+turn the vectors of the entries before it into a prediction, whose product with an entry's vector, plus its bias, is its
+score. Then it predicts a word of the class: the product of the word's own vector with the prediction from the entry
+right before it, plus a bias. The words with vectors are those of the training texts from the count on with which there
+are at most WORDS of them; the rarer ones of a class share a vector and have smoothed frequencies among themselves, so
+that the probabilities of all texts add up to one.
+
+Both levels are trained in numpy with noise-contrastive estimation on counts over all training texts. For entries, each
+partition of the counts of triples goes on from the last parameters with sampled noise, and their means, weighted by
+tokens, are the next ones. Given those, the words don't depend on each other, and noise is taken in expectation: a task
+fits some words from their counts after each entry. For scoring, batched matrix products give the sums over all entries
+for each pair of entries, and over all words of a class after each entry, once; so all probabilities are normalised.
+
+What goes to the driver and to all tasks is bounded: the counts of the HEAD most frequent words, and the parameters. Words
+beyond the head meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -23,21 +29,29 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import arrays, slices, text_of
 from siltstone.llm.words import blocks
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
-#: Words whose counts are sent to all tasks, 16 bytes each.
-HEAD = 1 << 20
-#: Entries the model predicts, with classes of rare words and the end; length of vectors; passes; noise words for each batch.
-ENTRIES, WIDTH, EPOCHS, NOISE = 512, 24, 3, 192
+#: Words whose counts are sent to all tasks, 24 bytes each, and those of them that have vectors, at most.
+HEAD, WORDS = 1 << 20, 1 << 17
+#: Entries the model predicts, with classes of words and the end; length of vectors; passes; noise entries for each batch.
+ENTRIES, WIDTH, EPOCHS, NOISE = 768, 24, 3, 192
 SMOOTH = 0.1
-
-#: Classes of rare words by last byte: letters, digits and signs, and bytes of other characters in four groups.
+#: Words that a task fits at a time, steps, noise words for each word, and the precision of the vectors' prior.
+CHUNK, STEPS, NOISE_WORDS, PRIOR = 256, 40, 25, 2.0
+CHUNKS_A_TASK = 8
+#: Counts up to which the histogram that finds how many words have a count is exact.
+MOST_COUNTED = 100_000
+
+#: Classes by last byte: letters, digits and signs, and bytes of other characters in four groups. Further ones are the most
+#: frequent endings of three bytes.
 _CLASS = np.full(256, 26, np.int64)
 _CLASS[97:123] = np.arange(26)
 _CLASS[65:91] = np.arange(26)
 _CLASS[[46, 44]] = 27
 _CLASS[128:] = 28 + np.arange(128) % 4
-CLASSES, END = 32, 32
+BYTE_CLASSES, CLASSES, END = 32, 256, 256
+_FOLD = np.arange(256)
+_FOLD[65:91] += 32
 
 
 def is_held_out(doc_id):
@@ -46,14 +60,18 @@ def is_held_out(doc_id):
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case hashes of all words, their rows and their classes."""
-    hashes, docs, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Lower-case hashes of all words, their rows and their endings, the last three bytes in one number."""
+    hashes, docs, endings = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in blocks(texts):
         s, e = b.words()
         hashes.append(b.hashes(b.sums(lower=True), s, e))
         docs.append(b.doc[b.segment(s)])
-        kinds.append(_CLASS[b.data[e - 1]])
-    return np.concatenate(hashes), np.concatenate(docs), np.concatenate(kinds)
+        ending = np.zeros(len(s), np.int64)
+        for k in range(3):
+            has = e - s > k
+            ending |= np.where(has, _FOLD[b.data[np.maximum(e - 1 - k, 0)]], 0) << (8 * k)
+        endings.append(ending)
+    return np.concatenate(hashes), np.concatenate(docs), np.concatenate(endings)
 
 
 def _find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -99,73 +117,140 @@ def _counted(docs: DataFrame, pick, names: tuple[str, str], most: int = 1 << 20)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, a hash, kind and n over all texts of docs."""
+    """word, a hash, ending and n over all texts of docs."""
 
     def pick(texts: pa.Array):
-        h, _, kind = _words(texts)
+        h, _, ending = _words(texts)
         key, at, n = np.unique(h, return_index=True, return_counts=True)
-        return key, kind[at], n
+        return key, ending[at], n
 
-    return _counted(docs, pick, ("word", "kind"))
+    return _counted(docs, pick, ("word", "ending"))
 
 
 @dataclass
 class Vocabulary:
-    """What all tasks know of the training texts."""
+    """What all tasks know of the training texts. Words of the head are sorted by hash."""
 
     head: np.ndarray
     head_count: np.ndarray
-    #: Sorted hashes of the words that are entries of the model, and which entry each is.
-    known: np.ndarray
-    entry: np.ndarray
-    #: Tokens and distinct words of each class without the entries.
+    #: Entry of each word of the head, and its place among the words with vectors, or -1.
+    head_entry: np.ndarray
+    head_word: np.ndarray
+    #: Class and count of each word with a vector, those of the rarer words of each class at the end.
+    word_class: np.ndarray
+    word_count: np.ndarray
+    #: Sorted endings with classes of their own.
+    endings: np.ndarray
+    ending_class: np.ndarray
+    #: Tokens and distinct words of each class without vectors.
     rare_tokens: np.ndarray
     rare_words: np.ndarray
     tokens: int
     distinct: int
     texts: int
 
+    def classes(self, ending: np.ndarray) -> np.ndarray:
+        i = _find(self.endings, ending)
+        return np.where(i >= 0, self.ending_class[i] if len(self.endings) else 0, _CLASS[ending & 255])
+
     def sequence(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """Entry, the two before, the row of each token with the ends, and hash and class of the words, and their places."""
-        h, doc, kind = _words(texts)
+        """Entry, the two before and the row of each token with the ends; of the words hash, place in the head, place
+        among words with vectors, where those of frequent words mean nothing, and place among the tokens."""
+        h, doc, ending = _words(texts)
         at = np.arange(len(h)) + doc
         size = len(h) + len(texts)
+        kind = self.classes(ending)
+        i = _find(self.head, h)
+        word = np.where(i >= 0, self.head_word[i] if len(self.head) else -1, -1)
+        word = np.where(word >= 0, word, len(self.word_class) - CLASSES + kind)
         entry = np.full(size, END, np.int64)
-        i = _find(self.known, h)
-        entry[at] = np.where(i >= 0, self.entry[i] if len(self.entry) else 0, kind)
+        entry[at] = np.where(i >= 0, self.head_entry[i] if len(self.head) else 0, kind)
         row = np.repeat(np.arange(len(texts)), np.bincount(doc, minlength=len(texts)) + 1)
         before = [np.full(size, ENTRIES, np.int64) for _ in range(2)]
         for k, x in enumerate(before, 1):
             same = row[k:] == row[:-k] if size > k else np.zeros(0, bool)
             x[k:] = np.where(same, entry[:-k], ENTRIES)[: max(size - k, 0)]
-        return entry, before[0], before[1], row, h, kind, at
+        return entry, before[0], before[1], row, h, i, word, at
+
 
+def count_step(n):
+    """n up to MOST_COUNTED, further on a number for each sixteenth of a doubling; of a column or an array."""
+    if isinstance(n, np.ndarray):
+        return np.where(n <= MOST_COUNTED, n, MOST_COUNTED + np.ceil(16 * np.log2(np.maximum(n, 1) / MOST_COUNTED))).astype(np.int64)
+    return F.when(n <= MOST_COUNTED, n).otherwise(MOST_COUNTED + F.ceil(16 * F.log2(n / MOST_COUNTED)))
 
-def vocabulary(counts: DataFrame, texts: int, head: int = HEAD) -> Vocabulary:
-    """counts is a written table. Only the most frequent words and sums by class come to the driver."""
-    top = counts.orderBy(F.desc("n"), "word").limit(head).select("word", "kind", "n").toArrow()
-    word, kind, n = (top.column(i).to_numpy() for i in range(3))
+
+def count_from(counts: DataFrame, most: int) -> int:
+    """The least count_step from which on there are at most that many words; counts is a written table.
+
+    The histogram has a row for each step, some 100,000 at most.
+    """
+    found = counts.groupBy(count_step(F.col("n")).alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    total, least = 0, 1 << 62
+    for r in found:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["step"]
+    return least
+
+
+def vocabulary(counts: DataFrame, texts: int, head: int = HEAD, words: int = WORDS) -> Vocabulary:
+    """counts is a written table. Only words of the head, sums by class and the most frequent endings come to the driver."""
+    least = count_from(counts, head)
+    top = counts.where(count_step(F.col("n")) >= least).select("word", "ending", "n").toArrow()
+    word, ending, n = (top.column(i).to_numpy() for i in range(3))
     word = word.view(np.uint64)
-    by_kind = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    tokens, words = (np.array([by_kind[k][c] if k in by_kind else 0 for k in range(CLASSES)], np.float64) for c in ("n", "words"))
+    order = np.lexsort((word, -n))
+    word, ending, n = word[order], ending[order], n[order]
+    ends = counts.groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(CLASSES - BYTE_CLASSES).collect()
+    endings = np.array([r["ending"] for r in ends], np.int64)
+    own = np.argsort(endings)
+    endings, ending_class = endings[own], BYTE_CLASSES + own
+    spark = counts.sparkSession
+    named = F.broadcast(spark.createDataFrame([(int(e), int(k)) for e, k in zip(endings, ending_class, strict=True)], "ending long, class long"))
+    by_byte = F.element_at(F.array(*(F.lit(int(x)) for x in _CLASS)), (F.col("ending").bitwiseAND(255) + 1).cast("int"))
+    classed = counts.join(named, "ending", "left").select(F.coalesce("class", by_byte).alias("class"), "n")
+    by_class = {r["class"]: r for r in classed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    tokens, distinct = (np.array([by_class[k][c] if k in by_class else 0 for k in range(CLASSES)], np.float64) for c in ("n", "words"))
+    out = Vocabulary(word, n, word, word, word, n, endings, ending_class, tokens, distinct, int(tokens.sum()) + texts, int(distinct.sum()) + (texts > 0), texts)
+    kind = out.classes(ending)
     lead = min(len(word), ENTRIES - CLASSES - 1)
-    total, distinct = int(tokens.sum()), int(words.sum())
-    np.subtract.at(tokens, kind[:lead], n[:lead])
-    np.subtract.at(words, kind[:lead], 1)
-    order, chosen = np.argsort(word), np.argsort(word[:lead])
-    return Vocabulary(word[order], n[order], word[:lead][chosen], END + 1 + chosen, tokens, words, total + texts, distinct + (texts > 0), texts)
+    with_vector = int((count_step(n) >= max(2, count_from(counts, words + lead))).sum())
+    np.subtract.at(tokens, kind[: max(lead, with_vector)], n[: max(lead, with_vector)])
+    np.subtract.at(distinct, kind[: max(lead, with_vector)], 1)
+    place = np.full(len(word), -1, np.int64)
+    place[lead:with_vector] = np.arange(max(with_vector - lead, 0))
+    entry = np.concatenate([END + 1 + np.arange(lead), kind[lead:]]).astype(np.int64)
+    out.word_class = np.concatenate([kind[lead:with_vector], np.arange(CLASSES)])
+    out.word_count = np.concatenate([n[lead:with_vector], tokens + SMOOTH * (distinct + 1)]).astype(np.float64)
+    by_hash = np.argsort(word)
+    out.head, out.head_count, out.head_entry, out.head_word = word[by_hash], n[by_hash], entry[by_hash], place[by_hash]
+    return out
 
 
-def triple_counts(docs: DataFrame, shared) -> DataFrame:
-    """context, the number ENTRIES + 1 times one before plus two before, entry and n over all tokens of docs."""
+#: Keys of pairs of an entry and a word come after those of triples of entries.
+_PAIRS = (ENTRIES + 1) ** 2 * ENTRIES
+
+
+def context_counts(docs: DataFrame, shared) -> DataFrame:
+    """Counts over all tokens of docs: of triples, with context, the number ENTRIES + 1 times one before plus two before,
+    and entry; and of pairs, with context, the one before, and word, its place among those with vectors."""
 
     def pick(texts: pa.Array):
-        entry, one, two, *_ = shared.value.sequence(texts)
+        v = shared.value
+        entry, one, two, _, _, _, word, at = v.sequence(texts)
         key, n = np.unique((one * (ENTRIES + 1) + two) * ENTRIES + entry, return_counts=True)
-        return key, key % ENTRIES, n
+        rare = entry[at] < CLASSES
+        pair, m = np.unique(_PAIRS + one[at[rare]] * len(v.word_class) + word[rare], return_counts=True)
+        key, n = np.concatenate([key, pair]), np.concatenate([n, m])
+        return key, np.where(key < _PAIRS, 0, 1), n
 
-    rows = _counted(docs, pick, ("triple", "entry"))
-    return rows.select(F.floor(F.col("triple") / ENTRIES).alias("context"), "entry", "n")
+    words = len(shared.value.word_class)
+    rows = _counted(docs, pick, ("key", "pair"))
+    pair = F.col("pair") == 1
+    context = F.when(pair, F.floor((F.col("key") - _PAIRS) / words)).otherwise(F.floor(F.col("key") / ENTRIES))
+    return rows.select("pair", context.alias("context"), F.when(~pair, F.col("key") % ENTRIES).alias("entry"), F.when(pair, (F.col("key") - _PAIRS) % words).alias("word"), "n")
 
 
 def split_counts(n: np.ndarray, most: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
@@ -227,19 +312,125 @@ class LogBilinear:
             self.flat += rate * grad.flat / np.sqrt(past.flat)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of all words after one word, with the biases, and after the one before; logs of the sums by pair."""
+        """Scores of all entries after one entry, with the biases, and after the one before; logs of the sums by pair."""
         near = (self.context @ self.first @ self.word.T + self.bias).astype(np.float32)
         far = (self.context @ self.second @ self.word.T).astype(np.float32)
         total = np.empty((ENTRIES + 1, ENTRIES + 1))
         for i in range(ENTRIES + 1):
             x = far + near[i]
             top = x.max(axis=1, keepdims=True)
-            total[i] = np.log(np.exp(x - top).sum(axis=1, dtype=np.float64)) + top[:, 0]
+            total[i] = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
         return near, far, total
 
 
+def fit_words(before: np.ndarray, count: np.ndarray, after: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Vectors, with biases at the end, of words, by noise-contrastive estimation with noise in expectation.
+
+    before: the prediction of each entry; count: how often a word (column) follows an entry (row); after: how often its
+    class does; share: of the word in its class. A word competes with NOISE_WORDS draws from its class's words, of
+    which it is itself the share. Adam's steps on the mean gradient of a word's tokens; PRIOR keeps rare words near 0.
+    """
+    size, words = before.shape[1], count.shape[1]
+    total = np.maximum(count.sum(0), 1)
+    base = np.concatenate([before, np.ones((len(before), 1))], axis=1).astype(np.float32)
+    count, noise = (count / total).astype(np.float32), (NOISE_WORDS * after * share / total).astype(np.float32)
+    shift = np.log(NOISE_WORDS).astype(np.float32)  # the bias counts from log share on
+    x = np.zeros((words, size + 1), np.float32)
+    mean, square = np.zeros_like(x), np.zeros_like(x)
+    decay = (np.append(np.full(size, PRIOR), 0.0) / total[:, None]).astype(np.float32)
+    for step in range(1, STEPS + 1):
+        p = 1 / (1 + np.exp(-np.clip(base @ x.T - shift, -30, 30)))
+        grad = (count * (1 - p) - noise * p).T @ base - decay * x
+        mean, square = 0.9 * mean + 0.1 * grad, 0.98 * square + 0.02 * grad**2
+        x = x + 0.15 * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.98**step)) + 1e-4)
+    x[:, -1] += np.log(share)
+    return x
+
+
+@dataclass
+class Words:
+    """The prediction of each entry for the words after it, vectors and biases of words, logs of the sums by entry and class."""
+
+    before: np.ndarray
+    vector: np.ndarray
+    bias: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def of(cls, before: np.ndarray, fitted: np.ndarray, word_class: np.ndarray) -> Words:
+        total = np.zeros((ENTRIES + 1, CLASSES))
+        order = np.argsort(word_class, kind="stable")
+        cuts = np.searchsorted(word_class[order], np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            own = fitted[order[cuts[k] : cuts[k + 1]]]
+            score = before @ own[:, :-1].T + own[:, -1]
+            top = score.max(axis=1, keepdims=True)
+            total[:, k] = np.log(np.exp(score - top).sum(axis=1)) + top[:, 0]
+        return cls(before, fitted[:, :-1], fitted[:, -1], total)
+
+    def log(self, one: np.ndarray, word: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Logs of the probabilities of words, of these classes, after entries."""
+        return np.einsum("ij,ij->i", self.before[one], self.vector[word]).astype(np.float64) + self.bias[word] - self.total[one, kind]
+
+
+def trained_words(pairs: DataFrame, triples: DataFrame, model: LogBilinear, vocab: Vocabulary) -> Words:
+    """pairs and triples are parts of a written table of context_counts.
+
+    A task holds the counts of CHUNK words after each entry. The driver gets a row for each entry and class, and the
+    parameters, WORDS + CLASSES rows at most.
+    """
+    before = (model.context @ model.first).astype(np.float32)
+    after = np.zeros((ENTRIES + 1, CLASSES), np.float32)
+    one = F.floor(F.col("context") / (ENTRIES + 1)).alias("one")
+    seen = triples.where(F.col("entry") < CLASSES).groupBy(one, "entry").agg(F.sum("n").alias("n")).toArrow()
+    after[seen.column(0).to_numpy(), seen.column(1).to_numpy()] = seen.column(2).to_numpy()
+    in_class = np.bincount(vocab.word_class, weights=vocab.word_count, minlength=CLASSES)
+    share = vocab.word_count / in_class[vocab.word_class]
+    shared = pairs.sparkSession.sparkContext.broadcast((before, after, vocab.word_class, share))
+
+    def run(batches):
+        held: list = []
+        chunk = None
+
+        def out():
+            before, after, word_class, share = shared.value
+            context, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = chunk * CHUNK
+            own = slice(first, min(first + CHUNK, len(word_class)))
+            count = np.zeros((len(before), own.stop - first), np.float32)
+            count[context, word - first] = n
+            fitted = fit_words(before, count, after[:, word_class[own]], share[own].astype(np.float32))
+            some = np.flatnonzero(count.any(axis=0))
+            return pa.RecordBatch.from_arrays([pa.array(some + first), arrays(fitted[some].reshape(-1), np.full(len(some), fitted.shape[1]), pa.float32())], ["word", "fitted"])
+
+        for b in batches:
+            context, word, n = (b.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero(np.diff(word // CHUNK)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(word)], strict=True):
+                if x == y:
+                    continue
+                if held and word[x] // CHUNK != chunk:
+                    yield out()
+                    held = []
+                chunk = word[x] // CHUNK
+                held.append((context[x:y], word[x:y], n[x:y]))
+        if held:
+            yield out()
+
+    rows = pairs.select("context", "word", "n", F.floor(F.col("word") / CHUNK).alias("chunk"))
+    chunks = -(-len(share) // CHUNK)
+    rows = rows.repartition(-(-chunks // CHUNKS_A_TASK), "chunk").sortWithinPartitions("chunk")
+    found = rows.select("context", "word", "n").mapInArrow(run, "word long, fitted array<float>").toArrow()
+    fitted = np.zeros((len(share), WIDTH + 1), np.float32)
+    fitted[:, -1] = np.log(share)
+    if found.num_rows:
+        values = found.column(1).combine_chunks()
+        fitted[found.column(0).to_numpy()] = np.asarray(values.flatten() if isinstance(values, pa.ListArray) else values.chunk(0).flatten()).reshape(-1, WIDTH + 1)
+    return Words.of(before, fitted, vocab.word_class)
+
+
 def fit(triples: DataFrame, share: np.ndarray, epochs: int = EPOCHS) -> LogBilinear:
-    """Train on a written table of triple_counts. The driver gets the parameters of each pass, whose number is fixed."""
+    """Train on the triples of a written table of context_counts. The driver gets the parameters of each pass, whose number is fixed."""
     model = LogBilinear.start(share)
     for epoch in range(epochs):
         start = model.flat
@@ -273,38 +464,66 @@ def fit(triples: DataFrame, share: np.ndarray, epochs: int = EPOCHS) -> LogBilin
     return model
 
 
-def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
+@dataclass
+class Model:
+    """counts, a written table of all words of the training texts, and what goes to all tasks."""
 
-    docs has doc_id and text; a null text is empty and has one token, its end. Scores are decimal logarithms. Texts
-    that aren't held out are learned from, however often a row is repeated. Without any, all words are unknown.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out("doc_id").alias("held_out"), text_of().alias("text"))
-    training = rows.where("NOT held_out")
-    spark = docs.sparkSession
+    counts: DataFrame
+    vocab: Vocabulary
+    #: LogBilinear.tables() and the words.
+    near: np.ndarray
+    far: np.ndarray
+    total: np.ndarray
+    words: Words
+
+
+def learn(docs: DataFrame, head: int = HEAD, words: int = WORDS) -> Model:
+    """The model of all texts of docs; null is empty, and no text or word is left out, however often a row is repeated."""
+    training = docs.select(text_of().alias("text"))
     counts = materialize(word_counts(training), "counts")
-    vocab = vocabulary(counts, training.count(), head)
-    shared = spark.sparkContext.broadcast(vocab)
-    triples = materialize(triple_counts(training, shared), "triples")
+    vocab = vocabulary(counts, training.count(), head, words)
+    contexts = materialize(context_counts(training, docs.sparkSession.sparkContext.broadcast(vocab)), "contexts")
+    triples, pairs = contexts.where("pair = 0"), contexts.where("pair = 1")
     seen = np.zeros(ENTRIES)
     for r in triples.groupBy("entry").agg(F.sum("n").alias("n")).collect():  # a row for each entry
         seen[r["entry"]] = r["n"]
-    share = (seen + SMOOTH) / (seen + SMOOTH).sum()
-    model = spark.sparkContext.broadcast(fit(triples, share).tables())
+    entries = fit(triples, (seen + SMOOTH) / (seen + SMOOTH).sum())
+    model = Model(counts, vocab, *entries.tables(), trained_words(pairs, triples, entries, vocab))
+    discard(contexts)
+    return model
+
+
+def score(docs: DataFrame, head: int = HEAD, words: int = WORDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
+
+    docs has doc_id and text, other columns are left out; a null text is empty and has one token, its end. Scores are
+    decimal logarithms. Texts that aren't held out are learned from, however often a row is repeated. Without any, all
+    words are unknown. An empty table gives no rows. Texts are taken whole, some megabytes at a time.
+    """
+    return scored(docs, learn(docs.where(~is_held_out("doc_id")), head, words))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """The scores of docs by a model."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out("doc_id").alias("held_out"), text_of().alias("text"))
+    vocab, counts = model.vocab, model.counts
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, (model.near, model.far, model.total, model.words)))
     base_log = float(np.log10(vocab.tokens + SMOOTH * (vocab.distinct + 1)))
     rare_log = np.log10(vocab.rare_tokens + SMOOTH * (vocab.rare_words + 1))
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        v, (near, far, total) = shared.value, model.value
+        v, (near, far, total, level) = shared.value
         rows_n = b.num_rows
-        entry, one, two, row, h, kind, at = v.sequence(b.column(2))
+        entry, one, two, row, h, i, word, at = v.sequence(b.column(2))
         log = (near[one, entry].astype(np.float64) + far[two, entry] - total[one, two]) / np.log(10)
         doc = row[at]
-        i = _find(v.head, h)
         c = np.where(i >= 0, v.head_count[i] if len(v.head) else 0, 0)
         frequency = np.where(i >= 0, np.log10(c + SMOOTH), 0.0)
-        rare = entry[at] < CLASSES
-        log[at] += np.where(rare, frequency - rare_log[kind], 0.0)
+        inner = np.flatnonzero(entry[at] < CLASSES)
+        kind = entry[at[inner]]
+        log[at[inner]] += level.log(one[at[inner]], word[inner], kind) / np.log(10)
+        rare = word[inner] >= len(v.word_class) - CLASSES
+        log[at[inner[rare]]] += frequency[inner[rare]] - rare_log[kind[rare]]
         base = np.bincount(doc, weights=frequency - base_log, minlength=rows_n) + (np.log10(v.texts + SMOOTH) - base_log)
         known = np.bincount(doc, weights=i >= 0, minlength=rows_n) + (v.texts > 0)
         tail = np.flatnonzero(i < 0)

@@ -61,7 +61,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         # lines
         start = np.unique(np.concatenate([b.at[:-1], np.flatnonzero(b.data == 10) + 1]))
         start = start[start < len(b.data)]
-        end = np.append(start[1:], len(b.data))
+        end = np.append(start[1:], len(b.data))[: len(start)]
         end -= (b.data[np.maximum(end - 1, 0)] == 10) & (end > start)
         seg = b.segment(start)
         _, inverse = _power(len(b.data))

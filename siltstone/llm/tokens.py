@@ -127,7 +127,7 @@ class PieceEncoder:
     def _ranges(self, b: Block) -> tuple[np.ndarray, ...]:
         """Start, end, whether a space leads, and the segment, of each piece in order."""
         s, e = b.words()
-        if self.keeps_space and len(tail := np.flatnonzero(b.last & (b.at[1:] > b.at[:-1]) & SPACE[b.data[np.maximum(b.at[1:] - 1, 0)]])):
+        if self.keeps_space and len(b.data) and len(tail := np.flatnonzero(b.last & (b.at[1:] > b.at[:-1]) & SPACE[b.data[np.maximum(b.at[1:] - 1, 0)]])):
             i = np.searchsorted(s, b.at[tail + 1])  # white space that ends a text: as if before an empty word there
             s, e = np.insert(s, i, b.at[tail + 1]), np.insert(e, i, b.at[tail + 1])
         seg = b.segment(np.minimum(s, max(len(b.data) - 1, 0)))
