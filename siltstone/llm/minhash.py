@@ -7,9 +7,10 @@ a coordinate with the probability of the weighted Jaccard similarity of the docu
 that of the larger ones. Only darts up to a rank that some K log K + 2 K darts reach are thrown, whatever the number of
 elements, and strips are thrown at in pieces that double in width, whatever the weights.
 
-Signatures are cut into bands. Documents that agree in a band are candidates, first with the smallest one in their
-bucket; what these links leave apart is compared block by block within the buckets that still hold several classes.
-Candidates are verified by the exact weighted Jaccard similarity.
+Signatures are cut into bands. Documents that agree in a band are candidates, first with the one that is the smallest in
+most of their buckets; what these links leave apart is compared block by block within the buckets that still hold
+several classes, where each document is first tried with its likeliest partner, and only blocks that are then still apart
+with all. Candidates are verified by the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -249,7 +250,8 @@ def _groups(batches, width: int):
 
 
 def _plausible_in_tiles(members: DataFrame, plausible: float) -> DataFrame:
-    """Members with a plausible partner of another label: tile, node, label and partners, listed on one of both sides.
+    """Members with a plausible partner of another label: tile, node, partners, listed on one of both sides, and best, the
+    partner whose coordinates agree most often, with the share of these as score.
 
     members has key, band, n, node, label and sig. A bucket of n members is cut into blocks of some BLOCK_MEMBERS, each
     two of which meet in a tile; so a task holds two blocks at a time, and no rows are made for pairs. A pair that
@@ -266,32 +268,55 @@ def _plausible_in_tiles(members: DataFrame, plausible: float) -> DataFrame:
             node, label, own = (np.array([r[k] for r in rows]) for k in (4, 5, 7))
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             partners: dict[int, list[int]] = {}
+            best: dict[int, tuple[float, int]] = {}
             for at in range(0, len(left), 32):
                 some = left[at : at + 32]
                 equal = _same([rows[x][6] for x in some], [rows[x][6] for x in right])
-                ok = (equal.mean(axis=2) >= plausible) & (label[some][:, None] != label[right][None])
+                share = equal.mean(axis=2)
+                ok = (share >= plausible) & (label[some][:, None] != label[right][None])
                 if i == j:
                     ok &= node[some][:, None] < node[right][None]
                 x, y = np.nonzero(ok)
                 common = equal[x, y].reshape(len(x), BANDS, ROWS).all(axis=2)
                 first = common.argmax(axis=1) == band
-                for u, v in zip(some[x[first]].tolist(), right[y[first]].tolist(), strict=True):
+                for u, v, z in zip(some[x[first]].tolist(), right[y[first]].tolist(), share[x[first], y[first]].tolist(), strict=True):
                     partners.setdefault(u, []).append(int(node[v]))
                     partners.setdefault(v, [])
+                    for a, b in ((u, v), (v, u)):
+                        best[a] = max(best.get(a, (0.0, 0)), (z, int(node[b])))
             if partners:
                 tile = int(mix(np.array([rows[0][0] ^ (i << 20) ^ j], np.int64).view(_U)).view(np.int64)[0])
                 where = {int(node[u]): u for u in partners}
-                columns = [[tile] * len(where), list(where), [int(label[u]) for u in where.values()], [partners[u] for u in where.values()]]
+                columns = [[tile] * len(where), list(where), [partners[u] for u in where.values()], [best[u][1] for u in where.values()], [best[u][0] for u in where.values()]]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["tile", "node", "partners", "best", "score"])
+
+    return materialize(placed.mapInArrow(work, "tile long, node long, partners array<long>, best long, score double"), "tiles")
+
+
+def _apart(tiles: DataFrame) -> DataFrame:
+    """The rows of tiles without partners of the same label, and without those that no row then has as a partner."""
+
+    def work(batches):
+        for group in _groups(batches, 1):
+            label = {r[1]: r[2] for r in group}
+            left = {r[1]: [p for p in r[3].tolist() if label[p] != r[2]] for r in group}
+            named = {p for x in left.values() for p in x}
+            rows = [(group[0][0], node, label[node], x) for node, x in left.items() if x or node in named]
+            if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["tile", "node", "label", "partners"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["tile", "node", "label", "partners"])
 
-    return materialize(placed.mapInArrow(work, "tile long, node long, label long, partners array<long>"), "tiles")
+    rows = tiles.repartition("tile").sortWithinPartitions("tile")
+    return materialize(rows.mapInArrow(work, "tile long, node long, label long, partners array<long>"), "apart")
 
 
 def _tile_links(tiles: DataFrame, carriers: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Links a, b that join all labels which similar partners in a tile join; others between the same two are left out."""
     sets_of = _sets(tiles.select("node").distinct(), carriers, docs)
-    rows = tiles.join(sets_of, "node").select("tile", "node", "label", "partners", "shingles").repartition("tile").sortWithinPartitions("tile")
+    at = tiles.groupBy("node").agg(F.collect_list(F.struct("tile", "label", "partners")).alias("at"))  # a node meets its set once
+    rows = at.join(sets_of, "node").select("node", "shingles", F.explode("at").alias("at")).select("at.tile", "node", "at.label", "at.partners", "shingles")
+    rows = rows.repartition("tile").sortWithinPartitions("tile")
 
     def work(batches):
         for group in _groups(batches, 1):
@@ -337,17 +362,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, plausible:
     members = materialize(banded.drop("doc_id").join(buckets, "key"), "members")
     sigs, carriers = nodes.select("node", "sig"), nodes.select("node", "doc_id", "text_hash")
 
-    star = members.groupBy("node").agg(F.min("leader").alias("first"))
-    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).where("a <> b")
+    led = members.where("leader.node <> node").groupBy("node", "leader").agg(F.count("*").alias("bands"))
+    star = led.groupBy("node").agg(F.min_by("leader.node", F.struct(-F.col("bands"), F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
     links = _star_links(materialize(_plausible(star, sigs, plausible), "star"), carriers, docs, similarity)
     labels = connected_components(links)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = labelled.join(open_, "key", "left_semi").join(sigs, "node").select("key", "band", "n", "node", "label", "sig")
-    more = _tile_links(_plausible_in_tiles(rest, plausible), carriers, docs, similarity)
+    at = labelled.join(open_, "key", "left_semi").groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "band", "n")).alias("at"))  # BANDS at most
+    rest = at.join(sigs, "node").select("node", "label", "sig", F.explode("at").alias("at")).select("at.*", "node", "label", "sig")
+    tiles = _plausible_in_tiles(rest, plausible)
     discard(members, buckets)
-    labels = connected_components(links.union(more))
-    discard(links, more)
+    near = tiles.groupBy("node").agg(F.max_by("best", F.struct("score", "best")).alias("a")).select("a", F.col("node").alias("b"))
+    best = _star_links(materialize(near, "near"), carriers, docs, similarity)
+    labels = connected_components(links.union(best))
+    labelled = tiles.select("tile", "node", "partners").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    rest = _apart(labelled.select("tile", "node", "label", "partners"))
+    more = _tile_links(rest, carriers, docs, similarity)
+    labels = connected_components(links.union(best).union(more))
+    discard(links, best, more, tiles, rest)
 
     classes = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id")
     smallest = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
