@@ -2,8 +2,8 @@
 
 The model predicts a word from the two before it, in two levels that are both log-bilinear. First it predicts an entry:
 one of the most frequent words, the end of a text, or a class of words by their last letters. Matrices for either place
-turn the vectors of the entries before it into a prediction, whose product with an entry's vector, plus its bias, is its
-score. Then it predicts a word of the class: the product of the word's own vector with the prediction from the entry
+turn the vectors of the two entries before it, of which the farther one is told apart by its last letter or as one of
+fewer words, into a prediction, whose product with an entry's vector, plus its bias, is its score. Then it predicts a word of the class: the product of the word's own vector with the prediction from the entry
 right before it, plus a bias. The words with vectors are those of the training texts from the count on with which there
 are at most WORDS of them; the rarer ones of a class share a vector and have smoothed frequencies among themselves, so
 that the probabilities of all texts add up to one.
@@ -32,12 +32,12 @@ from siltstone.llm.words import blocks
 from siltstone.session import discard, materialize
 
 #: Words whose counts are sent to all tasks, 24 bytes each, and those of them that have vectors, at most.
-HEAD, WORDS = 1 << 20, 1 << 17
+HEAD, WORDS = 1 << 20, 1 << 16
 #: Entries the model predicts, with classes of words and the end; length of vectors; passes; noise entries for each batch.
-ENTRIES, WIDTH, EPOCHS, NOISE = 768, 24, 3, 192
+ENTRIES, WIDTH, EPOCHS, NOISE = 768, 24, 4, 192
 SMOOTH = 0.1
 #: Words that a task fits at a time, steps, noise words for each word, and the precision of the vectors' prior.
-CHUNK, STEPS, NOISE_WORDS, PRIOR = 256, 40, 25, 2.0
+CHUNK, STEPS, NOISE_WORDS, PRIOR = 256, 24, 25, 2.0
 CHUNKS_A_TASK = 8
 #: Counts up to which the histogram that finds how many words have a count is exact.
 MOST_COUNTED = 100_000
@@ -50,6 +50,8 @@ _CLASS[65:91] = np.arange(26)
 _CLASS[[46, 44]] = 27
 _CLASS[128:] = 28 + np.arange(128) % 4
 BYTE_CLASSES, CLASSES, END = 32, 256, 256
+#: What the word before the last one is told apart by: classes by last byte, the end, and the most frequent words.
+FAR = 64
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 
@@ -91,7 +93,7 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray
     return key[first], extra[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _counted(docs: DataFrame, pick, names: tuple[str, str], most: int = 1 << 20) -> DataFrame:
+def _counted(docs: DataFrame, pick, names: tuple[str, str], most: int = 1 << 19) -> DataFrame:
     """Sums over all texts of the counts that pick finds in a batch of them; a task adds up before it sends any."""
 
     def run(batches):
@@ -154,7 +156,7 @@ class Vocabulary:
         return np.where(i >= 0, self.ending_class[i] if len(self.endings) else 0, _CLASS[ending & 255])
 
     def sequence(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """Entry, the two before and the row of each token with the ends; of the words hash, place in the head, place
+        """Entry, that before, what the one before that is told apart by, and the row of each token with the ends; of the words hash, place in the head, place
         among words with vectors, where those of frequent words mean nothing, and place among the tokens."""
         h, doc, ending = _words(texts)
         at = np.arange(len(h)) + doc
@@ -166,11 +168,14 @@ class Vocabulary:
         entry = np.full(size, END, np.int64)
         entry[at] = np.where(i >= 0, self.head_entry[i] if len(self.head) else 0, kind)
         row = np.repeat(np.arange(len(texts)), np.bincount(doc, minlength=len(texts)) + 1)
-        before = [np.full(size, ENTRIES, np.int64) for _ in range(2)]
-        for k, x in enumerate(before, 1):
+        coarse = np.full(size, BYTE_CLASSES, np.int64)
+        coarse[at] = np.where((entry[at] > END) & (entry[at] < END + FAR - BYTE_CLASSES), entry[at] - END + BYTE_CLASSES, _CLASS[ending & 255])
+        before = []
+        for k, x, none in ((1, entry, ENTRIES), (2, coarse, FAR)):
+            before.append(np.full(size, none, np.int64))
             same = row[k:] == row[:-k] if size > k else np.zeros(0, bool)
-            x[k:] = np.where(same, entry[:-k], ENTRIES)[: max(size - k, 0)]
-        return entry, before[0], before[1], row, h, i, word, at
+            before[-1][k:] = np.where(same, x[:-k], none)[: max(size - k, 0)]
+        return entry, *before, row, h, i, word, at
 
 
 def count_step(n):
@@ -230,17 +235,17 @@ def vocabulary(counts: DataFrame, texts: int, head: int = HEAD, words: int = WOR
 
 
 #: Keys of pairs of an entry and a word come after those of triples of entries.
-_PAIRS = (ENTRIES + 1) ** 2 * ENTRIES
+_PAIRS = (ENTRIES + 1) * (FAR + 1) * ENTRIES
 
 
 def context_counts(docs: DataFrame, shared) -> DataFrame:
-    """Counts over all tokens of docs: of triples, with context, the number ENTRIES + 1 times one before plus two before,
-    and entry; and of pairs, with context, the one before, and word, its place among those with vectors."""
+    """Counts over all tokens of docs: of triples, with context, the number FAR + 1 times one before plus two before, and entry;
+    and of pairs, with context, the one before, and word, its place among those with vectors."""
 
     def pick(texts: pa.Array):
         v = shared.value
         entry, one, two, _, _, _, word, at = v.sequence(texts)
-        key, n = np.unique((one * (ENTRIES + 1) + two) * ENTRIES + entry, return_counts=True)
+        key, n = np.unique((one * (FAR + 1) + two) * ENTRIES + entry, return_counts=True)
         rare = entry[at] < CLASSES
         pair, m = np.unique(_PAIRS + one[at[rare]] * len(v.word_class) + word[rare], return_counts=True)
         key, n = np.concatenate([key, pair]), np.concatenate([n, m])
@@ -264,14 +269,14 @@ def split_counts(n: np.ndarray, most: float = 1000.0) -> tuple[np.ndarray, np.nd
 
 
 class LogBilinear:
-    """Parameters in one array, so that they can be added up: context and word vectors, two matrices, biases."""
+    """Parameters in one array, so that they can be added up: vectors of both contexts and of words, two matrices, biases."""
 
-    shapes = ((ENTRIES + 1, WIDTH), (ENTRIES, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (ENTRIES,))
+    shapes = ((ENTRIES + 1, WIDTH), (FAR + 1, WIDTH), (ENTRIES, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (ENTRIES,))
 
     def __init__(self, flat: np.ndarray):
         ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
         self.flat = flat
-        self.context, self.word, self.first, self.second, self.bias = (x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), self.shapes, strict=True))
+        self.context, self.far, self.word, self.first, self.second, self.bias = (x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), self.shapes, strict=True))
 
     @classmethod
     def start(cls, share: np.ndarray, seed: int = 5) -> LogBilinear:
@@ -293,7 +298,7 @@ class LogBilinear:
             k = row[order[a : a + batch]]
             i, j, w, weight = one[k], two[k], entry[k], row_weight[order[a : a + batch]] / len(k)
             noise = rng.choice(ENTRIES, NOISE, p=share)
-            u, v = self.context[i], self.context[j]
+            u, v = self.context[i], self.far[j]
             q = u @ self.first + v @ self.second
             prior = np.log(NOISE * share)
             true = 1 / (1 + np.exp(np.clip((q * self.word[w]).sum(1) + self.bias[w] - prior[w], -30, 30)))
@@ -307,15 +312,15 @@ class LogBilinear:
             np.subtract.at(grad.bias, noise, down.sum(0))
             grad.first[:], grad.second[:] = u.T @ dq, v.T @ dq
             np.add.at(grad.context, i, dq @ self.first.T)
-            np.add.at(grad.context, j, dq @ self.second.T)
+            np.add.at(grad.far, j, dq @ self.second.T)
             past.flat += grad.flat**2
             self.flat += rate * grad.flat / np.sqrt(past.flat)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of all entries after one entry, with the biases, and after the one before; logs of the sums by pair."""
         near = (self.context @ self.first @ self.word.T + self.bias).astype(np.float32)
-        far = (self.context @ self.second @ self.word.T).astype(np.float32)
-        total = np.empty((ENTRIES + 1, ENTRIES + 1))
+        far = (self.far @ self.second @ self.word.T).astype(np.float32)
+        total = np.empty((ENTRIES + 1, FAR + 1))
         for i in range(ENTRIES + 1):
             x = far + near[i]
             top = x.max(axis=1, keepdims=True)
@@ -381,7 +386,7 @@ def trained_words(pairs: DataFrame, triples: DataFrame, model: LogBilinear, voca
     """
     before = (model.context @ model.first).astype(np.float32)
     after = np.zeros((ENTRIES + 1, CLASSES), np.float32)
-    one = F.floor(F.col("context") / (ENTRIES + 1)).alias("one")
+    one = F.floor(F.col("context") / (FAR + 1)).alias("one")
     seen = triples.where(F.col("entry") < CLASSES).groupBy(one, "entry").agg(F.sum("n").alias("n")).toArrow()
     after[seen.column(0).to_numpy(), seen.column(1).to_numpy()] = seen.column(2).to_numpy()
     in_class = np.bincount(vocab.word_class, weights=vocab.word_count, minlength=CLASSES)
@@ -442,13 +447,13 @@ def fit(triples: DataFrame, share: np.ndarray, epochs: int = EPOCHS) -> LogBilin
             def learn():
                 nonlocal held, weight
                 context, entry, n = (np.concatenate(x) for x in zip(*held, strict=True))
-                own.train(context // (ENTRIES + 1), context % (ENTRIES + 1), entry, n.astype(np.float64), share, epoch)
+                own.train(context // (FAR + 1), context % (FAR + 1), entry, n.astype(np.float64), share, epoch)
                 weight += int(n.sum())
                 held = []
 
             for b in batches:
                 held.append(tuple(b.column(i).to_numpy() for i in range(3)))
-                if sum(len(x[0]) for x in held) > 1 << 20:
+                if sum(len(x[0]) for x in held) > 1 << 19:
                     learn()
             if held and len(held[0][0]):
                 learn()

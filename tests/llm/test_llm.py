@@ -420,9 +420,9 @@ def test_score_is_the_plain_evaluation_of_the_model(spark):
 
     def plain(text):
         h, _, ending = lm._words(pa.array([text or ""]))
-        entries, out = [], 0.0
+        entries, coarse, out = [], [], 0.0
         for hash_, end in [*zip(h.tolist(), ending.tolist()), (None, None)]:
-            one, two = ([lm.ENTRIES, lm.ENTRIES, *entries][-1], [lm.ENTRIES, lm.ENTRIES, *entries][-2])
+            one, two = [lm.ENTRIES, *entries][-1], [lm.FAR, lm.FAR, *coarse][-2]
             if hash_ is None:
                 return out + log_first(lm.END, one, two)
             k = at.get(hash_)
@@ -435,13 +435,14 @@ def test_score_is_the_plain_evaluation_of_the_model(spark):
                 if word >= len(v.word_class) - lm.CLASSES:
                     out += np.log((counts.get(int(np.uint64(hash_).astype(np.int64)), 0) + 0.1) / (v.rare_tokens[kind] + 0.1 * (v.rare_words[kind] + 1)))
             entries.append(entry)
+            coarse.append(entry - lm.END + 32 if lm.END < entry < lm.END + 32 else int(lm._CLASS[end & 255]))
 
     rows = lm.scored(df, m).collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
         text = texts[6] if r.doc_id is None else texts[r.doc_id]
         assert math.isclose(r.score * math.log(10), plain(text), rel_tol=1e-4, abs_tol=1e-3), r
-    for one, two in ((3, 300), (lm.END + 1, lm.ENTRIES), (lm.ENTRIES, lm.ENTRIES)):
+    for one, two in ((3, 40), (lm.END + 1, lm.FAR), (lm.ENTRIES, lm.FAR)):
         assert math.isclose(sum(np.exp(log_first(e, one, two)) for e in range(lm.ENTRIES)), 1, abs_tol=1e-5)
         for kind in (0, 40, 255):
             assert math.isclose(sum(np.exp(log_second(int(x), one)) for x in np.flatnonzero(v.word_class == kind)), 1, abs_tol=1e-4)
