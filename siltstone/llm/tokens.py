@@ -21,8 +21,8 @@ import pyarrow as pa
 from siltstone.llm.words import SPACE, Block, blocks, mix
 
 #: Distinct pieces that are remembered; beyond that the tables are emptied and filled again.
-REMEMBERED = 4_000_000
-SLOTS = 1 << 22
+REMEMBERED = 1_000_000
+SLOTS = 1 << 21
 
 #: White space of the pre-tokenizers' patterns that is not ASCII white space.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -94,7 +94,7 @@ class PieceEncoder:
 
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Where each key is in the tables, or -1."""
-        at = self.slot[(key >> np.uint64(42)).astype(np.int64)].astype(np.int64)
+        at = self.slot[(key >> np.uint64(43)).astype(np.int64)].astype(np.int64)
         if not len(self.key):
             return at
         miss = np.flatnonzero((at >= 0) & (self.key_of_slot(at) != key))
@@ -120,7 +120,7 @@ class PieceEncoder:
         self.key = np.concatenate([self.key, key])
         place = np.searchsorted(self.sorted, key)
         self.sorted, self.order = np.insert(self.sorted, place, key), np.insert(self.order, place, new)
-        slot = (key >> np.uint64(42)).astype(np.int64)
+        slot = (key >> np.uint64(43)).astype(np.int64)
         free = self.slot[slot] < 0
         self.slot[slot[free]] = new[free]
 
