@@ -15,35 +15,45 @@ def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.where("status = 'blocked'").join(open_, ["run", "task"], "left").where(F.coalesce("all_passed", F.lit(True))).select("run", "task")
 
 
-def layers(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """node and layer, the longest path from a root, of a graph (up, down) without cycles; one join for each layer."""
+def layers(edges: DataFrame) -> DataFrame:
+    """node and layer, the longest path from a root, of a graph (up, down); one join for each layer.
+
+    A path can't have more edges than there are nodes, so a layer beyond their number, or nodes without any, mean that
+    there is a cycle: a ValueError.
+    """
     edges = materialize(edges.select("up", "down").distinct(), "edges")
     nodes = edges.select(F.col("up").alias("node")).union(edges.select("down")).distinct()
     front = materialize(nodes.join(edges.select(F.col("down").alias("node")), "node", "left_anti").withColumn("layer", F.lit(0)), "layer")
     found = front
-    for k in range(1, rounds):
+    most = nodes.count()
+    for k in range(1, most + 1):
         front = materialize(edges.join(front.withColumnRenamed("node", "up"), "up").select(F.col("down").alias("node")).distinct().withColumn("layer", F.lit(k)), "layer")
         if not front.limit(1).count():
-            return found.groupBy("node").agg(F.max("layer").alias("layer"))
-        found = found.unionByName(front)
-    raise ValueError("the graph has a cycle or a path that is too long")
+            out = found.groupBy("node").agg(F.max("layer").alias("layer"))
+            if out.count() < most:
+                break
+            return out
+        found = materialize(found.unionByName(front).groupBy("node").agg(F.max("layer").alias("layer")), "found")
+    if not most:
+        return found
+    raise ValueError("the graph has a cycle")
 
 
-def closure(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """node and reach: all that lies downstream of each node of a graph (up, down), cycles included.
 
-    Each round joins only the pairs that are new, one step further.
+    Each round joins the pairs that are new with all pairs found so far, so that paths double in length and the rounds
+    grow with the logarithm of the longest one. What is returned is written.
     """
-    edges = materialize(edges.select("up", "down").distinct(), "edges")
-    new = edges.select(F.col("up").alias("node"), F.col("down").alias("reach"))
-    found = new
-    for _ in range(rounds):
-        step = new.withColumnRenamed("reach", "up").join(edges, "up").select("node", F.col("down").alias("reach")).distinct()
+    new = found = materialize(edges.select(F.col("up").alias("node"), F.col("down").alias("reach")).where("node IS NOT NULL AND reach IS NOT NULL").distinct(), "found")
+    while new.limit(1).count():
+        onward = found.select(F.col("node").alias("reach"), F.col("reach").alias("next"))
+        before = found.select(F.col("node").alias("start"), F.col("reach").alias("node"))
+        step = new.join(onward, "reach").select("node", F.col("next").alias("reach"))
+        step = step.union(new.join(before, "node").select(F.col("start").alias("node"), "reach")).distinct()
         new = materialize(step.join(found, ["node", "reach"], "left_anti"), "reach")
-        if not new.limit(1).count():
-            return found
-        found = found.unionByName(new)
-    raise ValueError("the graph has a path that is too long")
+        found = materialize(found.unionByName(new), "found")
+    return found
 
 
 def stalled(runs: DataFrame, tasks: DataFrame, events: DataFrame, now, quiet_minutes: int, horizon_hours: int = 24) -> DataFrame:
@@ -56,15 +66,16 @@ def stalled(runs: DataFrame, tasks: DataFrame, events: DataFrame, now, quiet_min
     return active.where((age >= quiet_minutes * 60_000_000) & (age < horizon_hours * 3_600_000_000)).select("run", "last")
 
 
-def capped_edges(edges: DataFrame, cap: int, rounds: int = 60) -> DataFrame:
+def capped_edges(edges: DataFrame, cap: int) -> DataFrame:
     """The edges (a, b, rank) that greedy selection in the order of rank takes, with at most cap at each end.
 
     An edge is taken once fewer than cap edges before it at both ends are taken or undecided, and refused once cap
-    before it are taken at either end; rounds of that give what one pass in order would.
+    before it are taken at either end; rounds of that give what one pass in order would. Each round decides the first
+    edge that is open at least, so there is no limit to set.
     """
     todo = materialize(edges.select("a", "b", "rank"), "todo")
     taken = None
-    for _ in range(rounds):
+    while True:
         ends = todo.select(F.col("a").alias("v"), "a", "b", "rank").union(todo.select("b", "a", "b", "rank"))
         spent = None if taken is None else taken.select(F.col("a").alias("v"), F.col("rank").alias("r")).union(taken.select("b", "rank"))
         w = Window.partitionBy("v").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,4 +91,3 @@ def capped_edges(edges: DataFrame, cap: int, rounds: int = 60) -> DataFrame:
         todo = state.where((F.col("before") >= cap) & (F.col("accepted") < cap)).select("a", "b", "rank")
         if not todo.limit(1).count():
             return taken
-    raise RuntimeError("the selection hasn't settled")

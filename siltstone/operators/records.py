@@ -135,3 +135,20 @@ def weight_batches(weights: Column, most: int) -> Column:
         return F.struct(batch.alias("batch"), F.when(fresh, w).otherwise(s["held"] + w).alias("held"), F.array_append(s["out"], batch).alias("out"))
 
     return F.aggregate(weights.cast("array<long>"), start, put, lambda s: s["out"])
+
+
+def assign_nearest(left: Column, right: Column, most: int) -> Column:
+    """Pairs (i, j, distance) of two arrays of structs (place, print): each left one, in order, takes the nearest right one.
+
+    A right one is taken once, only up to a distance of most bits; among equals the one of the same place comes first,
+    then the earlier one. The arrays are those of one item, sorted by place.
+    """
+
+    def one(done: Column, x: Column) -> Column:
+        free = F.filter(right, lambda y: ~F.exists(done, lambda d: d["j"] == y["place"]))
+        near = F.transform(free, lambda y: F.struct(F.bit_count(x["print"].bitwiseXOR(y["print"])).cast("int").alias("distance"), (y["place"] != x["place"]).alias("other"), y["place"].alias("j")))
+        best = F.array_min(F.filter(near, lambda y: y["distance"] <= most))
+        return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(F.struct(x["place"].alias("i"), best["j"].alias("j"), best["distance"].alias("distance")))))
+
+    none = F.array().cast("array<struct<i:int,j:int,distance:int>>")
+    return F.aggregate(left, none, one)

@@ -20,20 +20,31 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, per_term: int = 4, common_share: int = 20, common_least: int = 16) -> DataFrame:
+def common_terms(docs: DataFrame, text: str, share: int = 20, least: int = 16) -> DataFrame:
+    """term and df, how many documents have it, of those that more than a share and a least number of documents have.
+
+    A document's distinct terms are found where it lies, so that terms are shuffled once, after they were counted there.
+    """
+    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.where(F.col("df") > max(docs.count() // share, least))
+
+
+def bm25_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, per_term: int = 4, common_share: int = 20, common_least: int = 16, only: Column | None = None) -> DataFrame:
     """The best documents of each term: term, key, score, rank. terms is a written table with a column term.
 
+    only, a condition on docs, restricts the hits to some kinds of documents; scores stay those among all documents.
+
     Terms that more than a share of the documents, and more than a least number, have are left out. Only the postings
     of the terms are shuffled, after the terms were sent to all executors or, if they are many, joined.
     """
-    words = docs.select(key, tokens(F.col(text)).alias("_words")).withColumn("length", F.size("_words"))
+    words = docs.select(key, (F.lit(True) if only is None else F.coalesce(only, F.lit(False))).alias("_of_kind"), tokens(F.col(text)).alias("_words")).withColumn("length", F.size("_words"))
     total = words.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    own = words.select(key, "length", F.explode("_words").alias("term"))
+    own = words.select(key, "_of_kind", "length", F.explode("_words").alias("term"))
     own = join_checked(own, terms.select("term").distinct(), ["term"], "left_semi", 80)
-    hits = materialize(own.groupBy(key, "term", "length").agg(F.count("*").alias("tf")), "hits")
+    hits = materialize(own.groupBy(key, "_of_kind", "term", "length").agg(F.count("*").alias("tf")), "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").crossJoin(F.broadcast(total))  # one row
-    scored = scored.where(F.col("df") <= F.greatest(F.floor(F.col("total") / common_share), F.lit(common_least)))
+    scored = scored.where("_of_kind").where(F.col("df") <= F.greatest(F.floor(F.col("total") / common_share), F.lit(common_least)))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
     scored = scored.withColumn("score", F.round(idf * F.col("tf") * (K1 + 1) / norm, 6))
@@ -48,12 +59,72 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def unit(v: Column) -> Column:
+    """The vector at length 1; null if it is null, empty, zero or has null or non-finite parts."""
+    x = F.transform(v, lambda e: e.cast("double"))
+    top = F.array_max(F.transform(x, F.abs))
+    good = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (top > 0)
+    small = F.transform(x, lambda e: e / top)
+    norm = F.sqrt(F.aggregate(small, F.lit(0.0), lambda s, e: s + e * e))
+    return F.when(F.coalesce(good, F.lit(False)), F.transform(small, lambda e: e / norm))
+
+
+#: Queries that are compared with a batch of vectors at a time, and vectors of a batch.
+QUERY_BLOCK = 4096
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id") -> DataFrame:
-    """The k most similar other vectors of each query: exact, in blocks of the query set, which is broadcast if small."""
-    q = queries.select(F.col(query_key), F.col("embedding").alias("_q"))
-    pairs = vectors.select(key, "embedding").crossJoin(F.broadcast(q) if queries.count() <= 20_000 else q)
-    scored = pairs.where(F.col(key) != F.col(query_key)).select(query_key, key, F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("similarity"))
-    return top_per_key(scored, [query_key], [F.desc("similarity"), key], k)
+    """The k most similar other vectors of each query, exact; ties by key. Vectors without a direction are left out.
+
+    Vectors are brought to length 1 once. The query set is dealt to blocks of some QUERY_BLOCK, each of which meets each
+    batch of vectors in a matrix product; a batch keeps the k best of each query, with what equals the last of them, so
+    that k rows for each query and batch, not all pairs, are shuffled. Few queries are sent to all tasks; the blocks of
+    more meet in one task for each block and part of the vectors.
+    """
+    q = queries.select(F.col(query_key).alias("_id"), unit(F.col("embedding")).alias("_v")).where("_v IS NOT NULL")
+    v = vectors.select(F.col(key).alias("_id"), unit(F.col("embedding")).alias("_v")).where("_v IS NOT NULL")
+    kind = q.schema["_id"].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = 1 if blocks == 1 else 64
+    schema = f"query {kind}, key {v.schema['_id'].dataType.simpleString()}, similarity double"
+
+    def best(ids, x, other, y):
+        s = np.round(x @ y.T, 6)
+        s[np.asarray(ids, object)[:, None] == np.asarray(other, object)[None]] = -np.inf
+        if s.shape[1] > k:
+            s[s < np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]] = -np.inf
+        i, j = np.nonzero(np.isfinite(s))
+        return pd.DataFrame({"query": [ids[a] for a in i], "key": [other[a] for a in j], "similarity": s[i, j]})
+
+    def pairs(ids, x, other, y):
+        """Only vectors of the same length have a similarity."""
+        for n in {len(a) for a in x}:
+            i, j = [a for a, e in enumerate(x) if len(e) == n], [a for a, e in enumerate(y) if len(e) == n]
+            if j:
+                yield best([ids[a] for a in i], np.array([x[a] for a in i]), [other[a] for a in j], np.array([y[a] for a in j]))
+
+    if blocks == 1:
+        rows = q.limit(QUERY_BLOCK).collect()  # QUERY_BLOCK at most
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["_id"] for r in rows], [r["_v"] for r in rows]))
+
+        def run(batches):
+            ids, x = shared.value
+            for b in batches:
+                if len(b):
+                    yield from pairs(ids, x, b["_id"].tolist(), b["_v"].tolist())
+
+        found = v.mapInPandas(run, schema)
+    else:
+        dealt = q.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_id", "_v")
+        other = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int").alias("_part"), "_id", "_v")
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = list(pairs(left["_id"].tolist(), left["_v"].tolist(), right["_id"].tolist(), right["_v"].tolist())) if len(left) and len(right) else []
+            return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "similarity": []})
+
+        found = dealt.withColumn("_block", F.col("_block").cast("int")).groupBy("_block", "_part").cogroup(other.groupBy("_block", "_part")).applyInPandas(meet, schema)
+    found = found.select(F.col("query").alias(query_key), F.col("key").alias(key), "similarity")
+    return top_per_key(found, [query_key], [F.desc("similarity"), key], k)
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", block: int = 2000) -> DataFrame:
@@ -114,15 +185,23 @@ def contains_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) ->
     """For each text and brand the longest alias in it; aliases (brand, alias) are counted first.
 
     Few aliases are broadcast and looked for one by one. Many are joined on the first four letters or digits of their
-    first word, which some word of the text has to hold, and then looked for. Aliases without any are left out there.
+    first word, which some word of the text has to hold, and then looked for; those without any, which are none but
+    signs, are looked for one by one in either case, in blocks of SMALL_ALIASES. So both ways give the same rows.
     """
+    aliases = aliases.select("brand", "alias").where("alias IS NOT NULL").distinct()
+    found = lambda some: texts.select(key, text).join(F.broadcast(some), F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
     if aliases.count() <= SMALL_ALIASES:
-        hit = texts.select(key, text).join(F.broadcast(aliases), F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
+        hit = found(aliases)
     else:
         start = F.substring(F.regexp_extract(F.lower(F.col("alias")), r"[\p{L}\p{N}]+", 0), 1, 4)
-        keyed = aliases.withColumn("_gram", start).where("_gram <> ''")
+        keyed = materialize(aliases.withColumn("_gram", start), "aliases")
         words = texts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("_word"))
         grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_word")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.col("_word").substr(i, n))))
-        found = words.select(key, F.explode(F.array_distinct(grams)).alias("_gram")).distinct().join(keyed, "_gram").select(key, "brand", "alias").distinct()
-        hit = texts.select(key, text).join(found, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
+        near = words.select(key, F.explode(F.array_distinct(grams)).alias("_gram")).distinct().join(keyed.where("_gram <> ''"), "_gram").select(key, "brand", "alias").distinct()
+        hit = texts.select(key, text).join(near, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
+        signs = keyed.where("_gram = ''").select("brand", "alias")
+        blocks = -(-signs.count() // max(SMALL_ALIASES, 1))
+        for k in range(blocks):
+            some = signs.where(F.pmod(F.xxhash64("brand", "alias"), F.lit(blocks)) == k)
+            hit = hit.unionByName(found(some))
     return hit.groupBy(key, "brand").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("alias"))

@@ -70,3 +70,59 @@ def test_candidates(spark):
     assert got[0].d == ["Sep 18, 2026", "2026年9月18日"] and got[0].p == ["¥12,800", "899 元"] and got[0].n == []
     assert got[1].n == ["foo red bag", "foo foo hat", "foo hat"]
     assert got[2].d is None and got[3].n == []
+
+
+def test_aliases_of_signs_are_found_either_way(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "we say +++ and & more"), (2, "nothing"), (3, "c++ is +")], "id int, t string")
+    aliases = spark.createDataFrame([("plus", "+++"), ("amp", "&"), ("c", "c++"), ("one", "+"), ("none", None)], "brand string, alias string")
+    small = sorted(map(tuple, search.contains_alias(texts, "id", "t", aliases).collect()))
+    assert small == [(1, "amp", "&"), (1, "one", "+"), (1, "plus", "+++"), (3, "c", "c++"), (3, "one", "+")]
+    monkeypatch.setattr(search, "SMALL_ALIASES", 2)
+    assert sorted(map(tuple, search.contains_alias(texts, "id", "t", aliases).collect())) == small
+
+
+def test_nearest_leaves_out_vectors_without_direction(spark, monkeypatch):
+    """In one block of queries and in several; zero, null and non-finite vectors, other lengths and ties."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, size=(50, 3)).astype(float)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(50, [0.0] * 3), (51, None), (52, [float("inf"), 1.0, 0.0]), (53, [1.0, 2.0]), (54, [1e300, 1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {k: np.array(x) / max(map(abs, x)) for k, x in rows if x and len(x) == 3 and np.isfinite(x).all() and any(x)}
+    good = {k: x / np.linalg.norm(x) for k, x in good.items()}
+    want = []
+    for q in sorted(good):
+        if q < 20:
+            best = sorted(((-round(float(good[q] @ x), 6) + 0.0, k) for k, x in good.items() if k != q))[:5]
+            want += [(q, k, round(-s, 6), r) for r, (s, k) in enumerate(best, 1)]
+    for size in (4096, 7):
+        monkeypatch.setattr(search, "QUERY_BLOCK", size)
+        got = search.nearest(df.where("vec_id < 20 OR vec_id = 50").selectExpr("vec_id AS query_id", "embedding"), df, 5).select("query_id", "vec_id", "similarity", "rank").collect()
+        assert sorted((r[0], r[1], round(r[2], 6) + 0.0, r[3]) for r in got) == sorted((a, b, s + 0.0, r) for a, b, s, r in want)
+
+
+def test_pictures_take_the_nearest_free_one(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for item in range(40):
+        rows += [(item, side, place, rng.randrange(64)) for side in (0, 1) for place in range(1, rng.randrange(2, 7))]
+    df = spark.createDataFrame(rows, "item int, side int, place int, print long")
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("place", "print")))).alias(f"s{k}")
+    got = df.groupBy("item").agg(side(0), side(1)).select("item", F.explode(records.assign_nearest(F.col("s0"), F.col("s1"), 2)).alias("x")).select("item", "x.*").collect()
+    want = set()
+    for item in range(40):
+        free = {p: x for i, s, p, x in rows if i == item and s == 1}
+        for p, x in sorted((p, x) for i, s, p, x in rows if i == item and s == 0):
+            near = min(((bin(x ^ y).count("1"), q != p, q) for q, y in free.items()), default=(9,))
+            if near[0] <= 2:
+                want.add((item, p, near[2], near[0]))
+                del free[near[2]]
+    assert {tuple(r) for r in got} == want
+
+
+def test_layers_of_a_cycle_fail_and_long_paths_settle(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        flow.layers(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "up int, down int"))
+    path = spark.createDataFrame([(k, k + 1) for k in range(70)], "up int, down int")
+    assert flow.closure(path).count() == 70 * 71 // 2
