@@ -19,7 +19,7 @@ def test_entry_imports_without_the_llm_folders(monkeypatch):
 
     def refuse(name, *a, **k):
         if name == "corpus_pipeline" or name.startswith("siltstone.llm"):
-            raise ImportError(name)
+            raise ImportError(name, name=name)
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", refuse)
