@@ -152,3 +152,27 @@ def product_candidates(text: Column, alias: Column, most: int = 8) -> Column:
     tail = F.concat(F.lit(r"(?i)\Q"), alias, F.lit(rf"\E(?=([^{NAME_ENDS}]{{0,30}}))"))
     cut = F.transform(F.regexp_extract_all(text, tail, F.lit(1)), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[的:：—-]+", "")))
     return _candidates(F.transform(F.filter(cut, lambda x: F.length(x) >= 2), lambda x: F.concat_ws(" ", alias, x)), most)
+
+
+#: Fixed value: what begins a section or a record of our own.
+MARKER = r"(?i)^\s*(【|\[(?=.{0,37}\])|c\s*a\s*n\s*d\s*i\s*d\s*a\s*t\s*e\s*_?\s*k\s*e\s*y\s*[:：])"
+
+
+def fence(text: Column) -> Column:
+    """Text of others to be put in a prompt: rules become dashes, lines that look like our sections get a dot in front; nothing is lost."""
+    lines = F.split(F.regexp_replace(text, "[─-╿]", "-"), "\r?\n")
+    return F.array_join(F.transform(lines, lambda v: F.when(v.rlike(MARKER), F.concat(F.lit("· "), v)).otherwise(v)), "\n")
+
+
+def sized_url(url: Column, width: int) -> Column:
+    """The address of a picture in that width, once; 0 leaves it."""
+    resize = f"x-oss-process=image/resize,w_{width}/format,jpg/quality,q_80"
+    more = F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit(resize))
+    return F.when(F.lit(width == 0) | F.contains(url, F.lit("x-oss-process")), url).otherwise(more)
+
+
+def strip_title_suffix(title: Column) -> Column:
+    """Without what follows the last bar, if that is a column's name: in title quotes, of up to 8 characters or the publisher's."""
+    tail = F.trim(F.regexp_extract(title, r"(?s)\|([^|]*)$", 1))
+    suffix = F.contains(title, F.lit("|")) & ((F.length(tail) <= 8) | tail.rlike("^(《|营事)"))
+    return F.trim(F.when(suffix, F.regexp_replace(title, r"(?s)\|[^|]*$", "")).otherwise(title))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import candidate_key
+
 
 def _columns(names: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
@@ -152,3 +154,75 @@ def assign_nearest(left: Column, right: Column, most: int) -> Column:
 
     none = F.array().cast("array<struct<i:int,j:int,distance:int>>")
     return F.aggregate(left, none, one)
+
+
+def candidates(raw: DataFrame, collector: str) -> DataFrame:
+    """Posts as a collector gives them (see the columns below) in the form that all later steps read.
+
+    media keep their order as `ordinal`, what isn't a photo is a video; times and counts that can't be read are null;
+    tags without a name are dropped.
+    """
+    photo = lambda m: F.when(F.lower(m["type"]) == "photo", "photo").otherwise("video")
+    media = F.transform("media", lambda m, i: F.struct(m["hash"].alias("source_hash"), photo(m).alias("kind"), m["url"].alias("url"), i.alias("ordinal")))
+    named = lambda c: F.filter(c, lambda t: F.coalesce(t, F.lit("")) != "")
+    return raw.select(
+        candidate_key(F.col("account"), F.col("url"), F.col("post_id")).alias("candidate_key"),
+        F.lit(collector).alias("collector"), "account", "url", F.col("post_id").alias("source_id"), F.col("description").alias("text"),
+        *(F.col(c).try_cast("timestamp").alias(n) for c, n in (("date_posted", "posted_at"), ("ingested_at", "ingested_at"))),
+        *(F.col(c).try_cast("bigint").alias(c) for c in ("likes", "comments", "followers")),
+        media.alias("media"), named("tags").alias("tags"), named("hashtags").alias("hashtags"),
+    )
+
+
+def merge_posts(published: DataFrame, mass: DataFrame, drafts: DataFrame, since: Column) -> DataFrame:
+    """post_id, title, at and state of published posts, mass-sent ones that aren't among them, and drafts.
+
+    Columns are post_id, title, at and deleted. A published post counts as seen even if it is deleted or old; then it isn't in the result.
+    """
+    cols = ["post_id", "title", "at"]
+    live = lambda df, state: df.where(~F.coalesce("deleted", F.lit(False)) & (F.col("at") >= since)).select(*cols, F.lit(state).alias("state"))
+    sent = live(mass, "published").join(published.select("post_id"), "post_id", "left_anti").dropDuplicates(["post_id"])
+    draft = live(drafts, "draft").withColumn("post_id", F.concat(F.lit("draft:"), "post_id"))
+    return live(published, "published").unionByName(sent).unionByName(draft)
+
+
+def collect_sources(sources: list[tuple[str, DataFrame | None, bool]]) -> DataFrame:
+    """The rows of sources (name, rows, required) with their `source` and whether the sweep is `partial`.
+
+    rows is None where a source is switched off: the sweep is partial then, and a ValueError if the source is required.
+    """
+    off = [name for name, rows, _ in sources if rows is None]
+    needed = [name for name, rows, required in sources if rows is None and required]
+    if needed or len(off) == len(sources):
+        raise ValueError(f"required sources are off: {', '.join(needed or off)}")
+    every = None
+    for name, rows, _ in sources:
+        if rows is not None:
+            own = rows.withColumn("source", F.lit(name)).withColumn("partial", F.lit(bool(off)))
+            every = own if every is None else every.unionByName(own)
+    return every
+
+
+def sample_pairs(rows: DataFrame, key: str, account: str, brand: str, n: int, buckets: int = 64) -> DataFrame:
+    """bucket, i and j: up to n pairs each of one account and brand, of one brand, and of different brands.
+
+    Rows lie in the order of their keys' hashes within so many spans of it, and neighbours there are the pairs to draw
+    from; so there are at most three a row, no group is paired in full, and a hot brand is spread over the spans. Of
+    these the first n by their hash are taken.
+    """
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    span = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    base = rows.select(F.col(key).alias("_k"), F.col(account).alias("_a"), F.col(brand).alias("_b"), digest.alias("_h"), span.alias("_s")).where("_b IS NOT NULL")
+    every = None
+    for name, part, good in (
+        ("same_account", ["_b", "_a", "_s"], F.lit(True)),
+        ("cross_account", ["_b", "_s"], F.col("_a") != F.col("_next._a")),
+        ("unrelated", ["_s"], F.col("_b") != F.col("_next._b")),
+    ):
+        w = Window.partitionBy(*part).orderBy("_h", "_k")
+        near = base.withColumn("_next", F.lead(F.struct("_k", "_a", "_b")).over(w)).where(F.col("_next").isNotNull() & good)
+        pairs = near.select(F.lit(name).alias("bucket"), F.least("_k", "_next._k").alias("i"), F.greatest("_k", "_next._k").alias("j"))
+        order = F.sha2(F.concat_ws("-", "i", "j"), 256)
+        drawn = pairs.orderBy(order, "i", "j").limit(n)
+        every = drawn if every is None else every.unionByName(drawn)
+    return every

@@ -205,3 +205,28 @@ def contains_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) ->
             some = signs.where(F.pmod(F.xxhash64("brand", "alias"), F.lit(blocks)) == k)
             hit = hit.unionByName(found(some))
     return hit.groupBy(key, "brand").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("alias"))
+
+
+def history_hits(users: DataFrame, docs: DataFrame, per_word: int = 5, most: int = 5) -> DataFrame:
+    """user, kind, title, published, url and place: earlier documents that name a user (user, username, full_name).
+
+    Looked for are the username, its letters and digits if they are four or more, and the full name of three or more
+    characters, whatever their case, in title, brand, body and url of docs (key, kind, title, brand, body, url,
+    published). The newest per_word of each word count, one of each kind and title; then the first `most` in the order
+    of the words.
+    """
+    name = F.replace(F.regexp_replace("username", "^_+|_+$", ""), F.lit("__"), F.lit("_"))
+    core = F.regexp_replace("username", "[^A-Za-z0-9]", "")
+    words = F.array(name, F.when(F.length(core) >= 4, core), F.when(F.length("full_name") >= 3, F.col("full_name")))
+    asked = users.select("user", F.posexplode(words).alias("turn", "word")).where(F.octet_length("word") >= 3)
+    texts = docs.select("key", F.concat_ws("\n", "title", "brand", "body", "url").alias("_text"))
+    asked = asked.withColumn("word", F.lower("word"))
+    hits = contains_alias(texts, "key", "_text", asked.select(F.col("word").alias("brand"), F.col("word").alias("alias")))
+    newest = [F.desc(F.coalesce("published", F.lit(""))), "key"]
+    rows = hits.select("key", F.col("brand").alias("word")).join(docs.drop("brand", "body"), "key")
+    top = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("word").orderBy(*newest))).where(F.col("_rank") <= per_word)
+    mine = top.join(asked, "word")
+    order = ["turn", "_rank"]
+    once = mine.withColumn("_copy", F.row_number().over(Window.partitionBy("user", "kind", "title").orderBy(*order))).where("_copy = 1")
+    place = F.row_number().over(Window.partitionBy("user").orderBy(*order))
+    return once.withColumn("place", place).where(F.col("place") <= most).select("user", "kind", "title", "published", "url", "place")
