@@ -91,3 +91,90 @@ def capped_edges(edges: DataFrame, cap: int) -> DataFrame:
         todo = state.where((F.col("before") >= cap) & (F.col("accepted") < cap)).select("a", "b", "rank")
         if not todo.limit(1).count():
             return taken
+
+
+#: How a stage may be handed out, and what it may do.
+DISPATCH_MODES = ("", "auto", "manual", "hub")
+ACTION = "^(|read|platform_write:.+)$"
+
+
+def _paths(stages: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (graph, up, down) between stages that exist, and all (graph, node, reach) along them, written."""
+    known = stages.select("graph", "node")
+    edges = deps.select("graph", F.col("needs").alias("up"), F.col("node").alias("down")).distinct()
+    edges = edges.join(known.withColumnRenamed("node", "up"), ["graph", "up"], "left_semi").join(known.withColumnRenamed("node", "down"), ["graph", "down"], "left_semi")
+    edges = materialize(edges, "edges")
+    pairs = closure(edges.select(F.struct("graph", F.col("up").alias("node")).alias("up"), F.struct("graph", F.col("down").alias("node")).alias("down")))
+    return edges, pairs.select("node.graph", F.col("node.node").alias("node"), F.col("reach.node").alias("reach"))
+
+
+def _places(stages: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """stages with entry, terminal, in_cycle and reached (an entry leads there)."""
+    flag = lambda df, n: df.distinct().withColumn(n, F.lit(True))
+    ends = stages.join(flag(edges.select("graph", F.col("down").alias("node")), "_needs"), ["graph", "node"], "left").join(flag(edges.select("graph", F.col("up").alias("node")), "_led"), ["graph", "node"], "left")
+    ends = ends.withColumn("entry", F.col("_needs").isNull()).withColumn("terminal", F.col("_led").isNull())
+    led = paths.join(ends.where("entry").select("graph", "node"), ["graph", "node"], "left_semi").select("graph", F.col("reach").alias("node"))
+    loops = paths.where("node = reach").select("graph", "node")
+    rows = ends.join(flag(led, "_from"), ["graph", "node"], "left").join(flag(loops, "_loop"), ["graph", "node"], "left")
+    return rows.withColumn("in_cycle", F.col("_loop").isNotNull()).withColumn("reached", F.col("entry") | F.col("_from").isNotNull()).drop("_needs", "_led", "_from", "_loop")
+
+
+def definition_checks(definitions: DataFrame, stages: DataFrame, deps: DataFrame, gates: DataFrame, roles: DataFrame) -> DataFrame:
+    """graph, check and ok: ten checks of each definition (graph, hub_role).
+
+    stages are (graph, node, per_item, is_merge, instructions, self_check, acceptance, action, mode, sla, ack, idle), deps
+    (graph, node, needs), gates (graph, role), roles (role, management).
+    """
+    stages = stages.dropDuplicates(["graph", "node"])
+    edges, paths = _paths(stages, deps)
+    merges = stages.where("is_merge").select("graph", F.col("node").alias("reach"))
+    joined = paths.join(merges, ["graph", "reach"], "left_semi").select("graph", "node").distinct().withColumn("_merged", F.lit(True))
+    rows = _places(stages, edges, paths).join(joined, ["graph", "node"], "left")
+    told = F.lit(True)
+    for text in ("instructions", "self_check", "acceptance"):
+        told = told & (F.trim(F.coalesce(text, F.lit(""))) != "")
+    timed = F.coalesce("mode", F.lit("")).isin(*DISPATCH_MODES) & (F.least(*(F.coalesce(n, F.lit(0)) for n in ("sla", "ack", "idle"))) >= 0)
+    of_stages = {
+        "acyclic": F.bool_and(~F.col("in_cycle")),
+        "entry_reaches_all": F.bool_or("entry") & F.bool_and("reached"),
+        "ends_reached": F.bool_and(~F.col("terminal") | F.col("reached")),
+        "texts_present": F.bool_and(told),
+        "has_stage": F.count("*") > 0,
+        "actions_valid": F.bool_and(F.coalesce("action", F.lit("")).rlike(ACTION)),
+        "modes_valid": F.bool_and(timed),
+        "items_merge": F.bool_and(~F.coalesce("per_item", F.lit(False)) | F.col("_merged").isNotNull()),
+    }
+    found = rows.groupBy("graph").agg(*(v.alias(k) for k, v in of_stages.items()))
+    known = roles.select("role", "management")
+    gate = gates.join(known, "role", "left").groupBy("graph").agg(F.bool_and(F.col("management").isNotNull()).alias("reviewers_exist"))
+    every = definitions.join(known.withColumnRenamed("role", "hub_role"), "hub_role", "left").join(found, "graph", "left").join(gate, "graph", "left")
+    absent = {"has_stage": False, "entry_reaches_all": False}
+    checks = [(k, F.coalesce(k, F.lit(absent.get(k, True)))) for k in (*of_stages, "reviewers_exist")] + [("hub_manages", F.coalesce("management", F.lit(False)))]
+    return every.select("graph", F.inline(F.array(*(F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks))))
+
+
+def placed_stages(stages: DataFrame, deps: DataFrame) -> DataFrame:
+    """graph, node, layer, entry, terminal and in_cycle of stages (graph, node, seq).
+
+    layer is the longest path from an entry; in a graph with a cycle it is the place by seq instead.
+    """
+    stages = stages.dropDuplicates(["graph", "node"])
+    edges, paths = _paths(stages, deps)
+    rows = materialize(_places(stages, edges, paths), "places")
+    cyclic = rows.where("in_cycle").select("graph").distinct()
+    sound = edges.join(cyclic, "graph", "left_anti")
+    key = lambda n: F.struct("graph", F.col(n).alias("node")).alias(n)
+    depth = layers(sound.select(key("up"), key("down"))).select("node.graph", F.col("node.node").alias("node"), F.col("layer").alias("_depth"))
+    order = F.row_number().over(Window.partitionBy("graph").orderBy("seq", "node")) - 1
+    rows = rows.withColumn("_order", order).join(depth, ["graph", "node"], "left").join(cyclic.withColumn("_cyclic", F.lit(True)), "graph", "left")
+    layer = F.when(F.col("_cyclic"), F.col("_order")).otherwise(F.coalesce("_depth", F.lit(0)))
+    return rows.select("graph", "node", layer.alias("layer"), "entry", "terminal", "in_cycle")
+
+
+def definition_diff(base: DataFrame, new: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """key, change (added, removed, changed) and the array fields of those that differ; rows that are the same don't come back."""
+    old = base.select(*key, F.struct(*fields).alias("_a"))
+    both = old.join(new.select(*key, F.struct(*fields).alias("_b")), key, "full")
+    apart = F.array_compact(F.array(*(F.when(~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), F.lit(f)) for f in fields)))
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.size(apart) > 0, "changed")
+    return both.select(*key, change.alias("change"), F.when(change == "changed", apart).otherwise(F.array().cast("array<string>")).alias("fields")).where("change IS NOT NULL")

@@ -226,3 +226,23 @@ def sample_pairs(rows: DataFrame, key: str, account: str, brand: str, n: int, bu
         drawn = pairs.orderBy(order, "i", "j").limit(n)
         every = drawn if every is None else every.unionByName(drawn)
     return every
+
+
+def memory_picks(asked: DataFrame, cases: DataFrame, sims: DataFrame, per_decision: int = 3, cross: int = 2, least: float = 0.30) -> DataFrame:
+    """asked, case and cross_brand: earlier cases shown beside each request (asked, brand, url; one row for each of its brands).
+
+    Cases (case, brand, url, decision, place) of one of its brands come first, up to per_decision of those adopted and of
+    the others; then the most similar ones of other brands by sims (asked, case, sim), up to `cross` of each kind and
+    while the first limit has room. A request's own address is left out.
+    """
+    rows = cases.withColumn("kind", F.col("decision") == "adopted")
+    brands = asked.select("asked", "brand").distinct()
+    urls = asked.select("asked", F.col("url").alias("_own")).distinct()
+    other = (F.coalesce("_own", F.lit("")) == "") | ~F.col("url").eqNullSafe(F.col("_own"))
+    own = brands.where("trim(brand) <> ''").join(rows, "brand").join(urls, "asked").where(other).select("asked", "case", "kind", "place")
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("asked", "kind").orderBy("place", "case"))).where(F.col("_n") <= per_decision)
+    held = first.groupBy("asked", "kind").agg(F.count("*").alias("held"))
+    near = sims.where(F.col("sim") >= least).join(rows, "case").join(brands, ["asked", "brand"], "left_anti").join(urls, "asked").where(other)
+    best = near.withColumn("_n", F.row_number().over(Window.partitionBy("asked", "kind").orderBy(F.desc("sim"), "place", "case"))).where(F.col("_n") <= cross)
+    more = best.join(held, ["asked", "kind"], "left").where(F.col("_n") + F.coalesce("held", F.lit(0)) <= per_decision)
+    return first.select("asked", "case", F.lit(False).alias("cross_brand")).unionByName(more.select("asked", "case", F.lit(True).alias("cross_brand")))
