@@ -29,8 +29,8 @@ def _(t):
 
 
 @query("o031_candidates", """
-SELECT lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '-' || substr(sha256(o_orderkey::VARCHAR), 1, 6) AS candidate_key, epoch_us(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END) AS posted_us,
- CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS likes, string_agg(CASE WHEN l_returnflag = 'N' THEN 'photo' ELSE 'video' END || (r - 1), ',' ORDER BY r) AS media, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS tags
+SELECT lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '-' || substr(sha256(o_orderkey::VARCHAR), 1, 6) AS candidate_key, coalesce(epoch_us(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END), -1) AS posted_us,
+ CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey ELSE -1 END AS likes, string_agg(CASE WHEN l_returnflag = 'N' THEN 'photo' ELSE 'video' END || (r - 1), ',' ORDER BY r) AS media, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS tags
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS r FROM lineitem) ON l_orderkey = o_orderkey GROUP BY o_orderkey, c_name, o_custkey, o_orderdate, o_orderpriority""")
 def _(t):
     k = F.col("o_orderkey")
@@ -44,7 +44,7 @@ def _(t):
         F.array(F.lit(""), F.when(k % 2 == 0, F.col("o_orderpriority"))).alias("tags"), F.array().cast("array<string>").alias("hashtags"))
     out = records.candidates(raw, "orders")
     names = F.array_join(F.transform("media", lambda m: F.concat(m["kind"], m["ordinal"].cast("string"))), ",")
-    return out.select("candidate_key", F.unix_micros("posted_at").alias("posted_us"), "likes", names.alias("media"), F.array_join("tags", ",").alias("tags"))
+    return out.select("candidate_key", F.coalesce(F.unix_micros("posted_at"), F.lit(-1)).alias("posted_us"), F.coalesce("likes", F.lit(-1)).alias("likes"), names.alias("media"), F.array_join("tags", ",").alias("tags"))
 
 
 _CONTRAST = r"从[^，。；！？\n]{1,30}?(?:变成|变为|改为|改成|升级为|升级成|转为|转成|进化为|演变为)|告别[^，。；！？\n]{1,20}|不再(?:只)?是"

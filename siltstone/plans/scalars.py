@@ -149,14 +149,27 @@ def _(t):
     return t.pages.select("page_id", F.array_join(X.urls_in(text), " ").alias("urls"))
 
 
-@query("o135_needs_translation", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) >= 20 AS needs FROM documents")
+#: What texts begin with, dealt out by id, so that all scripts occur.
+_SCRIPTS = ("", "これはペンです", "이것은 책", "这是一本书", "汉字" * 60)
+
+
+def _scripted(t):
+    """Whole documents behind a text in one of the scripts."""
+    start = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("doc_id") % len(_SCRIPTS) + 1).cast("int"))
+    return t.documents.select("doc_id", F.concat(start, "text").alias("text"))
+
+
+_SCRIPTED = f"x AS (SELECT doc_id, ({list(_SCRIPTS)})[doc_id % {len(_SCRIPTS)} + 1] || text AS text FROM documents)"
+
+
+@query("o135_needs_translation", f"WITH {_SCRIPTED} SELECT doc_id, regexp_matches(text, '[぀-ヿㇰ-ㇿｦ-ﾝ]') OR len(regexp_extract_all(text, '[A-Za-z]')) >= 20 AND len(regexp_extract_all(text, '[A-Za-z]')) > len(regexp_extract_all(text, '[㐀-䶿一-鿿]')) AS needs FROM x")
 def _(t):
-    return t.documents.select("doc_id", X.needs_translation(F.col("text")).alias("needs"))
+    return _scripted(t).select("doc_id", X.needs_translation(F.col("text")).alias("needs"))
 
 
-@query("o136_language_bucket", "SELECT doc_id, 'en' AS lang_bucket FROM documents")
+@query("o136_language_bucket", f"WITH {_SCRIPTED} SELECT doc_id, CASE WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS lang_bucket FROM x")
 def _(t):
-    return t.documents.select("doc_id", X.language_bucket(F.col("text")).alias("lang_bucket"))
+    return _scripted(t).select("doc_id", X.language_bucket(F.col("text")).alias("lang_bucket"))
 
 
 @query("o137_heat_note", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey || ' likes · ' || o_orderkey || ' comments' WHEN o_orderstatus = 'O' THEN o_orderkey || ' comments' ELSE 'unknown' END AS note FROM orders")
