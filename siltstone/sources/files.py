@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siltstone.functions.text import number
+
 
 def json_lines(spark: SparkSession, path: str, schema: StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with all required fields, and lines (value, reason) that are malformed or lack one; blank lines count as neither."""
@@ -41,6 +43,25 @@ def aliased_csv(spark: SparkSession, path: str, aliases: dict[str, str]) -> Data
     return df.select(*known, raw.alias("raw"))
 
 
+def daily_trend(spark: SparkSession, path: str, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Sums of an account's CSV with one line a day: (name, known, total) for each header, and one row (first, last, flag).
+
+    aliases lead from headers to date, follows, new_follows and unfollows. Cells that aren't numbers don't count, a
+    header without any has no sum. flag is definition_pending where the net differs from new less lost.
+    """
+    df = spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(path)
+    clean = {c: c.strip().lstrip("\ufeff").strip() for c in df.columns}
+    known = {c: aliases.get(n.lower(), "") for c, n in clean.items()}
+    cells = [F.struct(F.lit(clean[c]).alias("name"), F.lit(known[c]).alias("known"), number(F.col(f"`{c}`")).alias("value")) for c in df.columns if known[c] != "date"]
+    cells = F.array(*cells) if cells else F.array().cast("array<struct<name:string,known:string,value:double>>")
+    days = F.coalesce(*(F.col(f"`{c}`") for c in df.columns if known[c] == "date"), F.lit(None).cast("string"))
+    totals = df.select(F.inline(cells)).groupBy("name", "known").agg(F.sum("value").alias("total")).where("total IS NOT NULL")
+    net, new, lost = (F.max(F.when(F.col("known") == k, F.col("total"))) for k in ("follows", "new_follows", "unfollows"))
+    flag = totals.agg(F.when(new - lost != net, "definition_pending").alias("flag"))
+    span = df.agg(F.min(days).alias("first"), F.max(days).alias("last"))
+    return totals, span.unionByName(flag, allowMissingColumns=True).agg(*(F.max(n).alias(n) for n in ("first", "last", "flag")))
+
+
 def in_order(spark: SparkSession, table: DataFrame, key: str, wanted: list) -> DataFrame:
     """The rows of the wanted keys, a short list of the caller's, with their place in it."""
     keys = spark.createDataFrame([(k, i) for i, k in enumerate(wanted)], f"`{key}` {dict(table.dtypes)[key]}, place int")

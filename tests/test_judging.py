@@ -62,3 +62,14 @@ def test_history_against_a_loop(spark):
                     seen.append((d[1], d[2]))
                     want.add((user, d[1], d[2], d[6], len(seen)))
     assert {(r.user, r.kind, r.title, r.published, r.place) for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize("net, flag", [("7", "definition_pending"), ("8", None)])
+def test_daily_trend(spark, tmp_path, net, flag):
+    from siltstone.sources.files import daily_trend
+
+    path = tmp_path / "trend.csv"
+    path.write_text(f"﻿Day,Net,New,Lost,Note\n2024-01-02,{net},\"1,005\",1000,x\n2024-01-01,0,5,2,\n,,,,--\n", encoding="utf-8")
+    totals, summary = daily_trend(spark, str(path), {"day": "date", "net": "follows", "new": "new_follows", "lost": "unfollows"})
+    assert {r.name: r.total for r in totals.collect()} == {"Net": float(net), "New": 1010.0, "Lost": 1002.0}
+    assert [tuple(r) for r in summary.collect()] == [("2024-01-01", "2024-01-02", flag)]
