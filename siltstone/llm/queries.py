@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import html, line_dedup, lm, minhash, mixing, packing, quality, shards, token_files, vectors
+from siltstone.llm import html, line_dedup, lm, minhash, mixing, packing, quality, shards, token_files, url_filter, vectors
 from siltstone.session import scratch_dir
 
 
@@ -68,6 +68,10 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -79,10 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_line_alignment": op9_line_alignment,
     "op10_log_bilinear": op10_log_bilinear,
+    "op11_redirect_equivalence": op11_redirect_equivalence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_repetition_coverage": quality.ORACLE,
     "op7_sharding": shards.ORACLE,
+    "op11_redirect_equivalence": url_filter.ORACLE,
 }
