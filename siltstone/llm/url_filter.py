@@ -5,7 +5,7 @@ Everything is DataFrame functions: no Python runs on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
@@ -52,14 +52,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _without_dots(path: Column) -> Column:
     """The path with its . and .. segments carried out."""
-    parts = F.split(path, "/", -1)
-    last = F.element_at(parts, -1)
-    closed = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
     up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
     step = lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
-    return F.when(F.contains(path, F.lit("/.")), F.array_join(F.aggregate(closed, F.expr("cast(array() as array<string>)"), step), "/")).otherwise(path)
+    closed = lambda parts: F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    done = F.array_join(F.aggregate(_let(F.split(path, "/", -1), closed), F.expr("cast(array() as array<string>)"), step), "/")
+    return F.when(F.contains(path, F.lit("/.")), done).otherwise(path)
 
 
 def node_of(url: Column) -> Column:
@@ -68,28 +72,33 @@ def node_of(url: Column) -> Column:
     Null for null and for what has no scheme and host. A query stays, as it may name another page; http and https, and
     hosts with and without www, are told apart unless an edge joins them.
     """
-    scheme = _lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    path = path_of(url)
-    full = F.when(path == "", F.lit("/")).otherwise(_without_dots(path))
-    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when((scheme != "") & (host_of(url) != ""), F.concat(scheme, F.lit("://"), host_of(url), full, query))
+
+    def form(u: Column) -> Column:
+        scheme = _lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+        path = _let(path_of(u), lambda p: F.when(p == "", F.lit("/")).otherwise(_without_dots(p)))
+        query = F.regexp_extract(_rest(u), r"^[^?#]*(\?[^#]*)", 1)
+        return F.when((scheme != "") & (host_of(u) != ""), F.concat(scheme, F.lit("://"), host_of(u), path, query))
+
+    return _let(url, form)
 
 
 def resolve(target: Column, url: Column) -> Column:
     """The url that a link on the page of url leads to; null for an empty one, a fragment, and where url has no host."""
-    t = F.replace(F.trim(F.regexp_replace(target, r"[\t\n\f\r]", " ")), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     origin = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
-    found = (
-        F.when((t == "") | t.startswith("#"), F.lit(None).cast("string"))
-        .when(t.rlike(ABSOLUTE), t)
-        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
-        .when(t.startswith("/"), F.concat(origin, t))
-        .when(t.startswith("?"), F.concat(origin, path_of(url), t))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), t))
-    )
-    return F.when((scheme != "") | t.rlike(ABSOLUTE), found)
+
+    def lead(t: Column) -> Column:
+        found = (
+            F.when((t == "") | t.startswith("#"), F.lit(None).cast("string"))
+            .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+            .when(t.startswith("/"), F.concat(origin, t))
+            .when(t.startswith("?"), F.concat(origin, path_of(url), t))
+            .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), t))
+        )
+        return F.when(t.rlike(ABSOLUTE), t).when(scheme != "", found)
+
+    return _let(F.replace(F.trim(F.regexp_replace(target, r"[\t\n\f\r]", " ")), F.lit("&amp;"), F.lit("&")), lead)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -100,20 +109,27 @@ def page_edges(pages: DataFrame) -> DataFrame:
     """
     head = F.split(F.regexp_replace(F.coalesce("html", F.lit("")), UNREAD, " "), BODY, 2)[0]
     tags = pages.select("url", F.explode(F.regexp_extract_all(head, F.lit(TAG), F.lit(0))).alias("tag")).where(F.lower("tag").rlike("canonical|refresh"))
-    inner = F.regexp_replace("tag", "^<[A-Za-z]+", "")
-    groups = [F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(k)).alias(f"g{k}") for k in range(1, 5)]
-    tags = tags.select("url", F.lower(F.substring("tag", 2, 4)).alias("kind"), *groups).withColumn("g1", F.transform("g1", F.lower))
-
-    def attribute(name: str) -> Column:
-        at = F.array_position("g1", name)
-        return F.when(at > 0, F.concat(*[F.coalesce(F.get(f"g{k}", at.cast("int") - 1), F.lit("")) for k in (2, 3, 4)])).otherwise("")
-
-    canonical = (F.col("kind") == "link") & F.array_contains(F.split(F.lower(attribute("rel")), r"[ \t\n\f\r]+"), "canonical")
-    refresh = (F.col("kind") == "meta") & (F.lower(F.trim(attribute("http-equiv"))) == "refresh")
-    content = F.concat(*[F.regexp_extract(attribute("content"), REFRESH, k) for k in (1, 2, 3)])
-    target = F.when(canonical, attribute("href")).when(refresh, content)
-    linked = tags.select(node_of(F.col("url")).alias("a"), node_of(resolve(target, F.col("url"))).alias("b"))
-    return linked.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+
+    def target(inner: Column) -> Column:
+        groups = [F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(k)) for k in range(1, 5)]
+        return _let(F.struct(*[g.alias(f"g{k}") for k, g in enumerate(groups, 1)]), chosen)
+
+    def chosen(g: Column) -> Column:
+        names = F.transform(g["g1"], F.lower)
+
+        def attribute(name: str) -> Column:
+            at = lambda n: F.when(n > 0, F.concat(*[F.coalesce(F.get(g[f"g{k}"], n.cast("int") - 1), F.lit("")) for k in (2, 3, 4)])).otherwise("")
+            return _let(F.array_position(names, name), at)
+
+        canonical = (kind == "link") & F.array_contains(F.split(F.lower(attribute("rel")), r"[ \t\n\f\r]+"), "canonical")
+        refresh = (kind == "meta") & (F.lower(F.trim(attribute("http-equiv"))) == "refresh")
+        content = _let(attribute("content"), lambda c: F.concat(*[F.regexp_extract(c, REFRESH, k) for k in (1, 2, 3)]))
+        return F.when(canonical, attribute("href")).when(refresh, content)
+
+    kind = F.lower(F.substring("tag", 2, 4))
+    ends = F.struct(node_of(F.col("url")).alias("a"), node_of(resolve(target(F.regexp_replace("tag", "^<[A-Za-z]+", "")), F.col("url"))).alias("b"))
+    linked = tags.select(F.explode(F.array(ends)).alias("edge"))  # so that no filter takes the expression in again
+    return linked.select("edge.a", "edge.b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def _order(rules: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
