@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialize
+
 #: Partitions whose totals one task of running_total adds up.
 FAN = 1000
 
@@ -46,3 +48,34 @@ def running_total(df: DataFrame, part: str, order: str, value: str | Column, out
     bases = totals.withColumn("_in", inner).join(blocks, "_block").select(part, (F.col("_in") + F.col("_from")).alias("_base"))
     own = F.coalesce(F.sum(value).over(before(Window.partitionBy(part).orderBy(order))), F.lit(0))
     return df.withColumn("_own", own).join(bases, part).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base")
+
+
+def in_order(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """A written table: df with rank (0, 1, 2, ... within each group in the given order), size (the group's rows), and,
+    for each name in sums, the sum of its column over the earlier rows of the group.
+
+    Rows are dealt into ranges of (group, order), so that a group of any size is shared by many tasks, as long as order
+    tells its rows apart. Only counts and sums of each group in each range, few for any group, are carried over; a row
+    meets those of its own range. Null is a group of its own. Rows that order doesn't tell apart take any order.
+    Of equal rows, then, which has which rank is free.
+    """
+    keys = [*[F.col(c).asc_nulls_first() for c in group], *order]
+    sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df.coalesce(1)
+    rows = materialize(sorted_.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sums = sums or {}
+    parts = rows.groupBy("_part", *group).agg(F.count("*").alias("_n"), F.min("_in").alias("_first"), *[F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()])
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # a row for each range that has the group
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("size")]
+    carried += [F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums]
+    named = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
+    bases = parts.select(F.col("_part").alias("_p"), *named, "_first", *carried)
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    own = Window.partitionBy("_part", *group).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_own_{k}": F.coalesce(F.sum(c).over(own), F.lit(0)) for k, c in sums.items()})
+    rank = (F.col("_in") - F.col("_first") + F.col("_base")).alias("rank")
+    totals = [(F.col(f"_own_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums]
+    return materialize(rows.join(bases, same).select(*df.columns, rank, "size", *totals), "ranked")
