@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import html, line_dedup, lm, minhash, mixing, packing, quality, shards, token_files, url_filter, vectors
+from siltstone.llm import alignment, html, line_dedup, lm, merkle, minhash, mixing, packing, quality, shards, token_files, url_filter, vectors
 from siltstone.session import scratch_dir
 
 
@@ -72,6 +72,14 @@ def op11_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.align(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_alignment": op9_line_alignment,
     "op10_log_bilinear": op10_log_bilinear,
     "op11_redirect_equivalence": op11_redirect_equivalence,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op6_repetition_coverage": quality.ORACLE,
     "op7_sharding": shards.ORACLE,
     "op11_redirect_equivalence": url_filter.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
