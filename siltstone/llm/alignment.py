@@ -9,7 +9,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.batches import arrays, map_texts, text_of
 from siltstone.llm.tokens import _LETTERS, encoder, tokenizer_path
 from siltstone.llm.words import _buffers
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -31,8 +32,10 @@ HEAD = 1 << 17
 GATHERED = 1 << 20
 #: Tokens of documents that are taken at a time; one document with more comes alone.
 TOKENS = 1 << 20
-#: Characters of a text that go to the piece tokenizer at once, if it has spaces.
-PART = 1 << 16
+#: Parts of texts whose pieces are remembered.
+REMEMBERED = 100_000
+#: Bytes of text that are aligned at a time; one longer text comes alone.
+SLICE = 1 << 19
 
 SIDES = ("a", "b", "a_in_group", "b_in_group", "link_a", "link_b")
 SCHEMA = "doc_id long, " + ", ".join(f"{x} array<int>" for x in SIDES)
@@ -54,7 +57,12 @@ class ByteLevel:
 
 
 class Pieces:
-    """Ids and bytes of a sentence-piece model that puts a space before each text."""
+    """Ids and bytes of a sentence-piece model that puts a space before each text.
+
+    If no piece of the model goes on after a space that follows something else, a text falls apart at its single
+    spaces, and each part is encoded as if alone: the space that the model puts before it stands for the one cut away.
+    Parts are remembered, up to REMEMBERED of them.
+    """
 
     CUT = re.compile("(?<=[^ ]) (?=[^ ])")
 
@@ -62,30 +70,33 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        self.raw = np.full(size, b"", object)
-        for i in range(size):
-            piece = self.model.id_to_piece(i)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.raw = np.full(len(pieces), b"", object)
+        for i, piece in enumerate(pieces):
             self.raw[i] = bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
-        #: Whether no piece goes on after a space that follows something else: then such spaces part a text.
-        self.parts = not any("▁" in p.lstrip("▁") for p in map(self.model.id_to_piece, range(size)))
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts of a text, without the single space between them, which the model puts before each."""
-        out, start = [], 0
-        while len(text) - start > PART and (m := self.CUT.search(text, start + PART)):
-            out.append(text[start : m.start()])
-            start = m.end()
-        return [*out, text[start:]]
+        self.parts = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._cut(t) if self.parts and len(t) > PART else [t] for t in texts.to_pylist()]
-        ids = self.model.encode([p for own in parts for p in own], num_threads=1)
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for own in ids for x in own), np.int32, int(count.sum()))
-        first = np.cumsum([0, *map(len, parts)])
-        total = np.concatenate([[0], np.cumsum(count)])
-        return flat, total[first[1:]] - total[first[:-1]]
+        flat, count = [], []
+        for text in texts.to_pylist():
+            if not text:
+                parts = []
+            elif not self.parts:
+                parts = [text]
+            elif "  " in text or text[0] == " " or text[-1] == " ":
+                parts = self.CUT.split(text)
+            else:
+                parts = text.split(" ")
+            if new := [p for p in dict.fromkeys(parts) if p not in self.known]:
+                if len(self.known) + len(new) > REMEMBERED:
+                    self.known = {}
+                    new = list(dict.fromkeys(parts))
+                self.known.update(zip(new, map(tuple, self.model.encode(new, num_threads=1)), strict=True))
+            ids = np.fromiter(chain.from_iterable(map(self.known.__getitem__, parts)), np.int32)
+            flat.append(ids)
+            count.append(len(ids))
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(count, np.int64)
 
 
 _open: dict[tuple[str, str], ByteLevel | Pieces] = {}
@@ -120,13 +131,15 @@ def products(n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _ends(n_a)[group] + inner // n_b[group], _ends(n_b)[group] + inner % n_b[group]
 
 
+def _width(side: ByteLevel | Pieces) -> np.ndarray:
+    return np.fromiter(map(len, side.raw), np.int64, len(side.raw))
+
+
 def _whole(side: ByteLevel | Pieces, ids: np.ndarray, count: np.ndarray, raw: bytes, at: np.ndarray) -> np.ndarray:
     """Whether the bytes of each text's tokens are the text's."""
-    joined = side.raw[ids].tolist()
-    token = _ends(count)
-    width = _ends(np.fromiter(map(len, joined), np.int64, len(joined)))[token]
+    width = _ends(_width(side)[ids])[_ends(count)]
     good = np.diff(width) == np.diff(at)
-    joined = b"".join(joined)
+    joined = b"".join(side.raw[ids].tolist())
     if good.all() and joined == raw:
         return good
     return good & np.array([joined[width[i] : width[i + 1]] == raw[at[i] : at[i + 1]] for i in range(len(count))], bool)
@@ -150,8 +163,7 @@ def _align(texts: pa.Array, a: ByteLevel, b: Pieces, links: str) -> list[pa.List
         keep = np.repeat(good, n)
         ids.append(own[keep])
         count.append(np.where(good, n, 0))
-        width = np.fromiter(map(len, side.raw), np.int64, len(side.raw))
-        ends.append(np.cumsum(width[ids[-1]]))
+        ends.append(np.cumsum(_width(side)[ids[-1]]))
     stop, own_a, own_b, closes = intervals(*ends)
     last = _ends(np.where(good, np.diff(at), 0))[1:]
     group_end = stop[closes]
@@ -179,7 +191,7 @@ def align(docs: DataFrame, links: str = "ends", byte_level: str = BYTE_LEVEL, pi
 
     Texts that are null or empty, and those whose tokens don't give back a space and the text in either vocabulary (one
     that holds U+2581, say), have empty lists. Repeated rows are aligned each; columns but doc_id and text are left out.
-    A long text is cut for the piece tokenizer at single spaces, which no piece spans; it is never cut otherwise.
+    The piece tokenizer gets a text in parts at its single spaces, which no piece of its model spans.
     """
     if links not in ("ends", "overlaps", "products"):
         raise ValueError(f"links is {links!r}")
@@ -189,7 +201,7 @@ def align(docs: DataFrame, links: str = "ends", byte_level: str = BYTE_LEVEL, pi
         lists = _align(batch.column(1), _side(ByteLevel, path_a), _side(Pieces, path_b), links)
         return pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", *SIDES])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "text", SCHEMA, work)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "text", SCHEMA, work, SLICE)
 
 
 def _runs(batch: pa.RecordBatch, names: list[str], limit: int) -> Iterator[pa.RecordBatch]:
@@ -215,29 +227,37 @@ def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (b[y].astype(np.int64) << 32) | a[x].astype(np.int64), n
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
-    """a, b and count: how many links of all documents hold each id pair. Tasks add up counts before they are shuffled."""
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """pair and count: how many links of all rows, with pairs and times, hold each pair. Tasks add up before they shuffle."""
 
     def work(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["pair", "n"])
-
-        for batch in batches:
-            for run in _runs(batch, ["link_a"], TOKENS):
-                new, n = np.unique(_pairs(run)[0], return_counts=True)
-                pair, place = np.unique(np.concatenate([held[0], new]), return_inverse=True)
-                held = [pair, np.bincount(place, weights=np.concatenate([held[1], n]), minlength=len(pair)).astype(np.int64)]
-                if len(pair) > GATHERED:
-                    yield out()
-                    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        yield out()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    summed = aligned.select("a", "b", "link_a", "link_b").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
-    return summed.select((F.col("pair") % (1 << 32)).cast("int").alias("a"), F.shiftright("pair", 32).cast("int").alias("b"), "count")
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            pair, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return pair, np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(pair)).astype(np.int64)
 
+        def out(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
+        for batch in batches:
+            for run in _runs(batch, ["pairs"], TOKENS):
+                held.append((_list(run, "pairs")[0], _list(run, "times")[0]))
+                size += len(held[-1][0])
+                if size > 2 * GATHERED:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size > GATHERED:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*summed())
+
+    return rows.select("pairs", "times").mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
+
+
+@lru_cache(1)
 def _digits(size: int) -> np.ndarray:
     """Decimal numbers up to size, with a comma after them, then with a bar, then with a semicolon."""
     return np.array([f"{i}{end}" for end in ",|;" for i in range(size)], object)
@@ -258,52 +278,71 @@ def _spelled(batch: pa.RecordBatch, numbers: np.ndarray) -> list[str]:
     return ["".join(words[i:j])[:-1] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def digest(aligned: DataFrame) -> DataFrame:
-    """n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of an alignment.
+def summaries(docs: DataFrame, links: str = "ends", byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and pairs and times of each row of docs.
+
+    pairs has the distinct linked id pairs of the row in one number each, that of b above, times how many links hold
+    them. All else as in align, whose lists are summed up where they are made and don't leave the task.
+    """
+    path_a, path_b = tokenizer_path(byte_level), tokenizer_path(pieces)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = _side(ByteLevel, path_a), _side(Pieces, path_b)
+        run = pa.RecordBatch.from_arrays(_align(batch.column(1), a, b, links), list(SIDES))
+        n_a, n_b, n_groups = (_list(run, c)[1] for c in ("a", "b", "a_in_group"))
+        sha = [hashlib.sha256(s.encode()).hexdigest() if t else "" for s, t in zip(_spelled(run, _digits(max(len(a.raw), len(b.raw)))), n_a.tolist(), strict=True)]
+        key, n = _pairs(run)
+        doc = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+        own = np.bincount(doc[first], minlength=len(n)).astype(np.int64)
+        columns = [batch.column(0), *map(pa.array, (n_a, n_b, n_groups, n)), pa.array(sha, pa.string()), arrays(key[first], own, pa.int64()), arrays(np.diff(np.append(first, len(key))).astype(np.int32), own, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "text", schema, work, SLICE)
+
+
+def digest(docs: DataFrame, links: str = "ends", byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of docs.
 
     Counts of pairs cover all rows. Frequent pairs, HEAD of them at most by the share of links that they must have, are
     sent to all tasks, which add up a document's counts where it lies. Each of the others has too few links to weigh on
-    a task, and only a document's distinct ones are joined with their counts.
+    a task, and only a document's distinct ones are joined with their counts. Rows as in align: without tokens, zeros
+    and an empty hash.
     """
-    rows = materialize(aligned.withColumn("_at", F.monotonically_increasing_id()), "aligned")
-    counts = materialize(pair_counts(rows), "pair-counts")
-    best = counts.groupBy("b").agg(F.max("count").alias("_top"))  # a row for an id of b, as many as its vocabulary has at most
-    counts = materialize(counts.join(F.broadcast(best), "b").select(F.expr("shiftleft(cast(b as bigint), 32) + a").alias("pair"), "count", (F.col("count") == F.col("_top")).cast("long").alias("best")), "pairs")
+    rows = materialize(summaries(docs, links, byte_level, pieces).withColumn("_at", F.monotonically_increasing_id()), "aligned")
+    sums = materialize(pair_counts(rows), "pair-counts")
+    b = F.shiftright("pair", 32)
+    best = sums.groupBy(b.alias("b")).agg(F.max("count").alias("_top"))  # a row for an id of b, as many as its vocabulary has at most
+    counts = sums.withColumn("b", b).join(F.broadcast(best), "b").select("pair", "count", (F.col("count") == F.col("_top")).cast("long").alias("best"))
+    counts = materialize(counts, "pairs")
+    discard(sums)
     total = counts.agg(F.sum("count")).first()[0] or 0
     frequent = F.col("count") * HEAD >= total
     head = counts.where(frequent).toArrow().sort_by("pair")  # HEAD rows at most, since counts add up to total
     shared = rows.sparkSession.sparkContext.broadcast([head[c].to_numpy() for c in ("pair", "count", "best")])
+    kept = ["_at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def work(batches):
         pair, count, best = shared.value
-        numbers = None
         for batch in batches:
-            for run in _runs(batch, ["a", "b"], TOKENS):
-                if numbers is None:
-                    numbers = _digits(1 << 16)
-                if run.num_rows and (top := max((int(x.max()) for x in (_list(run, "a")[0], _list(run, "b")[0]) if len(x)), default=0)) >= len(numbers) // 3:
-                    numbers = _digits(top + 1)
-                key, n = _pairs(run)
+            for run in _runs(batch, ["pairs"], TOKENS):
+                (key, n), (times, _) = _list(run, "pairs"), _list(run, "times")
                 doc = np.repeat(np.arange(run.num_rows), n)
                 i = np.minimum(np.searchsorted(pair, key), max(len(pair) - 1, 0))
                 known = pair[i] == key if len(pair) else np.zeros(len(key), bool)
-                sums = [np.bincount(doc[known], weights=x[i[known]] if len(x) else [], minlength=run.num_rows).astype(np.int64) for x in (best, count)]
-                rest = np.lexsort((key[~known], doc[~known]))
-                doc_, key_ = doc[~known][rest], key[~known][rest]
-                first = np.flatnonzero(np.concatenate([[True], (doc_[1:] != doc_[:-1]) | (key_[1:] != key_[:-1])])) if len(key_) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(key_)))
-                own = np.bincount(doc_[first], minlength=run.num_rows).astype(np.int64)
-                spelled = _spelled(run, numbers)
-                n_a, n_b, n_groups = (_list(run, c)[1] for c in ("a", "b", "a_in_group"))
-                sha = [hashlib.sha256(s.encode()).hexdigest() if t else "" for s, t in zip(spelled, n_a.tolist(), strict=True)]
-                columns = [run.column(run.schema.get_field_index(c)) for c in ("_at", "doc_id")]
-                columns += [pa.array(x) for x in (n_a, n_b, n_groups, n, *sums, sha)] + [arrays(key_[first], own, pa.int64()), arrays(times, own, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["_at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "_rest", "_times"])
-
-    schema = "_at long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, _rest array<long>, _times array<long>"
-    digests = materialize(rows.mapInArrow(work, schema), "digests")
-    rest = digests.select("_at", F.explode(F.arrays_zip("_rest", "_times")).alias("x")).select("_at", F.col("x._rest").alias("pair"), F.col("x._times").alias("_n"))
+                mine = [np.bincount(doc[known], weights=x[i[known]] * times[known], minlength=run.num_rows).astype(np.int64) for x in (best, count)]
+                own = np.bincount(doc[~known], minlength=run.num_rows).astype(np.int64)
+                columns = [*(run.column(run.schema.get_field_index(c)) for c in kept), *map(pa.array, mine), arrays(key[~known], own, pa.int64()), arrays(times[~known], own, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "n_best", "count_sum", "pairs", "times"])
+
+    schema = "_at long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long, pairs array<long>, times array<int>"
+    digests = materialize(rows.select(*kept, "pairs", "times").mapInArrow(work, schema), "digests")
+    discard(rows)
+    rest = digests.select("_at", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("_at", F.col("x.pairs").alias("pair"), F.col("x.times").alias("_n"))
     rare = rest.join(counts.where(~frequent), "pair").groupBy("_at").agg(F.sum(F.col("_n") * F.col("best")).alias("_best"), F.sum(F.col("_n") * F.col("count")).alias("_count"))
-    out = digests.drop("_rest", "_times").join(rare, "_at", "left")
+    out = digests.drop("pairs", "times").join(rare, "_at", "left")
     more = [(F.col(x) + F.coalesce(y, F.lit(0))).alias(x) for x, y in (("n_best", "_best"), ("count_sum", "_count"))]
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *more, "groups_sha256")

@@ -29,12 +29,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE) -> Iterator[p
         start = stop
 
 
-def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """work on slices of df; it returns a record batch with the columns of schema."""
+def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE) -> DataFrame:
+    """work on slices of df of up to limit bytes of text; it returns a record batch with the columns of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield work(part)
 
     return df.mapInArrow(run, schema)
