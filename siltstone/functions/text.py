@@ -22,6 +22,12 @@ def normalize(text: Column) -> Column:
     return F.translate(F.lower(text), ZERO_WIDTH, "")
 
 
+def alias_tells(alias: Column) -> Column:
+    """Whether an alias is long enough to be looked for: four characters, two with one of the Chinese, Japanese or Korean scripts."""
+    low = normalize(alias)
+    return F.length(low) >= F.when(low.rlike("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿가-힣]"), 2).otherwise(4)
+
+
 def brand_key(name: Column) -> Column:
     """Lower-case letters and digits of any script."""
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")

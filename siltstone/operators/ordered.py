@@ -79,3 +79,37 @@ def in_order(df: DataFrame, group: list[str], order: list[Column], sums: dict[st
     rank = (F.col("_in") - F.col("_first") + F.col("_base")).alias("rank")
     totals = [(F.col(f"_own_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums]
     return materialize(rows.join(bases, same).select(*df.columns, rank, "size", *totals), "ranked")
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False) -> DataFrame:
+    """left with the values of the last row of right with equal `by` whose `at` isn't later (strict: is earlier).
+
+    Null where there is none; of right rows at one `at` the one with the greatest values counts. Both sides, united, are
+    dealt into ranges of (by, at), so that a key of any size is shared by many tasks; each range takes over the last
+    right row before it from the ranges of the same key, of which a row each is compared. Null is a key like others;
+    rows of right with a null `at` are left out, those of left get nothing. Rows of left that are alike stay apart.
+    """
+    kept = [x for x in left.columns if x not in values]
+    mine = F.struct(*[F.col(x) for x in kept]).alias("_left")
+    theirs = F.struct(F.col(at).alias("_w"), *[F.col(x) for x in values]).alias("_right")
+    none = F.lit(None)
+    shape = right.select(theirs).schema["_right"].dataType
+    after, before = (0, 1) if strict else (1, 0)
+    lefts = left.select(*by, F.col(at).alias("_t"), F.lit(after).alias("_side"), mine, none.cast(shape).alias("_right"))
+    rights = right.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_t"), F.lit(before).alias("_side"), none.cast(lefts.schema["_left"].dataType).alias("_left"), theirs)
+    order = [*[F.col(x).asc_nulls_first() for x in by], F.col("_t").asc_nulls_first(), F.col("_side"), F.col("_right")]
+    both = lefts.unionByName(rights)
+    spread = F.xxhash64(F.to_json("_left"))  # so that one time with many rows isn't one range
+    rows = materialize(both.repartitionByRange(*order, spread).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "as-of")
+    rows = rows.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    ends = rows.where("_right IS NOT NULL").groupBy("_part", *by).agg(F.max_by("_right", "_at").alias("_end"))
+    places = rows.select("_part", *by).distinct()
+    same = lambda a, b: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in ["_part", *by]]
+    carried = places.alias("p").join(ends.alias("e"), same("p", "e"), "left").select("p.*", "e._end")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carried = carried.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    own = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("_own", F.last("_right", ignorenulls=True).over(own)).where("_left IS NOT NULL")
+    joined = filled.alias("f").join(carried.alias("c"), same("f", "c")).select("f._left", "f._t", F.coalesce("f._own", "c._carried").alias("_found"))
+    found = F.when(F.col("_t").isNotNull(), F.col("_found"))
+    return joined.select(*[F.col(f"_left.{x}").alias(x) for x in kept], *[found[x].alias(x) for x in values])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
+from siltstone.operators.automata import contains_alias
 from siltstone.operators.joins import join_checked
+from siltstone.operators.neighbours import nearest, similar_pairs  # noqa: F401
+from siltstone.operators.ordered import in_order
 from siltstone.operators.records import top_per_key
 from siltstone.session import materialize
 
@@ -59,100 +60,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def unit(v: Column) -> Column:
-    """The vector at length 1; null if it is null, empty, zero or has null or non-finite parts."""
-    x = F.transform(v, lambda e: e.cast("double"))
-    top = F.array_max(F.transform(x, F.abs))
-    good = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (top > 0)
-    small = F.transform(x, lambda e: e / top)
-    norm = F.sqrt(F.aggregate(small, F.lit(0.0), lambda s, e: s + e * e))
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(small, lambda e: e / norm))
-
-
-#: Queries that are compared with a batch of vectors at a time, and vectors of a batch.
-QUERY_BLOCK = 4096
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id") -> DataFrame:
-    """The k most similar other vectors of each query, exact; ties by key. Vectors without a direction are left out.
-
-    Vectors are brought to length 1 once. The query set is dealt to blocks of some QUERY_BLOCK, each of which meets each
-    batch of vectors in a matrix product; a batch keeps the k best of each query, with what equals the last of them, so
-    that k rows for each query and batch, not all pairs, are shuffled. Few queries are sent to all tasks; the blocks of
-    more meet in one task for each block and part of the vectors.
-    """
-    q = queries.select(F.col(query_key).alias("_id"), unit(F.col("embedding")).alias("_v")).where("_v IS NOT NULL")
-    v = vectors.select(F.col(key).alias("_id"), unit(F.col("embedding")).alias("_v")).where("_v IS NOT NULL")
-    kind = q.schema["_id"].dataType.simpleString()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = 1 if blocks == 1 else 64
-    schema = f"query {kind}, key {v.schema['_id'].dataType.simpleString()}, similarity double"
-
-    def best(ids, x, other, y):
-        s = np.round(x @ y.T, 6)
-        s[np.asarray(ids, object)[:, None] == np.asarray(other, object)[None]] = -np.inf
-        if s.shape[1] > k:
-            s[s < np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]] = -np.inf
-        i, j = np.nonzero(np.isfinite(s))
-        return pd.DataFrame({"query": [ids[a] for a in i], "key": [other[a] for a in j], "similarity": s[i, j]})
-
-    def pairs(ids, x, other, y):
-        """Only vectors of the same length have a similarity."""
-        for n in {len(a) for a in x}:
-            i, j = [a for a, e in enumerate(x) if len(e) == n], [a for a, e in enumerate(y) if len(e) == n]
-            if j:
-                yield best([ids[a] for a in i], np.array([x[a] for a in i]), [other[a] for a in j], np.array([y[a] for a in j]))
-
-    if blocks == 1:
-        rows = q.limit(QUERY_BLOCK).collect()  # QUERY_BLOCK at most
-        shared = vectors.sparkSession.sparkContext.broadcast(([r["_id"] for r in rows], [r["_v"] for r in rows]))
-
-        def run(batches):
-            ids, x = shared.value
-            for b in batches:
-                if len(b):
-                    yield from pairs(ids, x, b["_id"].tolist(), b["_v"].tolist())
-
-        found = v.mapInPandas(run, schema)
-    else:
-        dealt = q.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_id", "_v")
-        other = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int").alias("_part"), "_id", "_v")
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out = list(pairs(left["_id"].tolist(), left["_v"].tolist(), right["_id"].tolist(), right["_v"].tolist())) if len(left) and len(right) else []
-            return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "similarity": []})
-
-        found = dealt.withColumn("_block", F.col("_block").cast("int")).groupBy("_block", "_part").cogroup(other.groupBy("_block", "_part")).applyInPandas(meet, schema)
-    found = found.select(F.col("query").alias(query_key), F.col("key").alias(key), "similarity")
-    return top_per_key(found, [query_key], [F.desc("similarity"), key], k)
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", block: int = 2000) -> DataFrame:
-    """Pairs (i, j, similarity) of vectors whose cosine reaches the threshold; exact, in tiles of two blocks.
-
-    A block holds about `block` vectors by the hash of their key, and only hits leave a tile, whatever the vectors are.
-    Null and zero vectors and those with null or non-finite parts have no pairs.
-    """
-    n = max(1, -(-vectors.count() // block))
-    own = F.pmod(F.xxhash64(key), F.lit(n))
-    rows = vectors.where(F.size("embedding") > 0).select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"), own.alias("own"))
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull())).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    tiles = rows.select("k", "v", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(tile["v"].tolist(), dtype=np.float64)
-        norm = np.sqrt((v * v).sum(axis=1))
-        good = np.isfinite(norm) & (norm > 0)
-        v, k, mine = v[good] / norm[good, None], tile["k"].to_numpy()[good], tile["own"].to_numpy()[good]
-        left, right = mine == tile["a"].iat[0], mine == tile["b"].iat[0]
-        x, y = np.nonzero((s := v[left] @ v[right].T) >= threshold)
-        i, j = k[left][x], k[right][y]
-        once = (i < j) if tile["a"].iat[0] == tile["b"].iat[0] else np.ones(len(i), dtype=bool)
-        return pd.DataFrame({"i": np.minimum(i, j)[once], "j": np.maximum(i, j)[once], "s": s[x, y][once]})
-
-    return tiles.groupBy("a", "b").applyInPandas(compare, "i long, j long, s double").select("i", "j", F.round("s", 4).alias("similarity"))
-
-
 def reciprocal_ranks(routes: list[DataFrame], group: list[str], key: str, limit: int, base: int = 60) -> DataFrame:
     """Fuse ranked lists: the sum of 1 / (base + rank) over the routes, ties by key."""
     every = routes[0].select(*group, key, "rank")
@@ -170,41 +77,11 @@ def merge_routes(routes: list[DataFrame], group: list[str], key: str) -> DataFra
         every = own if every is None else every.unionByName(own)
     merged = every.groupBy(*group, key).agg(F.count("*").alias("routes"), F.min("rank").alias("best"), F.min("route").alias("route"))
     single = F.col("routes") == 1
-    turn = F.row_number().over(Window.partitionBy(*group, F.when(single, F.col("route")).otherwise(-1)).orderBy("best", key))
-    merged = merged.withColumn("_turn", F.when(single, turn))
-    order = [F.when(single, 1).otherwise(0), F.when(~single, -F.col("routes")), F.when(~single, F.col("best")), F.col("_turn"), F.when(single, F.col("route")), key]
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return merged.select(*group, key, "routes", place.alias("place"))
-
-
-#: Aliases up to which every text is searched for each of them.
-SMALL_ALIASES = 20_000
-
-
-def contains_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """For each text and brand the longest alias in it; aliases (brand, alias) are counted first.
-
-    Few aliases are broadcast and looked for one by one. Many are joined on the first four letters or digits of their
-    first word, which some word of the text has to hold, and then looked for; those without any, which are none but
-    signs, are looked for one by one in either case, in blocks of SMALL_ALIASES. So both ways give the same rows.
-    """
-    aliases = aliases.select("brand", "alias").where("alias IS NOT NULL").distinct()
-    found = lambda some: texts.select(key, text).join(F.broadcast(some), F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
-    if aliases.count() <= SMALL_ALIASES:
-        hit = found(aliases)
-    else:
-        start = F.substring(F.regexp_extract(F.lower(F.col("alias")), r"[\p{L}\p{N}]+", 0), 1, 4)
-        keyed = materialize(aliases.withColumn("_gram", start), "aliases")
-        words = texts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("_word"))
-        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_word")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.col("_word").substr(i, n))))
-        near = words.select(key, F.explode(F.array_distinct(grams)).alias("_gram")).distinct().join(keyed.where("_gram <> ''"), "_gram").select(key, "brand", "alias").distinct()
-        hit = texts.select(key, text).join(near, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col("alias"))))
-        signs = keyed.where("_gram = ''").select("brand", "alias")
-        blocks = -(-signs.count() // max(SMALL_ALIASES, 1))
-        for k in range(blocks):
-            some = signs.where(F.pmod(F.xxhash64("brand", "alias"), F.lit(blocks)) == k)
-            hit = hit.unionByName(found(some))
-    return hit.groupBy(key, "brand").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("alias"))
+    lanes = merged.withColumn("_lane", F.when(single, F.col("route")).otherwise(-1))
+    turns = in_order(lanes, [*group, "_lane"], [F.col("best").asc(), F.col(key).asc()]).withColumn("_turn", F.when(single, F.col("rank")))
+    order = [F.when(single, 1).otherwise(0), F.when(~single, -F.col("routes")), F.when(~single, F.col("best")), F.col("_turn"), F.when(single, F.col("route")), F.col(key)]
+    placed = in_order(turns.select(*group, key, "routes", "best", "route", "_turn"), group, [x.asc() for x in order])
+    return placed.select(*group, key, "routes", (F.col("rank") + 1).alias("place"))
 
 
 def history_hits(users: DataFrame, docs: DataFrame, per_word: int = 5, most: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import flow, records
+from siltstone.operators import flow, ordered, records
 from siltstone.plans.registry import query
 
 c = F.col
@@ -85,8 +85,8 @@ def _(t):
 
 @query("o088_judging_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY quality * 2 + toxic DESC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
 def _(t):
-    w = Window.partitionBy("lang").orderBy((c("quality") * 2 + c("toxic")).desc_nulls_last(), "doc_id")
-    return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").select("doc_id", F.row_number().over(w).alias("place"))
+    rows = t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").select("doc_id", "lang", (c("quality") * 2 + c("toxic")).alias("worth"))
+    return ordered.in_order(rows, ["lang"], [c("worth").desc_nulls_last(), c("doc_id").asc()]).select("doc_id", (c("rank") + 1).alias("place"))
 
 
 @query("o090_pin_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'P'")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import flow, graph, records, search
+from siltstone.operators import flow, graph, ordered, records, search
 from siltstone.plans.registry import query
 from siltstone.session import materialize
 
@@ -100,9 +100,12 @@ def _(t):
     return records.fallback_join(left, right, ["nation", "seg"], ["nation"], {"seg": "MACHINERY"}, ["found"]).fillna(-1, ["found"])
 
 
-@query("o053_alias_in_text", "SELECT doc_id, brand, max(alias) AS alias FROM documents JOIN (SELECT n_name AS brand, lower(substr(n_name, 1, 5)) AS alias FROM nation) ON contains(lower(text), alias) GROUP BY ALL")
+@query("o053_alias_in_text", f"""SELECT doc_id, brand, max(struct_pack(n := length(alias), a := alias)).a AS alias FROM documents JOIN (SELECT DISTINCT item_id::VARCHAR AS brand, array_to_string(string_split(text, ' ')[1:3], ' ') AS alias FROM benchmark)
+ON contains(translate(lower(text), '{X.ZERO_WIDTH}', ''), translate(lower(alias), '{X.ZERO_WIDTH}', '')) GROUP BY ALL""")
 def _(t):
-    return search.contains_alias(t.documents, "doc_id", "text", t.nation.select(c("n_name").alias("brand"), F.lower(F.substring("n_name", 1, 5)).alias("alias")))
+    """The first three words of each item, as an alias of several words."""
+    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return search.contains_alias(t.documents, "doc_id", "text", t.benchmark.select(c("item_id").cast("string").alias("brand"), first.alias("alias")))
 
 
 @query("o054_similar_pairs", """SELECT i, j, round(s, 4) AS similarity FROM (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE s >= 0.7""")
@@ -242,16 +245,15 @@ def _(t):
 
 @query("o074_quantile_index", "SELECT event_type, list_sort(list(value))[(0.9 * count(*))::DECIMAL(18,4)::BIGINT * 0 + least(floor(count(*) * 9 / 10)::BIGINT, count(*) - 1) + 1] AS p90 FROM events GROUP BY 1")
 def _(t):
-    """The value at the place floor(0.9 n), by rank, so that no group has to fit into one list."""
-    n = F.count("*").over(Window.partitionBy("event_type"))
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")) - 1
-    rows = t.events.select("event_type", "value", rank.alias("r"), n.alias("n"))
-    return rows.where(c("r") == F.least(F.floor(c("n") * 9 / 10), c("n") - 1)).select("event_type", c("value").alias("p90"))
+    """The value at the place floor(0.9 n), by rank, so that no group has to fit into one list or task."""
+    rows = ordered.in_order(t.events.select("event_type", "value", "event_id"), ["event_type"], [c("value").asc(), c("event_id").asc()])
+    return rows.where(c("rank") == F.least(F.floor(c("size") * 9 / 10), c("size") - 1)).select("event_type", c("value").alias("p90"))
 
 
 @query("o076_token_budget", "SELECT doc_id, spent >= 20000 AS over FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS spent FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", (F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id")) >= 20000).alias("over"))
+    rows = ordered.in_order(t.documents.select("source", "doc_id", "n_chars"), ["source"], [c("doc_id").asc()], {"spent": c("n_chars")})
+    return rows.select("doc_id", (F.coalesce(c("spent"), F.lit(0)) + F.coalesce(c("n_chars"), F.lit(0)) >= 20000).alias("over"))
 
 
 @query("o078_keep_first", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -311,7 +313,8 @@ def _(t):
     tier = F.when((c("quality") == 1) & (c("toxic") == 0), 0).when(c("quality") == 1, 1).when(c("quality").isNull(), 2).otherwise(3)
     heat = F.floor(F.coalesce("n_chars", F.lit(0)) / 1000.0 * 10)
     rows = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id", "left")
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(tier, heat.desc(), "doc_id")).cast("long").alias("place"))
+    placed = ordered.in_order(rows.select("doc_id", "lang", tier.alias("tier"), heat.alias("heat")), ["lang"], [c("tier").asc(), c("heat").desc(), c("doc_id").asc()])
+    return placed.select("doc_id", (c("rank") + 1).alias("place"))
 
 
 @query("o087_newest_nulls_last", "SELECT o_orderkey FROM orders ORDER BY CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END DESC NULLS LAST, o_orderkey LIMIT 50")
@@ -415,8 +418,8 @@ SELECT g, k, routes, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN routes
 def _(t):
     e = t.embeddings.select(c("label").alias("g"), c("vec_id").alias("k"))
     docs = t.documents.select(c("doc_id").alias("k"), "lang", "n_chars")
-    lists = [(t.labels.where("quality = 1").select(c("doc_id").alias("k")), ["k"]), (docs.where("lang = 'en'"), [F.desc("k")]), (docs.where("n_chars > 1000"), [F.desc("n_chars"), "k"])]
-    routes = [e.join(d, "k").withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*o))) for d, o in lists]
+    lists = [(t.labels.where("quality = 1").select(c("doc_id").alias("k")), [F.asc("k")]), (docs.where("lang = 'en'"), [F.desc("k")]), (docs.where("n_chars > 1000"), [F.desc("n_chars"), F.asc("k")])]
+    routes = [ordered.in_order(e.join(d, "k"), ["g"], o).withColumn("rank", c("rank") + 1) for d, o in lists]
     return search.merge_routes(routes, ["g"], "k")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import records, search
+from siltstone.operators import ordered, records, search
 from siltstone.plans.registry import query
 
 c = F.col
@@ -50,12 +50,12 @@ def _aliases(t):
 
 @query("o099_alias_match", f"SELECT doc_id, brand, max(struct_pack(n := length(alias), a := alias)).a AS alias FROM documents JOIN {_ALIAS} ON length(alias) >= 4 AND contains(lower(text), alias) GROUP BY ALL")
 def _(t):
-    return search.contains_alias(t.documents, "doc_id", "text", _aliases(t).where(F.length("alias") >= 4))
+    return search.contains_alias(t.documents, "doc_id", "text", _aliases(t).where(X.alias_tells(c("alias"))))
 
 
 @query("o179_dominant_brand", f"SELECT doc_id, min(struct_pack(n := -length(alias), b := brand)).b AS brand FROM documents JOIN {_ALIAS} ON length(alias) >= 4 AND contains(lower(text), alias) GROUP BY 1")
 def _(t):
-    hits = search.contains_alias(t.documents, "doc_id", "text", _aliases(t).where(F.length("alias") >= 4))
+    hits = search.contains_alias(t.documents, "doc_id", "text", _aliases(t).where(X.alias_tells(c("alias"))))
     return hits.groupBy("doc_id").agg(F.min_by("brand", F.struct(-F.length("alias"), "brand")).alias("brand"))
 
 
@@ -88,8 +88,8 @@ def _(t):
 @query("o108_rerank", "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY quality * 10 + toxic DESC NULLS LAST, vec_id) AS place FROM embeddings LEFT JOIN labels ON doc_id = vec_id")
 def _(t):
     scores = t.labels.select(c("doc_id").alias("vec_id"), (c("quality") * 10 + c("toxic")).alias("score"))
-    w = Window.partitionBy("label").orderBy(F.desc_nulls_last("score"), "vec_id")
-    return t.embeddings.select("vec_id", "label").join(scores, "vec_id", "left").select("vec_id", F.row_number().over(w).alias("place"))
+    rows = t.embeddings.select("vec_id", "label").join(scores, "vec_id", "left")
+    return ordered.in_order(rows, ["label"], [c("score").desc_nulls_last(), c("vec_id").asc()]).select("vec_id", (c("rank") + 1).alias("place"))
 
 
 @query("o109_kind_completion", """WITH k AS (SELECT n_nationkey AS nation, kind FROM nation, (SELECT DISTINCT c_mktsegment AS kind FROM customer)), p AS (SELECT c_nationkey AS nation, c_mktsegment AS kind, max(struct_pack(b := c_acctbal, k := -c_custkey)).k * -1 AS best FROM customer WHERE c_acctbal > 8000 GROUP BY ALL),

@@ -1,9 +1,11 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import flow, records, search
+from siltstone.operators import flow, neighbours, records, search
 
 
 def test_weight_batches_fill_in_turn_and_keep_heavy_ones_alone(spark):
@@ -46,14 +48,16 @@ def test_many_aliases_give_the_same_hits(spark, monkeypatch):
     assert small == [(1, "k", "a Kind"), (1, "r", "field-ring"), (2, "w", "and wander")]
 
 
-def test_similar_pairs_in_tiles_match_brute_force(spark):
+def test_similar_pairs_in_cells_match_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 4))
     rows = [(i, [float(x) for x in v[i]]) for i in range(60)] + [(60, None), (61, [0.0] * 4), (62, [float("nan"), 1.0, 0.0, 0.0]), (63, [None, 1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     n = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if n[i] @ n[j] >= 0.8}
-    got = search.similar_pairs(df, 0.8, block=7).collect()
+    monkeypatch.setattr(neighbours.Cells.__init__, "__defaults__", (5,))
+    monkeypatch.setattr(neighbours, "TILE_BYTES", 8 * 4 * 6)
+    got = search.similar_pairs(df, 0.8).collect()
     assert {(r.i, r.j) for r in got} == want and len(got) == len(want)
     assert search.similar_pairs(df.limit(0), 0.8).count() == 0
 
@@ -94,12 +98,32 @@ def test_nearest_leaves_out_vectors_without_direction(spark, monkeypatch):
         if q < 20:
             best = sorted(((-round(float(good[q] @ x), 6) + 0.0, k) for k, x in good.items() if k != q))[:5]
             want += [(q, k, round(-s, 6), r) for r, (s, k) in enumerate(best, 1)]
-    for size in (4096, 7):
-        monkeypatch.setattr(search, "QUERY_BLOCK", size)
-        got = search.nearest(df.where("vec_id < 20 OR vec_id = 50").selectExpr("vec_id AS query_id", "embedding"), df, 5).select("query_id", "vec_id", "similarity", "rank").collect()
+    monkeypatch.setattr(neighbours.Cells.__init__, "__defaults__", (6,))
+    monkeypatch.setattr(neighbours, "TILE_BYTES", 8 * 3 * 5)
+    for size in (None, 0):
+        got = search.nearest(df.where("vec_id < 20 OR vec_id = 50").selectExpr("vec_id AS query_id", "embedding"), df, 5, query_bytes=size).select("query_id", "vec_id", "similarity", "rank").collect()
         assert sorted((r[0], r[1], round(r[2], 6) + 0.0, r[3]) for r in got) == sorted((a, b, s + 0.0, r) for a, b, s, r in want)
 
 
+@pytest.mark.parametrize("query_bytes", [None, 0])
+def test_nearest_of_clusters_and_copies_at_2048_dimensions(spark, query_bytes):
+    """Every vector is a query; a third are copies of one; ids are strings; the time of a dimension doesn't grow with it."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 2048))
+    x = centres[rng.integers(0, 6, 90)] + 0.3 * rng.normal(size=(90, 2048))
+    x[30:60] = x[30]
+    df = spark.createDataFrame([(f"v{k:03d}", v.tolist()) for k, v in enumerate(x)], "vec_id string, embedding array<double>")
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(n @ n.T, 6)
+    want = []
+    for q in range(90):
+        want += [(f"v{q:03d}", f"v{k:03d}", r) for r, (_, k) in enumerate(sorted((-s[q, k], k) for k in range(90) if k != q)[:4], 1)]
+    began = time.time()
+    got = search.nearest(df.selectExpr("vec_id AS query_id", "embedding"), df, 4, query_bytes=query_bytes).collect()
+    assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == want
+    assert time.time() - began < 60
+
+
 def test_pictures_take_the_nearest_free_one(spark):
     import random
 

@@ -1,6 +1,6 @@
 import pytest
 
-from siltstone.plans import definitions, judging, ledger, relational, retrieval, scalars  # noqa: F401
+from siltstone.plans import definitions, engine, judging, ledger, relational, retrieval, scalars  # noqa: F401
 from siltstone.plans.registry import ORACLES, QUERIES
 from tests.conftest import SF
 
