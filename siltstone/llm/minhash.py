@@ -253,19 +253,21 @@ def _plausible_in_tiles(members: DataFrame, plausible: float) -> DataFrame:
     """Members with a plausible partner of another label: tile, node, partners, listed on one of both sides, and best, the
     partner whose coordinates agree most often, with the share of these as score.
 
-    members has key, band, n, node, label and sig. A bucket of n members is cut into blocks of some BLOCK_MEMBERS, each
+    members has key, band, n, node, label, sig and bands. A bucket of n members is cut into blocks of some BLOCK_MEMBERS, each
     two of which meet in a tile; so a task holds two blocks at a time, and no rows are made for pairs. A pair that
-    shares several buckets is listed in that of its first common band.
+    shares several buckets is listed in that of its first common key among the bands' keys: coordinates in a signature
+    are shorter and may agree by chance where the keys don't.
     """
     cuts = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
     placed = members.withColumn("own", F.pmod(F.xxhash64("node"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "sig", "own")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "sig", "own", "bands")
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def work(batches):
         for rows in _groups(batches, 3):
             i, j, band = rows[0][1:4]
             node, label, own = (np.array([r[k] for r in rows]) for k in (4, 5, 7))
+            bands = np.array([r[8] for r in rows])
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             partners: dict[int, list[int]] = {}
             best: dict[int, tuple[float, int]] = {}
@@ -277,8 +279,7 @@ def _plausible_in_tiles(members: DataFrame, plausible: float) -> DataFrame:
                 if i == j:
                     ok &= node[some][:, None] < node[right][None]
                 x, y = np.nonzero(ok)
-                common = equal[x, y].reshape(len(x), BANDS, ROWS).all(axis=2)
-                first = common.argmax(axis=1) == band
+                first = (bands[some[x]] == bands[right[y]]).argmax(axis=1) == band
                 for u, v, z in zip(some[x[first]].tolist(), right[y[first]].tolist(), share[x[first], y[first]].tolist(), strict=True):
                     partners.setdefault(u, []).append(int(node[v]))
                     partners.setdefault(v, [])
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, plausible:
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     at = labelled.join(open_, "key", "left_semi").groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "band", "n")).alias("at"))  # BANDS at most
-    rest = at.join(sigs, "node").select("node", "label", "sig", F.explode("at").alias("at")).select("at.*", "node", "label", "sig")
+    rest = at.join(nodes.select("node", "sig", "bands"), "node").select("node", "label", "sig", "bands", F.explode("at").alias("at")).select("at.*", "node", "label", "sig", "bands")
     tiles = _plausible_in_tiles(rest, plausible)
     discard(members, buckets)
     near = tiles.groupBy("node").agg(F.max_by("best", F.struct("score", "best")).alias("a")).select("a", F.col("node").alias("b"))
