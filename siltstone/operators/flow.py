@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize
+from siltstone.session import discard, materialize
 
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -66,31 +67,67 @@ def stalled(runs: DataFrame, tasks: DataFrame, events: DataFrame, now, quiet_min
     return active.where((age >= quiet_minutes * 60_000_000) & (age < horizon_hours * 3_600_000_000)).select("run", "last")
 
 
-def capped_edges(edges: DataFrame, cap: int) -> DataFrame:
+#: Open edges from which on one task goes through them in order, whatever their number at first.
+LAST_EDGES = 20_000
+
+
+def _in_one_task(todo: DataFrame, used: DataFrame, cap: int) -> DataFrame:
+    """What one pass in order takes of LAST_EDGES edges or fewer, with what their ends have taken already."""
+    count = used.select(F.col("v"), F.col("n"))
+    rows = todo.join(count.select(F.col("v").alias("a"), F.col("n").alias("na")), "a", "left").join(count.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b", "left")
+    rows = rows.select("a", "b", "rank", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+    kinds = ", ".join(f"{c} {todo.schema[c].dataType.simpleString()}" for c in ("a", "b", "rank"))
+
+    def work(batches):
+        taken: dict = {}
+        for t in batches:
+            keep = []
+            for i, (a, b, na, nb) in enumerate(zip(*(t.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)):
+                taken.setdefault(a, na), taken.setdefault(b, nb)
+                if taken[a] < cap and taken[b] < cap:
+                    taken[a] += 1
+                    taken[b] += 1
+                    keep.append(i)
+            yield t.take(pa.array(keep, pa.int32())).select(["a", "b", "rank"])
+
+    return rows.coalesce(1).sortWithinPartitions("rank").mapInArrow(work, kinds)
+
+
+def capped_edges(edges: DataFrame, cap: int, last_edges: int = LAST_EDGES) -> DataFrame:
     """The edges (a, b, rank) that greedy selection in the order of rank takes, with at most cap at each end.
 
-    An edge is taken once fewer than cap edges before it at both ends are taken or undecided, and refused once cap
-    before it are taken at either end; rounds of that give what one pass in order would. Each round decides the first
-    edge that is open at least, so there is no limit to set.
+    rank tells edges apart; an edge has two different ends. In a round, an end that has taken n edges vouches for the
+    first cap - n of its open ones: even if all of those are taken, each of them fits. An edge for which both ends vouch
+    is taken; one with a full end is dropped. That is what one pass in order does, and the first open edge of all is
+    taken in each round. Only the first cap edges of an end are shuffled, as each task keeps cap of them, so that a node
+    may have any number. In an order that is not chosen against it a round decides a good part of the open edges; the
+    last ones, last_edges or fewer, are gone through in order in one task, long chains in the order of rank included.
     """
     todo = materialize(edges.select("a", "b", "rank"), "todo")
-    taken = None
-    while True:
+    used = None
+    taken = []
+    while (left := todo.count()) > last_edges:
         ends = todo.select(F.col("a").alias("v"), "a", "b", "rank").union(todo.select("b", "a", "b", "rank"))
-        spent = None if taken is None else taken.select(F.col("a").alias("v"), F.col("rank").alias("r")).union(taken.select("b", "rank"))
-        w = Window.partitionBy("v").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        if spent is None:
-            both = ends.withColumn("kept", F.lit(0))
-        else:
-            both = ends.withColumn("kept", F.lit(0)).unionByName(spent.select("v", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("r").alias("rank"), F.lit(1).alias("kept")))
-        seen = both.select("v", "a", "b", "rank", F.coalesce(F.count("*").over(w), F.lit(0)).alias("before"), F.coalesce(F.sum("kept").over(w), F.lit(0)).alias("accepted"), "kept").where("kept = 0")
-        state = seen.groupBy("a", "b", "rank").agg(F.max("before").alias("before"), F.max("accepted").alias("accepted"))
-        state = materialize(state, "state")
-        now = state.where(F.col("before") < cap).select("a", "b", "rank")
-        taken = materialize(now if taken is None else taken.unionByName(now), "taken")
-        todo = state.where((F.col("before") >= cap) & (F.col("accepted") < cap)).select("a", "b", "rank")
-        if not todo.limit(1).count():
-            return taken
+        first = ends.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("rank"))).where(F.col("place") <= cap)
+        if used is not None:
+            first = first.join(used, "v", "left").where(F.col("place") <= cap - F.coalesce("n", F.lit(0)))
+        now = materialize(first.groupBy("a", "b", "rank").agg(F.count("*").alias("ends")).where("ends = 2").select("a", "b", "rank"), "taken")
+        taken.append(now)
+        both = now.select(F.col("a").alias("v")).union(now.select("b")).groupBy("v").agg(F.count("*").alias("n"))
+        sums = both if used is None else both.union(used.select("v", "n")).groupBy("v").agg(F.sum("n").alias("n"))
+        before, used = used, materialize(sums, "used")
+        full = used.where(F.col("n") >= cap).select("v")
+        rest = todo.join(now.select("rank"), "rank", "left_anti").select("a", "b", "rank")
+        for end in ("a", "b"):
+            rest = rest.join(full.withColumnRenamed("v", end), end, "left_anti")
+        gone, todo = todo, materialize(rest.select("a", "b", "rank"), "todo")
+        discard(gone, *([before] if before is not None else []))
+    if used is None:
+        used = todo.select(F.col("a").alias("v"), F.lit(0).cast("long").alias("n")).limit(0)
+    out = todo.limit(0) if not left else _in_one_task(todo, used, cap)
+    for part in taken:
+        out = out.unionByName(part)
+    return out
 
 
 #: How a stage may be handed out, and what it may do.

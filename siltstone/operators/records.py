@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import candidate_key
+from siltstone.session import materialize
 
 
 def _columns(names: list) -> list[Column]:
@@ -246,3 +247,25 @@ def memory_picks(asked: DataFrame, cases: DataFrame, sims: DataFrame, per_decisi
     best = near.withColumn("_n", F.row_number().over(Window.partitionBy("asked", "kind").orderBy(F.desc("sim"), "place", "case"))).where(F.col("_n") <= cross)
     more = best.join(held, ["asked", "kind"], "left").where(F.col("_n") + F.coalesce("held", F.lit(0)) <= per_decision)
     return first.select("asked", "case", F.lit(False).alias("cross_brand")).unionByName(more.select("asked", "case", F.lit(True).alias("cross_brand")))
+
+
+def reconcile(old: DataFrame, lines: DataFrame, book: str, key: str, content: str) -> DataFrame:
+    """What to do so that the books that lines has hold just its lines: action, key and content.
+
+    action is insert, update (the content differs, null included), same or delete (a row of one of these books that has
+    no line). An orphan action names content that old rows lose and that no row has afterwards, of any book, with a null
+    key. Rows of other books stay. Keys tell rows apart on either side; a key that another book had moves.
+    """
+    new = lines.select(F.col(key).alias("_k"), F.col(book).alias("_b"), F.col(content).alias("_new"), F.lit(True).alias("_line"))
+    covered = lines.select(book).distinct()
+    had = old.select(F.col(key).alias("_k"), F.col(book), F.col(content).alias("_old"), F.lit(True).alias("_row"))
+    had = had.join(covered.withColumn("_covered", F.lit(True)), book, "left").drop(book)
+    both = had.join(new, "_k", "full")
+    same = F.col("_old").eqNullSafe(F.col("_new"))
+    action = F.when(F.col("_row").isNull(), "insert").when(F.col("_line").isNull(), F.when(F.col("_covered"), "delete").otherwise("other")).when(same, "same").otherwise("update")
+    judged = materialize(both.withColumn("action", action), "reconciled")
+    after = judged.where("action <> 'delete'").select(F.when(F.col("_line").isNotNull(), F.col("_new")).otherwise(F.col("_old")).alias("content"))
+    lost = judged.where("action IN ('delete', 'update') AND _old IS NOT NULL").select(F.col("_old").alias("content")).distinct()
+    orphans = lost.join(after, "content", "left_anti").select(F.lit("orphan").alias("action"), F.lit(None).cast(old.schema[key].dataType).alias(key), F.col("content").alias(content))
+    done = judged.where("action <> 'other'").select("action", F.col("_k").alias(key), F.when(F.col("_line").isNotNull(), F.col("_new")).otherwise(F.col("_old")).alias(content))
+    return done.unionByName(orphans)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import automata, ordered, phrases, reminders, search, stages
+from siltstone.operators import automata, ordered, phrases, prints, records, reminders, search, stages
 from siltstone.plans.registry import query
 from siltstone.plans.relational import _BM25, _terms
-from siltstone.session import materialize
+from siltstone.session import materialize, scratch_dir
+from siltstone.sources.versioned import VersionedTable, claim
 
 c = F.col
 
@@ -115,3 +118,45 @@ SELECT task, kind, epoch_ms(since) AS since_ms, epoch_ms(min(due)) AS due_ms FRO
 def _(t):
     found = reminders.reminders(changes(t), F.lit("2024-01-31").cast("timestamp"), reminders.Limits(90, 240, 2))
     return found.select("task", "kind", F.unix_millis("since").alias("since_ms"), F.unix_millis("due").alias("due_ms"))
+
+
+@query("o024_reconcile_books", """WITH l AS (SELECT doc_id AS k, source AS b, md5(text || CASE WHEN quality = 1 THEN '' ELSE '*' END) AS h FROM documents JOIN labels USING (doc_id) UNION ALL SELECT doc_id + 10000000000, source, md5(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+o AS (SELECT doc_id AS k, source AS b, md5(text) AS h FROM documents),
+j AS (SELECT coalesce(o.k, l.k) AS k, o.h AS old, l.h AS new, CASE WHEN o.k IS NULL THEN 'insert' WHEN l.k IS NULL THEN CASE WHEN o.b IN (SELECT b FROM l) THEN 'delete' ELSE 'other' END WHEN o.h = l.h THEN 'same' ELSE 'update' END AS action FROM o FULL JOIN l ON o.k = l.k)
+SELECT action, k AS doc_id, CASE WHEN action = 'delete' THEN old ELSE new END AS hash FROM j WHERE action <> 'other' UNION ALL
+SELECT DISTINCT 'orphan', NULL, old FROM j WHERE action IN ('delete', 'update') AND old NOT IN (SELECT CASE WHEN action = 'other' THEN old ELSE new END FROM j WHERE action <> 'delete')""")
+def _(t):
+    """Sources as books, labels as a manifest that lists some documents, some of them changed, and some new ones."""
+    docs = t.documents.select("doc_id", "source", "text")
+    listed = docs.join(t.labels, "doc_id")
+    text = F.when(c("quality") == 1, c("text")).otherwise(F.concat("text", F.lit("*")))
+    lines = listed.select("doc_id", "source", F.md5(text).alias("hash")).unionByName(listed.where("toxic = 1").select((c("doc_id") + 10000000000).alias("doc_id"), "source", F.md5("text").alias("hash")))
+    return records.reconcile(docs.select("doc_id", "source", F.md5("text").alias("hash")), lines, "source", "doc_id", "hash")
+
+
+@query("o026_claims_in_turn", """SELECT o_orderkey AS id, CASE WHEN r <= 100 THEN 'c' ELSE 'b' END AS owner, CASE WHEN r <= 100 THEN epoch_us(TIMESTAMP '1998-01-01 00:06:00') ELSE epoch_us(TIMESTAMP '1998-01-01 00:02:00') END AS claimed_us
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1998-01-01') WHERE r <= 200""")
+def _(t):
+    """All orders as an outbox: a and b claim a hundred each, and c those of a, whose lease of five minutes has ended."""
+    rows = t.orders.select(c("o_orderkey").alias("id"), F.when(c("o_orderstatus") == "P", "pending").otherwise("sent").alias("status"), c("o_orderdate").cast("timestamp").alias("next_at"), F.lit(None).cast("timestamp").alias("claimed_at"), F.lit(None).cast("string").alias("owner"))
+    table = VersionedTable(t.spark, f"{scratch_dir(t.spark)}/outbox-{uuid.uuid4().hex}", ["id"])
+    table.create(rows)
+    for owner, minute in (("a", 1), ("b", 2), ("c", 6)):
+        claim(table, owner, F.lit(f"1998-01-01 00:0{minute}:00").cast("timestamp"), 100, 5)
+    return table.read().where("owner IS NOT NULL").select("id", "owner", F.unix_micros("claimed_at").alias("claimed_us"))
+
+
+_CELLS = "list_transform(range(72), lambda i: length(substr({0}, 1 + len0 * i // 72, len0 * (i + 1) // 72 - len0 * i // 72)) - length(replace(substr({0}, 1 + len0 * i // 72, len0 * (i + 1) // 72 - len0 * i // 72), 'e', '')))"
+_BITS = "list_reduce(list_prepend(0::UBIGINT, list_transform(range(64), lambda i: CASE WHEN c[i + i // 8 + 1] > c[i + i // 8 + 2] THEN 1::UBIGINT ELSE 0::UBIGINT END)), lambda a, b: a * 2 + b)"
+
+
+@query("o124_near_prints", f"""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, text AS s, n AS len0 FROM t UNION ALL SELECT doc_id, substr(text, 1 + floor(n * 0.1)::INT, floor(n * 0.9)::INT - floor(n * 0.1)::INT), floor(n * 0.9)::INT - floor(n * 0.1)::INT FROM t),
+c AS (SELECT doc_id, {_CELLS.format("s")} AS c FROM x), p AS (SELECT doc_id, {_BITS} AS p FROM c), f AS (SELECT p, min(doc_id) AS first FROM p GROUP BY 1)
+SELECT a.first AS a, b.first AS b, min(bit_count(xor(a.p, b.p))) AS distance FROM f a JOIN f b ON a.first < b.first AND a.p <> b.p AND bit_count(xor(a.p, b.p)) <= 6 GROUP BY ALL""")
+def _(t):
+    """Texts as pictures of a letter's frequency, whole and without their margins: prints within 6 bits, by the first of each print."""
+    text = c("text")
+    cells = F.array(prints.text_cells(text, "e"), prints.text_cells(text, "e", 0.1, 0.9))
+    rows = t.documents.where("text IS NOT NULL").select("doc_id", F.explode(cells).alias("cells")).select("doc_id", prints.row_print(c("cells")).alias("print"))
+    return prints.near_prints(rows, 6, "doc_id", "print")[0]
