@@ -22,6 +22,7 @@ FIELDS = {
     "hits": "array<struct<ref:string,title:string,url:string,state:string,body:boolean>>",
     "materials": "array<struct<no:string,kind:string,brand:string,title:string,source:string,state:string,body:boolean,excerpt:string>>",
     "brand_keys": "array<string>", "memory_refs": "array<string>", "gaps": f"array<{GAP}>",
+    "comparison_note": "string", "readiness_note": "string",
     "unanswered": "string", "image_seen": "boolean", "complete": "boolean",
     "images_all_read": "boolean", "deepchecked": "boolean", "may_ask_again": "boolean", "source_text": "string",
 }
@@ -45,7 +46,7 @@ TEXTS = {
     "no_basis": "模型没给依据，按不明处理",
     "check_posted": "核对是否真的发过，再定档",
     "only_generated": "对照材料里只有生成稿或只有标题",
-    "open_history": "打开历史文章核对正文",
+    "open_history": "打开命中的历史文章核对正文",
     "only_titles": "对照材料里只有标题",
     "still_missing": "深核后仍缺决定选题的关键资料",
     "by_hand": "人工补证后再定是否推荐",
@@ -54,15 +55,24 @@ TEXTS = {
     "low_value": "价值是否成立尚待确认",
     "other": "判断所需的关键信息尚待确认",
     "read_again": "补读或人工核对后重判",
-    "history": "命中的历史文章正文缺失",
+    "history": "命中的历史文章正文缺失，无法确认有无重复",
     "compare_bodies": "人工核对那几篇正文是否同一事实，核清后再定档",
-    "see_hits": "见查重命中",
+    "see_hits": "判断时给的对照材料见 comparison.hits；标正文不可得的那几篇只给了标题或摘要",
+    "unproven": "查重未确认：不推荐的理由是「同一事实已发」，但没有站得住的已发证据",
+    "undecided": "查重未确认：对照材料核不了是否同一事实",
+    "all_looked_up": "五类材料都查过（查过不等于正文已得）",
+    "only_unconfirmed": "这几条的事实级查重只能是未确认",
+    "not_counted": "查重结论基于已给正文的材料，这几条未计入；未得正文不是已发证据",
+    "not_complete": "对照正文未得，查重未确认，资料不算齐全",
 }
+#: Claims that all five kinds of material are there, and marks of what was added to a note before.
+ALL_PROVIDED = r"五类(?:对照)?(?:材料|对照)(?:均|都)?(?:已)?(?:提供|齐备|齐全|齐)(?:记录或查询结果)?"
+BODIES_MISSING = "正文未得："
+COMPARISON_MISSING = "对照正文未得"
 CONTRAST_DIMS = ("change", "explain", "gain")
 
 SENTENCE = r"[^。；！？\n]+[。；！？\n]?"
 HEADLINE_CHARS = 40
-UNCONFIRMED = "查重未确认"
 
 
 def contrast_phrases(texts: list[Column], source: Column) -> Column:
@@ -89,9 +99,9 @@ def strip_headline(text: Column, phrases: Column) -> Column:
     return F.when(~_holds(text, phrases), text).when(_holds(thing, phrases), "").otherwise(thing)
 
 
-def _gap(what: Column | str, next_: str = "", owner: str = "collector", tried: str = "") -> Column:
+def _gap(what: Column | str, next_: Column | str = "", owner: str = "collector", tried: str = "") -> Column:
     what = F.lit(what) if isinstance(what, str) else what
-    return F.struct(F.lit("decision").alias("level"), what.alias("what"), F.lit(owner).alias("owner"), F.lit(tried).alias("tried"), F.lit(next_).alias("next"))
+    return F.struct(F.lit("decision").alias("level"), what.alias("what"), F.lit(owner).alias("owner"), F.lit(tried).alias("tried"), (F.lit(next_) if isinstance(next_, str) else next_).alias("next"))
 
 
 def _decisive(gaps: Column) -> Column:
@@ -153,21 +163,22 @@ def _rules() -> Iterator[tuple[str, Column, dict[str, Column]]]:
     fixed["dims"] = F.transform("dims", lambda d: F.when(d["dim"].isin(*CONTRAST_DIMS), d.withField("basis", strip_sentences(d["basis"], c("_found")))).otherwise(d))
     yield "contrast_removed", invented & ~c("may_ask_again"), fixed
 
-    solid = F.exists("hits", lambda h: F.exists("materials", lambda m: (m["no"] == h["ref"]) & ~m["kind"].isin("generated_post", "prior_ledger") & m["body"]))
+    solid = F.exists("hits", lambda h: F.exists("materials", lambda m: (m["no"] == F.trim(h["ref"])) & ~m["kind"].isin("generated_post", "prior_ledger") & m["body"]))
     weak = (c("comparison") == "same_fact_no_gain") & ~F.coalesce(solid, F.lit(False))
     yield "_weak", F.lit(True), {"_weak": weak}
     yield "same_fact_unproven", c("_weak"), {"comparison": F.lit("unconfirmed")}
     yield "?same_fact", c("_weak") & (tier == "not_recommend") & c("may_ask_again"), {}
-    ask = _gap(UNCONFIRMED, TEXTS["check_posted"], "editor", TEXTS["only_generated"])
+    ask = _gap(TEXTS["unproven"], TEXTS["check_posted"], "editor", TEXTS["only_generated"])
     yield "same_fact_pending", c("_weak") & (tier == "not_recommend") & ~c("may_ask_again"), {"tier": F.lit("pending_check"), "gaps": add(ask)}
 
     key = lambda name: F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
     untold = F.filter("materials", lambda m: m["kind"].isin("published", "example") & ~F.coalesce(m["body"], F.lit(False)) & ~_blank(m["brand"]) & F.array_contains("brand_keys", key(m["brand"])))
     admits = F.exists("hits", lambda h: ~F.coalesce(h["body"], F.lit(False)))
     titles = F.array_join(F.transform(untold, lambda m: m["title"]), "》《")
-    history = F.when(F.size(untold) > 0, F.concat(F.lit("同品牌历史文章《"), titles, F.lit("》正文缺失"))).otherwise(TEXTS["history"])
+    history = F.when(F.size(untold) > 0, F.concat(F.lit("同品牌历史文章《"), titles, F.lit("》正文缺失，无法确认有无重复"))).otherwise(TEXTS["history"])
+    to_open = F.when(F.size(untold) > 0, F.concat(F.lit("核对《"), titles, F.lit("》正文"))).otherwise(TEXTS["open_history"])
     yield "history_unread", (c("comparison") == "unrelated") & ((F.size(untold) > 0) | admits) & tier.isin("recommend", "alternate"), {
-        "comparison": F.lit("unconfirmed"), "gaps": add(_gap(history, TEXTS["open_history"], "editor", TEXTS["only_titles"]))}
+        "comparison": F.lit("unconfirmed"), "gaps": add(_gap(history, to_open, "editor", TEXTS["only_titles"]))}
 
     yield "gain_not_shown", (tier == "recommend") & ~_dim("gain"), {"tier": F.lit("alternate")}
     yield "fit_not_shown", (tier == "recommend") & ~_dim("csw"), {"tier": F.lit("alternate")}
@@ -196,12 +207,25 @@ def _rules() -> Iterator[tuple[str, Column, dict[str, Column]]]:
     told_wrong = F.exists("hits", lambda h: F.coalesce(h["body"], F.lit(False)) != given(h))
     yield "bodies_as_given", told_wrong, {"hits": F.transform("hits", lambda h: h.withField("body", given(h)))}
 
-    open_ = c("comparison") == "unconfirmed"
+    note, open_ = c("comparison_note"), c("comparison") == "unconfirmed"
+    unread = F.filter("hits", lambda h: ~F.coalesce(h["body"], F.lit(False)))
+    titled = lambda h: F.concat(F.lit("《"), F.coalesce(h["title"], F.lit("")), F.lit("》"))
+    named = F.array_join(F.transform(unread, lambda h: F.when(h["ref"] == "", titled(h)).otherwise(h["ref"])), "、")
+    yield "tail_reworded", ~open_ & F.contains(note, F.lit(TEXTS["only_unconfirmed"])), {"comparison_note": F.replace(note, F.lit(TEXTS["only_unconfirmed"]), F.lit(TEXTS["not_counted"]))}
+    looked = F.regexp_replace(note, ALL_PROVIDED, TEXTS["all_looked_up"])
+    between = F.when(looked.rlike(r"[。；.]\z"), "").otherwise("；")
+    tail = F.when(open_, TEXTS["only_unconfirmed"]).otherwise(TEXTS["not_counted"])
+    listed = F.concat(looked, between, F.lit(BODIES_MISSING), named, F.lit("（只有标题或决定摘要），"), tail, F.lit("。"))
+    yield "claim_of_all_material", (F.size(unread) > 0) & note.rlike(ALL_PROVIDED), {"comparison_note": F.when(F.contains(looked, F.lit(BODIES_MISSING)), looked).otherwise(listed)}
+
     asked = F.exists(gaps, lambda g: (g["level"] == "decision") & _any_word(g["what"], DUPLICATE_WORDS))
-    check = _gap(F.lit(UNCONFIRMED), TEXTS["compare_bodies"], "editor", TEXTS["see_hits"])
-    yield "duplicate_gap", open_ & (tier != "not_recommend") & ~asked, {"gaps": add(check)}
+    both = F.array_join(F.transform(unread, lambda h: F.when(h["ref"] == "", titled(h)).otherwise(F.concat(h["ref"], titled(h)))), "、")
+    what = F.when(F.size(unread) > 0, F.concat(F.lit("查重未确认："), both, F.lit("正文不可得，核不了是否同一事实"))).otherwise(TEXTS["undecided"])
+    yield "duplicate_gap", open_ & (tier != "not_recommend") & ~asked, {"gaps": add(_gap(what, TEXTS["compare_bodies"], "editor", TEXTS["see_hits"]))}
     yield "duplicate_pending", open_ & tier.isin("recommend", "alternate"), {"tier": F.lit("pending_check")}
-    yield "not_complete", open_ & c("complete"), {"complete": F.lit(False)}
+    ready = c("readiness_note")
+    said = F.when(F.contains(ready, F.lit(COMPARISON_MISSING)), ready).otherwise(F.concat(ready, F.when(_blank(ready), "").otherwise("；"), F.lit(TEXTS["not_complete"])))
+    yield "not_complete", open_ & c("complete"), {"complete": F.lit(False), "readiness_note": said}
 
 
 def apply_rules(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import automata, ordered, phrases, prints, records, reminders, search, stages
+from siltstone.operators import automata, ordered, phrases, prints, records, reminders, reviews, search, stages
 from siltstone.plans.registry import query
 from siltstone.plans.relational import _BM25, _terms
 from siltstone.session import materialize, scratch_dir
@@ -160,3 +160,18 @@ def _(t):
     cells = F.array(prints.text_cells(text, "e"), prints.text_cells(text, "e", 0.1, 0.9))
     rows = t.documents.where("text IS NOT NULL").select("doc_id", F.explode(cells).alias("cells")).select("doc_id", prints.row_print(c("cells")).alias("print"))
     return prints.near_prints(rows, 6, "doc_id", "print")[0]
+
+
+@query("o142_review_tiers", """WITH o AS (SELECT o_orderkey, 'c' || o_custkey || '-' || substr(sha256(o_orderkey::VARCHAR), 1, 6) AS entry, o_orderkey % 4 AS k, CASE o_orderstatus WHEN 'F' THEN '继续' WHEN 'O' THEN '备选' ELSE '停止' END AS w, CASE o_orderstatus WHEN 'F' THEN 'recommend' WHEN 'O' THEN 'alternate' ELSE 'not_recommend' END AS e FROM orders)
+SELECT o_orderkey AS review_id, 0 AS place, entry, CASE k WHEN 3 THEN 'pending_check' ELSE e END AS tier, CASE k WHEN 0 THEN w || '；备注' WHEN 2 THEN '的 tier=' || e ELSE '此前无变化。隔离待核，保留素材' END AS note FROM o WHERE k <> 1""")
+def _(t):
+    """Reviews about one entry for each order, whose key they give by its last six digits only: a tier after it, one before it (no statement), one by name, and one in a later sentence."""
+    six = F.substring(F.sha2(c("o_orderkey").cast("string"), 256), 1, 6)
+    word = F.when(c("o_orderstatus") == "F", "继续").when(c("o_orderstatus") == "O", "备选").otherwise("停止")
+    name = F.when(c("o_orderstatus") == "F", "recommend").when(c("o_orderstatus") == "O", "alternate").otherwise("not_recommend")
+    kind = c("o_orderkey") % 4
+    text = F.when(kind == 0, F.concat(six, F.lit("="), word, F.lit("；备注"))).when(kind == 1, F.concat(F.lit("停止针对 "), six, F.lit(" 再深核")))
+    text = text.when(kind == 2, F.concat(six, F.lit(" 的 tier="), name)).otherwise(F.concat(F.lit("1. "), six, F.lit("：此前无变化。隔离待核，保留素材")))
+    given = t.orders.select(c("o_orderkey").alias("review_id"), c("o_orderkey").alias("run"), text.alias("text"))
+    entries = t.orders.select(c("o_orderkey").alias("run"), F.concat(F.lit("c"), c("o_custkey").cast("string"), F.lit("-"), six).alias("entry"))
+    return reviews.review_tiers(reviews.spelled_out(given, entries, "run"))

@@ -47,7 +47,7 @@ def _(t):
     return out.select("candidate_key", F.coalesce(F.unix_micros("posted_at"), F.lit(-1)).alias("posted_us"), F.coalesce("likes", F.lit(-1)).alias("likes"), names.alias("media"), F.array_join("tags", ",").alias("tags"))
 
 
-_CONTRAST = r"从[^，。；！？\n]{1,30}?(?:变成|变为|改为|改成|升级为|升级成|转为|转成|进化为|演变为)|告别[^，。；！？\n]{1,20}|不再(?:只)?是"
+_CONTRAST = verdicts.CONTRAST
 
 
 @query("o143_contrasts", rf"""
@@ -142,6 +142,30 @@ def _(t):
     return out.select("doc_id", "tier", "image_seen", "complete", "headline", F.array_join("notes", ",").alias("notes"), F.array_join("again", ",").alias("again"), F.size("gaps").alias("n_gaps"))
 
 
+_CLAIM = "CASE doc_id % 4 WHEN 0 THEN '五类材料均已提供。' WHEN 1 THEN '查过，五类对照齐备记录或查询结果' WHEN 2 THEN '前文；这几条的事实级查重只能是未确认' ELSE '' END"
+
+
+@query("o143_claims_of_material", f"""WITH x AS (SELECT doc_id, {_CLAIM} AS n, CASE doc_id % 3 WHEN 0 THEN 'unconfirmed' ELSE 'new_angle' END AS cmp, doc_id % 5 = 0 AS given, doc_id % 2 = 0 AS ready FROM documents),
+a AS (SELECT * REPLACE (CASE WHEN cmp <> 'unconfirmed' THEN replace(n, '{verdicts.TEXTS["only_unconfirmed"]}', '{verdicts.TEXTS["not_counted"]}') ELSE n END AS n) FROM x),
+b AS (SELECT *, NOT given AND regexp_matches(n, '{verdicts.ALL_PROVIDED}') AS claim, regexp_replace(n, '{verdicts.ALL_PROVIDED}', '{verdicts.TEXTS["all_looked_up"]}', 'g') AS m FROM a)
+SELECT doc_id, CASE WHEN claim THEN m || CASE WHEN m LIKE '%。' THEN '' ELSE '；' END || '正文未得：M2（只有标题或决定摘要），' || CASE cmp WHEN 'unconfirmed' THEN '{verdicts.TEXTS["only_unconfirmed"]}' ELSE '{verdicts.TEXTS["not_counted"]}' END || '。' ELSE n END AS comparison_note,
+ CASE WHEN cmp = 'unconfirmed' AND ready THEN '甲；{verdicts.TEXTS["not_complete"]}' ELSE '甲' END AS readiness_note,
+ CASE WHEN cmp = 'unconfirmed' THEN CASE WHEN given THEN '{verdicts.TEXTS["undecided"]}' ELSE '查重未确认：M2《t》正文不可得，核不了是否同一事实' END END AS asked FROM b""")
+def _(t):
+    """Notes that claim all material while a hit's text wasn't given, and what is asked of the editor then."""
+    k = F.col("doc_id")
+    note = F.when(k % 4 == 0, "五类材料均已提供。").when(k % 4 == 1, "查过，五类对照齐备记录或查询结果").when(k % 4 == 2, "前文；这几条的事实级查重只能是未确认").otherwise("")
+    given = k % 5 == 0
+    names = ("no", "kind", "brand", "title", "source", "state", "body", "excerpt")
+    material = F.array(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, ("M2", "published", "", "t", "https://x", "published"))), given.alias("body"), F.lit("e").alias("excerpt")))
+    hit = F.array(F.struct(F.lit("M2").alias("ref"), F.lit("t").alias("title"), F.lit("").alias("url"), F.lit("published").alias("state"), F.lit(True).alias("body")))
+    fields = {"comparison_note": note, "readiness_note": F.lit("甲"), "complete": k % 2 == 0, "comparison": F.when(k % 3 == 0, "unconfirmed").otherwise("new_angle"), "hits": hit, "materials": material, "tier": F.lit("alternate"), "image_seen": F.lit(True), "images_all_read": F.lit(True)}
+    rows = t.documents.select("doc_id", k.cast("string").alias("candidate_key"), *(v.alias(n) for n, v in fields.items()), *(F.lit(None).cast(verdicts.FIELDS[n]).alias(n) for n in verdicts.FIELDS if n not in fields))
+    out = verdicts.apply_rules(rows)
+    asked = F.filter("gaps", lambda g: g["what"].startswith("查重"))
+    return out.select("doc_id", "comparison_note", "readiness_note", F.get(asked, F.lit(0))["what"].alias("asked"))
+
+
 @query("o149_fences_and_suffixes", """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '· 【' || source || '】' WHEN 1 THEN '·   Candidate_Key ： ' || lang WHEN 2 THEN '· [' || lang || '] x' WHEN 3 THEN '---' ELSE 'see 【x】' END || chr(10) || 'end' AS fenced,
  'https://x/' || source || CASE WHEN doc_id % 2 = 0 THEN '?a=1&' ELSE '?' END || 'x-oss-process=image/resize,w_400/format,jpg/quality,q_80' AS url, CASE doc_id % 3 WHEN 2 THEN 'A | ' || source || ' is too long a tail' ELSE 'A | b' END AS title FROM documents""")

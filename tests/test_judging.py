@@ -14,6 +14,29 @@ def test_rules_take_null_and_empty_rows(spark):
     assert verdicts.apply_rules(rows.limit(0)).count() == 0
 
 
+def test_refs_are_trimmed_and_gaps_name_what_is_missing(spark):
+    """A hit " M1" is the material M1, so that the same fact stands; history without its text is named in the gap."""
+    hit = "array<struct<ref:string,title:string,url:string,state:string,body:boolean>>"
+    rows = [
+        ("a", "same_fact_no_gain", "not_recommend", [(" M1", "t1", "", "published", True)], []),
+        ("b", "same_fact_no_gain", "not_recommend", [("M7", "t1", "", "published", True)], []),
+        ("c", "unrelated", "alternate", [], ["acme"]),
+        ("d", "unrelated", "alternate", [("M2", "t2", "", "published", True)], []),
+        ("e", "unconfirmed", "alternate", [("", "t9", "", "published", False), ("M2", "t2", "", "", True)], []),
+    ]
+    df = spark.createDataFrame(rows, f"candidate_key string, comparison string, tier string, hits {hit}, brand_keys array<string>")
+    given = [("M1", "published", "Other", "t1", "https://x", "published", True, "e"), ("M2", "prior_ledger", "", "t2", "", "", False, ""), ("M3", "published", "Acme", "t3", "", "", False, ""), ("M4", "example", "ACME!", "t4", "", "", False, "")]
+    fields = {"materials": F.array(*(F.struct(*map(F.lit, m)) for m in given)).cast(verdicts.FIELDS["materials"]), "image_seen": F.lit(True), "images_all_read": F.lit(True)}
+    rest = [F.lit(None).cast(k).alias(n) for n, k in verdicts.FIELDS.items() if n not in {*df.columns, *fields}]
+    out = {r.candidate_key: r for r in verdicts.apply_rules(df.select("*", *(v.alias(n) for n, v in fields.items()), *rest)).collect()}
+    assert (out["a"].comparison, out["a"].tier) == ("same_fact_no_gain", "not_recommend")
+    assert out["b"].gaps[0].what == "查重未确认：不推荐的理由是「同一事实已发」，但没有站得住的已发证据"
+    assert (out["c"].gaps[0].what, out["c"].gaps[0].next) == ("同品牌历史文章《t3》《t4》正文缺失，无法确认有无重复", "核对《t3》《t4》正文")
+    assert (out["d"].gaps[0].what, out["d"].gaps[0].next) == ("命中的历史文章正文缺失，无法确认有无重复", "打开命中的历史文章核对正文")
+    assert out["e"].gaps[0].what == "查重未确认：《t9》、M2《t2》正文不可得，核不了是否同一事实"
+    assert out["e"].tier == "pending_check"
+
+
 def test_headline_keeps_the_object(spark):
     rows = spark.createDataFrame([("椅子｜告别旧款",), ("告别旧款｜好",), ("椅子｜好",)], "h string")
     p = F.array(F.lit("告别旧款"))
