@@ -6,9 +6,10 @@ are all paired with each other; a span that more places have leads from each lat
 that no line, however frequent, makes more pairs than it has places. Each pair is aligned by patience diff. A block is a
 run of aligned lines without a gap on either side; those of enough words are marked in the later document.
 
-An exact check follows. What an alignment can't hold, since it keeps the order of both sides, are blocks that moved. A
-span long enough to be deleted is a block of a document and the first holder of that span, wherever it stands there; so
-these are marked as well, and no block that any earlier document has is left. The marks of all pairs are deleted.
+An alignment keeps the order of both sides, so a block that moved isn't in it. Therefore the lines that no block took are
+aligned again, until that finds no more: a block that stands elsewhere is in a later alignment. The marks of all pairs
+are deleted. What repeated alignment can still miss are blocks of lines that stand several times on both sides;
+marked_lines(..., moved=True) also marks every block that any earlier document has, wherever it stands.
 """
 
 from __future__ import annotations
@@ -137,15 +138,27 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list[int], sizes: list[int], b: list[int], least: int) -> list[int]:
-    """Places in a of the aligned blocks of size least: runs of aligned lines without a gap in a or b."""
-    out, run = [], []
-    for x, y in [*patience(a, b), (-1, -1)]:
-        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(sizes[i] for i, _ in run) >= least:
-                out += [i for i, _ in run]
-            run = []
-        run.append((x, y))
-    return out
+    """Places in a of the aligned blocks of size least: runs of aligned lines without a gap in a or b.
+
+    What is left of a is aligned with b again as long as blocks are found, each time at least one of that size.
+    """
+    out: list[int] = []
+    left = list(range(len(a)))
+    while True:
+        new, run = [], []
+        for x, y in [*((left[i], j) for i, j in patience([a[i] for i in left], b)), (-1, -1)]:
+            if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
+                if sum(sizes[i] for i, _ in run) >= least:
+                    new += [i for i, _ in run]
+                run = []
+            run.append((x, y))
+        if not new:
+            return sorted(out)
+        out += new
+        gone = set(new)
+        left = [i for i in left if i not in gone]
+        if sum(sizes[i] for i in left) < least:
+            return sorted(out)
 
 
 def delete_lines(text: str, marked: set[int]) -> tuple[str, int, int]:
@@ -168,9 +181,11 @@ def _numbers(column: pa.Array) -> list:
     return [values[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
+def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK, moved: bool = False) -> DataFrame:
     """doc_id, text_hash and marked: places, among lines with words, in blocks of size least with an earlier document.
 
+    Blocks are those of the alignments; with moved, those of any span that an earlier document has come to them.
+
     Documents are in the order of doc_id and, where it is repeated, of a hash of their text; rows alike are one
     document. Rows without doc_id have no part in it. The table is written.
     """
@@ -204,8 +219,9 @@ def marked_lines(docs: DataFrame, least: int = LEAST_BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "text_hash", "marked"])
 
     aligned = both.select("doc.doc_id", "doc.text_hash", "lines", "sizes", "other_lines").mapInArrow(align, "doc_id long, text_hash long, marked array<int>")
-    moved = hits.where("block AND doc > first").select("doc.doc_id", "doc.text_hash", F.sequence("start", "end").alias("marked"))
-    places = aligned.union(moved).select("doc_id", "text_hash", F.explode("marked").alias("i")).distinct()
+    if moved:
+        aligned = aligned.union(hits.where("block AND doc > first").select("doc.doc_id", "doc.text_hash", F.sequence("start", "end").alias("marked")))
+    places = aligned.select("doc_id", "text_hash", F.explode("marked").alias("i")).distinct()
     marked = materialize(places.groupBy("doc_id", "text_hash").agg(F.collect_list("i").alias("marked")), "marked")
     discard(lines, hits)
     return marked
