@@ -9,7 +9,7 @@ are at most WORDS of them; the rarer ones of a class share a vector and have smo
 that the probabilities of all texts add up to one.
 
 Both levels are trained in numpy with noise-contrastive estimation on counts over all training texts. For entries, each
-partition of the counts of triples goes on from the last parameters with sampled noise, and their means, weighted by
+of a fixed number of parts of the counts of triples, dealt by a hash, goes on from the last parameters with sampled noise, and their means, weighted by
 tokens, are the next ones. Given those, the words don't depend on each other, and noise is taken in expectation: a task
 fits some words from their counts after each entry. For scoring, batched matrix products give the sums over all entries
 for each pair of entries, and over all words of a class after each entry, once; so all probabilities are normalised.
@@ -34,11 +34,13 @@ from siltstone.session import discard, materialize
 #: Words whose counts are sent to all tasks, 24 bytes each, and those of them that have vectors, at most.
 HEAD, WORDS = 1 << 20, 1 << 16
 #: Entries the model predicts, with classes of words and the end; length of vectors; passes; noise entries for each batch.
-ENTRIES, WIDTH, EPOCHS, NOISE = 768, 24, 4, 192
+ENTRIES, WIDTH, EPOCHS, NOISE = 768, 24, 8, 192
 SMOOTH = 0.1
 #: Words that a task fits at a time, steps, noise words for each word, and the precision of the vectors' prior.
 CHUNK, STEPS, NOISE_WORDS, PRIOR = 256, 24, 25, 2.0
 CHUNKS_A_TASK = 8
+#: Parts that triples are dealt to by a hash, whatever their number, and triples that are learned from at a time.
+BUCKETS, LEARNED = 4, 1 << 19
 #: Counts up to which the histogram that finds how many words have a count is exact.
 MOST_COUNTED = 100_000
 
@@ -435,37 +437,61 @@ def trained_words(pairs: DataFrame, triples: DataFrame, model: LogBilinear, voca
 
 
 def fit(triples: DataFrame, share: np.ndarray, epochs: int = EPOCHS) -> LogBilinear:
-    """Train on the triples of a written table of context_counts. The driver gets the parameters of each pass, whose number is fixed."""
+    """Train on the triples of a written table of context_counts. The driver gets the parameters of each pass, whose number is fixed.
+
+    Triples are dealt to BUCKETS by a hash, in the order of another one, and learned from LEARNED at a time; so the
+    parameters are the same however Spark has cut the table. There are as many triples as contexts and entries at most.
+    """
+    key = F.xxhash64("context", "entry")
+    dealt = triples.select("context", "entry", "n", F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"))
+    dealt = dealt.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", F.xxhash64("entry", "context"), "context", "entry")
+    dealt = materialize(dealt, "dealt")
     model = LogBilinear.start(share)
     for epoch in range(epochs):
         start = model.flat
 
         def run(batches, start=start, epoch=epoch):
-            own, weight = LogBilinear(start.copy()), 0
-            held: list = []
+            own, weight, bucket = None, 0, None
+            held: list[np.ndarray] = []
 
-            def learn():
-                nonlocal held, weight
-                context, entry, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            def learn(rows: np.ndarray) -> None:
+                nonlocal weight
+                context, entry, n = rows
                 own.train(context // (FAR + 1), context % (FAR + 1), entry, n.astype(np.float64), share, epoch)
                 weight += int(n.sum())
-                held = []
+
+            def done() -> pa.RecordBatch:
+                if (rows := np.concatenate(held, axis=1)).shape[1]:
+                    learn(rows)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(own.flat), bucket)), pa.array(np.arange(len(own.flat))), pa.array(own.flat), pa.array(np.full(len(own.flat), weight))], ["bucket", "i", "v", "w"])
 
             for b in batches:
-                held.append(tuple(b.column(i).to_numpy() for i in range(3)))
-                if sum(len(x[0]) for x in held) > 1 << 19:
-                    learn()
-            if held and len(held[0][0]):
-                learn()
-            if weight:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.flat))), pa.array(own.flat * weight), pa.array(np.full(len(own.flat), float(weight)))], ["i", "v", "w"])
-
-        rows = triples.select("context", "entry", "n").mapInArrow(run, "i long, v double, w double")
-        mean = rows.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()
+                columns = np.array([b.column(i).to_numpy().astype(np.int64) for i in range(4)])
+                cuts = np.flatnonzero(np.diff(columns[3])) + 1
+                for x, y in zip([0, *cuts], [*cuts, columns.shape[1]], strict=True):
+                    if x == y:
+                        continue
+                    if bucket != columns[3, x]:
+                        if bucket is not None:
+                            yield done()
+                        own, weight, bucket, held = LogBilinear(start.copy()), 0, int(columns[3, x]), []
+                    held.append(columns[:3, x:y])
+                    while sum(h.shape[1] for h in held) >= LEARNED:
+                        rows = np.concatenate(held, axis=1)
+                        learn(rows[:, :LEARNED])
+                        held = [rows[:, LEARNED:]]
+            if bucket is not None:
+                yield done()
+
+        rows = dealt.mapInArrow(run, "bucket long, i long, v double, w long")
+        each = F.array_sort(F.collect_list(F.struct("bucket", "v", "w")))  # BUCKETS at most, added up in one order
+        total = F.aggregate(each, F.struct(F.lit(0.0).alias("v"), F.lit(0).cast("long").alias("w")), lambda a, x: F.struct((a["v"] + x["v"] * x["w"]).alias("v"), (a["w"] + x["w"]).alias("w")))
+        mean = rows.groupBy("i").agg(total.alias("t")).select("i", (F.col("t.v") / F.col("t.w")).alias("v")).toArrow()
         if mean.num_rows:
             flat = np.zeros(len(start))
             flat[mean.column(0).to_numpy()] = mean.column(1).to_numpy()
             model = LogBilinear(flat)
+    discard(dealt)
     return model
 
 
