@@ -70,6 +70,10 @@ LABELLED = """
 30+ 70+ 3h+ 4hc 50c 40c 6c 90c 15c
 9b 30b 2hb 4lb 7lb 16lb
 5hab 30ab 80ab 4ha+ 25a+ 60a+ 12ab 3lab 9lab
+12a+ 10/10a+ 30a+
+9ha+ 15a+ 8/8a+ 22a+ 35a+
+14a+ 30a+ 6/6a+ 12a+ 18a+
+6ha+ 11a+ 9/9a+ 13a+ 16/14a+ 40a+ 3/3lb 4/4lb
 """
 
 #: Fixed lists of tags and of words in class, id and role.
@@ -77,7 +81,8 @@ RAW = "script style noscript template iframe svg math object canvas audio video
 HEAD = "base basefont bgsound head link meta noframes noscript script style template title"
 INLINE = "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
 CONTAINERS = "div section nav header footer aside form article main ul ol dl table figure dialog menu fieldset details body"
-BOILERPLATE = "nav footer aside form dialog menu fieldset"
+BOILERPLATE = "nav footer aside dialog menu"
+FORMS = "form fieldset"
 #: What a name says if all its other words are plain ones: boilerplate, also beside those of articles; boilerplate; comments; an article.
 STRONG_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies disclaimer login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar"
 WEAK_WORDS = "footer header overlay widget"
@@ -90,8 +95,13 @@ _ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+""")
 _CLOSE = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in [*RAW.split(), "title"]}
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_RAW, _HEAD, _INLINE, _CONTAINERS, _BOILERPLATE = (frozenset(x.split()) for x in (RAW, HEAD, INLINE, CONTAINERS, BOILERPLATE))
+_RAW, _HEAD, _INLINE, _CONTAINERS, _BOILERPLATE, _FORMS = (frozenset(x.split()) for x in (RAW, HEAD, INLINE, CONTAINERS, BOILERPLATE, FORMS))
 _STRONG, _WEAK, _COMMENT, _GOOD, _PLAIN = (frozenset(x.split()) for x in (STRONG_WORDS, WEAK_WORDS, COMMENT_WORDS, GOOD_WORDS, PLAIN_WORDS))
+#: Fixed shapes of notices outside of articles that no name marks, in blocks of NOTICE_WORDS at most: they begin with the first or end with the last.
+NOTICE = re.compile(r"^(?:©|\(c\)\s|copyright\b\s*(?:©|\(c\)|\d{4}|by\b)|(?:we|this (?:web)?site|our (?:web)?site)(?: and our partners)? uses? cookies\b)|\ball rights reserved\.?$", re.IGNORECASE)
+NOTICE_WORDS = 60
+#: Words of a block of running text, and blocks of that kind from which on a form is the frame of a page, not a form.
+RUNNING_WORDS, FRAME_BLOCKS = 20, 2
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
@@ -116,6 +126,8 @@ class TextBlock:
     article: bool = False
     boilerplate: bool = False
     comments: bool = False
+    #: The outermost form that the block is in, from 1; 0 if there is none.
+    form: int = 0
 
 
 @dataclass
@@ -126,6 +138,7 @@ class _Page:
     #: Open containers: tag, and whether what is in them is in an article, in boilerplate, in comments. How often each is open.
     open: list[tuple[str, bool, bool, bool]] = field(default_factory=list)
     times: dict[str, int] = field(default_factory=dict)
+    forms: int = 0
     heading: bool = False
     item: bool = False
     link: bool = False
@@ -142,7 +155,10 @@ class _Page:
     def flush(self) -> None:
         words = "".join(self.parts).split()
         if words:
-            self.blocks.append(TextBlock(" ".join(words), len(words), min(self.linked, len(words)), self.heading, self.item, *self.state()))
+            text, form = " ".join(words), self.forms if any(self.times.get(x) for x in _FORMS) else 0
+            article, boilerplate, comments = self.state()
+            boilerplate |= not article and len(words) <= NOTICE_WORDS and bool(NOTICE.search(text))
+            self.blocks.append(TextBlock(text, len(words), min(self.linked, len(words)), self.heading, self.item, article, boilerplate, comments, form))
         self.parts, self.linked = [], 0
 
     def tag(self, close: bool, name: str, attributes: str) -> None:
@@ -178,10 +194,26 @@ class _Page:
         if good and not comments and not {"comments", "boilerplate"} & says:  # an article inside of boilerplate starts anew
             article, boilerplate = True, False
         boilerplate |= bad and name not in ("body", "main")
+        if name in _FORMS and not any(self.times.get(x) for x in _FORMS):
+            self.forms += 1
         self.open.append((name, article, boilerplate, comments or ("comments" in says and name != "body")))
         self.times[name] = self.times.get(name, 0) + 1
 
 
+def _judge_forms(blocks: list[TextBlock]) -> None:
+    """Mark the blocks of forms as boilerplate, but for a form that frames the page: it has most of its running text."""
+    running = {0: [0, 0]}
+    for b in blocks:
+        if b.words >= RUNNING_WORDS and 2 * b.linked < b.words and not (b.boilerplate or b.comments):
+            own = running.setdefault(b.form, [0, 0])
+            own[0], own[1] = own[0] + 1, own[1] + b.words
+    whole = sum(n for _, n in running.values())
+    for b in blocks:
+        if b.form:
+            n, words = running.get(b.form, (0, 0))
+            b.boilerplate |= n < FRAME_BLOCKS or 2 * words < whole
+
+
 def _after(html: str, name: str, attributes: str, at: int, unclosed: set[str]) -> int:
     """Where a page goes on after an opening tag, which ends at `at`, whose content is dropped.
 
@@ -243,6 +275,8 @@ def text_blocks(html: str) -> list[TextBlock]:
         cut = rest.rfind("<")
         page.add(rest[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest)  # a tag that the page's end cuts
     page.flush()
+    if page.forms:
+        _judge_forms(page.blocks)
     return page.blocks
 
 
@@ -264,8 +298,12 @@ def features(blocks: list[TextBlock]) -> np.ndarray:
     return np.array([(*around[i + 1], *around[i], *around[i + 2], b.heading, b.item, b.article, b.boilerplate, b.comments) for i, b in enumerate(blocks)], float).reshape(len(blocks), 11)
 
 
+#: Blocks that a leaf of the tree has at least, so that it isn't about a single page of the table.
+LEAF = 5
+
+
 class Tree:
-    """A decision tree of the least Gini impurity; ties go to the first feature and the lowest cut."""
+    """A decision tree of the least Gini impurity with LEAF blocks in a leaf at least; ties go to the first feature and the lowest cut."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7):
         self.share = float(y.mean())
@@ -277,6 +315,8 @@ class Tree:
             values = np.unique(x[:, j])
             for cut in (values[1:] + values[:-1]) / 2:
                 left = x[:, j] <= cut
+                if min(left.sum(), (~left).sum()) < LEAF:
+                    continue
                 cost = self._impurity(y[left]) * left.sum() + self._impurity(y[~left]) * (~left).sum()
                 if cost < best[0] - 1e-9:
                     best = (cost, j, cut)
