@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import automata, ordered, phrases, prints, records, reminders, reviews, search, stages
+from siltstone.operators import automata, intake, ordered, phrases, prints, records, reminders, reviews, search, stages
 from siltstone.plans.registry import query
 from siltstone.plans.relational import _BM25, _terms
 from siltstone.session import materialize, scratch_dir
@@ -175,3 +175,57 @@ def _(t):
     given = t.orders.select(c("o_orderkey").alias("review_id"), c("o_orderkey").alias("run"), text.alias("text"))
     entries = t.orders.select(c("o_orderkey").alias("run"), F.concat(F.lit("c"), c("o_custkey").cast("string"), F.lit("-"), six).alias("entry"))
     return reviews.review_tiers(reviews.spelled_out(given, entries, "run"))
+
+
+@query("o156_intake_checks", """WITH runs AS (SELECT c_custkey AS run, TIMESTAMP '1994-01-01' AS a, TIMESTAMP '1997-12-31' AS z FROM customer),
+sources AS (SELECT DISTINCT event_type AS p, 'k' || event_id % 3 AS k, event_id % 3 = 0 AS req FROM events WHERE event_id % 3 < 2 UNION SELECT 'view', 'channel', false),
+sweeps AS (SELECT user_id AS run, 's' || event_id % 6 AS sk, event_type AS p, 'k' || event_id % 3 AS k, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'r1' ELSE 'r2' END AS role, CASE WHEN event_type = 'view' THEN 'csw_api' ELSE 'web' END AS tool, CASE WHEN value < 20 OR event_type = 'error' THEN 'failed' ELSE 'ok' END AS result, floor(value / 10)::BIGINT AS v FROM events),
+items AS (SELECT o_custkey AS run, o_orderkey AS k, o_orderstatus = 'P' AS dropped, CASE WHEN o_orderkey % 7 = 0 THEN 'm' WHEN o_orderkey % 11 = 0 THEN 'u' ELSE 'd' END AS kind, o_orderdate AS d, o_orderkey % 5 = 0 AS unnoted, o_orderkey % 3 = 0 AS bad_url, o_orderkey % 13 = 0 AS early, 's' || o_orderkey % 6 AS via FROM orders),
+traces AS (SELECT o_custkey AS run, o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0),
+judged AS (SELECT doc_id % 200 AS run, CASE WHEN quality = 1 THEN 'r1' ELSE '' END AS role, CASE WHEN toxic = 1 THEN 'pending_check' ELSE 'recommend' END AS tier, toxic = 0 AND quality = 1 AS seen FROM labels),
+roles AS (SELECT DISTINCT run, role FROM judged WHERE role <> ''),
+own AS (SELECT * FROM sweeps s WHERE role = '' OR run NOT IN (SELECT run FROM roles) OR EXISTS (SELECT 1 FROM roles r WHERE r.run = s.run AND r.role = s.role)),
+keyed AS (SELECT s.run, s.p, CASE WHEN e.p IS NULL AND h.p IS NOT NULL THEN 'channel' ELSE s.k END AS k, coalesce(e.req, h.req) AS req FROM sweeps s LEFT JOIN sources e ON e.p = s.p AND e.k = s.k LEFT JOIN sources h ON h.p = s.p AND h.k = 'channel' WHERE e.p IS NOT NULL OR h.p IS NOT NULL),
+cov AS (SELECT run, count(*) FILTER (req) AS rs, count(*) FILTER (NOT req) AS os FROM (SELECT DISTINCT run, p, k, req FROM keyed) GROUP BY 1),
+tot AS (SELECT count(*) AS ns, count(*) FILTER (req) AS nr FROM sources),
+sw AS (SELECT run, count(*) AS n, sum(v) AS rev, sum(v // 3) AS unrev, sum(v // 2) AS cor FROM sweeps GROUP BY 1),
+ow AS (SELECT run, count(*) AS n, count(*) FILTER (tool = 'csw_api') AS api, coalesce(sum(v) FILTER (tool = 'csw_api'), 0) AS uniq, coalesce(sum(v // 3) FILTER (tool = 'csw_api'), 0) AS op FROM own GROUP BY 1),
+de AS (SELECT run, count(*) AS n FROM (SELECT run, p FROM own GROUP BY 1, 2 HAVING count(*) FILTER (result <> 'failed') = 0) GROUP BY 1),
+ju AS (SELECT run, count(*) AS n, count(*) FILTER (NOT seen) AS us, count(*) FILTER (NOT seen AND tier <> 'pending_check') AS ub FROM judged GROUP BY 1),
+it AS (SELECT i.run, count(*) AS n, count(*) FILTER (kind <> 'd') AS odd, count(*) FILTER (kind = 'd' AND (d < a OR d > z OR early)) AS bad, count(*) FILTER (dropped AND k NOT IN (SELECT k FROM traces)) AS un, count(*) FILTER (NOT dropped AND unnoted) AS nn, count(*) FILTER (NOT dropped AND bad_url) AS ne FROM items i JOIN runs USING (run) GROUP BY 1),
+tr AS (SELECT run, count(*) AS n FROM traces GROUP BY 1),
+pl AS (SELECT run, sk, max(p) AS p FROM own GROUP BY 1, 2), sp AS (SELECT run, sum(n) AS known, max(n) AS most FROM (SELECT i.run, p, count(*) AS n FROM items i JOIN pl ON pl.run = i.run AND pl.sk = i.via GROUP BY 1, 2) GROUP BY 1),
+x AS (SELECT runs.run, ns, nr, coalesce(rs, 0) AS rs, coalesce(os, 0) AS os, coalesce(sw.n, 0) AS n_sweeps, coalesce(rev, 0) AS rev, coalesce(unrev, 0) AS unrev, coalesce(cor, 0) AS cor, coalesce(ow.n, 0) AS n_own, coalesce(api, 0) AS api, coalesce(uniq, 0) AS uniq, coalesce(op, 0) AS op, coalesce(de.n, 0) AS n_dead, coalesce(ju.n, 0) AS nj, coalesce(us, 0) AS us, coalesce(ub, 0) AS ub,
+  coalesce(it.n, 0) AS ni, coalesce(odd, 0) AS odd, coalesce(bad, 0) AS bad, coalesce(un, 0) AS un, coalesce(nn, 0) AS nn, coalesce(ne, 0) AS ne, coalesce(tr.n, 0) AS nt, coalesce(known, 0) AS known, coalesce(most, 0) AS most
+  FROM runs CROSS JOIN tot LEFT JOIN cov USING (run) LEFT JOIN sw USING (run) LEFT JOIN ow USING (run) LEFT JOIN de USING (run) LEFT JOIN ju USING (run) LEFT JOIN it USING (run) LEFT JOIN tr USING (run) LEFT JOIN sp USING (run)),
+y AS (SELECT *, greatest(rev - cor, 0) - ni AS gap, greatest(uniq - nj, 0) AS short FROM x)
+SELECT run, 'coverage' AS check, CASE WHEN n_sweeps = 0 THEN 'skipped' WHEN nr > rs THEN 'failed' WHEN ns > nr AND os * 100 // (ns - nr) < 60 THEN 'warn' ELSE 'ok' END AS state, (nr - rs)::BIGINT AS n FROM y
+UNION ALL SELECT run, 'judged_all', CASE WHEN api = 0 THEN 'skipped' WHEN op > 0 OR short > 0 THEN 'failed' ELSE 'ok' END, CASE WHEN op > 0 THEN op ELSE short END::BIGINT FROM y WHERE nj > 0
+UNION ALL SELECT run, 'pending_consistent', CASE WHEN ub > 0 THEN 'failed' WHEN us > 0 THEN 'warn' ELSE 'ok' END, ub::BIGINT FROM y WHERE nj > 0
+UNION ALL SELECT run, 'yield', CASE WHEN n_sweeps = 0 OR (rev = 0 AND unrev = 0) OR (gap > 0 AND nt = 0) THEN 'skipped' WHEN gap > 0 THEN 'failed' WHEN unrev > 0 THEN 'warn' ELSE 'ok' END, greatest(gap, 0)::BIGINT FROM y WHERE nj = 0
+UNION ALL SELECT run, 'window', CASE WHEN ni = 0 THEN 'skipped' WHEN bad > 0 THEN 'failed' WHEN odd > 0 THEN 'warn' ELSE 'ok' END, bad::BIGINT FROM y
+UNION ALL SELECT run, 'drop_explained', CASE WHEN nt = 0 THEN 'skipped' WHEN un > 0 THEN 'failed' ELSE 'ok' END, un::BIGINT FROM y
+UNION ALL SELECT run, 'dedup_noted', CASE WHEN ni = 0 THEN 'skipped' WHEN nn > 0 THEN 'warn' ELSE 'ok' END, nn::BIGINT FROM y
+UNION ALL SELECT run, 'evidence', CASE WHEN ni = 0 THEN 'skipped' WHEN ne > 0 THEN 'warn' ELSE 'ok' END, ne::BIGINT FROM y
+UNION ALL SELECT run, 'fallback', CASE WHEN n_own = 0 THEN 'skipped' WHEN n_dead > 0 THEN 'failed' ELSE 'ok' END, n_dead::BIGINT FROM y
+UNION ALL SELECT run, 'spread', CASE WHEN known = 0 THEN 'skipped' WHEN most * 100 // known >= 90 AND ns > 1 THEN 'warn' ELSE 'ok' END, CASE WHEN known > 0 AND most * 100 // known >= 90 AND ns > 1 THEN most ELSE 0 END::BIGINT FROM y""")
+def _(t):
+    """Customers as runs, their orders as items, a user's events as sweeps, labels as judgements; every check of the intake."""
+    e, k, day = c("event_id"), c("o_orderkey"), F.lit("1994-01-01").cast("timestamp")
+    runs = t.customer.select(c("c_custkey").alias("run"), day.alias("start"), F.lit("1997-12-31").cast("timestamp").alias("end"))
+    key = F.concat(F.lit("k"), (e % 3).cast("string"))
+    sources = t.events.where("event_id % 3 < 2").select(c("event_type").alias("platform"), key.alias("source_key"), (e % 3 == 0).alias("required")).distinct()
+    sources = sources.union(t.events.where("event_type = 'view'").select(F.lit("view"), F.lit("channel"), F.lit(False)).distinct())
+    v = F.floor(c("value") / 10)
+    sweeps = t.events.select(
+        c("user_id").alias("run"), F.concat(F.lit("s"), (e % 6).cast("string")).alias("sweep_key"), c("event_type").alias("platform"), key.alias("source_key"),
+        F.when(e % 4 == 0, "").when(e % 4 == 1, "r1").otherwise("r2").alias("role"), F.when(c("event_type") == "view", "csw_api").otherwise("web").alias("tool"),
+        F.when((c("value") < 20) | (c("event_type") == "error"), "failed").otherwise("ok").alias("result"), v.alias("found"), v.alias("in_window"), v.alias("reviewed"), F.floor(v / 3).alias("unreviewed"), F.floor(v / 2).alias("corroborated"))
+    date = c("o_orderdate").cast("timestamp")
+    items = t.orders.select(
+        c("o_custkey").alias("run"), k.alias("item_key"), F.when(c("o_orderstatus") == "P", "dropped").otherwise("kept").alias("status"),
+        F.when(k % 7 == 0, " ").when(k % 11 == 0, "soon").otherwise(date.cast("string")).alias("published_at"), F.when(k % 13 == 0, (date - F.expr("INTERVAL 1 DAY")).cast("string")).otherwise((date + F.expr("INTERVAL 1 DAY")).cast("string")).alias("fetched_at"),
+        F.when(k % 5 != 0, "seen").alias("dedup_note"), F.when(k % 3 == 0, "http://x/1").otherwise(" https://x/1").alias("evidence_url"), F.concat(F.lit("s"), (k % 6).cast("string")).alias("via"))
+    traces = t.orders.where("o_orderkey % 2 = 0").select(c("o_custkey").alias("run"), k.alias("item_key"), F.lit("why").alias("reason"))
+    judged = t.labels.select((c("doc_id") % 200).alias("run"), c("doc_id").alias("candidate_key"), F.when(c("quality") == 1, "r1").otherwise("").alias("role"), F.when(c("toxic") == 1, "pending_check").otherwise("recommend").alias("tier"), ((c("toxic") == 0) & (c("quality") == 1)).alias("image_seen"))
+    return intake.intake_checks(runs, sources, sweeps, items, traces, judged)
