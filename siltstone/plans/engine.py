@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators import automata, intake, ordered, phrases, prints, records, reminders, reviews, search, stages
+from siltstone.operators import automata, intake, measures, ordered, phrases, prints, records, reminders, reviews, search, stages
 from siltstone.plans.registry import query
 from siltstone.plans.relational import _BM25, _terms
 from siltstone.session import materialize, scratch_dir
@@ -229,3 +229,63 @@ def _(t):
     traces = t.orders.where("o_orderkey % 2 = 0").select(c("o_custkey").alias("run"), k.alias("item_key"), F.lit("why").alias("reason"))
     judged = t.labels.select((c("doc_id") % 200).alias("run"), c("doc_id").alias("candidate_key"), F.when(c("quality") == 1, "r1").otherwise("").alias("role"), F.when(c("toxic") == 1, "pending_check").otherwise("recommend").alias("tier"), ((c("toxic") == 0) & (c("quality") == 1)).alias("image_seen"))
     return intake.intake_checks(runs, sources, sweeps, items, traces, judged)
+
+
+@query("o073_recall_by_route", """WITH q AS (SELECT vec_id AS query, label, embedding, source FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+v AS (SELECT q.query, e.vec_id AS key, row_number() OVER (PARTITION BY q.query ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank FROM q JOIN embeddings e ON e.vec_id <> q.query QUALIFY rank <= 24),
+s AS (SELECT q.query, d.doc_id AS key, row_number() OVER (PARTITION BY q.query ORDER BY d.doc_id) AS rank FROM q JOIN documents d ON d.source = q.source AND d.doc_id <> q.query QUALIFY rank <= 24),
+p AS (SELECT query, key, string_agg(r, ',' ORDER BY r) AS routes, min(rank) AS best FROM (SELECT *, 'vector' AS r FROM v UNION ALL SELECT *, 'source' FROM s) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY best, key) AS place FROM p),
+t AS (SELECT q.query, e.vec_id AS key FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query), f AS (SELECT query, min(place) AS place, arg_min(routes, place) AS routes FROM o JOIN t USING (query, key) GROUP BY 1),
+x AS (SELECT * FROM (SELECT DISTINCT query FROM t) LEFT JOIN f USING (query), (VALUES (1), (5), (10), (24)) k(k))
+SELECT k, count(*) AS n, count(*) FILTER (place <= k) AS hits, round(count(*) FILTER (place <= k) / count(*), 9) AS rate, count(*) FILTER (place <= k AND routes = 'vector') AS only_vector, count(*) FILTER (place <= k AND routes = 'source') AS only_source FROM x GROUP BY 1""")
+def _(t):
+    """Vectors of the query set by two routes, near vectors and documents of the source; right are vectors of the label."""
+    docs = t.documents.select("doc_id", "source")
+    asked = t.embeddings.where("vec_id % 100 = 0").join(docs, c("doc_id") == c("vec_id")).select(c("vec_id").alias("query"), "label", "source", "embedding")
+    near = search.nearest(asked.select(c("query").alias("query_id"), "embedding"), t.embeddings, 24).select(c("query_id").alias("query"), c("vec_id").alias("key"), "rank")
+    same = asked.select("query", "source").join(docs, "source").where("doc_id <> query")
+    same = records.top_per_key(same, ["query"], ["doc_id"], 24).select("query", c("doc_id").alias("key"), "rank")
+    right = asked.select("query", "label").join(t.embeddings.select("vec_id", "label"), "label").where("vec_id <> query").select("query", c("vec_id").alias("key"))
+    return measures.recall_by_route(measures.pooled({"vector": near, "source": same}), right, [1, 5, 10, 24], ["vector", "source"])
+
+
+@query("o080_traced_rows", """WITH x AS (SELECT event_type AS sweep, event_id AS pos, user_id * 10 + event_id % 10 AS id, value >= 1 AS image_only, CASE WHEN event_id % 9 > 0 THEN ts END AS t0 FROM events),
+k AS (SELECT *, CASE WHEN pos > min(pos) OVER (PARTITION BY sweep, id) THEN 'dup_in_sweep' WHEN NOT image_only THEN 'not_image_only' WHEN t0 IS NULL THEN 'no_time' WHEN t0 < TIMESTAMP '2024-01-05' THEN 'before' WHEN t0 >= TIMESTAMP '2024-01-25' THEN 'after' ELSE 'in_window' END AS kind FROM x),
+f AS (SELECT id, min(struct_pack(s := sweep, p := pos)) AS place FROM k WHERE kind = 'in_window' GROUP BY 1)
+SELECT pos AS event_id, CASE WHEN kind = 'in_window' AND (sweep > f.place.s OR pos > f.place.p) AND (sweep <> f.place.s OR pos <> f.place.p) THEN 'dup_across' ELSE kind END AS outcome,
+CASE WHEN kind = 'in_window' AND (sweep <> f.place.s OR pos <> f.place.p) THEN 'e' || f.place.p END AS dup_of FROM k LEFT JOIN f USING (id)""")
+def _(t):
+    """Events as fetched rows: a type is a sweep, a user and a digit an entry; some rows have no time."""
+    e = c("event_id")
+    rows = t.events.select(c("event_type").alias("sweep"), e.alias("pos"), (c("user_id") * 10 + e % 10).alias("id"), F.concat(F.lit("e"), e.cast("string")).alias("key"), (c("value") >= 1).alias("image_only"), F.when(e % 9 > 0, c("ts").cast("timestamp")).alias("at"))
+    out = measures.traced(rows, F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-25").cast("timestamp"))
+    return out.select(c("pos").alias("event_id"), "outcome", "dup_of")
+
+
+@query("o081_stalled_sources", """WITH w AS (SELECT user_id AS sweep, TIMESTAMP '2024-01-10' AS a, TIMESTAMP '2024-01-10' + CASE WHEN user_id % 3 = 0 THEN INTERVAL 4 HOUR ELSE INTERVAL 9 HOUR END AS z, count(*) FILTER (event_type <> 'error') AS found, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS result FROM events GROUP BY 1),
+r AS (SELECT user_id AS sweep, ts FROM events WHERE event_type <> 'error')
+SELECT w.sweep, epoch_us(max(ts) FILTER (ts < a)) AS before_us, epoch_us(min(ts) FILTER (ts >= z)) AS after_us, CASE WHEN found = 0 THEN 'nothing_returned' WHEN max(ts) FILTER (ts < a) IS NOT NULL AND min(ts) FILTER (ts >= z) IS NOT NULL THEN 'interrupted' WHEN max(ts) FILTER (ts < a) IS NOT NULL THEN 'stopped' ELSE 'outside' END AS reason
+FROM w LEFT JOIN r ON r.sweep = w.sweep WHERE result = 'ok' AND z - a >= INTERVAL 6 HOUR GROUP BY w.sweep, found HAVING found = 0 OR count(*) FILTER (ts >= a AND ts < z) = 0""")
+def _(t):
+    """Users as sweeps of one window, of four or nine hours, whose events are what the source returned."""
+    u, start = c("user_id"), F.lit("2024-01-10").cast("timestamp")
+    hours = F.when(u % 3 == 0, F.expr("INTERVAL 4 HOUR")).otherwise(F.expr("INTERVAL 9 HOUR"))
+    sweeps = t.events.groupBy("user_id").agg(F.count_if(c("event_type") != "error").alias("found"))
+    sweeps = sweeps.select(u.alias("sweep"), start.alias("start"), (start + hours).alias("end"), "found", F.lit(0).alias("in_window"), F.when(u % 7 == 0, "failed").otherwise("ok").alias("result"))
+    returned = t.events.where("event_type <> 'error'").select(u.alias("sweep"), c("ts").cast("timestamp").alias("ingested_at"))
+    out = measures.stalled_sources(sweeps, returned)
+    return out.select("sweep", F.unix_micros("last_before").alias("before_us"), F.unix_micros("first_after").alias("after_us"), "reason")
+
+
+_TIER_SQL = "CASE WHEN {0} % 5 = 0 THEN NULL WHEN {0} % 5 = 1 THEN 'recommend' WHEN {0} % 5 = 2 THEN 'alternate' WHEN {0} % 5 = 3 THEN 'not_recommend' ELSE 'pending_check' END"
+
+
+@query("o072_verdicts_and_consistency", f"""WITH x AS (SELECT CASE WHEN quality = 1 THEN 'adopted' WHEN toxic = 1 THEN 'dropped' ELSE 'rejected' END AS truth, {_TIER_SQL.format("(n_chars // 7)")} AS first, {_TIER_SQL.format("(n_chars // 10)")} AS second FROM labels JOIN documents USING (doc_id)),
+y AS (SELECT *, first IS NOT NULL AND first <> 'pending_check' AS d, CASE WHEN truth = 'adopted' THEN first IN ('recommend', 'alternate') ELSE first = 'not_recommend' END AS r FROM x)
+SELECT truth, count(*) AS n, count(*) FILTER (d AND r) AS "right", count(*) FILTER (d AND NOT r) AS wrong, count(*) FILTER (NOT d) AS undecided, count(*) FILTER (first IS NOT NULL AND second IS NOT NULL) AS "both", count(*) FILTER (first = second) AS same FROM y GROUP BY 1""")
+def _(t):
+    """Labels as the truth, two passes of tiers read off the lengths."""
+    tier = lambda n: F.when(n % 5 == 1, "recommend").when(n % 5 == 2, "alternate").when(n % 5 == 3, "not_recommend").when(n % 5 == 4, "pending_check")
+    truth = F.when(c("quality") == 1, "adopted").when(c("toxic") == 1, "dropped").otherwise("rejected")
+    rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return measures.verdict_tally(rows.select(truth.alias("truth"), tier(F.floor(c("n_chars") / 7)).alias("first"), tier(F.floor(c("n_chars") / 10)).alias("second")))
