@@ -53,20 +53,36 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*(>|$)", " "), r"\s+", " "))
 
 
-def html_to_text(html: Column, limit: int = 20_000) -> Column:
-    """Lines of text: blocks that hold no text are dropped, breaks become lines, seven entities are decoded."""
-    x = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|svg|head)\b.*?</\1>", " ")
-    x = F.regexp_replace(x, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+#: Blocks that hold no text of their own, tags that end a line, and the entities that are decoded, in order.
+DROPPED = "script|style|noscript|svg|nav|footer|header|form|iframe|template"
+NO_TEXT = rf"(?is)<!--.*?-->|<(?:{DROPPED})\b.*?</\s*(?:{DROPPED})\s*>"
+LINE_ENDS = r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote)\s*>"
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
+
+
+def _decoded(x: Column) -> Column:
+    for name, char in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(x, "\n"), lambda v: F.trim(F.regexp_replace(v, r"[ \t\r\f]+", " ")))
-    return F.substring(F.array_join(F.filter(lines, lambda v: v != ""), "\n"), 1, limit)
+    return x
+
+
+def html_to_text(html: Column, limit: int = 20_000) -> Column:
+    """Lines of text without blocks that hold none, the title before them unless they begin with it; cut at limit characters."""
+    title = _decoded(F.regexp_replace(F.regexp_extract(html, TITLE, 1), r"^\s+|\s+$", ""))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, NO_TEXT, " "), LINE_ENDS, "\n"), r"(?s)<[^>]*>", " ")
+    lines = F.transform(F.split(_decoded(plain), "\n"), lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
+    body = F.substring(F.array_join(F.filter(lines, lambda v: v != ""), "\n"), 1, limit)
+    return F.substring(F.when((title == "") | body.startswith(title), body).otherwise(F.concat(title, F.lit("\n"), body)), 1, limit)
+
+
+#: Fixed value: a link in a text, which ends before white space, quotes, brackets and marks of either width.
+LINK = r"""https?://[^\s<>"'（）()【】「」《》，。；！？、]+"""
 
 
 def urls_in(text: Column, most: int = 3, skip: tuple[str, ...] = SKIP_HOSTS) -> Column:
     """The first distinct links of a text, without those to the skipped hosts and their subdomains."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"'()]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,)\]]+$", ""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,)\]]+$", ""))
     host = "|".join(h.replace(".", r"\.") for h in skip)
     return F.slice(F.array_distinct(F.filter(found, lambda u: ~u.rlike(rf"(?i)^https?://([^/?#]*\.)?({host})([/:?#]|$)"))), 1, most)
 
@@ -89,7 +105,7 @@ def number(text: Column) -> Column:
 def note_flags(views: Column, impressions: Column, watch: Column) -> Column:
     """Marks of counts that can't be right yet, as an array."""
     seen = views > 0
-    return F.array_compact(F.array(F.when(seen & (impressions == 0), "no_impressions"), F.when(seen & (watch == 0), "no_watch_time")))
+    return F.array_compact(F.array(F.when(seen & (impressions == 0), "refresh_pending:观看>0 而曝光=0"), F.when(seen & (watch == 0), "refresh_pending:观看>0 而平均时长=0")))
 
 
 def dedupe_text(text: Column) -> Column:
@@ -114,10 +130,14 @@ def key_phrases(words: Column, most: int = 8) -> Column:
     return F.transform(F.slice(F.array_sort(placed), 1, most), lambda x: x["w"])
 
 
-def heat_note(likes: Column, comments: Column, followers: Column) -> Column:
-    """Counts that are known, in one line; says so if none is."""
-    parts = F.concat_ws(" · ", *(F.concat(c.cast("string"), F.lit(f" {n}")) for c, n in ((likes, "likes"), (comments, "comments"), (followers, "followers"))))
-    return F.when(parts == "", "unknown").otherwise(parts)
+def heat_note(likes: Column, comments: Column, followers: Column, baseline: Column, ratio: Column, tags: Column) -> Column:
+    """Counts that are known, likes beside what is usual for the account, and tags that aren't blank; says so if nothing is known."""
+    usual = F.when(baseline > 0, F.concat(F.lit("常态 "), baseline.cast("string"), F.lit(" 的 "))).otherwise("常态的 ")
+    beside = F.when(ratio.isNotNull(), F.concat(F.lit(" · "), usual, F.format_string("%.1f", ratio.cast("double")), F.lit("×"))).otherwise("")
+    parts = F.concat_ws(" · ", F.concat(likes.cast("string"), F.lit(" 赞"), beside), F.concat(comments.cast("string"), F.lit(" 评论")), F.concat(F.lit("账号 "), followers.cast("string"), F.lit(" 粉丝")))
+    named = F.array_join(F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.trim(x) != ""), "、")
+    labels = F.when(named == "", "").otherwise(F.concat(F.when(parts == "", "").otherwise("；"), F.lit("标签："), named))
+    return F.when((parts == "") & (labels == ""), "热度不详").otherwise(F.concat(parts, labels))
 
 
 #: The shapes of dates and prices, the words and signs of currencies, and what ends a product's name.

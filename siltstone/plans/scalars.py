@@ -133,11 +133,20 @@ def _(t):
     return t.pages.select("page_id", F.md5(X.plain_text(F.col("html"))).alias("text_md5"))
 
 
-@query("o130_html_to_text", r"""
-SELECT page_id, md5(substr(array_to_string(list_filter([trim(regexp_replace(v, '[ \t\r\f]+', ' ', 'g')) FOR v IN string_split(
-  replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<svg\b.*?</svg>|<head\b.*?</head>', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), chr(10))], lambda v: v <> ''), chr(10)), 1, 20000)) AS text_md5 FROM pages""")
+def _decode_sql(x: str) -> str:
+    for name, char in X.ENTITIES:
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+_TITLE = _decode_sql(r"regexp_replace(regexp_extract(html, '" + X.TITLE + r"', 1), '^\s+|\s+$', '', 'g')")
+_PLAIN = _decode_sql("regexp_replace(regexp_replace(regexp_replace(html, '" + X.NO_TEXT + "', ' ', 'g'), '" + X.LINE_ENDS + "', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')")
+
+
+@query("o130_html_to_text", rf"""
+WITH p AS (SELECT page_id, {_TITLE} AS title, {_PLAIN} AS plain FROM pages),
+b AS (SELECT page_id, title, substr(array_to_string(list_filter([trim(regexp_replace(v, '\s+', ' ', 'g')) FOR v IN string_split(plain, chr(10))], lambda v: v <> ''), chr(10)), 1, 20000) AS body FROM p)
+SELECT page_id, md5(substr(CASE WHEN title = '' OR starts_with(body, title) THEN body ELSE title || chr(10) || body END, 1, 20000)) AS text_md5 FROM b""")
 def _(t):
     return t.pages.select("page_id", F.md5(X.html_to_text(F.col("html"))).alias("text_md5"))
 
@@ -145,7 +154,7 @@ def _(t):
 @query("o132_urls_in", r"""SELECT page_id, array_to_string(list_distinct_ordered, ' ') AS urls FROM (SELECT page_id, list_slice(u, 1, 3) AS list_distinct_ordered FROM (
 SELECT page_id, ['https://a.example/' || page_id, url] AS u FROM pages))""")
 def _(t):
-    text = F.concat(F.lit("see https://a.example/"), F.col("page_id").cast("string"), F.lit("), https://www.facebook.com/x and "), F.col("url"), F.lit(" or "), F.col("url"), F.lit("."))
+    text = F.concat(F.lit("see https://a.example/"), F.col("page_id").cast("string"), F.lit("），https://www.facebook.com/x and "), F.col("url"), F.lit(" or "), F.col("url"), F.lit("."))
     return t.pages.select("page_id", F.array_join(X.urls_in(text), " ").alias("urls"))
 
 
@@ -172,10 +181,15 @@ def _(t):
     return _scripted(t).select("doc_id", X.language_bucket(F.col("text")).alias("lang_bucket"))
 
 
-@query("o137_heat_note", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey || ' likes · ' || o_orderkey || ' comments' WHEN o_orderstatus = 'O' THEN o_orderkey || ' comments' ELSE 'unknown' END AS note FROM orders")
+@query("o137_heat_note", """WITH x AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS likes, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS comments, CASE WHEN o_orderkey % 4 = 1 THEN 900 END AS fans, CASE WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_orderkey % 3 = 1 THEN 0 END AS base, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey / 7.0 END AS ratio, o_orderkey % 2 = 0 AS tagged FROM orders),
+y AS (SELECT o_orderkey, concat_ws(' · ', likes || ' 赞' || CASE WHEN ratio IS NULL THEN '' WHEN base > 0 THEN ' · 常态 ' || base || ' 的 ' || printf('%.1f', ratio::DOUBLE) || '×' ELSE ' · 常态的 ' || printf('%.1f', ratio::DOUBLE) || '×' END, comments || ' 评论', '账号 ' || fans || ' 粉丝') AS parts, tagged FROM x)
+SELECT o_orderkey, CASE WHEN tagged THEN parts || CASE WHEN parts = '' THEN '' ELSE '；' END || '标签：帐篷、new' WHEN parts = '' THEN '热度不详' ELSE parts END AS note FROM y""")
 def _(t):
-    likes, comments = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))
-    return t.orders.select("o_orderkey", X.heat_note(likes, comments, F.lit(None).cast("long")).alias("note"))
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    tags = F.when(k % 2 == 0, F.array(F.lit("帐篷"), F.lit(" "), F.lit("new")))
+    base = F.when(k % 3 == 0, 7).when(k % 3 == 1, 0)
+    note = X.heat_note(F.when(status == "F", F.col("o_custkey")), F.when(status != "P", k), F.when(k % 4 == 1, 900), base, F.when(k % 5 > 0, F.col("o_custkey") / 7.0), tags)
+    return t.orders.select("o_orderkey", note.alias("note"))
 
 
 @query("o138_number", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN value ELSE event_id * 1000.0 END::DOUBLE AS n FROM events")
@@ -185,7 +199,7 @@ def _(t):
     return t.events.select("event_id", X.number(text).alias("n"))
 
 
-@query("o139_note_flags", "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 10 AND l_tax = 0 THEN 'no_impressions' END, CASE WHEN l_quantity > 10 AND l_discount = 0 THEN 'no_watch_time' END) AS flags FROM lineitem")
+@query("o139_note_flags", "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 10 AND l_tax = 0 THEN 'refresh_pending:观看>0 而曝光=0' END, CASE WHEN l_quantity > 10 AND l_discount = 0 THEN 'refresh_pending:观看>0 而平均时长=0' END) AS flags FROM lineitem")
 def _(t):
     flags = X.note_flags(F.col("l_quantity") - 10, F.col("l_tax"), F.col("l_discount"))
     return t.lineitem.select("l_orderkey", "l_linenumber", F.array_join(flags, ",").alias("flags"))
