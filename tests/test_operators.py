@@ -106,9 +106,9 @@ def test_text_functions(spark):
 
 
 def test_page_text_has_its_title_once_and_no_menus(spark):
-    pages = ["<head><title> A &amp; b </title></head><nav>menu</nav><p>x<br>y</p><form>f</form>", "<title>x</title><p>x y</p>", "", None]
+    pages = ["<head><title> A &amp; b </title></head><nav>menu</nav><p>x<br>y</p><form>f</form>", "<title>x</title><p>x y</p>", "<p>z</p><title>T</title>", "", None]
     df = spark.createDataFrame([(h,) for h in pages], "h string")
-    assert [r[0] for r in df.select(X.html_to_text(F.col("h"))).collect()] == ["A & b\nA & b x\ny", "x x y", "", None]
+    assert [r[0] for r in df.select(X.html_to_text(F.col("h"))).collect()] == ["A & b x\ny", "x x y", "T\nz\nT", "", None]
     heat = lambda *v: X.heat_note(*(F.lit(x).cast("long") for x in v[:4]), F.lit(v[4]), F.lit(v[5]).cast("array<string>"))
     row = spark.range(1).select(heat(5, None, 9, 2, 2.5, ["a", " "]).alias("a"), heat(5, 1, None, None, 2.5, None).alias("b"), heat(None, None, None, 3, 1.0, None).alias("c"), heat(None, None, None, None, None, ["t"]).alias("d")).first()
     assert tuple(row) == ("5 赞 · 常态 2 的 2.5× · 账号 9 粉丝；标签：a", "5 赞 · 常态的 2.5× · 1 评论", "热度不详", "标签：t")
