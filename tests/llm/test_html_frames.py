@@ -26,16 +26,6 @@ def test_frames_forms_and_notices(page, want):
     assert html.main_text(page) == "\n".join(want)
 
 
-def test_no_leaf_is_about_a_single_page():
-    def sizes(tree, x):
-        if tree.feature is None:
-            return [len(x)]
-        left = x[:, tree.feature] <= tree.cut
-        return sizes(tree.left, x[left]) + sizes(tree.right, x[~left])
-
-    assert min(sizes(html.trained(), np.concatenate([html.features(b) for b, _ in html.labelled()]))) >= html.LEAF
-
-
 def test_pages_of_an_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
