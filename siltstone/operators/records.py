@@ -235,12 +235,19 @@ def memory_picks(asked: DataFrame, cases: DataFrame, sims: DataFrame, per_decisi
     Cases (case, brand, url, decision, place) of one of its brands come first, up to per_decision of those adopted and of
     the others; then the most similar ones of other brands by sims (asked, case, sim), up to `cross` of each kind and
     while the first limit has room. A request's own address is left out.
+
+    A request never joins all cases of a brand. Of one address a brand shows per_decision cases at most, and of twice as
+    many that come first after this cut, at least per_decision have another address than a request: these stand for the brand.
     """
     rows = cases.withColumn("kind", F.col("decision") == "adopted")
     brands = asked.select("asked", "brand").distinct()
     urls = asked.select("asked", F.col("url").alias("_own")).distinct()
     other = (F.coalesce("_own", F.lit("")) == "") | ~F.col("url").eqNullSafe(F.col("_own"))
-    own = brands.where("trim(brand) <> ''").join(rows, "brand").join(urls, "asked").where(other).select("asked", "case", "kind", "place")
+    front = rows.where("trim(brand) <> ''").select("brand", "case", "kind", "url", "place")
+    for keys, n in ((["brand", "kind", "url"], per_decision), (["brand", "kind"], 2 * per_decision)):
+        front = top_per_key(front, keys, ["place", "case"], n).drop("rank")
+    front = materialize(front, "front")
+    own = brands.join(urls, "asked").join(front, "brand").where(other).select("asked", "case", "kind", "place")
     first = own.withColumn("_n", F.row_number().over(Window.partitionBy("asked", "kind").orderBy("place", "case"))).where(F.col("_n") <= per_decision)
     held = first.groupBy("asked", "kind").agg(F.count("*").alias("held"))
     near = sims.where(F.col("sim") >= least).join(rows, "case").join(brands, ["asked", "brand"], "left_anti").join(urls, "asked").where(other)

@@ -139,3 +139,26 @@ def test_stalled_runs(spark):
     tasks = spark.createDataFrame([(1, "blocked"), (2, "blocked"), (2, "running"), (3, "ready")], "run int, status string")
     events = spark.createDataFrame([(1, ts(0)), (2, ts(0)), (3, ts(0))], "run int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [r.run for r in flow.stalled(runs, tasks, events, F.lit(ts(40)).cast("timestamp"), 30).collect()] == [1]
+
+
+def test_memory_picks_join_the_front_of_a_brand_only(spark, monkeypatch):
+    """Against all pairs, with addresses that hide the first cases of a brand; a brand stands in the join with six cases of a kind."""
+    from siltstone.operators import records
+
+    tables = []
+    real = records.materialize
+    monkeypatch.setattr(records, "materialize", lambda df, name: tables.append(real(df, name)) or tables[-1])
+    rng = random.Random(5)
+    cases = [(k, f"b{rng.randrange(3)}", rng.choice([None, "", "u1", "u1", "u2", f"u{k}"]), rng.choice(["adopted", "rejected"]), rng.randrange(9)) for k in range(200)]
+    asked = [(q, f"b{b}", f"u{q}" if q else None) for q in range(12) for b in range(1 + q % 3)]
+    out = records.memory_picks(
+        spark.createDataFrame(asked, "asked int, brand string, url string"), spark.createDataFrame(cases, "case int, brand string, url string, decision string, place int"),
+        spark.createDataFrame([], "asked int, case int, sim double"))
+    want = set()
+    for q in range(12):
+        own = {b for a, b, _ in asked if a == q}
+        for kind in (True, False):
+            shown = sorted((p, k) for k, b, u, d, p in cases if b in own and (d == "adopted") == kind and not (q and u == f"u{q}"))
+            want |= {(q, k) for _, k in shown[:3]}
+    assert {(r.asked, r.case) for r in out.collect()} == want
+    assert [t.groupBy("brand", "kind").count().agg({"count": "max"}).first()[0] for t in tables] == [6]
