@@ -140,7 +140,7 @@ def _(t):
     """Each confirmed edge with the event it ends up in, by the final root: a row for each line of an event's note."""
     edges = materialize(_confirmed(t), "confirmed")
     roots = graph.connected_components(edges, "i", "j")
-    note = F.concat_ws(" ", c("i").cast("string"), F.lit("="), c("j").cast("string"), F.format_string("%.2f", "probability"))
+    note = F.concat_ws(" ", c("i").cast("string"), F.lit("="), c("j").cast("string"), X.two_places(c("probability")))
     return edges.join(roots.select(c("node").alias("i"), c("component").alias("event")), "i").select("event", "i", "j", note.alias("note"))
 
 

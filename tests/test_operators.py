@@ -162,3 +162,9 @@ def test_memory_picks_join_the_front_of_a_brand_only(spark, monkeypatch):
             want |= {(q, k) for _, k in shown[:3]}
     assert {(r.asked, r.case) for r in out.collect()} == want
     assert [t.groupBy("brand", "kind").count().agg({"count": "max"}).first()[0] for t in tables] == [6]
+
+
+def test_two_places_are_those_of_c(spark, duck):
+    values = [k / 10000 for k in range(5000, 10001, 5)] + [0.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.two_places(F.col("v"))).collect()]
+    assert got == [duck.execute("SELECT printf('%.2f', ?::DOUBLE)", [v]).fetchone()[0] if v is not None else None for v in values]
