@@ -123,9 +123,10 @@ def _(t):
 
 @query("o129_media_id", "SELECT doc_id, doc_id::VARCHAR AS id FROM documents")
 def _(t):
+    """Codes of eleven letters, six bits each, which hold any id."""
     n = F.col("doc_id").cast("bigint")
-    letter = [F.substring(F.lit(X.CODE_ALPHABET), (F.shiftright(n, 6 * k).bitwiseAND(63) + 1).cast("int"), F.lit(1)) for k in (2, 1, 0)]
-    return t.documents.select("doc_id", X.media_id(F.concat(F.lit("A"), *letter)).alias("id"))
+    letter = [F.substring(F.lit(X.CODE_ALPHABET), (F.shiftright(n, 6 * k).bitwiseAND(63) + 1).cast("int"), F.lit(1)) for k in range(10, -1, -1)]
+    return t.documents.select("doc_id", X.media_id(F.concat(*letter)).alias("id"))
 
 
 @query("o131_plain_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*(>|$)', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")

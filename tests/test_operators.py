@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,13 @@ def test_two_places_are_those_of_c(spark, duck):
     values = [k / 10000 for k in range(5000, 10001, 5)] + [0.0, None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.two_places(F.col("v"))).collect()]
     assert got == [duck.execute("SELECT printf('%.2f', ?::DOUBLE)", [v]).fetchone()[0] if v is not None else None for v in values]
+
+
+def test_media_ids_above_eighteen_bits(spark):
+    from siltstone.plans.registry import QUERIES
+
+    ids = [0, 63, 2**18 - 1, 2**18, 2**18 + 5, 10**10, 2**63 - 1]
+
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame([(k,) for k in ids], "doc_id long").write.parquet(f"{folder}/documents.parquet")
+        assert {(r.doc_id, r.id) for r in QUERIES["o129_media_id"](spark, folder).collect()} == {(k, str(k)) for k in ids}
