@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from itertools import pairwise
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +21,24 @@ def row_print(cells: Column) -> Column:
 
 
 def text_cells(text: Column, letter: str, start: float = 0.0, end: float = 1.0) -> Column:
-    """How often 72 equal slices of a part of the text have a letter, as its picture in 8 rows of 9 cells."""
-    n = F.length(text)
-    a, size = F.floor(n * start).cast("int"), F.floor(n * end).cast("int") - F.floor(n * start).cast("int")
-    cut = lambda i: a + F.floor(size * i / (ROWS * CELLS)).cast("int")
-    part = lambda i: text.substr(cut(i) + 1, cut(i + 1) - cut(i))
-    return F.transform(F.sequence(F.lit(0), F.lit(ROWS * CELLS - 1)), lambda i: F.length(part(i)) - F.length(F.replace(part(i), F.lit(letter), F.lit(""))))
+    """How often 72 equal slices of a part of the text have a letter, as its picture in 8 rows of 9 cells.
+
+    A text is gone through once: its characters can't be addressed in UTF-8, so a column's substr starts anew for each slice.
+    """
+
+    def counts(t: str | None) -> list[int | None]:
+        if t is None:
+            return [None] * (ROWS * CELLS)
+        first = math.floor(len(t) * start)
+        size = math.floor(len(t) * end) - first
+        cut = [first + size * i // (ROWS * CELLS) for i in range(ROWS * CELLS + 1)]
+        return [t.count(letter, a, b) * len(letter) for a, b in pairwise(cut)]
+
+    @F.pandas_udf("array<int>")
+    def cells(texts: pd.Series) -> pd.Series:
+        return texts.map(counts)
+
+    return cells(text)
 
 
 def near_prints(rows: DataFrame, bits: int, key: str = "id", value: str = "print") -> tuple[DataFrame, DataFrame]:
