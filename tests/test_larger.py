@@ -3,8 +3,6 @@
 import random
 import time
 
-import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import prints
@@ -21,3 +19,24 @@ def test_cells_of_a_long_text_take_one_pass(spark):
     cut = [40_000 + 320_000 * i // 72 for i in range(73)]
     assert got[1] == [text[a:b].count("e") for a, b in zip(cut, cut[1:])]
     assert sum(got[2]) == 2 and got[3] == [0] * 72 and got[4] == [None] * 72
+
+
+def test_recall_takes_a_query_s_own_targets_only(spark, duck, same, tmp_path, monkeypatch):
+    """One source and two labels: targets are those of the pool and two more of the label, not all of it."""
+    import duckdb
+
+    from siltstone.operators import measures
+    from siltstone.plans.registry import ORACLES
+
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 2 if k != 300 else 9) for k in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k, "one") for k in range(400)], "doc_id long, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    real = measures.recall_by_route
+    monkeypatch.setattr(measures, "recall_by_route", lambda pool, targets, *a: seen.append((pool.count(), targets.count())) or real(pool, targets, *a))
+    con = duckdb.connect()
+    for name in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    same(QUERIES["o073_recall_by_route"](spark, str(tmp_path)), con, ORACLES["o073_recall_by_route"])
+    assert seen[0][1] <= seen[0][0] + 2 * 4
