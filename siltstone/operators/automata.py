@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import normalize
+from siltstone.operators.batches import in_slices
 from siltstone.operators.joins import join_checked
 from siltstone.session import materialize
 
@@ -54,7 +55,7 @@ def contains_words(texts: DataFrame, key: str, text: Column, words: DataFrame) -
             if not shared.value:
                 return
             find = _automaton(name, shared.value, shared.value)
-            for b in batches:
+            for b in in_slices(batches):
                 place, found = [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
                     own = {word for _, word in find.iter(t)}
@@ -145,7 +146,7 @@ def segment(texts: DataFrame, key: str, text: Column, dictionary: DataFrame, sea
     def work(batches):
         find = _automaton(name, [w for w, _ in shared.value], [(len(w), s) for w, s in shared.value]) if shared.value else None
         words = {w for w, _ in shared.value if len(w) <= 3}
-        for b in batches:
+        for b in in_slices(batches):
             found = [None if t is None else cut(t, find, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], [key, "words"])
 

@@ -3,6 +3,8 @@
 import random
 import time
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import prints
@@ -40,3 +42,14 @@ def test_recall_takes_a_query_s_own_targets_only(spark, duck, same, tmp_path, mo
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     same(QUERIES["o073_recall_by_route"](spark, str(tmp_path)), con, ORACLES["o073_recall_by_route"])
     assert seen[0][1] <= seen[0][0] + 2 * 4
+
+
+@pytest.mark.parametrize("kind", ["text", "words"])
+def test_batches_are_cut_by_what_they_hold(kind):
+    from siltstone.operators.batches import in_slices
+
+    values = ["x" * n for n in (0, 3, 4, 50, 1, 2, 0)] + [None]
+    column = pa.array(values) if kind == "text" else pa.array([None if v is None else list(v) for v in values], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), column], ["k", "v"])
+    parts = [p.column(0).to_pylist() for p in in_slices([batch, batch.slice(0, 0)], 7)]
+    assert parts == [[0, 1, 2], [3], [4, 5, 6, 7]]
