@@ -135,25 +135,95 @@ DISPATCH_MODES = ("", "auto", "manual", "hub")
 ACTION = "^(|read|platform_write:.+)$"
 
 
-def _paths(stages: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (graph, up, down) between stages that exist, and all (graph, node, reach) along them, written."""
-    known = stages.select("graph", "node")
-    edges = deps.select("graph", F.col("needs").alias("up"), F.col("node").alias("down")).distinct()
-    edges = edges.join(known.withColumnRenamed("node", "up"), ["graph", "up"], "left_semi").join(known.withColumnRenamed("node", "down"), ["graph", "down"], "left_semi")
-    edges = materialize(edges, "edges")
-    pairs = closure(edges.select(F.struct("graph", F.col("up").alias("node")).alias("up"), F.struct("graph", F.col("down").alias("node")).alias("down")))
-    return edges, pairs.select("node.graph", F.col("node.node").alias("node"), F.col("reach.node").alias("reach"))
+#: Nodes of a graph up to which its paths are bits of a long for each node.
+SMALL = 64
 
 
-def _places(stages: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """stages with entry, terminal, in_cycle and reached (an entry leads there)."""
+def _edges(stages: DataFrame, deps: DataFrame) -> DataFrame:
+    """Edges (graph, up, down) between stages that exist."""
+    known = stages.select("graph", "node")
+    edges = deps.select("graph", F.col("needs").alias("up"), F.col("node").alias("down")).distinct()
+    return edges.join(known.withColumnRenamed("node", "up"), ["graph", "up"], "left_semi").join(known.withColumnRenamed("node", "down"), ["graph", "down"], "left_semi")
+
+
+def _of_small(stages: DataFrame, deps: DataFrame) -> DataFrame:
+    """What _of_large gives, for graphs of SMALL nodes at most: a row for each graph, whose node k is bit k."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
+    has = lambda mask, k: mask.bitwiseAND(bit(k)) != 0
+    union = lambda items, of: F.aggregate(items, zero, lambda m, x: m.bitwiseOR(of(x)))
+    at = lambda masks, k: F.get(masks, k)
+    kind = stages.schema["node"].dataType
+    both = stages.select("graph", F.struct("node", "is_merge").alias("s"), F.lit(None).cast(f"struct<up:{kind.simpleString()},down:{kind.simpleString()}>").alias("d"))
+    both = both.union(deps.select("graph", F.lit(None), F.struct(F.col("needs").cast(kind).alias("up"), F.col("node").cast(kind).alias("down"))))
+    rows = both.groupBy("graph").agg(F.array_sort(F.collect_list("s")).alias("s"), F.collect_set("d").alias("d")).where(F.size("s") > 0)
+    # As a column of a generator each value is computed once; projections are merged, and lambdas would compute it anew for each node.
+    held = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    rows = held(held(rows, "nodes", F.col("s.node")), "ks", F.sequence(F.lit(0), F.size("s") - 1))
+    place = lambda x: (F.array_position("nodes", x) - 1).cast("int")
+    pairs = F.filter(F.transform("d", lambda e: F.struct(place(e.up).alias("u"), place(e.down).alias("v"))), lambda e: (e.u >= 0) & (e.v >= 0))
+    rows = held(rows, "e", pairs)
+    rows = held(rows, "next", F.transform("ks", lambda k: union(F.filter("e", lambda e: e.u == k), lambda e: bit(e.v))))
+    rows = held(rows, "before", F.transform("ks", lambda k: union(F.filter("e", lambda e: e.v == k), lambda e: bit(e.u))))
+    through = lambda masks, k: F.transform(masks, lambda m: F.when(has(m, k), m.bitwiseOR(at(masks, k))).otherwise(m))
+    rows = held(rows, "reach", F.aggregate("ks", F.col("next"), through))
+    rows = held(rows, "led", union(F.filter("ks", lambda k: at(F.col("before"), k) == 0), lambda k: at(F.col("reach"), k)))
+    rows = held(rows, "merges", union(F.filter("ks", lambda k: F.coalesce(F.get("s", k).is_merge, F.lit(False))), bit))
+    # A round takes away all nodes that nothing left leads to; a node's layer is the number of rounds that it outlasts.
+    left = lambda last: union(F.filter("ks", lambda k: has(last, k) & (at(F.col("before"), k).bitwiseAND(last) != 0)), bit)
+    rounds = F.aggregate("ks", F.array(union(F.col("ks"), bit)), lambda done, _: F.concat(done, F.array(left(F.get(done, F.size(done) - 1)))))
+    rows = held(rows, "rounds", F.slice(rounds, 2, SMALL))
+    entry = lambda k: at(F.col("before"), k) == 0
+    out = F.transform("ks", lambda k: F.struct(
+        at(F.col("nodes"), k).alias("node"), entry(k).alias("entry"), (at(F.col("next"), k) == 0).alias("terminal"), has(at(F.col("reach"), k), k).alias("in_cycle"),
+        (entry(k) | has(F.col("led"), k)).alias("reached"), (at(F.col("reach"), k).bitwiseAND(F.col("merges")) != 0).alias("merged"), F.size(F.filter("rounds", lambda r: has(r, k))).alias("depth")))
+    return rows.select("graph", F.inline(out))
+
+
+def _of_large(stages: DataFrame, deps: DataFrame) -> DataFrame:
+    """graph, node, entry, terminal, in_cycle, reached, merged and depth of graphs of any size, by joins along all paths."""
+    edges = materialize(_edges(stages, deps), "edges")
+    key = lambda n: F.struct("graph", F.col(n).alias("node")).alias(n)
+    pairs = closure(edges.select(key("up"), key("down")))
+    paths = pairs.select("node.graph", F.col("node.node").alias("node"), F.col("reach.node").alias("reach"))
     flag = lambda df, n: df.distinct().withColumn(n, F.lit(True))
     ends = stages.join(flag(edges.select("graph", F.col("down").alias("node")), "_needs"), ["graph", "node"], "left").join(flag(edges.select("graph", F.col("up").alias("node")), "_led"), ["graph", "node"], "left")
     ends = ends.withColumn("entry", F.col("_needs").isNull()).withColumn("terminal", F.col("_led").isNull())
     led = paths.join(ends.where("entry").select("graph", "node"), ["graph", "node"], "left_semi").select("graph", F.col("reach").alias("node"))
     loops = paths.where("node = reach").select("graph", "node")
-    rows = ends.join(flag(led, "_from"), ["graph", "node"], "left").join(flag(loops, "_loop"), ["graph", "node"], "left")
-    return rows.withColumn("in_cycle", F.col("_loop").isNotNull()).withColumn("reached", F.col("entry") | F.col("_from").isNotNull()).drop("_needs", "_led", "_from", "_loop")
+    joined = paths.join(stages.where("is_merge").select("graph", F.col("node").alias("reach")), ["graph", "reach"], "left_semi").select("graph", "node")
+    rows = ends.join(flag(led, "_from"), ["graph", "node"], "left").join(flag(loops, "_loop"), ["graph", "node"], "left").join(flag(joined, "_merged"), ["graph", "node"], "left")
+    rows = rows.withColumn("in_cycle", F.col("_loop").isNotNull()).withColumn("reached", F.col("entry") | F.col("_from").isNotNull()).withColumn("merged", F.col("_merged").isNotNull())
+    rows = materialize(rows.select("graph", "node", "entry", "terminal", "in_cycle", "reached", "merged"), "places")
+    sound = edges.join(rows.where("in_cycle").select("graph").distinct(), "graph", "left_anti")
+    depth = layers(sound.select(key("up"), key("down"))).select("node.graph", F.col("node.node").alias("node"), F.col("layer").alias("depth"))
+    return rows.join(depth, ["graph", "node"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+
+def _places(stages: DataFrame, deps: DataFrame, small: int = SMALL) -> DataFrame:
+    """graph, node, entry, terminal, in_cycle, reached (an entry leads there), merged (it leads to a merge) and depth of stages (graph, node, is_merge).
+
+    depth is the longest path from an entry, in a graph without cycles. Stages and dependencies are counted first: a
+    graph of `small` stages and `small` squared dependencies at most is a row of its own, larger ones take joins. A
+    stage without a graph or name isn't among the rows; nothing leads to it or from it.
+    """
+    stages, deps = stages.where("graph IS NOT NULL AND node IS NOT NULL"), deps.where("graph IS NOT NULL AND needs IS NOT NULL AND node IS NOT NULL")
+    sized = stages.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > small).select("graph")
+    many = deps.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > small * small).select("graph")
+    large = materialize(sized.union(many).distinct(), "large-graphs")
+    if not large.limit(1).count():
+        return _of_small(stages, deps)
+    rest = [df.join(large, "graph", "left_anti") for df in (stages, deps)]
+    return _of_small(*rest).unionByName(_of_large(*(df.join(large, "graph", "left_semi") for df in (stages, deps))))
+
+
+def _placed(stages: DataFrame, deps: DataFrame) -> DataFrame:
+    """stages, written and told apart by graph and node, with the columns of _places."""
+    stages = materialize(stages.dropDuplicates(["graph", "node"]), "stages")
+    merge = F.col("is_merge") if "is_merge" in stages.columns else F.lit(False)
+    rows = stages.join(_places(stages.select("graph", "node", merge.alias("is_merge")), deps), ["graph", "node"], "left")
+    alone = {"entry": True, "terminal": True, "in_cycle": False, "reached": True, "merged": False, "depth": 0}
+    return rows.select(*stages.columns, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in alone.items()))
 
 
 def definition_checks(definitions: DataFrame, stages: DataFrame, deps: DataFrame, gates: DataFrame, roles: DataFrame) -> DataFrame:
@@ -162,11 +232,7 @@ def definition_checks(definitions: DataFrame, stages: DataFrame, deps: DataFrame
     stages are (graph, node, per_item, is_merge, instructions, self_check, acceptance, action, mode, sla, ack, idle), deps
     (graph, node, needs), gates (graph, role), roles (role, management).
     """
-    stages = stages.dropDuplicates(["graph", "node"])
-    edges, paths = _paths(stages, deps)
-    merges = stages.where("is_merge").select("graph", F.col("node").alias("reach"))
-    joined = paths.join(merges, ["graph", "reach"], "left_semi").select("graph", "node").distinct().withColumn("_merged", F.lit(True))
-    rows = _places(stages, edges, paths).join(joined, ["graph", "node"], "left")
+    rows = _placed(stages, deps)
     told = F.lit(True)
     for text in ("instructions", "self_check", "acceptance"):
         told = told & (F.trim(F.coalesce(text, F.lit(""))) != "")
@@ -179,7 +245,7 @@ def definition_checks(definitions: DataFrame, stages: DataFrame, deps: DataFrame
         "has_stage": F.count("*") > 0,
         "actions_valid": F.bool_and(F.coalesce("action", F.lit("")).rlike(ACTION)),
         "modes_valid": F.bool_and(timed),
-        "items_merge": F.bool_and(~F.coalesce("per_item", F.lit(False)) | F.col("_merged").isNotNull()),
+        "items_merge": F.bool_and(~F.coalesce("per_item", F.lit(False)) | F.col("merged")),
     }
     found = rows.groupBy("graph").agg(*(v.alias(k) for k, v in of_stages.items()))
     known = roles.select("role", "management")
@@ -195,16 +261,10 @@ def placed_stages(stages: DataFrame, deps: DataFrame) -> DataFrame:
 
     layer is the longest path from an entry; in a graph with a cycle it is the place by seq instead.
     """
-    stages = stages.dropDuplicates(["graph", "node"])
-    edges, paths = _paths(stages, deps)
-    rows = materialize(_places(stages, edges, paths), "places")
-    cyclic = rows.where("in_cycle").select("graph").distinct()
-    sound = edges.join(cyclic, "graph", "left_anti")
-    key = lambda n: F.struct("graph", F.col(n).alias("node")).alias(n)
-    depth = layers(sound.select(key("up"), key("down"))).select("node.graph", F.col("node.node").alias("node"), F.col("layer").alias("_depth"))
-    order = F.row_number().over(Window.partitionBy("graph").orderBy("seq", "node")) - 1
-    rows = rows.withColumn("_order", order).join(depth, ["graph", "node"], "left").join(cyclic.withColumn("_cyclic", F.lit(True)), "graph", "left")
-    layer = F.when(F.col("_cyclic"), F.col("_order")).otherwise(F.coalesce("_depth", F.lit(0)))
+    rows = _placed(stages.select("graph", "node", "seq"), deps)
+    whole = Window.partitionBy("graph")
+    order = F.row_number().over(whole.orderBy("seq", "node")) - 1
+    layer = F.when(F.max("in_cycle").over(whole), order).otherwise(F.col("depth"))
     return rows.select("graph", "node", layer.alias("layer"), "entry", "terminal", "in_cycle")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import flow, records
 from siltstone.plans.registry import query
+from siltstone.session import materialize
 
 c = F.col
 
@@ -21,6 +22,7 @@ g AS (SELECT *, entry OR EXISTS (SELECT 1 FROM r JOIN p q ON q.graph = r.graph A
 def _graph(t):
     """Stages and dependencies made of the lines of orders; some go back, so that there are cycles."""
     stages = t.lineitem.groupBy(c("l_orderkey").alias("graph"), c("l_linenumber").alias("node")).agg(F.min("l_partkey").alias("part"), F.max("l_quantity").alias("qty"), F.max("l_returnflag").alias("flag"))
+    stages = materialize(stages, "stages")
     needs = F.array_compact(F.array(c("node") - 1, F.when(c("part") % 40 == 0, c("node") + 1), F.when(c("part") % 3 == 0, c("node") - 2)))
     return stages, stages.select("graph", "node", F.explode(needs).alias("needs"))
 
