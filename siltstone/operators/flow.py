@@ -43,18 +43,19 @@ def layers(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """node and reach: all that lies downstream of each node of a graph (up, down), cycles included.
 
-    Each round joins the pairs that are new with all pairs found so far, so that paths double in length and the rounds
-    grow with the logarithm of the longest one. What is returned is written.
+    Each round doubles the length of paths: all pairs so far, put behind the pairs of just so many steps. A path is cut
+    at one place only, so that a pair comes up once for each of its paths, and the rounds grow with the logarithm of
+    the longest one. What is returned is written.
     """
-    new = found = materialize(edges.select(F.col("up").alias("node"), F.col("down").alias("reach")).where("node IS NOT NULL AND reach IS NOT NULL").distinct(), "found")
-    while new.limit(1).count():
-        onward = found.select(F.col("node").alias("reach"), F.col("reach").alias("next"))
-        before = found.select(F.col("node").alias("start"), F.col("reach").alias("node"))
-        step = new.join(onward, "reach").select("node", F.col("next").alias("reach"))
-        step = step.union(new.join(before, "node").select(F.col("start").alias("node"), "reach")).distinct()
+    found = jumps = materialize(edges.select(F.col("up").alias("node"), F.col("down").alias("reach")).where("node IS NOT NULL AND reach IS NOT NULL").distinct(), "found")
+    while True:
+        ahead = jumps.select("node", F.col("reach").alias("via"))
+        step = ahead.join(found.withColumnRenamed("node", "via"), "via").select("node", "reach").distinct()
         new = materialize(step.join(found, ["node", "reach"], "left_anti"), "reach")
-        found = materialize(found.unionByName(new), "found")
-    return found
+        if not new.limit(1).count():
+            return found
+        jumps = materialize(ahead.join(jumps.withColumnRenamed("node", "via"), "via").select("node", "reach").distinct(), "jumps")
+        found = found.unionByName(new)
 
 
 def stalled(runs: DataFrame, tasks: DataFrame, events: DataFrame, now, quiet_minutes: int, horizon_hours: int = 24) -> DataFrame:
