@@ -11,9 +11,9 @@ from siltstone.session import discard, materialize
 
 def ready(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Blocked tasks (run, task, status) all of whose dependencies (run, task, needs) have passed."""
-    state = tasks.select("run", F.col("task").alias("needs"), (F.col("status") == "passed").alias("passed"))
-    open_ = deps.join(state, ["run", "needs"], "left").groupBy("run", "task").agg(F.min(F.coalesce("passed", F.lit(False))).alias("all_passed"))
-    return tasks.where("status = 'blocked'").join(open_, ["run", "task"], "left").where(F.coalesce("all_passed", F.lit(True))).select("run", "task")
+    passed = tasks.groupBy("run", F.col("task").alias("needs")).agg(F.min(F.coalesce(F.col("status") == "passed", F.lit(False))).alias("_passed")).where("_passed")
+    open_ = deps.join(passed, ["run", "needs"], "left_anti").select("run", "task")
+    return tasks.where("status = 'blocked'").join(open_, ["run", "task"], "left_anti").select("run", "task")
 
 
 def layers(edges: DataFrame) -> DataFrame:

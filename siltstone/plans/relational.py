@@ -471,7 +471,7 @@ def _(t):
 @query("o151_readiness", "SELECT l_orderkey AS run, l_linenumber AS task FROM lineitem a WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND b.l_returnflag <> 'A') GROUP BY ALL")
 def _(t):
     tasks = t.lineitem.selectExpr("l_orderkey AS run", "l_linenumber AS task", "CASE l_returnflag WHEN 'R' THEN 'blocked' WHEN 'A' THEN 'passed' ELSE 'running' END AS status")
-    deps = tasks.select("run", "task").join(tasks.selectExpr("run", "task AS needs"), "run").where("needs < task").distinct()
+    deps = tasks.where("status = 'blocked'").select("run", "task").join(tasks.selectExpr("run", "task AS needs"), "run").where("needs < task")
     return flow.ready(tasks, deps).distinct()
 
 

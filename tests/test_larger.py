@@ -53,3 +53,15 @@ def test_batches_are_cut_by_what_they_hold(kind):
     batch = pa.RecordBatch.from_arrays([pa.array(range(8)), column], ["k", "v"])
     parts = [p.column(0).to_pylist() for p in in_slices([batch, batch.slice(0, 0)], 7)]
     assert parts == [[0, 1, 2], [3], [4, 5, 6, 7]]
+
+
+def test_only_blocked_tasks_are_joined_with_what_they_need(spark, tmp_path, monkeypatch):
+    from siltstone.operators import flow
+
+    lines = [(r, k, "R" if k == 20 else "A" if r else "N") for r in range(2) for k in range(1, 21)]
+    spark.createDataFrame(lines + [(2, 1, "R"), (3, 1, "A"), (3, 1, "N"), (3, 2, "R")], "l_orderkey long, l_linenumber long, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = []
+    real = flow.ready
+    monkeypatch.setattr(flow, "ready", lambda tasks, deps: seen.append(deps.count()) or real(tasks, deps))
+    assert {(r.run, r.task) for r in QUERIES["o151_readiness"](spark, str(tmp_path)).collect()} == {(1, 20), (2, 1)}
+    assert seen == [2 * 19 + 2]
