@@ -4,6 +4,10 @@ Vectors are brought to length 1 in Arrow batches. Few queries are sent to every
 keeps the best of each query. Many queries visit cells: vectors belong to the nearest of some pivots, and from the widest
 angle in a cell follows the highest cosine that any of its vectors can have with a query, so that cells that can't hold
 a better neighbour aren't visited. Pivots decide what is left out of the work, never what is found.
+
+For pairs, cells are packed into few large tiles, and a vector is sent once to each tile that can have a partner of it,
+not to each cell. Products in 32-bit floating point with a margin for their error leave the pairs that are computed
+again in double precision.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ TILE_BYTES = 16 << 20
 #: Products that a task has at a time.
 PRODUCTS = 1 << 22
 PIVOTS = 256
+#: Tiles of pairs: as many at least, so that all tasks have work, but none smaller than so many vectors.
+TILES, TILE_ROWS = 8, 2048
+#: Rows and columns of products that a task has at a time, and their share from which all are computed in double precision.
+BLOCK, DENSE = (512, 2048), 0.02
 #: What an angle, and a cosine rounded to six places, may be off.
 SLACK = 2e-6
 
@@ -44,24 +52,33 @@ def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         x = flat.reshape(-1, n) if len(rows) * n == len(flat) else flat[start[rows][:, None] + np.arange(n)]
         top = np.abs(x).max(axis=1)
         good = np.isfinite(top) & (top > 0)
-        x = x[good] / top[good, None]
-        yield rows[good], x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        yield rows[good], _length_one(x[good], top[good])
+
+
+def _length_one(x: np.ndarray, top: np.ndarray) -> np.ndarray:
+    x = x / top[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
-def units(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """id, n (the dimension) and v, the vector at length 1, of the rows whose vector has a direction and whose key isn't null."""
+def units(df: DataFrame, key: str, vector: str = "embedding", given: bool = False) -> DataFrame:
+    """id, n (the dimension) and v, the vector at length 1, of the rows whose vector has a direction and whose key isn't null.
+
+    given: v is the vector as it is given.
+    """
 
     def work(batches):
         for b in batches:
             for rows, x in unit_rows(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), x.shape[1], np.int32)), _lists(x)], ["id", "n", "v"])
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(np.full(len(rows), x.shape[1], np.int32)), b.column(1).take(take) if given else _lists(x)], ["id", "n", "v"])
 
     rows = df.where(F.col(key).isNotNull()).select(key, vector)
-    return rows.mapInArrow(work, f"id {rows.schema[key].dataType.simpleString()}, n int, v array<double>")
+    kind = rows.schema[vector].dataType.simpleString() if given else "array<double>"
+    return rows.mapInArrow(work, f"id {rows.schema[key].dataType.simpleString()}, n int, v {kind}")
 
 
 class _Best:
@@ -133,16 +150,13 @@ class Cells:
     def __init__(self, vectors: DataFrame, pivots: int = PIVOTS):
         """vectors: what units() gives. At most `pivots` vectors, by the hash of their ids, are sent to all tasks."""
         self.spark = vectors.sparkSession
-        chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("n", "v").toArrow()
-        groups: dict[int, list] = {}
-        for n, v in zip(chosen["n"].to_pylist(), chosen["v"].to_pylist(), strict=True):
-            groups.setdefault(n, []).append(v)
+        chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
         self.pivots, first = {}, 0
-        for n, v in groups.items():
-            self.pivots[n] = (first, np.array(v))
-            first += len(v)
+        for _, x in unit_rows(chosen["v"]):
+            self.pivots[x.shape[1]] = (first, x)
+            first += len(x)
         shared = self.spark.sparkContext.broadcast(self.pivots)
-        kind = vectors.schema["id"].dataType.simpleString()
+        kind, list_kind = (vectors.schema[k].dataType.simpleString() for k in ("id", "v"))
 
         def work(batches):
             for b in batches:
@@ -156,7 +170,7 @@ class Cells:
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(cell), pa.array(angle)], ["id", "n", "v", "cell", "angle"])
 
-        self.rows = materialize(vectors.mapInArrow(work, f"id {kind}, n int, v array<double>, cell long, angle double"), "cells")
+        self.rows = materialize(vectors.mapInArrow(work, f"id {kind}, n int, v {list_kind}, cell long, angle double"), "cells")
         found = self.rows.groupBy("cell", "n").agg(F.count("*").alias("size"), F.max("angle").alias("angle")).collect()  # a row for each pivot and dimension
         self.size = {r["cell"]: (r["n"], r["size"], r["angle"]) for r in found}
 
@@ -198,6 +212,22 @@ class Cells:
 
         return queries.select(*names).mapInArrow(work, f"id {kind}, v array<double>, cell long")
 
+    def tiles(self) -> dict[int, tuple[int, int]]:
+        """The first tile of each cell and how many it has: small cells of a dimension share one, large ones have several."""
+        out, at = {}, 0
+        for n in sorted({n for n, _, _ in self.size.values()}):
+            own = {c: size for c, (m, size, _) in sorted(self.size.items()) if m == n}
+            room = max(1, min(TILE_BYTES // (8 * n), max(TILE_ROWS, -(-sum(own.values()) // TILES))))
+            held = 0
+            for cell, size in own.items():
+                if held and held + size > room:
+                    at, held = at + 1, 0
+                parts = -(-size // room)
+                out[cell] = (at, parts)
+                at, held = (at + parts, 0) if parts > 1 else (at, held + size)
+            at += held > 0
+        return out
+
     def meet(self, visits: DataFrame, work, schema: str) -> DataFrame:
         """work on tiles: some of the queries of a cell and some of its vectors, TILE_BYTES of each at most."""
         visits = materialize(visits, "visits")
@@ -256,28 +286,124 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qu
     return top_per_key(first.unionByName(second).select(*out), [query_key], [F.desc("similarity"), key], k)
 
 
+def _above(x: np.ndarray, y: np.ndarray, short_x: np.ndarray, short_y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in x and y, and cosines, of the pairs that reach the threshold. short_x, short_y: the same in 32-bit.
+
+    The error of a 32-bit product of vectors of length 1 is below (n + 2) / 2^24, in whatever order it is summed.
+    """
+    about = short_x @ short_y.T
+    line = np.float32(threshold - (x.shape[1] + 8) / (1 << 23))
+    if about.max() < line:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j = np.nonzero(about >= line)
+    if len(i) > DENSE * about.size:
+        s = (x @ y.T)[i, j]
+    else:
+        step = max(1, PRODUCTS // 4 // x.shape[1])
+        s = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + step]], y[j[a : a + step]]) for a in range(0, len(i), step)])
+    keep = s >= threshold
+    return i[keep], j[keep], s[keep]
+
+
+def _reached(x: np.ndarray, pivots: np.ndarray | None, wide: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the cells around the pivots, as wide as that, can have a vector at the threshold, for each row of x."""
+    if pivots is None:
+        return np.ones((len(x), len(wide)), bool)
+    return np.arccos(np.clip(x @ pivots.T, -1, 1)) <= wide + np.arccos(np.clip(threshold, -1, 1)) + 2 * SLACK
+
+
+def tile_pairs(cells: Cells, threshold: float) -> DataFrame:
+    """a, b, own, n, cell, id, raw: each vector with each pair of tiles, a <= b, of its own and one that it can have a partner in.
+
+    raw: the components as given, of 32 bits if the vectors are of floats, else of 64.
+    """
+    shared, sizes, tiles = (cells.spark.sparkContext.broadcast(x) for x in (cells.pivots, cells.size, cells.tiles()))
+    kind = "<f4" if cells.rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+
+    def work(batches):
+        for b in batches:
+            ids, own_cell = b.column(0).to_numpy(), b.column(3).to_numpy()
+            for rows, x in unit_rows(b.column(2)):
+                n = x.shape[1]
+                known = np.array(sorted(c for c, (m, _, _) in sizes.value.items() if m == n))
+                first, pivots = shared.value.get(n, (0, None))
+                go = _reached(x, None if pivots is None else pivots[known - first], np.array([sizes.value[c][2] for c in known.tolist()]), threshold)
+                start, parts = np.array([tiles.value[c] for c in known.tolist()]).T
+                low = start[0]
+                lies = np.zeros((len(known), start[-1] + parts[-1] - low), np.float32)
+                for k, (s, p) in enumerate(zip(start.tolist(), parts.tolist(), strict=True)):
+                    lies[k, s - low : s - low + p] = 1
+                place = np.searchsorted(known, own_cell[rows])
+                own = start[place] + (_mixed(ids[rows]) % parts[place].astype(np.uint64)).astype(np.int64)
+                raw = b.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n * int(kind[-1])), len(rows), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                i, j = np.nonzero(go.astype(np.float32) @ lies > 0)
+                step = max(1, TILE_BYTES // (8 * n))
+                for at in range(0, len(i), step):
+                    k, to = i[at : at + step], low + j[at : at + step]
+                    take = pa.array(rows[k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[k], to)), pa.array(np.maximum(own[k], to)), pa.array(own[k]), b.column(1).take(take), b.column(3).take(take), b.column(0).take(take), raw.take(pa.array(k))], ["a", "b", "own", "n", "cell", "id", "raw"])
+
+    return cells.rows.select("id", "n", "v", "cell").mapInArrow(work, "a long, b long, own long, n int, cell long, id long, raw binary")
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """The ids' bits, mixed, so that those of a pattern are dealt out evenly."""
+    x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id") -> DataFrame:
     """Pairs (i, j, similarity) with i < j of vectors whose cosine reaches the threshold; exact.
 
-    Each vector visits the cells that can have one at the threshold, as the first of the pair, and only hits leave a
-    tile. Null and zero vectors and those with null or non-finite parts have no pairs.
+    Each pair of tiles is one group, which has at most TILE_BYTES of vectors a side and passes on hits as it finds them.
+    Vectors of a tile are compared with a cell of the other only if that can have one at the threshold. Null and zero
+    vectors and those with null or non-finite parts have no pairs.
     """
-    rows = units(vectors.select(F.col(key).cast("long").alias("k"), "embedding"), "k")
-    cells = Cells(rows)
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            a, b, x, y = left["id"].to_numpy(), right["id"].to_numpy(), _matrix(left), _matrix(right)
-            step = max(1, PRODUCTS // len(x))
-            for at in range(0, len(y), step):
-                i, j = np.nonzero(((s := x @ y[at : at + step].T) >= threshold) & (a[:, None] < b[None, at : at + step]))
-                found.append((a[i], b[at + j], s[i, j]))
-        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"i": i, "j": j, "s": s})
-
-    schema = "i long, j long, s double"
+    cells = Cells(units(vectors.select(F.col(key).cast("long").alias("k"), "embedding"), "k", given=True))
     if not cells.size:
-        return vectors.sparkSession.createDataFrame([], schema).select("i", "j", F.col("s").alias("similarity"))
-    visits = cells.visits(cells.rows.select("id", "n", "v", F.lit(float(threshold)).alias("line")), "line")
-    return cells.meet(visits, work, schema).select("i", "j", F.round("s", 4).alias("similarity"))
+        return vectors.sparkSession.createDataFrame([], "i long, j long, s double").select("i", "j", F.col("s").alias("similarity"))
+    kind = "<f4" if cells.rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    shared, sizes = cells.spark.sparkContext.broadcast(cells.pivots), cells.spark.sparkContext.broadcast(cells.size)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        a, b, n = (t[k][0].as_py() for k in ("a", "b", "n"))
+        own, cell = t["own"].to_numpy(), t["cell"].to_numpy()
+        order = np.lexsort((cell, own))
+        x = np.frombuffer(b"".join(t["raw"].to_pylist()), kind).reshape(-1, n)[order].astype(np.float64)
+        x = _length_one(x, np.abs(x).max(axis=1))
+        own, cell, ids = own[order], cell[order], t["id"].to_numpy()[order]
+        short = x.astype(np.float32)
+        left = int(np.searchsorted(own, a, "right"))
+        right = 0 if a == b else left
+        there = np.unique(cell[:left])
+        first, pivots = shared.value.get(n, (0, None))
+        go = _reached(x[right:], None if pivots is None else pivots[there - first], np.array([sizes.value[c][2] for c in there.tolist()]), threshold)
+        rows, columns = BLOCK
+        held: list[tuple] = []
+        for k, c in enumerate(there.tolist()):
+            begin, end = np.searchsorted(cell[:left], [c, c + 1]).tolist()
+            from_ = begin if a == b else right
+            others = from_ + np.flatnonzero(go[from_ - right :, k])
+            whole = len(others) == len(x) - from_
+            for q in range(0, len(others), columns):
+                near = slice(from_ + q, from_ + q + columns) if whole else others[q : q + columns]
+                y, short_y = x[near], short[near]
+                for p in range(begin, end, rows):
+                    i, j, s = _above(x[p : min(p + rows, end)], y, short[p : min(p + rows, end)], short_y, threshold)
+                    if not len(i):
+                        continue
+                    i, j = p + i, others[q + j]
+                    keep = (ids[i] != ids[j]) & ((i < j) | (a != b))
+                    i, j, s = ids[i[keep]], ids[j[keep]], s[keep]
+                    held.append((np.minimum(i, j), np.maximum(i, j), s))
+                    if sum(len(h[2]) for h in held) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in zip(*held, strict=True)], ["i", "j", "s"])
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in zip(*held, strict=True)], ["i", "j", "s"])
+
+    many = max(at + parts for at, parts in cells.tiles().values())
+    groups = tile_pairs(cells, threshold).repartition(min(many * (many + 1), 8192), "a", "b").groupBy("a", "b")  # two partitions for each pair of tiles, so that few pairs meet in a task
+    return groups.applyInArrow(work, "i long, j long, s double").select("i", "j", F.round("s", 4).alias("similarity"))

@@ -65,3 +65,43 @@ def test_only_blocked_tasks_are_joined_with_what_they_need(spark, tmp_path, monk
     monkeypatch.setattr(flow, "ready", lambda tasks, deps: seen.append(deps.count()) or real(tasks, deps))
     assert {(r.run, r.task) for r in QUERIES["o151_readiness"](spark, str(tmp_path)).collect()} == {(1, 20), (2, 1)}
     assert seen == [2 * 19 + 2]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_pairs_send_a_vector_to_each_tile_not_to_each_cell(spark, monkeypatch, kind):
+    """Vectors of two dimensions without clusters, near and exact copies, and an id that occurs twice."""
+    import numpy as np
+
+    from siltstone.operators import neighbours
+
+    rng = np.random.default_rng(8)
+    v = [rng.normal(size=6 if k % 3 else 5) for k in range(900)]
+    v[600:640] = [v[1]] * 40
+    v[640:680] = [v[1] + 0.01 * rng.normal(size=6) for _ in range(40)]
+    ids = [*range(-10, 889), 5]
+    df = spark.createDataFrame([(i, x.astype("f4" if kind == "float" else "f8").tolist()) for i, x in zip(ids, v)], f"vec_id long, embedding array<{kind}>")
+    unit = [x / np.linalg.norm(x) for x in (x.astype("f4" if kind == "float" else "f8").astype(float) for x in v)]
+    want = []
+    for n in (5, 6):
+        own = [k for k in range(900) if len(v[k]) == n]
+        s = np.array([unit[k] for k in own]) @ np.array([unit[k] for k in own]).T
+        want += [(min(ids[a], ids[b]), max(ids[a], ids[b]), round(s[p, q], 4)) for p, a in enumerate(own) for q, b in enumerate(own) if p < q and ids[a] != ids[b] and s[p, q] >= 0.9]
+    written = []
+    real = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df, name: written.append((t := real(df, name)).count()) or t)
+    for tile_rows in (100, 2048):
+        monkeypatch.setattr(neighbours, "TILE_ROWS", tile_rows, raising=False)
+        written.clear()
+        got = sorted(map(tuple, neighbours.similar_pairs(df, 0.9).collect()))
+        assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and max(abs(x[2] - y[2]) for x, y in zip(got, sorted(want))) < 2e-4
+        assert max(written) <= 900
+        cells = neighbours.Cells(neighbours.units(df, "vec_id", given=True))
+        tiles = max(at + parts for at, parts in cells.tiles().values())
+        assert (tiles == 2 if tile_rows == 2048 else 9 <= tiles <= 20) and neighbours.tile_pairs(cells, 0.9).count() <= 900 * tiles
+
+
+def test_pairs_of_many_copies_are_whole(spark):
+    from siltstone.operators import neighbours
+
+    df = spark.range(2500).selectExpr("id AS vec_id", "array(1.0D, 2.0D, if(id < 3, -2.0D, 2.0D)) AS embedding")
+    assert [tuple(r) for r in neighbours.similar_pairs(df, 0.7).groupBy("similarity").count().collect()] == [(1.0, 2497 * 2496 // 2 + 3)]
