@@ -7,7 +7,8 @@ a better neighbour aren't visited. Pivots decide what is left out of the work, n
 
 For pairs, cells are packed into few large tiles, and a vector is sent once to each tile that can have a partner of it,
 not to each cell. Products in 32-bit floating point with a margin for their error leave the pairs that are computed
-again in double precision.
+again in double precision. They are of short forms where these do: the parts along some directions and the length of the
+rest, whose product is never below the cosine.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ PIVOTS = 256
 #: Tiles of pairs: as many at least, so that all tasks have work, but none smaller than so many vectors.
 TILES, TILE_ROWS = 8, 2048
 #: Rows and columns of products that a task has at a time, and their share from which all are computed in double precision.
-BLOCK, DENSE = (512, 2048), 0.02
+BLOCK, DENSE = (512, 512), 0.02
+#: Share of a tile's vectors from which a cell is compared with all of them.
+MOST = 0.8
+#: What computing a pair again takes, in components of a product, and pivots of a dimension below which all components are used.
+AGAIN, TRIED = 40_000, 64
 #: What an angle, and a cosine rounded to six places, may be off.
 SLACK = 2e-6
 
@@ -286,16 +291,53 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qu
     return top_per_key(first.unionByName(second).select(*out), [query_key], [F.desc("similarity"), key], k)
 
 
+def short_ways(pivots: dict[int, tuple[int, np.ndarray]], threshold: float) -> dict[int, np.ndarray]:
+    """Orthonormal directions, as columns, for the dimensions in which short forms take less work than whole vectors.
+
+    They are those in which half of the pivots lie most; the other half tells how many of them pay, by the share of its
+    pairs that would be computed again.
+    """
+    out = {}
+    for n, (_, p) in pivots.items():
+        if len(p) < TRIED:
+            continue
+        ways = np.linalg.svd(p[::2], full_matrices=False)[2].T
+        pairs = np.triu_indices(len(p) // 2, 1)
+        least = n + AGAIN * np.mean((p[1::2] @ p[1::2].T)[pairs] >= threshold)
+        step = max(1, n // 32)
+        for k in range(step, min(n - 1, ways.shape[1]), step):
+            short = short_form(p[1::2], ways[:, :k])
+            work = k + 1 + AGAIN * np.mean((short @ short.T)[pairs] >= threshold)
+            if work < least:
+                least, out[n] = work, np.ascontiguousarray(ways[:, :k])
+    return out
+
+
+def short_form(x: np.ndarray, ways: np.ndarray | None) -> np.ndarray:
+    """x in 32-bit; with ways, its parts along them and the length of the rest.
+
+    By the Cauchy-Schwarz inequality the product of the rests of two vectors is up to that of their lengths. What is
+    added to the length is more than its error in double precision.
+    """
+    if ways is None:
+        return x.astype(np.float32)
+    part = x @ ways
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", part, part), 0) + 1e-15 * x.shape[1])
+    return np.column_stack([part, rest]).astype(np.float32)
+
+
 def _above(x: np.ndarray, y: np.ndarray, short_x: np.ndarray, short_y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in x and y, and cosines, of the pairs that reach the threshold. short_x, short_y: the same in 32-bit.
+    """Places in x and y, and cosines, of the pairs that reach the threshold. short_x, short_y: their short forms.
 
-    The error of a 32-bit product of vectors of length 1 is below (n + 2) / 2^24, in whatever order it is summed.
+    The error of a 32-bit product of n components of vectors of length 1 is below (n + 2) / 2^24, in whatever order it is summed.
     """
     about = short_x @ short_y.T
     line = np.float32(threshold - (x.shape[1] + 8) / (1 << 23))
-    if about.max() < line:
+    some = np.flatnonzero(about.max(axis=1) >= line)
+    if not len(some):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    i, j = np.nonzero(about >= line)
+    i, j = np.divmod(np.flatnonzero(about[some] >= line), about.shape[1])
+    i = some[i]
     if len(i) > DENSE * about.size:
         s = (x @ y.T)[i, j]
     else:
@@ -315,10 +357,15 @@ def _reached(x: np.ndarray, pivots: np.ndarray | None, wide: np.ndarray, thresho
 def tile_pairs(cells: Cells, threshold: float) -> DataFrame:
     """a, b, own, n, cell, id, raw: each vector with each pair of tiles, a <= b, of its own and one that it can have a partner in.
 
-    raw: the components as given, of 32 bits if the vectors are of floats, else of 64.
+    A row has many vectors of tile own; cell, id and raw are theirs in one piece each, of 64-bit integers and, for raw, the
+    components as given, of 32 bits if the vectors are of floats, else of 64.
     """
     shared, sizes, tiles = (cells.spark.sparkContext.broadcast(x) for x in (cells.pivots, cells.size, cells.tiles()))
-    kind = "<f4" if cells.rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+    kind = _kind(cells)
+
+    def pieces(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        ends = (ends * (values.nbytes // len(values))).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)])
 
     def work(batches):
         for b in batches:
@@ -335,16 +382,23 @@ def tile_pairs(cells: Cells, threshold: float) -> DataFrame:
                     lies[k, s - low : s - low + p] = 1
                 place = np.searchsorted(known, own_cell[rows])
                 own = start[place] + (_mixed(ids[rows]) % parts[place].astype(np.uint64)).astype(np.int64)
-                raw = b.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(kind)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(n * int(kind[-1])), len(rows), [None, pa.py_buffer(raw)]).cast(pa.binary())
+                raw = b.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)
                 i, j = np.nonzero(go.astype(np.float32) @ lies > 0)
+                order = np.lexsort((j, own[i]))
                 step = max(1, TILE_BYTES // (8 * n))
-                for at in range(0, len(i), step):
-                    k, to = i[at : at + step], low + j[at : at + step]
-                    take = pa.array(rows[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[k], to)), pa.array(np.maximum(own[k], to)), pa.array(own[k]), b.column(1).take(take), b.column(3).take(take), b.column(0).take(take), raw.take(pa.array(k))], ["a", "b", "own", "n", "cell", "id", "raw"])
+                for at in range(0, len(order), step):
+                    k, to = i[order[at : at + step]], low + j[order[at : at + step]]
+                    mine = own[k]
+                    begin = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (to[1:] != to[:-1])])
+                    ends = np.r_[begin, len(k)]
+                    mine, to = mine[begin], to[begin]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, to)), pa.array(np.maximum(mine, to)), pa.array(mine), pa.array(np.full(len(mine), n, np.int32)), *(pieces(v, ends) for v in (own_cell[rows[k]], ids[rows[k]], raw[k]))], ["a", "b", "own", "n", "cell", "id", "raw"])
+
+    return cells.rows.select("id", "n", "v", "cell").mapInArrow(work, "a long, b long, own long, n int, cell binary, id binary, raw binary")
+
 
-    return cells.rows.select("id", "n", "v", "cell").mapInArrow(work, "a long, b long, own long, n int, cell long, id long, raw binary")
+def _kind(cells: Cells) -> str:
+    return "<f4" if cells.rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -363,18 +417,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id") ->
     cells = Cells(units(vectors.select(F.col(key).cast("long").alias("k"), "embedding"), "k", given=True))
     if not cells.size:
         return vectors.sparkSession.createDataFrame([], "i long, j long, s double").select("i", "j", F.col("s").alias("similarity"))
-    kind = "<f4" if cells.rows.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
-    shared, sizes = cells.spark.sparkContext.broadcast(cells.pivots), cells.spark.sparkContext.broadcast(cells.size)
+    kind = _kind(cells)
+    shared, sizes, ways = (cells.spark.sparkContext.broadcast(x) for x in (cells.pivots, cells.size, short_ways(cells.pivots, threshold)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
         a, b, n = (t[k][0].as_py() for k in ("a", "b", "n"))
-        own, cell = t["own"].to_numpy(), t["cell"].to_numpy()
+        cell, ids, x = (np.frombuffer(b"".join(t[k].to_pylist()), d) for k, d in (("cell", "<i8"), ("id", "<i8"), ("raw", kind)))
+        own = np.repeat(t["own"].to_numpy(), pc.binary_length(t["id"]).to_numpy() // 8)
         order = np.lexsort((cell, own))
-        x = np.frombuffer(b"".join(t["raw"].to_pylist()), kind).reshape(-1, n)[order].astype(np.float64)
+        x = x.reshape(-1, n)[order].astype(np.float64)
         x = _length_one(x, np.abs(x).max(axis=1))
-        own, cell, ids = own[order], cell[order], t["id"].to_numpy()[order]
-        short = x.astype(np.float32)
+        own, cell, ids = own[order], cell[order], ids[order]
+        short = short_form(x, ways.value.get(n))
         left = int(np.searchsorted(own, a, "right"))
         right = 0 if a == b else left
         there = np.unique(cell[:left])
@@ -386,7 +441,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id") ->
             begin, end = np.searchsorted(cell[:left], [c, c + 1]).tolist()
             from_ = begin if a == b else right
             others = from_ + np.flatnonzero(go[from_ - right :, k])
-            whole = len(others) == len(x) - from_
+            whole = len(others) > MOST * (len(x) - from_)  # none is copied, then
+            others = np.arange(from_, len(x)) if whole else others
             for q in range(0, len(others), columns):
                 near = slice(from_ + q, from_ + q + columns) if whole else others[q : q + columns]
                 y, short_y = x[near], short[near]

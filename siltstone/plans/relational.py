@@ -118,8 +118,11 @@ _EDGES = f"""e AS (SELECT i, j, round((round(s, 4) - 0.7) / 0.3, 4) AS probabili
 
 
 def _confirmed(t):
-    """Pairs above the coarse line whose probability, here read off the similarity, reaches one half."""
-    pairs = search.similar_pairs(t.embeddings, 0.7)
+    """Pairs above the coarse line whose probability, here read off the similarity, reaches one half.
+
+    That of a similarity of 0.8499 is 0.4997, so no pair below it is asked for.
+    """
+    pairs = search.similar_pairs(t.embeddings, 0.8499)
     return pairs.select("i", "j", F.round((c("similarity") - 0.7) / 0.3, 4).alias("probability")).where("probability >= 0.5")
 
 

@@ -129,3 +129,57 @@ def test_pairs_of_made_vectors_are_those_of_sql(spark, same, tmp_path, monkeypat
     monkeypatch.setattr(neighbours, "materialize", lambda df, name: written.append((t := real(df, name)).count()) or t)
     same(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
     assert max(written) <= 400
+
+
+def made_vectors(kind: str, n: int = 64):
+    """600 vectors of length 1 without clusters, lying evenly, mostly along few directions or about a mean, and partners of 60 of them at cosines about 0.85."""
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(600, n)) * (0.9 ** np.arange(n) if kind == "few" else 1) + (0.5 if kind == "mean" else 0)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(60, n))
+    side -= np.einsum("ij,ij->i", side, x[:60])[:, None] * x[:60]
+    s = np.linspace(0.8495, 0.8504, 60)[:, None]
+    return np.concatenate([x, s * x[:60] + np.sqrt(1 - s * s) * side / np.linalg.norm(side, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("kind", ["evenly", "few", "mean"])
+def test_short_forms_are_short_and_never_below_the_cosine(kind):
+    import numpy as np
+
+    from siltstone.operators import neighbours
+
+    x = made_vectors(kind)
+    ways = neighbours.short_ways({64: (0, x[:256])}, 0.8499)
+    assert 4 <= ways[64].shape[1] <= 48
+    short = neighbours.short_form(x, ways[64])
+    assert short.shape[1] == ways[64].shape[1] + 1 and (short @ short.T >= x @ x.T - 70 / (1 << 23)).all()
+    assert not neighbours.short_ways({64: (0, x[:20])}, 0.8499)
+    copies = np.repeat(x[:64], 4, axis=0)
+    assert (neighbours.short_form(copies, ways[64]) @ neighbours.short_form(copies, ways[64]).T >= copies @ copies.T - 70 / (1 << 23)).all()
+
+
+@pytest.mark.parametrize("kind", ["evenly", "few", "mean"])
+def test_confirmed_edges_are_those_of_sql_near_the_line(spark, same, tmp_path, monkeypatch, kind):
+    """Only pairs that can be confirmed are asked for, and vectors go to tiles by many in a row."""
+    import duckdb
+
+    from siltstone.operators import neighbours, search
+    from siltstone.plans import relational  # noqa: F401
+    from siltstone.plans.registry import ORACLES
+
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(made_vectors(kind))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    lines, dealt = [], []
+    pairs, tiles = search.similar_pairs, neighbours.tile_pairs
+    monkeypatch.setattr(search, "similar_pairs", lambda df, line, *a: lines.append(line) or pairs(df, line, *a))
+    monkeypatch.setattr(neighbours, "tile_pairs", lambda *a: dealt.append((t := tiles(*a)).count()) or t)
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 100)
+    name = "o119_edge_confirmation"
+    found = QUERIES[name](spark, str(tmp_path))
+    same(found, con, ORACLES[name])
+    assert 20 < found.where("i < 60 AND j >= 600 AND probability < 0.503").count() < 60
+    assert 0.84 < lines[0] <= 0.84995 and dealt[0] <= 660
