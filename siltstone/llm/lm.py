@@ -21,6 +21,7 @@ beyond the head meet their counts in a join.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ CHUNK, STEPS, NOISE_WORDS, PRIOR = 256, 24, 25, 2.0
 CHUNKS_A_TASK = 8
 #: Parts that triples are dealt to by a hash, whatever their number, and triples that are learned from at a time.
 BUCKETS, LEARNED = 4, 1 << 19
+#: Counts that a task adds up before it sends any: of words, and of contexts, which take 8 bytes each with their keys.
+HELD_WORDS, HELD_CONTEXTS = 1 << 19, 1 << 22
+#: Examples that are held against noise at a time.
+STRIP = 256
 #: Counts up to which the histogram that finds how many words have a count is exact.
 MOST_COUNTED = 100_000
 
@@ -95,40 +100,50 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray
     return key[first], extra[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _counted(docs: DataFrame, pick, names: tuple[str, str], most: int = 1 << 19) -> DataFrame:
-    """Sums over all texts of the counts that pick finds in a batch of them; a task adds up before it sends any."""
+def _packed(parts: list[np.ndarray], bits: int) -> np.ndarray:
+    """Keys of contexts with counts in so many lower bits, once each, with the sums of their counts."""
+    both = np.concatenate(parts)
+    both.sort()
+    key = both >> bits
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    both &= (1 << bits) - 1
+    return (key[first] << bits) | np.add.reduceat(both, first) if len(first) else key
 
-    def run(batches):
-        held: list = []
 
-        def out():
-            key, extra, n = _merged(held)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(extra), pa.array(n)], [*names, "n"])
+def added_up(found, size, merge, most: int):
+    """The parts found, in merged ones; each is given away only when more than half of most are left after merging."""
+    held: list = []
+    total = 0
+    for part in found:
+        held.append(part)
+        total += size(part)
+        if total > most:
+            held = [merge(held)]
+            total = size(held[0])
+            if total > most // 2:
+                yield held.pop()
+                total = 0
+    if held:
+        yield merge(held)
 
-        for batch in batches:
-            for b in slices(batch, "text"):
-                held.append(pick(b.column(b.schema.get_field_index("text"))))
-                if sum(len(x[0]) for x in held) > most:
-                    held = [_merged(held)]
-                    if len(held[0][0]) > most // 2:
-                        yield out()
-                        held = []
-        if held:
-            yield out()
 
-    rows = docs.select("text").mapInArrow(run, f"{names[0]} long, {names[1]} long, n long")
-    return rows.groupBy(*names).agg(F.sum("n").alias("n"))
+def _texts(batches):
+    """The column text of Arrow batches, some megabytes at a time."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            yield b.column(b.schema.get_field_index("text"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, a hash, ending and n over all texts of docs."""
 
-    def pick(texts: pa.Array):
-        h, _, ending = _words(texts)
-        key, at, n = np.unique(h, return_index=True, return_counts=True)
-        return key, ending[at], n
+    def run(batches):
+        found = ((h, ending, np.ones(len(h), np.int64)) for h, _, ending in map(_words, _texts(batches)))
+        for key, ending, n in added_up((_merged([x]) for x in found), lambda x: len(x[0]), _merged, HELD_WORDS):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ending), pa.array(n)], ["word", "ending", "n"])
 
-    return _counted(docs, pick, ("word", "ending"))
+    rows = docs.select("text").mapInArrow(run, "word long, ending long, n long")
+    return rows.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -153,6 +168,28 @@ class Vocabulary:
     distinct: int
     texts: int
 
+    @cached_property
+    def starts(self) -> tuple[np.uint64, np.ndarray]:
+        """Bits to shift a hash by, and where the words of the head with each of the numbers left begin: hashes are spread evenly, so few have the same."""
+        bits = max(len(self.head).bit_length(), 1)
+        shift = np.uint64(64 - bits)
+        return shift, np.append(0, np.cumsum(np.bincount((self.head >> shift).astype(np.int64), minlength=1 << bits)))[:-1].astype(np.int32)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is in the head, or -1."""
+        if not len(self.head):
+            return np.full(len(h), -1)
+        shift, starts = self.starts
+        last = len(self.head) - 1
+        i = np.minimum(starts[(h >> shift).astype(np.int64)], last).astype(np.int64)
+        found = self.head[i]
+        rest = np.flatnonzero((found < h) & (i < last))
+        while len(rest):
+            i[rest] += 1
+            found[rest] = self.head[i[rest]]
+            rest = rest[(found[rest] < h[rest]) & (i[rest] < last)]
+        return np.where(found == h, i, -1)
+
     def classes(self, ending: np.ndarray) -> np.ndarray:
         i = _find(self.endings, ending)
         return np.where(i >= 0, self.ending_class[i] if len(self.endings) else 0, _CLASS[ending & 255])
@@ -164,7 +201,7 @@ class Vocabulary:
         at = np.arange(len(h)) + doc
         size = len(h) + len(texts)
         kind = self.classes(ending)
-        i = _find(self.head, h)
+        i = self.places(h)
         word = np.where(i >= 0, self.head_word[i] if len(self.head) else -1, -1)
         word = np.where(word >= 0, word, len(self.word_class) - CLASSES + kind)
         entry = np.full(size, END, np.int64)
@@ -244,20 +281,25 @@ def context_counts(docs: DataFrame, shared) -> DataFrame:
     """Counts over all tokens of docs: of triples, with context, the number FAR + 1 times one before plus two before, and entry;
     and of pairs, with context, the one before, and word, its place among those with vectors."""
 
-    def pick(texts: pa.Array):
+    words = len(shared.value.word_class)
+    bits = 63 - (_PAIRS + (ENTRIES + 1) * words).bit_length()  # 36 for WORDS, 33 if all words of the head have vectors
+
+    def run(batches):
         v = shared.value
-        entry, one, two, _, _, _, word, at = v.sequence(texts)
-        key, n = np.unique((one * (FAR + 1) + two) * ENTRIES + entry, return_counts=True)
-        rare = entry[at] < CLASSES
-        pair, m = np.unique(_PAIRS + one[at[rare]] * len(v.word_class) + word[rare], return_counts=True)
-        key, n = np.concatenate([key, pair]), np.concatenate([n, m])
-        return key, np.where(key < _PAIRS, 0, 1), n
 
-    words = len(shared.value.word_class)
-    rows = _counted(docs, pick, ("key", "pair"))
-    pair = F.col("pair") == 1
+        def packed(texts: pa.Array) -> np.ndarray:
+            entry, one, two, _, _, _, word, at = v.sequence(texts)
+            rare = entry[at] < CLASSES
+            keys = np.concatenate([(one * (FAR + 1) + two) * ENTRIES + entry, _PAIRS + one[at[rare]] * len(v.word_class) + word[rare]])
+            return _packed([(keys << bits) | 1], bits)
+
+        for both in added_up(map(packed, _texts(batches)), len, lambda parts: _packed(parts, bits), HELD_CONTEXTS):
+            yield pa.RecordBatch.from_arrays([pa.array(both >> bits), pa.array(both & ((1 << bits) - 1))], ["key", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pair = F.col("key") >= _PAIRS
     context = F.when(pair, F.floor((F.col("key") - _PAIRS) / words)).otherwise(F.floor(F.col("key") / ENTRIES))
-    return rows.select("pair", context.alias("context"), F.when(~pair, F.col("key") % ENTRIES).alias("entry"), F.when(pair, (F.col("key") - _PAIRS) % words).alias("word"), "n")
+    return rows.select(pair.cast("long").alias("pair"), context.alias("context"), F.when(~pair, F.col("key") % ENTRIES).alias("entry"), F.when(pair, (F.col("key") - _PAIRS) % words).alias("word"), "n")
 
 
 def split_counts(n: np.ndarray, most: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
@@ -270,6 +312,12 @@ def split_counts(n: np.ndarray, most: float = 1000.0) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(len(n)), parts), np.repeat(weight / parts, parts)
 
 
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the rows at each place below size."""
+    width = rows.shape[1]
+    return np.bincount((at[:, None] * width + np.arange(width)).ravel(), weights=rows.ravel(), minlength=size * width).reshape(size, width)
+
+
 class LogBilinear:
     """Parameters in one array, so that they can be added up: vectors of both contexts and of words, two matrices, biases."""
 
@@ -296,25 +344,37 @@ class LogBilinear:
         past = LogBilinear(np.full(len(self.flat), 1e-4))
         row, row_weight = split_counts(n)
         order = rng.permutation(len(row))
+        prior = np.log(NOISE * share)
         for a in range(0, len(order), batch):
             k = row[order[a : a + batch]]
             i, j, w, weight = one[k], two[k], entry[k], row_weight[order[a : a + batch]] / len(k)
-            noise = rng.choice(ENTRIES, NOISE, p=share)
-            u, v = self.context[i], self.far[j]
+            noise, times = np.unique(rng.choice(ENTRIES, NOISE, p=share), return_counts=True)
+            u, v, right = self.context[i], self.far[j], self.word[w]
             q = u @ self.first + v @ self.second
-            prior = np.log(NOISE * share)
-            true = 1 / (1 + np.exp(np.clip((q * self.word[w]).sum(1) + self.bias[w] - prior[w], -30, 30)))
-            false = 1 / (1 + np.exp(-np.clip(q @ self.word[noise].T + self.bias[noise] - prior[noise], -30, 30)))
-            up, down = true * weight, false * weight[:, None]
+            up = weight / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, right) + self.bias[w] - prior[w], -30, 30)))
+            dq = up[:, None] * right
+            wrong = self.word[noise]
+            against, shift, often = -wrong.T, prior[noise] - self.bias[noise], wrong * times[:, None]
+            pull, total = np.zeros((len(noise), WIDTH)), np.zeros(len(noise))
+            for s in range(0, len(k), STRIP):  # few enough that they stay in the processor's cache
+                own = slice(s, s + STRIP)
+                down = q[own] @ against
+                down += shift
+                np.clip(down, -30, 30, out=down)
+                np.exp(down, out=down)
+                down += 1
+                np.divide(weight[own, None], down, out=down)
+                dq[own] -= down @ often
+                pull += down.T @ q[own]
+                total += down.sum(0)
             grad = LogBilinear(np.zeros(len(self.flat)))
-            dq = up[:, None] * self.word[w] - down @ self.word[noise]
-            np.add.at(grad.word, w, up[:, None] * q)
-            np.subtract.at(grad.word, noise, down.T @ q)
-            np.add.at(grad.bias, w, up)
-            np.subtract.at(grad.bias, noise, down.sum(0))
+            grad.word[:] = summed(w, up[:, None] * q, ENTRIES)
+            grad.word[noise] -= pull * times[:, None]
+            grad.bias[:] = np.bincount(w, weights=up, minlength=ENTRIES)
+            grad.bias[noise] -= total * times
             grad.first[:], grad.second[:] = u.T @ dq, v.T @ dq
-            np.add.at(grad.context, i, dq @ self.first.T)
-            np.add.at(grad.far, j, dq @ self.second.T)
+            grad.context[:] = summed(i, dq, ENTRIES + 1) @ self.first.T
+            grad.far[:] = summed(j, dq, FAR + 1) @ self.second.T
             past.flat += grad.flat**2
             self.flat += rate * grad.flat / np.sqrt(past.flat)
 

@@ -474,6 +474,59 @@ def test_heavy_triples_keep_their_weight():
     assert np.allclose(np.bincount(row, weights=weight) * n.mean(), n) and weight.max() <= 1000 and len(row) < 1.01 * len(n)
 
 
+def test_a_task_sends_each_context_once_and_training_is_the_plain_one():
+    """A task that has this many contexts gave them away again and again; noise drawn twice and strips leave the parameters as they are."""
+    rng = np.random.default_rng(3)
+    parts = [lm._packed([(np.append(rng.permutation(500_000)[:250_000], np.arange(k, 500_000, 12)) << 36) | 1], 36) for k in range(12)]
+    got = list(lm.added_up(parts, len, lambda x: lm._packed(x, 36), lm.HELD_CONTEXTS))
+    assert len(got) == 1 and len(np.unique(got[0] >> 36)) == len(got[0]) == 500_000 and (got[0] & (2**36 - 1)).sum() == 12 * 250_000 + 500_000
+    small = list(lm.added_up(parts, len, lambda x: lm._packed(x, 36), 400_000))
+    assert len(small) > 1 and (lm._packed(small, 36) == got[0]).all()
+    assert not len(lm._packed([np.zeros(0, np.int64)], 36)) and not list(lm.added_up([], len, None, 5))
+
+    one, two, entry = rng.integers(0, lm.ENTRIES + 1, 9000), rng.integers(0, lm.FAR + 1, 9000), rng.zipf(1.5, 9000) % lm.ENTRIES
+    n, share = rng.zipf(1.6, 9000).clip(max=10**6).astype(float), np.bincount(entry, minlength=lm.ENTRIES) + 0.1
+    share /= share.sum()
+    model, want = lm.LogBilinear.start(share), lm.LogBilinear.start(share)
+    model.train(one, two, entry, n, share, 7)
+
+    draws = np.random.default_rng(7)
+    past = np.full(len(want.flat), 1e-4)
+    row, weight = lm.split_counts(n)
+    order = draws.permutation(len(row))
+    for a in range(0, len(order), 4096):
+        k, by = row[order[a : a + 4096]], weight[order[a : a + 4096]] / len(order[a : a + 4096])
+        noise = draws.choice(lm.ENTRIES, lm.NOISE, p=share)
+        u, v, w, prior = want.context[one[k]], want.far[two[k]], entry[k], np.log(lm.NOISE * share)
+        q = u @ want.first + v @ want.second
+        up = by / (1 + np.exp(np.clip((q * want.word[w]).sum(1) + want.bias[w] - prior[w], -30, 30)))
+        down = by[:, None] / (1 + np.exp(-np.clip(q @ want.word[noise].T + want.bias[noise] - prior[noise], -30, 30)))
+        grad = lm.LogBilinear(np.zeros(len(want.flat)))
+        dq = up[:, None] * want.word[w] - down @ want.word[noise]
+        np.add.at(grad.word, w, up[:, None] * q)
+        np.subtract.at(grad.word, noise, down.T @ q)
+        np.add.at(grad.bias, w, up)
+        np.subtract.at(grad.bias, noise, down.sum(0))
+        grad.first[:], grad.second[:] = u.T @ dq, v.T @ dq
+        np.add.at(grad.context, one[k], dq @ want.first.T)
+        np.add.at(grad.far, two[k], dq @ want.second.T)
+        past += grad.flat**2
+        want.flat += 0.08 * grad.flat / np.sqrt(past)
+    assert np.allclose(model.flat, want.flat, rtol=1e-9, atol=1e-11)
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 1000, 70_000])
+def test_places_in_the_head(size):
+    rng = np.random.default_rng(size)
+    head = np.unique(rng.integers(0, 2**64, size, np.uint64))
+    if size > 2:
+        head = np.unique(np.concatenate([head, np.array([0, 1, 2, 2**64 - 2, 2**64 - 1], np.uint64)]))  # some that lie close
+    v = lm.Vocabulary(head, *[np.zeros(0)] * 9, 0, 0, 0)
+    asked = np.concatenate([head, head + np.uint64(1), head - np.uint64(1), rng.integers(0, 2**64, 500, np.uint64)])
+    want = {int(h): k for k, h in enumerate(head)}
+    assert v.places(asked).tolist() == [want.get(int(h), -1) for h in asked]
+
+
 def test_context_helps_on_held_out_texts(spark):
     """On prose; words drawn alike, as above, have no context to learn from."""
     held = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").collect()
