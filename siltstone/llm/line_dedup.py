@@ -7,9 +7,10 @@ that no line, however frequent, makes more pairs than it has places. Each pair i
 run of aligned lines without a gap on either side; those of enough words are marked in the later document.
 
 An alignment keeps the order of both sides, so a block that moved isn't in it. Therefore the lines that no block took are
-aligned again, until that finds no more: a block that stands elsewhere is in a later alignment. The marks of all pairs
-are deleted. What repeated alignment can still miss are blocks of lines that stand several times on both sides;
-marked_lines(..., moved=True) also marks every block that any earlier document has, wherever it stands.
+aligned again, until that finds no more: a block that stands elsewhere is in a later alignment. What repeated alignment
+can still miss are blocks of lines that stand several times on both sides, or that share lines with blocks found before;
+where lines of the other document are left, a check of all spans of such lines finds those. The marks of all pairs are
+deleted. marked_lines(..., moved=True) also marks every block that any earlier document has, wherever it stands.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from array import array
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -137,10 +139,30 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _spans_of(lines: list[int], size: dict[int, int], least: int) -> Iterator[tuple[int, int]]:
+    """spans() of the runs of lines whose size is known."""
+    run = 0
+    for k in range(len(lines) + 1):
+        if k == len(lines) or lines[k] not in size:
+            yield from ((run + x, run + y) for x, y in spans([size[v] for v in lines[run:k]], least))
+            run = k + 1
+
+
+def _other_blocks(a: list[int], sizes: list[int], b: list[int], left: list[int], least: int) -> set[int]:
+    """Places in a of all runs of size least that b has too, if any of the places left has a line of b."""
+    there = set(b)
+    if not any(a[i] in there for i in left):
+        return set()
+    size = {v: n for v, n in zip(a, sizes, strict=True) if v in there}
+    known = {tuple(b[x : y + 1]) for x, y in _spans_of(b, size, least)}
+    return {i for x, y in _spans_of(a, size, least) if tuple(a[x : y + 1]) in known for i in range(x, y + 1)}
+
+
 def common_blocks(a: list[int], sizes: list[int], b: list[int], least: int) -> list[int]:
     """Places in a of the aligned blocks of size least: runs of aligned lines without a gap in a or b.
 
-    What is left of a is aligned with b again as long as blocks are found, each time at least one of that size.
+    What is left of a is aligned with b again as long as blocks are found, each time at least one of that size. Then
+    all runs of that size count that both have, wherever they stand.
     """
     out: list[int] = []
     left = list(range(len(a)))
@@ -152,13 +174,11 @@ def common_blocks(a: list[int], sizes: list[int], b: list[int], least: int) -> l
                     new += [i for i, _ in run]
                 run = []
             run.append((x, y))
-        if not new:
-            return sorted(out)
         out += new
         gone = set(new)
         left = [i for i in left if i not in gone]
-        if sum(sizes[i] for i in left) < least:
-            return sorted(out)
+        if not new or sum(sizes[i] for i in left) < least:
+            return sorted({*out, *_other_blocks(a, sizes, b, left, least)})
 
 
 def delete_lines(text: str, marked: set[int]) -> tuple[str, int, int]:

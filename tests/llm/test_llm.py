@@ -324,6 +324,27 @@ def test_blocks_are_those_of_all_pairs(spark):
     assert sum(r.n_removed_words for r in got.values()) == sum(len(t.split()) for t in texts) - sum(len(x.split()) for w in want for x in w)
 
 
+def test_blocks_of_repeated_lines_and_blocks_that_overlap():
+    """Alignment alone left the second copies and what a block shares with one found before."""
+    rng = random.Random(8)
+    size = {k: 4 + k % 9 for k in range(12)}
+    missed = 0
+    for _ in range(400):
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        sizes = [size[x] for x in a]
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if sum(sizes[i : i + n]) >= 20:
+                    want.update(range(i, i + n))
+        assert line_dedup.common_blocks(a, sizes, b, 20) == sorted(want)
+        missed += bool(want)
+    assert missed > 50
+
+
 def test_lines_from_different_documents_are_not_one_block(spark):
     seven = [" ".join(words_of(7, 700 + k)) for k in range(3)]
     a, b, c = (" ".join(words_of(n, 720 + n)) for n in (9, 10, 2))
