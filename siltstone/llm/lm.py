@@ -9,7 +9,7 @@ are at most WORDS of them; the rarer ones of a class share a vector and have smo
 that the probabilities of all texts add up to one.
 
 Both levels are trained in numpy with noise-contrastive estimation on counts over all training texts. For entries, each
-of a fixed number of parts of the counts of triples, dealt by a hash, goes on from the last parameters with sampled noise, and their means, weighted by
+of some parts of the counts of triples, dealt by a hash, goes on from the last parameters with sampled noise, and their means, weighted by
 tokens, are the next ones. Given those, the words don't depend on each other, and noise is taken in expectation: a task
 fits some words from their counts after each entry. For scoring, batched matrix products give the sums over all entries
 for each pair of entries, and over all words of a class after each entry, once; so all probabilities are normalised.
@@ -40,7 +40,7 @@ SMOOTH = 0.1
 #: Words that a task fits at a time, steps, noise words for each word, and the precision of the vectors' prior.
 CHUNK, STEPS, NOISE_WORDS, PRIOR = 256, 24, 25, 2.0
 CHUNKS_A_TASK = 8
-#: Parts that triples are dealt to by a hash, whatever their number, and triples that are learned from at a time.
+#: Parts that triples are dealt to by a hash at most, and triples that are learned from at a time.
 BUCKETS, LEARNED = 4, 1 << 19
 #: Counts that a task adds up before it sends any: of words, and of contexts, which take 8 bytes each with their keys.
 HELD_WORDS, HELD_CONTEXTS = 1 << 19, 1 << 22
@@ -499,12 +499,14 @@ def trained_words(pairs: DataFrame, triples: DataFrame, model: LogBilinear, voca
 def fit(triples: DataFrame, share: np.ndarray, epochs: int = EPOCHS) -> LogBilinear:
     """Train on the triples of a written table of context_counts. The driver gets the parameters of each pass, whose number is fixed.
 
-    Triples are dealt to BUCKETS by a hash, in the order of another one, and learned from LEARNED at a time; so the
+    Triples are dealt by a hash to a part for each LEARNED of them, BUCKETS at most, as parts of few triples take too few
+    steps before their means are taken; in a part they are in the order of another one, and learned from LEARNED at a time; so the
     parameters are the same however Spark has cut the table. There are as many triples as contexts and entries at most.
     """
     key = F.xxhash64("context", "entry")
-    dealt = triples.select("context", "entry", "n", F.pmod(key, F.lit(BUCKETS)).cast("int").alias("bucket"))
-    dealt = dealt.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", F.xxhash64("entry", "context"), "context", "entry")
+    parts = min(BUCKETS, max(1, triples.count() // LEARNED))
+    dealt = triples.select("context", "entry", "n", F.pmod(key, F.lit(parts)).cast("int").alias("bucket"))
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", F.xxhash64("entry", "context"), "context", "entry")
     dealt = materialize(dealt, "dealt")
     model = LogBilinear.start(share)
     for epoch in range(epochs):
